@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions.fixed import LABEL_CATEGORY
-from pagequarry.operators.keys import Keys, joined_text, top_n
+from pagequarry.operators.keys import Keys, joined_text, small_side, top_n
 
 DOC_CHARS = 1_000_000
 SENTENCE = r"[^.!?]+[.!?]*"
@@ -43,17 +43,20 @@ def category_of(label: Column) -> Column:
     return category
 
 
-def tagged(split: DataFrame, gazetteer: DataFrame, by: Keys) -> DataFrame:
+def tagged(split: DataFrame, gazetteer: DataFrame, by: Keys, capitals: bool = True) -> DataFrame:
     """(page, sentence, name, label, at): gazetteer names of one to three words, plus patterns.
 
-    Names inside a longer name at the same place are dropped: a longer match marks the shorter
+    With ``capitals`` a name must start with a capital letter in the text. Names inside a longer name at the same place are dropped: a longer match marks the shorter
     places it covers, and one aggregate settles each place.
     """
     words = split.select(
         *by, "sentence", "text", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("_w")
     )
+    starts = "transform(_w, (w, i) -> i)"
+    if capitals:
+        starts = f"filter({starts}, i -> get(_w, i) rlike r'^\\p{{Lu}}')"
     grams = F.expr(
-        "flatten(transform(filter(transform(_w, (w, i) -> i), i -> get(_w, i) rlike '^\\\\p{Lu}'), i -> "
+        f"flatten(transform({starts}, i -> "
         "transform(filter(array(1, 2, 3), n -> i + n <= size(_w)), n -> "
         "named_struct('i', i, 'n', n, 'name', array_join(slice(_w, i + 1, n), ' ')))))"
     )
@@ -61,7 +64,7 @@ def tagged(split: DataFrame, gazetteer: DataFrame, by: Keys) -> DataFrame:
         "at", F.position("name", "text").cast("bigint")
     )
     known = gazetteer.groupBy(F.col("term").alias("name")).agg(F.min("label").alias("label"))
-    hits = places.drop("text").where("at > 0").join(known, "name")
+    hits = places.drop("text").where("at > 0").join(small_side(known), "name")
     covered = F.expr(
         "filter(array(named_struct('i', i, 'n', n), named_struct('i', i, 'n', n - 1), "
         "named_struct('i', i + 1, 'n', n - 1), named_struct('i', i, 'n', n - 2), "

@@ -55,14 +55,14 @@ def by_id(history: DataFrame, wanted: DataFrame) -> DataFrame:
 def listing(history: DataFrame) -> DataFrame:
     """A user's history, newest first, with the shown date."""
     return history.select(
-        "user_id", "id", "url", "total_items", F.date_format("ts", "MMMM dd, yyyy 'at' hh:mm a").alias("shown"), "ts"
+        "user_id", "id", "url", "total_items", F.date_format(F.col("ts").cast("timestamp"), "MMMM dd, yyyy 'at' hh:mm a").alias("shown"), "ts"
     ).orderBy("user_id", F.col("ts").desc(), F.col("id").desc())
 
 
 def series(history: DataFrame) -> DataFrame:
     """Points per (user, url) in time order: label and mean subjectivity."""
     return history.select(
-        "user_id", "url", "id", "ts", F.date_format("ts", "MM-dd HH:mm").alias("label"), "avg_subjectivity"
+        "user_id", "url", "id", "ts", F.date_format(F.col("ts").cast("timestamp"), "MM-dd HH:mm").alias("label"), "avg_subjectivity"
     ).orderBy("user_id", "url", "ts", "id")
 
 

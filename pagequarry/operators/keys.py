@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 Keys = Sequence[str]
 
 
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a look-up table for broadcast when it has at most ``most`` rows; else leave the choice
+    to the optimiser, which then shuffles both sides."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def top_n(df: DataFrame, by: Keys, order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows per key. Spark cuts to ``n`` on the map side before the shuffle, so a
     hot key ships at most ``n`` rows per task."""
