@@ -276,16 +276,17 @@ SQL_MENTIONS = (
     sw AS (SELECT doc_id, sentence, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w FROM sn),
     ix AS (SELECT *, unnest(range(len(w))) AS i FROM sw),
     ng AS (SELECT *, array_to_string(w[i + 1 : i + n], ' ') AS name FROM ix, (VALUES (1), (2), (3)) g(n) WHERE i + n <= len(w)),
-    hits AS (SELECT doc_id, sentence, i, n, name, label, instr(text, name) AS at FROM ng JOIN gz ON name = term
+    hits AS (SELECT doc_id, sentence, i, n, name, label, instr(text, name) AS spot FROM ng JOIN gz ON name = term
         WHERE instr(text, name) > 0),
     free AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.doc_id = h.doc_id
         AND o.sentence = h.sentence AND o.n > h.n AND o.i <= h.i AND o.i + o.n >= h.i + h.n)),
-    tg AS (SELECT doc_id, sentence, name, label, at FROM free
-        UNION ALL SELECT *, instr(text, name) FROM (SELECT doc_id, sentence, unnest(regexp_extract_all(text, '{N.PATTERNS["DATE"]}')) AS name, 'DATE' AS label, text FROM sn) SELECT_D
-        UNION ALL SELECT *, instr(text, name) FROM (SELECT doc_id, sentence, unnest(regexp_extract_all(text, '{N.PATTERNS["MONEY"]}')) AS name, 'MONEY' AS label, text FROM sn) SELECT_M),
-    me AS (SELECT doc_id, sentence, at AS pos, trim(replace(name, chr(10), ' ')) AS name,
+    pt AS (SELECT doc_id, sentence, text, unnest(regexp_extract_all(text, '{N.PATTERNS["DATE"]}')) AS name, 'DATE' AS label FROM sn
+        UNION ALL SELECT doc_id, sentence, text, unnest(regexp_extract_all(text, '{N.PATTERNS["MONEY"]}')), 'MONEY' FROM sn),
+    tg AS (SELECT doc_id, sentence, name, label, spot FROM free
+        UNION ALL SELECT doc_id, sentence, name, label, instr(text, name) FROM pt),
+    me AS (SELECT doc_id, sentence, spot AS pos, trim(replace(name, chr(10), ' ')) AS name,
         CASE label {_CATEGORY} END AS category FROM tg WHERE CASE label {_CATEGORY} END IS NOT NULL AND length(trim(name)) > 1)"""
-).replace("SELECT *, instr(text, name) FROM (SELECT", "SELECT doc_id, sentence, name, label, instr(text, name) AS at FROM (SELECT")
+)
 SQL_NODES = (
     SQL_MENTIONS
     + """, na AS (SELECT doc_id, name, count(*) AS n, min({'s': sentence, 'p': pos, 'c': category}) AS f FROM me GROUP BY ALL),

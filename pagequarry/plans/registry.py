@@ -1,5 +1,6 @@
 """All registered queries, gathered from the catalog modules."""
 
+from pagequarry.plans import catalog_relations  # noqa: F401
 from pagequarry.plans.catalog import CATALOG
 
 __all__ = ["CATALOG"]
