@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions.fixed import LABEL_CATEGORY
-from pagequarry.operators.keys import Keys, joined_text, small_side, top_n
+from pagequarry.operators.keys import Keys, computed, joined_text, small_side, top_n
 
 DOC_CHARS = 1_000_000
 SENTENCE = r"[^.!?]+[.!?]*"
@@ -56,15 +56,16 @@ def tagged(split: DataFrame, gazetteer: DataFrame, by: Keys, capitals: bool = Tr
     if capitals:
         starts = f"filter({starts}, i -> get(_w, i) rlike r'^\\p{{Lu}}')"
     grams = F.expr(
-        f"flatten(transform({starts}, i -> "
-        "transform(filter(array(1, 2, 3), n -> i + n <= size(_w)), n -> "
-        "named_struct('i', i, 'n', n, 'name', array_join(slice(_w, i + 1, n), ' ')))))"
-    )
-    places = words.select(*by, "sentence", "text", F.inline(grams)).withColumn(
-        "at", F.position("name", "text").cast("bigint")
+        f"flatten(transform({starts}, i -> array("
+        "named_struct('i', i, 'n', 1, 'name', get(_w, i)), "
+        "named_struct('i', i, 'n', 2, 'name', get(_w, i) || ' ' || get(_w, i + 1)), "
+        "named_struct('i', i, 'n', 3, 'name', get(_w, i) || ' ' || get(_w, i + 1) || ' ' || get(_w, i + 2)))))"
     )
+    places = words.select(*by, "sentence", "text", F.inline(grams))
     known = gazetteer.groupBy(F.col("term").alias("name")).agg(F.min("label").alias("label"))
-    hits = places.drop("text").where("at > 0").join(small_side(known), "name")
+    found = places.join(small_side(known), "name")
+    # The position is worked out for hits only, after the join.
+    hits = computed(found, at=F.position("name", "text").cast("bigint")).drop("text").where("at > 0")
     covered = F.expr(
         "filter(array(named_struct('i', i, 'n', n), named_struct('i', i, 'n', n - 1), "
         "named_struct('i', i + 1, 'n', n - 1), named_struct('i', i, 'n', n - 2), "

@@ -24,7 +24,11 @@ def has_words(query: Column, *columns: str) -> Column:
 
 
 def search(results: DataFrame, query: str, columns: Sequence[str]) -> DataFrame:
-    return results.where(has_words(F.lit(query), *columns))
+    """Rows that hold every word of the query in some column, whatever the case."""
+    row = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
+    for word in query.lower().split():
+        results = results.where(F.contains(row, F.lit(word)))
+    return results
 
 
 def of_topic(results: DataFrame, label: str) -> DataFrame:

@@ -19,6 +19,15 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that each is computed once per row.
+
+    They come out of a generator, which keeps the optimiser from copying their expressions into the
+    filters and projections above.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def top_n(df: DataFrame, by: Keys, order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows per key. Spark cuts to ``n`` on the map side before the shuffle, so a
     hot key ships at most ``n`` rows per task."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import text as X
 from pagequarry.functions.fixed import LEXICON, NEGATIONS
-from pagequarry.operators.keys import Keys
+from pagequarry.operators.keys import Keys, computed
 
 LEXICON_LIMIT = 20_000
 
@@ -32,12 +32,13 @@ def score(
     scored = segments.withColumn("_words", words).withColumn(
         "_scores", X.score_tokens("_words", lexicon, negations)
     )
-    return (
-        scored.withColumn("polarity", X.mean_of(F.col("_scores"), "polarity"))
-        .withColumn("subjectivity", X.mean_of(F.col("_scores"), "subjectivity"))
-        .withColumn("sentiment_label", X.sentiment_label(F.col("polarity")))
-        .withColumn("sentiment", X.sentiment_badge(F.col("sentiment_label")))
-        .drop("_words", "_scores")
+    scored = computed(
+        scored,
+        polarity=X.mean_of(F.col("_scores"), "polarity"),
+        subjectivity=X.mean_of(F.col("_scores"), "subjectivity"),
+    ).drop("_words", "_scores")
+    return scored.withColumn("sentiment_label", X.sentiment_label(F.col("polarity"))).withColumn(
+        "sentiment", X.sentiment_badge(F.col("sentiment_label"))
     )
 
 

@@ -141,7 +141,7 @@ def _(spark, folder):
 
 @register(
     "new_users", "H9",
-    """WITH known AS (SELECT DISTINCT 'user' || user_id || '@example.org' AS email FROM events WHERE event_type = 'signup' AND value > 20),
+    """WITH known AS (SELECT DISTINCT 'user' || user_id || '@example.org' AS email FROM events WHERE event_type = 'signup' AND value > 60),
     logins AS (SELECT 'user' || user_id || '@example.org' AS email, event_type AS name, ts FROM events)
     SELECT email, arg_min(name, ts) AS name FROM logins ANTI JOIN known USING (email) GROUP BY email""",
 )
@@ -149,7 +149,7 @@ def _(spark, folder):
     events = read_table(spark, folder, "events").withColumn(
         "email", F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.org"))
     )
-    known = events.where("event_type = 'signup' AND value > 20").select("email").distinct()
+    known = events.where("event_type = 'signup' AND value > 60").select("email").distinct()
     return H.new_users(known, events.select("email", F.col("event_type").alias("name"), "ts"))
 
 
