@@ -24,6 +24,7 @@ from pagequarry.plans.catalog import (
     sql_normalise,
     weighted,
 )
+from pagequarry.session import cut
 from pagequarry.sources.tables import read_table, spread
 
 # ---------------------------------------------------------------- near-duplicates
@@ -77,8 +78,9 @@ SQL_TOPICS = (
     raw_names AS (SELECT doc_id, cluster, n, CASE WHEN len(b) > 0 THEN b[1] WHEN len(t) > 1 THEN t[1] || ' & ' || t[2]
         WHEN len(t) = 1 THEN t[1] ELSE 'general' END AS name FROM nm),
     ch AS (SELECT doc_id, cluster, n, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT *, string_split(lower(name), '') AS c FROM raw_names)),
-    names AS (SELECT doc_id, cluster, n, cluster || ': ' || string_agg(CASE WHEN i = 1 OR NOT regexp_matches(c[i - 1], '\\p{L}')
-        THEN upper(c[i]) ELSE c[i] END, '' ORDER BY i) AS cluster_name FROM ch GROUP BY ALL)"""
+    cased AS (SELECT doc_id, cluster, n, string_agg(CASE WHEN i = 1 OR NOT regexp_matches(c[i - 1], '\\p{L}')
+        THEN upper(c[i]) ELSE c[i] END, '' ORDER BY i) AS name FROM ch GROUP BY doc_id, cluster, n),
+    names AS (SELECT doc_id, cluster, n, cluster || ': ' || name AS cluster_name FROM cased)"""
 )
 
 
@@ -120,7 +122,7 @@ def _(spark, folder):
 
 def page_topics(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows, wt = weighted(spark, folder)
-    return rows, wt, K.topics(rows, wt, DOC)
+    return rows, wt, cut(K.topics(rows, wt, DOC))
 
 
 @register("page_topics", "K1 K2 K3 K5")

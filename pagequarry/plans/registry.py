@@ -1,6 +1,6 @@
 """All registered queries, gathered from the catalog modules."""
 
-from pagequarry.plans import catalog_relations, catalog_topics  # noqa: F401
+from pagequarry.plans import catalog_relations, catalog_streams, catalog_topics  # noqa: F401
 from pagequarry.plans.catalog import CATALOG
 
 __all__ = ["CATALOG"]
