@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 
-def gram(rows: list[list[tuple[str, float]]]) -> np.ndarray:
-    """Inner products of sparse rows given as (term, weight) lists."""
-    index: dict[str, int] = {}
-    for row in rows:
-        for term, _w in row:
-            index.setdefault(term, len(index))
-    dense = np.zeros((len(rows), max(len(index), 1)))
-    for i, row in enumerate(rows):
-        for term, w in row:
-            dense[i, index[term]] = w
+def gram(terms: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """Inner products of sparse rows given as term and weight arrays."""
+    sizes = [len(t) for t in terms]
+    codes, names = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in terms]))
+    dense = np.zeros((len(terms), max(len(names), 1)))
+    dense[np.repeat(np.arange(len(terms)), sizes), codes] = np.concatenate([np.asarray(w, dtype=float) for w in weights])
     return dense @ dense.T
 
 
@@ -36,13 +33,11 @@ def _seeds(dist2: np.ndarray, k: int, restarts: int, random: np.random.RandomSta
     return chosen
 
 
-def kmeans(inner: np.ndarray, k: int, restarts: int = 10, seed: int = 42, rounds: int = 300) -> np.ndarray:
-    """Labels of the best of several restarts, from inner products alone."""
-    n = len(inner)
+def kmeans(inner: np.ndarray, dist2: np.ndarray, seeds: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Labels of the best restart, from inner products alone; one restart per row of seeds."""
+    k = seeds.shape[1]
     diag = np.diag(inner)
-    dist2 = np.maximum(diag[:, None] + diag[None, :] - 2 * inner, 0)
-    chosen = _seeds(dist2, k, restarts, np.random.RandomState(seed))
-    far = dist2[:, chosen].transpose(1, 0, 2)
+    far = dist2[:, seeds].transpose(1, 0, 2)
     labels = far.argmin(axis=2)
     clusters = np.arange(k)
     for _ in range(rounds):
@@ -105,11 +100,14 @@ def sweep(inner: np.ndarray, restarts: int = 10, seed: int = 42) -> tuple[np.nda
     """
     n = len(inner)
     diag = np.diag(inner)
-    dist = np.sqrt(np.maximum(diag[:, None] + diag[None, :] - 2 * inner, 0))
-    np.fill_diagonal(dist, 0)
+    dist2 = np.maximum(diag[:, None] + diag[None, :] - 2 * inner, 0)
+    np.fill_diagonal(dist2, 0)
+    dist = np.sqrt(dist2)
+    # Seeding is incremental: the first k of a longer draw are the draw for k.
+    seeds = _seeds(dist2, max(min(10, n) - 1, 2), restarts, np.random.RandomState(seed))
     best_k, best, seen, chosen = 2, -1.0, [], None
     for k in range(2, min(10, n)):
-        labels = kmeans(inner, k, restarts, seed)
+        labels = kmeans(inner, dist2, seeds[:, :k])
         score = silhouette(dist, labels)
         if score is None:
             continue
@@ -117,7 +115,7 @@ def sweep(inner: np.ndarray, restarts: int = 10, seed: int = 42) -> tuple[np.nda
         if score > best:
             best_k, best, chosen = k, score, labels
     if chosen is None:
-        chosen = kmeans(inner, best_k, restarts, seed)
+        chosen = kmeans(inner, dist2, seeds[:, :best_k])
     return chosen, best_k, best if best > -1 else None, seen
 
 

@@ -49,9 +49,9 @@ def sweep(rows: DataFrame, by: Keys, restarts: int, seed: int, rounds: int = 30,
 def _lloyd(points: DataFrame, by: Keys, restarts: int, seed: int, rounds: int) -> DataFrame:
     """(page, pos, k, cluster) of the cheapest restart per k."""
     keys = [*by, *RUN]
-    terms = points.select(*by, "pos", F.inline("terms"))
+    terms = points.select(*by, "pos", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("ws").alias("w"))))
     norms = points.select(
-        *by, "pos", "n", F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["w"] * t["w"]).alias("norm2")
+        *by, "pos", "n", F.aggregate("ws", F.lit(0.0), lambda a, w: a + w * w).alias("norm2")
     )
     # Seeds: per restart the rows of lowest hash, the first k of them for each k.
     drawn = norms.select(*by, "pos", "n", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
@@ -128,9 +128,9 @@ def _scores(points: DataFrame, labels: DataFrame, by: Keys, block: int) -> DataF
     """(page, k, silhouette): exact mean, from distance sums that block pairs compute in place."""
     keys = list(by)
     tags = labels.groupBy(*by, "pos").agg(F.map_from_entries(F.collect_list(F.struct("k", "cluster"))).alias("tags"))
-    rows = points.select(*by, "pos", "terms").join(tags, [*keys, "pos"])
+    rows = points.select(*by, "pos", "terms", "ws").join(tags, [*keys, "pos"])
     blocks = rows.groupBy(*by, F.floor(F.col("pos") / block).alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "terms", F.map_entries("tags").alias("tags")))).alias("rows")
+        F.sort_array(F.collect_list(F.struct("pos", "terms", "ws", F.map_entries("tags").alias("tags")))).alias("rows")
     )
     blocks = cut(blocks)
     parts = blocks.select(*by, "part")
@@ -165,7 +165,7 @@ def _scores(points: DataFrame, labels: DataFrame, by: Keys, block: int) -> DataF
 
 
 def _block_sums(left: list, right: list) -> list[dict]:
-    both = vectors.gram([[(t["term"], t["w"]) for t in r["terms"]] for r in left + right])
+    both = vectors.gram([r["terms"] for r in left + right], [r["ws"] for r in left + right])
     n = len(left)
     diag = np.diag(both)
     dist = np.sqrt(np.maximum(diag[:n, None] + diag[None, n:] - 2 * both[:n, n:], 0))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagequarry.functions import similar, vectors
 from pagequarry.functions import text as X
@@ -19,11 +17,14 @@ SWEEP = "array<struct<k:int,silhouette:double>>"
 
 
 def term_vectors(cleaned: DataFrame, weighted: DataFrame, by: Keys) -> DataFrame:
-    """(page, pos, n_lines, terms): a segment's (term, weight) list, empty if it has no terms."""
-    packed = weighted.groupBy(*by, "pos").agg(F.collect_list(F.struct("term", "w")).alias("terms"))
-    empty = F.array().cast("array<struct<term:string,w:double>>")
-    return cleaned.join(packed, [*by, "pos"], "left").select(
-        *by, "pos", "n_lines", F.coalesce("terms", empty).alias("terms")
+    """(page, pos, n_lines, terms, ws): a segment's terms with their weights, empty if it has none."""
+    packed = weighted.groupBy(*by, "pos").agg(F.collect_list(F.struct("term", "w")).alias("_t"))
+    return cleaned.select(*by, "pos", "n_lines").join(packed, [*by, "pos"], "left").select(
+        *by,
+        "pos",
+        "n_lines",
+        F.coalesce("_t.term", F.array().cast("array<string>")).alias("terms"),
+        F.coalesce("_t.w", F.array().cast("array<double>")).alias("ws"),
     )
 
 
@@ -44,32 +45,28 @@ def topics(
 
 
 def _small(rows: DataFrame, by: Keys, restarts: int, seed: int) -> DataFrame:
-    names = list(by)
-    out = T.StructType(
-        [rows.schema[k] for k in names]
-        + [
-            T.StructField("pos", T.LongType()),
-            T.StructField("cluster", T.IntegerType()),
-            T.StructField("optimal_k", T.IntegerType()),
-            T.StructField("silhouette", T.DoubleType()),
-            T.StructField("sweep", T._parse_datatype_string(SWEEP)),
-        ]
-    )
-
-    def page(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos")
-        lists = [[(t["term"], t["w"]) for t in terms] for terms in frame["terms"]]
-        result = frame[[*names, "pos"]].copy()
-        if len(frame) < 3 or not any(lists):
-            return result.assign(cluster=0, optimal_k=1, silhouette=np.nan, sweep=[[]] * len(frame))
-        labels, k, score, seen = vectors.sweep(vectors.gram(lists), restarts, seed)
-        table = [{"k": a, "silhouette": b} for a, b in seen]
-        return result.assign(
-            cluster=labels, optimal_k=k, silhouette=np.nan if score is None else score, sweep=[table] * len(frame)
-        )
-
-    swept = rows.select(*by, "pos", "terms").groupBy(*by).applyInPandas(page, out)
-    return swept.withColumn("silhouette", F.when(~F.isnan("silhouette"), F.col("silhouette")))
+    """Pages of bounded size: a page is one row of arrays, and many pages share an Arrow batch."""
+    pages = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "terms", "ws"))).alias("_rows"))
+
+    @F.pandas_udf(f"labels array<int>, optimal_k int, silhouette double, sweep {SWEEP}")
+    def sweep_pages(terms: pd.Series, ws: pd.Series) -> pd.DataFrame:
+        out = []
+        for page_terms, page_ws in zip(terms, ws):
+            n = len(page_terms)
+            if n < 3 or not any(len(t) for t in page_terms):
+                out.append(([0] * n, 1, None, []))
+                continue
+            inner = vectors.gram(list(page_terms), list(page_ws))
+            labels, k, score, seen = vectors.sweep(inner, restarts, seed)
+            out.append((labels.tolist(), k, score, [{"k": a, "silhouette": b} for a, b in seen]))
+        frame = pd.DataFrame(out, columns=["labels", "optimal_k", "silhouette", "sweep"])
+        return frame.astype({"silhouette": "float64"})
+
+    swept = pages.withColumn("_s", sweep_pages("_rows.terms", "_rows.ws"))
+    labelled = F.arrays_zip(F.col("_rows.pos").alias("pos"), F.col("_s.labels").alias("cluster"))
+    return swept.select(
+        *by, "_s.optimal_k", F.nanvl("_s.silhouette", F.lit(None).cast("double")).alias("silhouette"), "_s.sweep", F.inline(labelled)
+    ).select(*by, "pos", "cluster", "optimal_k", "silhouette", "sweep")
 
 
 def sweep_log(labelled: DataFrame, by: Keys) -> DataFrame:

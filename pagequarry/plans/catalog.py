@@ -15,7 +15,7 @@ from pagequarry.operators import entities as N
 from pagequarry.operators import segments as G
 from pagequarry.operators import sentiment as S
 from pagequarry.operators import terms as W
-from pagequarry.session import tune
+from pagequarry.session import cut, tune
 from pagequarry.sources.tables import read_table, spread
 
 DOC = ["doc_id"]
@@ -336,7 +336,7 @@ def _(spark, folder):
 
 
 def _graph(spark, folder):
-    found = page_mentions(spark, folder)
+    found = cut(page_mentions(spark, folder))
     chosen = N.top_nodes(N.nodes(found, DOC), DOC)
     return chosen, N.edges(found, chosen, DOC)
 

@@ -21,8 +21,11 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    # Join by hash instead of by sort where every build partition is measured to be this small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000001",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 
