@@ -21,6 +21,8 @@ from pagequarry.operators.keys import Keys
 # Pass numbers in extraction order; 8 is the main-body fallback of sparse pages.
 PASSES = {"heading": 1, "link": 2, "raw_link": 3, "container": 4, "titled": 5, "paragraph": 6, "list_item": 7, "main": 8}
 
+BATCH = 5000
+
 
 def elements(pages: DataFrame, by: Keys, html: str = "html") -> DataFrame:
     """One row per heading, link, span, div, p, li, article and section in document order."""
@@ -46,13 +48,15 @@ def elements(pages: DataFrame, by: Keys, html: str = "html") -> DataFrame:
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            records: list[dict] = []
             for row in batch.itertuples(index=False):
-                records = markup.elements(row[-1])
-                if records:
-                    frame = pd.DataFrame(records)
-                    for i, name in enumerate(names):
-                        frame[name] = row[i]
-                    yield frame[found.names]
+                key = dict(zip(names, row))
+                records += [{**key, **e} for e in markup.elements(row[-1])]
+                if len(records) >= BATCH:
+                    yield pd.DataFrame(records)[found.names]
+                    records = []
+            if records:
+                yield pd.DataFrame(records)[found.names]
 
     return pages.select(*by, html).mapInPandas(walk, found)
 

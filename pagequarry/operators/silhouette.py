@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.operators.keys import Keys
+from pagequarry.operators.keys import Keys, small_side
+
+# A key's packed centres are a few kilobytes; up to this many keys are broadcast.
+PACKED_KEYS = 2000
 
 
 def centroids(rows: DataFrame, by: Keys, cluster: str = "cluster") -> DataFrame:
@@ -34,7 +37,7 @@ def assign(rows: DataFrame, centres: DataFrame, by: Keys, cluster: str = "cluste
     )
     near = F.array_min(F.transform("_centres", lambda s: F.struct(d2(s["centre"]).alias("d2"), s["c"].alias("c"))))
     return (
-        rows.join(packed, list(by))
+        rows.join(small_side(packed, PACKED_KEYS), list(by))
         .withColumn("_near", near)
         .withColumn("nearest", F.col("_near.c"))
         .withColumn("dist", F.sqrt("_near.d2"))

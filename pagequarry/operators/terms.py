@@ -11,6 +11,8 @@ from pagequarry.functions import text as X
 from pagequarry.functions.fixed import STOP_WORDS
 from pagequarry.operators.keys import Keys, top_n
 
+SALTS = 16
+
 
 def term_counts(
     cleaned: DataFrame,
@@ -43,7 +45,11 @@ def vocabulary(
     # weights can share one shuffle of the segments.
     stats = counts.groupBy(*by, "term").agg(F.count("pos").alias("df"), F.sum("tf").alias("cf"))
     sizes = cleaned.groupBy(*by).agg(F.count("pos").alias("n"))
-    kept = stats.join(sizes, list(by)).where(F.col("df") <= F.lit(max_df) * F.col("n"))
+    # The page size joins under a salted key: a page with a third of all terms is spread over the
+    # salts, and the cap below starts from a fresh shuffle that is cut to the cap on the map side.
+    salted = stats.withColumn("_salt", F.pmod(F.hash("term"), F.lit(SALTS)))
+    copies = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    kept = salted.join(copies, [*by, "_salt"]).drop("_salt").where(F.col("df") <= F.lit(max_df) * F.col("n"))
     return top_n(kept, by, [F.col("cf").desc(), F.col("term")], max_features, "_r").drop("_r")
 
 

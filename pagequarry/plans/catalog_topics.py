@@ -122,6 +122,7 @@ def _(spark, folder):
 
 def page_topics(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows, wt = weighted(spark, folder)
+    wt = cut(wt)
     return rows, wt, cut(K.topics(rows, wt, DOC))
 
 

@@ -40,8 +40,8 @@ def stages(pages: DataFrame, segments: DataFrame, gazetteer: DataFrame, by: Keys
     kept = cut(ND.drop_near_duplicates(C.distinct_cleaned(segments, by), by))
     status = cut(G.page_status(pages, segments, kept, by))
     usable = status.where("status = 'ok'").select(*by)
-    rows = S.score(kept.join(usable, list(by), "left_semi"))
-    counts = W.term_counts(rows, by)
+    rows = cut(S.score(kept.join(usable, list(by), "left_semi")))
+    counts = cut(W.term_counts(rows, by))
     vocab = cut(W.vocabulary(counts, rows, by))
     weights = cut(W.weights(counts, vocab, by))
     labelled = cut(K.topics(rows, weights, by))

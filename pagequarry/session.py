@@ -43,7 +43,7 @@ def local_session(cores: str = "*", name: str = "pagequarry") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.driver.memory", "12g")
-        .config("spark.sql.shuffle.partitions", str(threads))
+        .config("spark.sql.shuffle.partitions", str(2 * threads))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
