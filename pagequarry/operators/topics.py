@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,49 +158,78 @@ def takeaways(
 ) -> DataFrame:
     """(page, rank, pos, text): segments by density, skipping one similar to an earlier pick.
 
-    ``dense`` has text and tfidf_score. The picks come from the best ``batch`` candidates of a page;
-    a page whose picks are not settled by them is done again with a batch eight times as large, so
-    the result does not depend on the batch.
+    ``dense`` has text and tfidf_score. Picks come from the best ``batch`` candidates of a page. Where
+    those do not yield enough, every remaining row that is similar to a pick is dropped in place, all
+    over the cluster, and the page goes on with the best rows left. The best one left is always a
+    pick, so there are at most ``most`` rounds and no page is gathered beyond ``batch`` rows.
     """
     able = dense.where(F.length("text") > longer_than).select(
         *by, "pos", "text", F.round("tfidf_score", 9).alias("score")
     )
-    done = []
+    done, prior = [], None
     while True:
-        picked = cut(_picks(able, by, most, threshold, measure, batch))
-        done.append(picked.where("NOT unsettled").drop("unsettled"))
-        left = picked.where("unsettled").select(*by).distinct()
-        if left.isEmpty():
+        picked = cut(_picks(able, prior, by, most, threshold, measure, batch))
+        done.append(picked.where("NOT unsettled"))
+        prior = picked.where("unsettled").select(*by, "picks")
+        if prior.isEmpty():
             break
-        able = able.join(left, list(by), "left_semi")
-        batch *= 8
-    result = done[0]
-    for more in done[1:]:
-        result = result.unionByName(more)
-    return result.where("pos IS NOT NULL")
+        able = _unlike(able, prior, by, threshold, measure)
+    settled = reduce(DataFrame.unionByName, done)
+    return settled.select(*by, F.posexplode("picks").alias("_i", "_pick")).select(
+        *by, (F.col("_i") + 1).alias("rank"), "_pick.pos", "_pick.text"
+    )
 
 
-def _picks(able: DataFrame, by: Keys, most: int, threshold: float, measure: str, batch: int) -> DataFrame:
+def _picks(
+    able: DataFrame, prior: DataFrame | None, by: Keys, most: int, threshold: float, measure: str, batch: int
+) -> DataFrame:
+    """(page, picks, unsettled): earlier picks plus those the next ``batch`` candidates yield."""
+    row = "array<struct<pos:bigint,text:string>>"
     head = top_n(able, by, [F.col("score").desc(), F.col("pos")], batch + 1, "_rank")
     pages = head.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_rank", "pos", "text"))).alias("_rows"))
+    if prior is None:
+        pages = pages.withColumn("picks", F.array().cast(row))
+    else:
+        none = F.array().cast("array<struct<_rank:int,pos:bigint,text:string>>")
+        pages = prior.join(pages, list(by), "left").withColumn("_rows", F.coalesce("_rows", none))
 
     @F.pandas_udf("array<int>")
-    def choose(texts: pd.Series) -> pd.Series:
-        def one(page):
+    def choose(texts: pd.Series, earlier: pd.Series) -> pd.Series:
+        def one(page, taken):
             picks: list[int] = []
+            tests = [similar.Later(t, measure, threshold) for t in taken]
             for i, text in enumerate(page):
-                if len(picks) == most:
+                if len(tests) == most:
                     break
                 # The candidate is the first argument of the ratio, the earlier pick the second.
-                if not any(similar.Later(page[p], measure, threshold).matches(text) for p in picks):
+                if not any(test.matches(text) for test in tests):
                     picks.append(i)
+                    tests.append(similar.Later(text, measure, threshold))
             return picks
 
-        return texts.map(lambda page: one(list(page)))
+        return pd.Series([one(list(page), list(taken)) for page, taken in zip(texts, earlier)])
 
-    chosen = pages.withColumn(
-        "_picks", choose(F.transform(F.slice("_rows", 1, batch), lambda r: r["text"]))
-    ).withColumn("unsettled", (F.size("_rows") > batch) & (F.size("_picks") < most))
+    new = choose(F.transform(F.slice("_rows", 1, batch), lambda r: r["text"]), F.col("picks.text"))
+    added = F.transform("_new", lambda i: F.struct(F.get("_rows", i)["pos"].alias("pos"), F.get("_rows", i)["text"].alias("text")))
+    chosen = pages.withColumn("_new", new).withColumn("picks", F.concat("picks", added.cast(row)))
     return chosen.select(
-        *by, "unsettled", F.posexplode_outer(F.transform("_picks", lambda i: F.get("_rows", i))).alias("_i", "_row")
-    ).select(*by, "unsettled", (F.col("_i") + 1).alias("rank"), "_row.pos", "_row.text")
+        *by, "picks", ((F.size("_rows") > batch) & (F.size("picks") < most)).alias("unsettled")
+    )
+
+
+def _unlike(able: DataFrame, prior: DataFrame, by: Keys, threshold: float, measure: str) -> DataFrame:
+    """Candidates of the given pages that are similar to none of the page's picks."""
+
+    @F.pandas_udf("boolean")
+    def similar_to_pick(texts: pd.Series, picks: pd.Series) -> pd.Series:
+        tests: dict[str, similar.Later] = {}
+        out = []
+        for text, taken in zip(texts, picks):
+            for pick in taken:
+                if pick not in tests:
+                    tests[pick] = similar.Later(pick, measure, threshold)
+            out.append(any(tests[pick].matches(text) for pick in taken))
+        return pd.Series(out)
+
+    near = able.join(prior, list(by)).withColumn("_near", similar_to_pick("text", "picks.text"))
+    return near.where("NOT _near").select(*able.columns)
