@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import dedup_names, secrets_index
+from pagequarry.llm import dedup_names, secrets_index, sp_encode, token_counts
 from pagequarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,39 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined_spans(base).cast("binary"), 256).alias("base_sha256"),
         joined_spans(F.col("spans")).alias("spans"),
     )
+
+
+# ---------------------------------------------------------------- tokenizers
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; the operators take the file's content."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def piece_model() -> bytes:
+    with open(vocabulary("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
+
+
+TOKEN_LIMIT = 4096
+
+
+@register("op3_token_counts")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts.count_tokens(table(spark, folder, "documents"), piece_model())
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@register("op4_sentencepiece")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = sp_encode.encode(table(spark, folder, "documents"), piece_model())
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("bigint").alias("end_byte"),
+    )
