@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import dedup_names, secrets_index, sp_encode, token_counts
+from pagequarry.llm import dedup_names, mix_packing, pii_anchors, secrets_index, sp_encode, token_counts
 from pagequarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,65 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("bigint").alias("end_byte"),
     )
+
+
+def byte_tokenizer() -> bytes:
+    with open(vocabulary("byte_bpe_50k.json"), "rb") as file:
+        return file.read()
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The packing contract's columns; the pieces' ids as their checksum."""
+    pieces = mix_packing.pack(docs, byte_tokenizer())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@register("op2_packing")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"))
+
+
+# ---------------------------------------------------------------- personal data
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+# Doubled digits count from the right, the second, fourth and so on.
+_LUHN = (
+    f"list_sum(list_transform(range(length({_DIGITS})), lambda j: CASE WHEN j % 2 = 0 THEN "
+    f"substr({_DIGITS}, length({_DIGITS}) - j, 1)::INT ELSE (substr({_DIGITS}, length({_DIGITS}) - j, 1)::INT * 2) // 10 "
+    f"+ (substr({_DIGITS}, length({_DIGITS}) - j, 1)::INT * 2) % 10 END)) % 10 = 0"
+)
+PII_SQL = spans_sql(
+    [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", True),
+        (
+            "ip",
+            r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+            "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR "
+            "coalesce(try_cast(right(p, 3) AS INT), 0) > 255)) = 0",
+            True,
+        ),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}", True),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15", True),
+        ("url", r"(?:https?|ftp)://[A-Za-z0-9][A-Za-z0-9./?=&%_#:+~-]*", "true", False),
+        (
+            "account",
+            r"(?:account|acct|iban)[\x20:#.]{1,3}[A-Z0-9]*[0-9][A-Z0-9]*",
+            "length(regexp_extract(m, '[A-Z0-9]+$')) BETWEEN 6 AND 34",
+            False,
+        ),
+    ],
+    "o, b",
+)
+
+
+@register("op10_pii", PII_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii_anchors.find(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii_anchors.BASE_KINDS))
+    return found.select(
+        "doc_id", *[count_of(k) for k in pii_anchors.BASE_KINDS],
+        F.sha2(joined_spans(base).cast("binary"), 256).alias("base_sha256"),
+        joined_spans(F.col("spans")).alias("spans"),
+    )
