@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import dedup_names, mix_packing, pii_anchors, secrets_index, sp_encode, token_counts
-from pagequarry.llm.common import table
+from pagequarry.llm import chosen_path, dedup_names, lang_crf, mix_packing, pii_anchors, quality_qda, secrets_index, sp_encode, token_counts
+from pagequarry.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -190,3 +190,37 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined_spans(base).cast("binary"), 256).alias("base_sha256"),
         joined_spans(F.col("spans")).alias("spans"),
     )
+
+
+# ---------------------------------------------------------------- models
+
+@register("op1_quality")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_qda.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register("op6_language")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = lang_crf.identify(table(spark, folder, "documents"))
+    return found.withColumn("held_out", held_out(F.col("doc_id")))
+
+
+# ---------------------------------------------------------------- near duplicates
+
+JOIN_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS l FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) >= 5 THEN list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i+4], ' '))
+      WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared * 5 >= 4 * (x.size + y.size - shared)),
+r AS (SELECT doc_id, doc_id AS t FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.t),
+c AS (SELECT doc_id, min(t) AS class_id FROM r GROUP BY doc_id),
+k AS (SELECT a AS doc_id, count(*) AS n FROM e GROUP BY a)
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM c LEFT JOIN k USING (doc_id)
+"""
+
+
+@register("op5_jaccard_join", JOIN_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.jaccard_join(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
