@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import few_rows, slices, stash, worker_cache
+from pagequarry.llm.common import few_rows, row_key, slices, stash, worker_cache
 from pagequarry.llm.components import components
 from pagequarry.llm.sp_model import Memo
 
@@ -68,10 +68,6 @@ def _hasher():
     return cache["words"].__getitem__
 
 
-def _key(text: str, id_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text))
-
-
 def signatures(source: DataFrame, width: int) -> DataFrame:
     """Per row of ``source`` (doc_id, key, text): digest of its shingle set, its size, signature."""
 
@@ -285,7 +281,7 @@ def jaccard_join(
     block: int = BLOCK,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Near-duplicate classes: row, doc_id, class_id, n_links, kept; one row per input row.
+    """Near-duplicate classes: row, key, doc_id, class_id, n_links, kept; one row per input row.
 
     ``class_id`` is the smallest id of the documents that chains of links (shingle sets of
     similarity ``similarity`` or more) connect, ``n_links`` the number of other rows that the row
@@ -295,7 +291,7 @@ def jaccard_join(
     once and counted with their number. Other columns are ignored, an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    source = source.withColumn("key", _key("text", "doc_id"))
+    source = source.withColumn("key", row_key())
     signed = signatures(source.select("doc_id", "key", "text"), width)
     signed = stash(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"))
@@ -354,12 +350,12 @@ def jaccard_join(
     )
     heads = stash(joined.groupBy("class").agg(F.min("first").alias("head")), "heads")
     told = stash(joined.join(heads, "class").select("digest", "head", (F.col("links") + F.col("weight") - 1).alias("links")), "told")
-    rows = signed.select("row", "doc_id", "n", "digest")
+    rows = signed.select("row", "key", "doc_id", "n", "digest")
     with_words = rows.where("n > 0").join(told, "digest").select(
-        "row", "doc_id", F.col("head.doc_id").alias("class_id"), F.col("links").alias("n_links"),
+        "row", "key", "doc_id", F.col("head.doc_id").alias("class_id"), F.col("links").alias("n_links"),
         (F.col("head.row") == F.col("row")).alias("kept"),
     )
     without = rows.where("n = 0").select(
-        "row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept")
+        "row", "key", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept")
     )
     return with_words.unionByName(without)

@@ -36,6 +36,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def row_key(text: str = "text", id_col: str = "doc_id") -> Column:
+    """Stands for a row where another scan must find it again: hash of id and text."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text), F.lit("")))
+
+
 def few_rows(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has at most ``most`` rows; the size check in front of every broadcast."""
     return df.limit(most + 1).count() <= most

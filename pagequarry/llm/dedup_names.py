@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import stash
+from pagequarry.llm.common import row_key, stash
 
 BLOCK_BYTES = 4096
 # Maximal runs of blanks that are not one plain space already; those stay as they are.
@@ -53,13 +53,16 @@ def block_names(content: DataFrame, width: int, seed: int) -> DataFrame | None:
 
 
 def identities(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: ``row`` (a number of its own), the id, ``depth`` and ``name``.
+    """One row per input row: ``row`` (a number of its own), ``key`` (of id and text), the id, ``depth``
+    and ``name``.
 
     Rows have equal (depth, name) exactly if their normalised texts are equal. ``text_sha256`` is
     the digest of the normalised text.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text)).alias("content")).select(
-        "doc_id", F.col("content").cast("binary").alias("content"), F.octet_length("content").alias("size")
+    source = docs.select(
+        F.col(id_col).alias("doc_id"), row_key(text, id_col).alias("key"), normalised(F.col(text)).alias("content")
+    ).select(
+        "doc_id", "key", F.col("content").cast("binary").alias("content"), F.octet_length("content").alias("size")
     )
     seed = 0
     while (names := block_names(source, width, seed)) is None:
@@ -68,6 +71,7 @@ def identities(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
         source.select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
+            "key",
             F.sha2("content", 256).alias("text_sha256"),
             F.transform(_blocks(F.col("content"), F.col("size"), width), lambda b: _key(b, seed)).alias("keys"),
         ),
@@ -102,7 +106,7 @@ def identities(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     named = done[0]
     for part in done[1:]:
         named = named.unionByName(part)
-    return keyed.select("row", "doc_id", "text_sha256").join(named, "row")
+    return keyed.select("row", "key", "doc_id", "text_sha256").join(named, "row")
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = BLOCK_BYTES) -> DataFrame:
@@ -110,7 +114,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wid
 
     Texts are equal when identical after each run of ASCII blanks is made one space; null counts as
     empty, so null and empty texts form one group. The row with the smallest id stays, null ids
-    last; of rows that repeat an id, the first read stays. Returns row, doc_id, keep_id,
+    last; of rows that repeat an id, the first read stays. Returns row, key, doc_id, keep_id,
     group_size, kept, text_sha256, one row per input row; an empty table gives no rows, other
     columns of the input are ignored. Memory per task does not grow with the size of a group:
     groups are counted by aggregates with map-side combine, and joins on hot names are left to the
@@ -121,6 +125,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wid
     groups = named.groupBy("depth", "name").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
     return named.join(groups, ["depth", "name"]).select(
         "row",
+        "key",
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",

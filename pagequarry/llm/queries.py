@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import chosen_path, dedup_names, lang_crf, mix_packing, pii_anchors, quality_qda, secrets_index, sp_encode, token_counts
+from pagequarry.llm import chosen_path, dedup_names, lang_crf, mix_packing, pii_anchors, quality_qda, rp_forest, secrets_index, sp_encode, token_counts
 from pagequarry.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +47,7 @@ FROM n WINDOW w AS (PARTITION BY body)
 
 @register("op7_exact_dedup", DEDUP_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup_names.exact_dedup(table(spark, folder, "documents")).drop("row")
+    return dedup_names.exact_dedup(table(spark, folder, "documents")).drop("row", "key")
 
 
 def spans_sql(rules, order: str) -> str:
@@ -224,3 +224,10 @@ SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM c LEFT JOIN k US
 @register("op5_jaccard_join", JOIN_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.jaccard_join(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
+
+
+# ---------------------------------------------------------------- vectors
+
+@register("op8_neighbours")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return rp_forest.nearest(table(spark, folder, "embeddings"))

@@ -17,7 +17,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import few_rows, stash
+from pagequarry.llm.common import few_rows, row_key, stash
 
 # Alternatives that a derived query may hold before it is given up as "any text".
 MOST_ALTERNATIVES = 64
@@ -105,16 +105,12 @@ def trigram_query(pattern: str) -> list[list[str]] | None:
 
 # ---------------------------------------------------------------- index and candidates
 
-def _key(text: str, id_col: str) -> Column:
-    """Stands for a row in the postings. Rows that share a key only share candidates."""
-    return F.xxhash64(F.col(id_col), F.col(text))
-
-
 def build_index(docs: DataFrame, trigrams: list[str], text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Postings (trigram, key): which texts hold which of ``trigrams``, in lower case."""
+    """Postings (trigram, key): which texts hold which of ``trigrams``, in lower case. Rows that share
+    a key only share candidates."""
     held = F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams])
     return (
-        docs.select(_key(text, id_col).alias("key"), F.lower(F.col(text)).alias("low"))
+        docs.select(row_key(text, id_col).alias("key"), F.lower(F.col(text)).alias("low"))
         .select("key", F.explode(F.array_compact(held)).alias("trigram"))
     )
 
@@ -174,7 +170,7 @@ def scan(
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {kind: q for kind, q in queries.items() if q is not None}
-    asked = source.withColumn("key", _key("text", "doc_id"))
+    asked = source.withColumn("key", row_key())
     if indexed:
         grams = sorted({g for q in indexed.values() for needs in q for g in needs})
         index = stash(build_index(source, grams), "trigram-index")
