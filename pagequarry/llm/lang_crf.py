@@ -86,7 +86,7 @@ class Crf:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         if not words:
-            return np.zeros((0, len(self.languages)), np.float32)
+            return np.zeros((0, self.weights.shape[1]), np.float32)
         hashed, starts = word_features(words)
         return np.add.reduceat(self.weights[hashed], starts, axis=0)
 
@@ -194,7 +194,7 @@ class Labeller:
 
     def _reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.emissions = np.zeros((0, len(self.model.languages)), np.float32)
+        self.emissions = np.zeros((0, self.model.weights.shape[1]), np.float32)
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         if len(self.number) > MOST_WORDS:
@@ -215,7 +215,7 @@ class Labeller:
             words += own
         counts = np.array(counts, np.int64)
         if not words:
-            return np.zeros((0, len(self.model.languages)), np.float32), counts
+            return np.zeros((0, self.model.weights.shape[1]), np.float32), counts
         flat = self._numbers(words)
         chains = -(-counts // CHAIN)
         owner = np.repeat(np.arange(len(texts)), chains)
