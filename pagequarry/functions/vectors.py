@@ -15,61 +15,68 @@ def gram(terms: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
     return dense @ dense.T
 
 
-def _seeds(dist2: np.ndarray, k: int, restarts: int, random: np.random.RandomState) -> np.ndarray:
-    """k-means++ seeds, all restarts at once: (restarts, k) row numbers."""
-    n = len(dist2)
-    chosen = np.empty((restarts, k), dtype=int)
-    chosen[:, 0] = random.randint(n, size=restarts)
+# Distances and costs are compared at this many places, so that sums taken in another order agree.
+PLACES = 9
+
+
+def seeds_of(dist2: np.ndarray, race: np.ndarray, k: int) -> np.ndarray:
+    """k-means++ seeds, all restarts at once: (restarts, k) row numbers.
+
+    ``race`` (rows, restarts, k) has exponential draws; the row whose draw over its squared distance
+    to the seeds so far is least comes next, which picks rows in proportion to that distance.
+    """
+    chosen = np.empty((race.shape[1], k), dtype=int)
+    chosen[:, 0] = race[:, :, 0].argmin(axis=0)
     nearest = dist2[chosen[:, 0]]
     for c in range(1, k):
-        mass = np.cumsum(nearest, axis=1)
-        total = mass[:, -1:]
-        spot = random.random_sample((restarts, 1)) * total
-        pick = np.minimum((mass <= spot).sum(axis=1), n - 1)
-        flat = total[:, 0] <= 0
-        pick[flat] = random.randint(n, size=int(flat.sum()))
-        chosen[:, c] = pick
-        nearest = np.minimum(nearest, dist2[pick])
+        draws, away = race[:, :, c].T, np.round(nearest, PLACES)
+        score = np.where(away > 0, draws / np.where(away > 0, away, 1), np.inf)
+        flat = np.isinf(score).all(axis=1)
+        score[flat] = draws[flat]
+        chosen[:, c] = score.argmin(axis=1)
+        nearest = np.minimum(nearest, dist2[chosen[:, c]])
     return chosen
 
 
-def kmeans(inner: np.ndarray, dist2: np.ndarray, seeds: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Labels of the best restart, from inner products alone; one restart per row of seeds."""
+def refill(labels: np.ndarray, own: np.ndarray, k: int) -> None:
+    """Give each empty cluster a row, in place: the farthest from their centres go, but none that is
+    the nearest of its cluster."""
+    empty = np.setdiff1d(np.arange(k), labels)
+    order = np.lexsort((np.arange(len(labels)), -own))
+    last = {int(labels[i]): int(i) for i in order}
+    stay = set(last.values())
+    for cluster, row in zip(empty, [i for i in order if i not in stay]):
+        labels[row] = cluster
+        own[row] = 0.0
+
+
+def kmeans(inner: np.ndarray, seeds: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, bool]:
+    """Labels of the best restart, from inner products alone, and whether all restarts settled."""
     k = seeds.shape[1]
     diag = np.diag(inner)
-    far = dist2[:, seeds].transpose(1, 0, 2)
-    labels = far.argmin(axis=2)
-    clusters = np.arange(k)
+    rest = diag[seeds][:, None, :] - 2 * inner[:, seeds].transpose(1, 0, 2)
+    clusters, labels, settled = np.arange(k), None, False
     for _ in range(rounds):
+        rest = np.round(rest, PLACES)
+        moved = rest.argmin(axis=2)
+        own = np.round(np.maximum(diag + np.take_along_axis(rest, moved[:, :, None], 2)[:, :, 0], 0), PLACES)
+        for r in range(len(seeds)):
+            if len(np.unique(moved[r])) < k:
+                refill(moved[r], own[r], k)
+        if labels is not None and (moved == labels).all():
+            settled = True
+            break
+        labels = moved
         members = (labels[:, :, None] == clusters).astype(float)
         counts = members.sum(axis=1)
-        if (counts == 0).any():
-            own = np.take_along_axis(far, labels[:, :, None], 2)[:, :, 0]
-            for r, c in zip(*np.nonzero(counts == 0)):
-                # An empty cluster takes the row farthest from its centre, from a cluster of 2+.
-                able = members[r] @ (members[r].sum(axis=0) > 1)
-                row = int(np.where(able > 0, own[r], -1).argmax())
-                members[r, row] = 0
-                members[r, row, c] = 1
-                own[r, row] = 0
-            labels = members.argmax(axis=2)
-            counts = np.maximum(members.sum(axis=1), 1)
         sums = inner @ members
         centre2 = np.einsum("rnk,rnk->rk", members, sums) / counts**2
-        far = diag[None, :, None] - 2 * sums / counts[:, None, :] + centre2[:, None, :]
-        moved = far.argmin(axis=2)
-        # A row leaves its cluster only for a strictly nearer centre.
-        stay = np.take_along_axis(far, labels[:, :, None], 2)[:, :, 0]
-        best = far.min(axis=2)
-        moved = np.where(stay - best > 1e-12, moved, labels)
-        if (moved == labels).all():
-            break
-        labels = moved
-    cost = np.take_along_axis(far, labels[:, :, None], 2)[:, :, 0].sum(axis=1)
-    winner = labels[int(np.round(cost, 12).argmin())]
+        rest = centre2[:, None, :] - 2 * sums / counts[:, None, :]
+    cost = np.round(own.sum(axis=1), PLACES)
+    winner = labels[int(cost.argmin())]
     _names, first = np.unique(winner, return_index=True)
     renumber = {int(winner[i]): rank for rank, i in enumerate(sorted(first))}
-    return np.array([renumber[int(c)] for c in winner])
+    return np.array([renumber[int(c)] for c in winner]), settled
 
 
 def silhouette(dist: np.ndarray, labels: np.ndarray) -> float | None:
@@ -93,8 +100,9 @@ def silhouette_rows(sums: np.ndarray, counts: np.ndarray, codes: np.ndarray) ->
     return np.where((own > 1) & (top > 0), (outer - inner) / np.where(top > 0, top, 1), 0.0)
 
 
-def sweep(inner: np.ndarray, restarts: int = 10, seed: int = 42) -> tuple[np.ndarray, int, float | None, list]:
-    """Labels, k, silhouette and the (k, silhouette) list over k = 2 .. min(10, n) - 1.
+def sweep(inner: np.ndarray, race: np.ndarray) -> tuple[np.ndarray, int, float | None, list, bool]:
+    """Labels, k, silhouette, the (k, silhouette) list over k = 2 .. min(10, n) - 1, and whether all
+    runs settled.
 
     The smallest k wins ties; a k without a silhouette is skipped; without any, k is 2.
     """
@@ -104,19 +112,20 @@ def sweep(inner: np.ndarray, restarts: int = 10, seed: int = 42) -> tuple[np.nda
     np.fill_diagonal(dist2, 0)
     dist = np.sqrt(dist2)
     # Seeding is incremental: the first k of a longer draw are the draw for k.
-    seeds = _seeds(dist2, max(min(10, n) - 1, 2), restarts, np.random.RandomState(seed))
-    best_k, best, seen, chosen = 2, -1.0, [], None
+    seeds = seeds_of(dist2, race, max(min(10, n) - 1, 2))
+    best_k, best, seen, chosen, all_settled = 2, -2.0, [], None, True
     for k in range(2, min(10, n)):
-        labels = kmeans(inner, dist2, seeds[:, :k])
+        labels, settled = kmeans(inner, seeds[:, :k])
+        all_settled &= settled
         score = silhouette(dist, labels)
+        if chosen is None:
+            chosen = labels
         if score is None:
             continue
         seen.append((k, score))
-        if score > best:
-            best_k, best, chosen = k, score, labels
-    if chosen is None:
-        chosen = kmeans(inner, dist2, seeds[:, :best_k])
-    return chosen, best_k, best if best > -1 else None, seen
+        if round(score, PLACES) > best:
+            best_k, best, chosen = k, round(score, PLACES), labels
+    return chosen, best_k, dict(seen).get(best_k), seen, all_settled
 
 
 def nearest(questions: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import vectors
@@ -16,10 +16,20 @@ from pagequarry.operators.keys import Keys, top_n
 from pagequarry.session import cut
 
 RUN = ["k", "restart"]
+# Seeds that a restart draws: as many as the largest k has clusters.
+DRAWS = 9
+PLACES = vectors.PLACES
 
 
-def sweep(rows: DataFrame, by: Keys, restarts: int, seed: int, rounds: int = 30, block: int = 512) -> DataFrame:
-    """Same output as the in-task sweep, for pages of three segments or more."""
+def race(restarts: int, seed: int) -> Column:
+    """Exponential draws of a row, one per restart and seed, from hashes of its place."""
+    top = float(1 << 52)
+    spot = lambda i: F.pmod(F.xxhash64("pos", i, F.lit(seed)), F.lit(1 << 52)) + 1
+    return F.transform(F.sequence(F.lit(0), F.lit(restarts * DRAWS - 1)), lambda i: -F.log(spot(i) / top))
+
+
+def sweep(rows: DataFrame, by: Keys, restarts: int, seed: int, rounds: int = 300, block: int = 512) -> DataFrame:
+    """Same output as the in-task sweep, by the same steps."""
     keys = list(by)
     points = cut(rows)
     sizes = points.groupBy(*by).agg(
@@ -29,72 +39,162 @@ def sweep(rows: DataFrame, by: Keys, restarts: int, seed: int, rounds: int = 30,
     usable = sizes.where("n >= 3 AND has_terms").select(*by, "n")
     labels = cut(_lloyd(points.join(usable, keys), by, restarts, seed, rounds))
     scores = cut(_scores(points, labels, by, block))
-    best = scores.where("silhouette IS NOT NULL").groupBy(*by).agg(
-        F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("optimal_k"),
-        F.max("silhouette").alias("silhouette"),
-        F.sort_array(F.collect_list(F.struct("k", "silhouette"))).alias("sweep"),
+    settled = labels.groupBy(*by).agg(F.bool_and("converged").alias("converged"))
+    chosen = usable.select(*by).join(settled, keys).join(best_k(scores, by), keys, "left").withColumn(
+        "optimal_k", F.coalesce("optimal_k", F.lit(2))
     )
-    chosen = usable.select(*by).join(best, keys, "left").withColumn("optimal_k", F.coalesce("optimal_k", F.lit(2)))
-    found = labels.join(chosen, keys).where("k = optimal_k")
+    found = labels.drop("converged").join(chosen, keys).where("k = optimal_k")
     none = F.array().cast("array<struct<k:int,silhouette:double>>")
     one = points.join(plain, keys, "left_semi").select(
         *by, "pos", F.lit(0).alias("cluster"), F.lit(1).alias("optimal_k"),
-        F.lit(None).cast("double").alias("silhouette"), none.alias("sweep"),
+        F.lit(None).cast("double").alias("silhouette"), none.alias("sweep"), F.lit(True).alias("converged"),
     )
     return found.select(
-        *by, "pos", "cluster", "optimal_k", "silhouette", F.coalesce("sweep", none).alias("sweep")
+        *by, "pos", "cluster", "optimal_k", "silhouette", F.coalesce("sweep", none).alias("sweep"), "converged"
     ).unionByName(one)
 
 
-def _lloyd(points: DataFrame, by: Keys, restarts: int, seed: int, rounds: int) -> DataFrame:
-    """(page, pos, k, cluster) of the cheapest restart per k."""
+def best_k(scores: DataFrame, by: Keys) -> DataFrame:
+    """(page, optimal_k, silhouette, sweep): the largest silhouette wins, the smallest k of equals."""
+    best = scores.where("silhouette IS NOT NULL").groupBy(*by).agg(
+        F.max_by(F.struct("k", "silhouette"), F.struct(F.round("silhouette", PLACES), -F.col("k"))).alias("best"),
+        F.sort_array(F.collect_list(F.struct("k", "silhouette"))).alias("sweep"),
+    )
+    return best.select(*by, F.col("best.k").alias("optimal_k"), "best.silhouette", "sweep")
+
+
+def _seeds(norms: DataFrame, terms: DataFrame, by: Keys, restarts: int) -> DataFrame:
+    """(page, restart, draw, pos): seeds drawn one after the other, all pages and restarts at once."""
+    keys = [*by, "restart"]
+    near = cut(
+        norms.select(*by, "pos", "norm2", "race", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
+        .withColumn("draws", F.slice("race", F.col("restart") * DRAWS + 1, F.lit(DRAWS)))
+        .select(*keys, "pos", "norm2", "draws", F.lit(None).cast("double").alias("d2"))
+    )
+    found = None
+    for draw in range(DRAWS):
+        spin = F.get("draws", F.lit(draw))
+        away = F.round("d2", PLACES)
+        # Rows on a seed can't win, unless there are no others.
+        place = F.struct(
+            F.coalesce(away <= 0, F.lit(False)).alias("on_seed"),
+            F.when(away > 0, spin / away).otherwise(spin).alias("score"), "pos",
+        )
+        picked = near.groupBy(*keys).agg(F.min(place).alias("p")).select(*keys, F.col("p.pos").alias("pos"))
+        told = picked.withColumn("draw", F.lit(draw))
+        found = told if found is None else found.unionByName(told)
+        if draw + 1 == DRAWS:
+            break
+        own = picked.join(norms.select(*by, "pos", F.col("norm2").alias("s2")), [*by, "pos"]).select(*keys, "s2")
+        spelled = picked.join(terms, [*by, "pos"]).select(*keys, "term", F.col("w").alias("sw"))
+        dots = terms.join(spelled, [*by, "term"]).groupBy(*keys, "pos").agg(F.sum(F.col("w") * F.col("sw")).alias("dot"))
+        new = F.greatest(F.lit(0.0), F.col("norm2") + F.col("s2") - 2 * F.coalesce("dot", F.lit(0.0)))
+        new = F.when(F.col("pos") == F.col("seed"), 0.0).otherwise(new)
+        near = cut(
+            near.join(own.join(picked.withColumnRenamed("pos", "seed"), keys), keys)
+            .join(dots, [*keys, "pos"], "left")
+            .select(*keys, "pos", "norm2", "draws", F.least(F.coalesce("d2", new), new).alias("d2"))
+        )
+    return found
+
+
+def _refilled(assigned: DataFrame, by: Keys) -> DataFrame:
+    """Give each empty cluster a row: the farthest from their centres go, but none that is the
+    nearest of its cluster."""
     keys = [*by, *RUN]
-    terms = points.select(*by, "pos", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("ws").alias("w"))))
-    norms = points.select(
-        *by, "pos", "n", F.aggregate("ws", F.lit(0.0), lambda a, w: a + w * w).alias("norm2")
+    full = assigned.groupBy(*keys).agg(F.collect_set("cluster").alias("held")).where(F.size("held") < F.col("k"))
+    if full.isEmpty():
+        return assigned
+    order = F.struct(F.col("dist2").alias("d"), (-F.col("pos")).alias("p"))
+    held = assigned.groupBy(*keys, "cluster").agg(F.min(order).alias("stay"))
+    empty = full.select(
+        *keys, F.posexplode(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda c: ~F.array_contains("held", c))).alias("i", "new")
+    ).select(*keys, (F.col("i") + 1).alias("nth"), "new")
+    open_runs = empty.select(*keys).distinct()
+    able = (
+        assigned.join(open_runs, keys, "left_semi").join(held, [*keys, "cluster"])
+        .where(F.col("pos") != -F.col("stay.p"))
     )
-    # Seeds: per restart the rows of lowest hash, the first k of them for each k.
-    drawn = norms.select(*by, "pos", "n", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
-    drawn = top_n(
-        drawn, [*by, "restart"], [F.xxhash64("pos", "restart", F.lit(seed)), F.col("pos")], 9, "draw"
+    moved = top_n(able.select(*keys, "pos", "dist2"), keys, [F.col("dist2").desc(), F.col("pos")], DRAWS, "nth")
+    moved = moved.join(empty, [*keys, "nth"]).select(*keys, "pos", "new")
+    return cut(assigned.join(moved, [*keys, "pos"], "left").select(
+        *keys, "pos", F.coalesce("new", "cluster").alias("cluster"),
+        F.when(F.col("new").isNull(), F.col("dist2")).otherwise(0.0).alias("dist2"),
+    ))
+
+
+def _lloyd(points: DataFrame, by: Keys, restarts: int, seed: int, rounds: int) -> DataFrame:
+    """(page, pos, k, cluster, converged) of the cheapest restart per k. Runs that have settled leave
+    the loop."""
+    keys = [*by, *RUN]
+    terms = cut(
+        points.select(*by, "pos", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("ws").alias("w"))))
     )
+    norms = cut(points.select(
+        *by, "pos", "n", F.aggregate("ws", F.lit(0.0), lambda a, w: a + w * w).alias("norm2"),
+        race(restarts, seed).alias("race"),
+    ))
+    drawn = _seeds(norms, terms, by, restarts).join(norms.select(*by, "pos", "n"), [*by, "pos"])
     ks = F.filter(
-        F.sequence(F.lit(2), F.lit(9)), lambda k: (k >= F.col("draw")) & (k < F.least(F.lit(10), F.col("n")))
+        F.sequence(F.lit(2), F.lit(9)), lambda k: (k > F.col("draw")) & (k < F.least(F.lit(10), F.col("n")))
     )
-    seeds = drawn.select(*by, "pos", "restart", (F.col("draw") - 1).alias("cluster"), F.explode(ks).alias("k"))
+    seeds = drawn.select(*by, "pos", "restart", F.col("draw").alias("cluster"), F.explode(ks).alias("k"))
+    norms = norms.drop("race")
     centres = cut(
         seeds.join(terms, [*by, "pos"]).select(*keys, "cluster", "term", "w")
     )
-    sizes = cut(seeds.join(norms, [*by, "pos"]).select(*keys, "cluster", F.col("norm2").alias("c2")))
-    previous, assigned = None, None
-    for _ in range(rounds):
-        assigned = cut(_assign(terms, norms, centres, sizes, by))
-        if previous is not None:
-            changed = assigned.join(previous, [*keys, "pos", "cluster"], "left_anti")
-            if changed.isEmpty():
-                break
-        previous = assigned.select(*keys, "pos", "cluster")
+    sizes = seeds.join(norms, [*by, "pos"]).select(*keys, "cluster", F.col("norm2").alias("c2"))
+    done, marks = [], None
+    for turn in range(rounds):
+        assigned = _refilled(cut(_assign(terms, norms, centres, sizes, by)), by)
+        # Labels are compared by a 128-bit digest of each run.
+        now = cut(assigned.groupBy(*keys).agg(
+            F.bit_xor(F.xxhash64("pos", "cluster")).alias("m1"),
+            F.bit_xor(F.xxhash64(F.lit(7), "cluster", "pos")).alias("m2"),
+        ))
+        last = turn + 1 == rounds
+        if marks is not None:
+            same = now.join(marks, [*keys, "m1", "m2"], "left_semi").select(*keys)
+            stop = now.select(*keys) if last else same
+            flags = stop.join(same.withColumn("converged", F.lit(True)), keys, "left").withColumn(
+                "converged", F.coalesce("converged", F.lit(False))
+            )
+            done.append(assigned.join(flags, keys))
+            now = cut(now.join(stop, keys, "left_anti"))
+            assigned = assigned.join(now.select(*keys), keys, "left_semi")
+        if last or now.isEmpty():
+            break
+        marks = now
         counts = assigned.groupBy(*keys, "cluster").agg(F.count("*").alias("size"))
         sums = (
             assigned.select(*keys, "pos", "cluster").join(terms, [*by, "pos"])
             .groupBy(*keys, "cluster", "term").agg(F.sum("w").alias("total"))
         )
-        moved = sums.join(counts, [*keys, "cluster"]).select(
+        centres = cut(sums.join(counts, [*keys, "cluster"]).select(
             *keys, "cluster", "term", (F.col("total") / F.col("size")).alias("w")
-        )
-        # A centre that lost every row stays where it was.
-        centres = cut(
-            moved.unionByName(centres.join(counts, [*keys, "cluster"], "left_anti").select(*moved.columns))
-        )
+        ))
         filled = centres.groupBy(*keys, "cluster").agg(F.sum(F.col("w") * F.col("w")).alias("c2"))
-        sizes = cut(
-            sizes.select(*keys, "cluster").join(filled, [*keys, "cluster"], "left").select(
-                *keys, "cluster", F.coalesce("c2", F.lit(0.0)).alias("c2")
-            )
+        sizes = counts.join(filled, [*keys, "cluster"], "left").select(
+            *keys, "cluster", F.coalesce("c2", F.lit(0.0)).alias("c2")
         )
-    cost = assigned.groupBy(*keys).agg(F.round(F.sum("dist2"), 9).alias("cost"))
+    ended = done[0]
+    for part in done[1:]:
+        ended = ended.unionByName(part)
+    ended = cut(ended)
+    cost = ended.groupBy(*keys).agg(F.round(F.sum("dist2"), PLACES).alias("cost"))
     best = cost.groupBy(*by, "k").agg(F.min_by("restart", F.struct("cost", "restart")).alias("restart"))
-    return assigned.join(best, keys).select(*by, "pos", "k", "cluster")
+    # Whether a page settled counts all of its runs.
+    settled = ended.groupBy(*by).agg(F.bool_and("converged").alias("converged"))
+    found = cut(ended.drop("converged").join(best, keys).select(*by, "pos", "k", "cluster"))
+    # Clusters are numbered by their first rows; there are nine at most.
+    firsts = found.groupBy(*by, "k", "cluster").agg(F.min("pos").alias("at"))
+    numbered = firsts.groupBy(*by, "k").agg(F.array_sort(F.collect_list(F.struct("at", "cluster"))).alias("o"))
+    numbered = numbered.select(*by, "k", F.posexplode("o").alias("nth", "c")).select(
+        *by, "k", F.col("c.cluster").alias("cluster"), "nth"
+    )
+    return found.join(numbered, [*by, "k", "cluster"]).join(settled, list(by)).select(
+        *by, "pos", "k", F.col("nth").alias("cluster"), "converged"
+    )
 
 
 def _assign(terms: DataFrame, norms: DataFrame, centres: DataFrame, sizes: DataFrame, by: Keys) -> DataFrame:
@@ -106,11 +206,11 @@ def _assign(terms: DataFrame, norms: DataFrame, centres: DataFrame, sizes: DataF
         .join(sizes, [*keys, "cluster"])
     )
     touched = dots.groupBy(*keys, "pos").agg(
-        F.min(F.struct(F.round(F.col("c2") - 2 * F.col("dot"), 12).alias("rest"), "cluster")).alias("near")
+        F.min(F.struct(F.round(F.col("c2") - 2 * F.col("dot"), PLACES).alias("rest"), "cluster")).alias("near")
     )
     # Without a shared term the distance is norm + centre norm: only the shortest centre can win.
     shortest = sizes.groupBy(*keys).agg(
-        F.min(F.struct(F.round("c2", 12).alias("rest"), "cluster")).alias("short")
+        F.min(F.struct(F.round("c2", PLACES).alias("rest"), "cluster")).alias("short")
     )
     every = norms.join(shortest, list(by)).select(*keys, "pos", "norm2", "short")
     nearest = F.least(F.coalesce("near", "short"), F.col("short"))
@@ -119,7 +219,7 @@ def _assign(terms: DataFrame, norms: DataFrame, centres: DataFrame, sizes: DataF
         .withColumn("best", nearest)
         .select(
             *keys, "pos", F.col("best.cluster").cast("int").alias("cluster"),
-            F.greatest(F.lit(0.0), F.col("norm2") + F.col("best.rest")).alias("dist2"),
+            F.round(F.greatest(F.lit(0.0), F.col("norm2") + F.col("best.rest")), PLACES).alias("dist2"),
         )
     )
 

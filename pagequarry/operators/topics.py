@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +34,12 @@ def term_vectors(cleaned: DataFrame, weighted: DataFrame, by: Keys) -> DataFrame
 def topics(
     cleaned: DataFrame, weighted: DataFrame, by: Keys, restarts: int = 10, seed: int = 42, limit: int = 512
 ) -> DataFrame:
-    """(page, pos, cluster, optimal_k, silhouette, sweep) for every segment.
+    """(page, pos, cluster, optimal_k, silhouette, sweep, converged) for every segment.
 
     Pages of fewer than three segments, or without any term, are one cluster with k = 1. Pages up
-    to ``limit`` lines are swept whole in a task; larger ones by distributed k-means.
+    to ``limit`` lines are swept whole in a task, larger ones by joins and aggregates: the same
+    seeds, assignments, refills, numbering and choice of k, so the limit decides where a page is
+    worked on and nothing else.
     """
     rows = term_vectors(cleaned, weighted, by)
     small = _small(rows.where(F.col("n_lines") <= limit), by, restarts, seed)
@@ -48,27 +51,30 @@ def topics(
 
 def _small(rows: DataFrame, by: Keys, restarts: int, seed: int) -> DataFrame:
     """Pages of bounded size: a page is one row of arrays, and many pages share an Arrow batch."""
-    pages = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "terms", "ws"))).alias("_rows"))
+    drawn = rows.withColumn("race", spread_kmeans.race(restarts, seed))
+    pages = drawn.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "terms", "ws", "race"))).alias("_rows"))
 
-    @F.pandas_udf(f"labels array<int>, optimal_k int, silhouette double, sweep {SWEEP}")
-    def sweep_pages(terms: pd.Series, ws: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(f"labels array<int>, optimal_k int, silhouette double, sweep {SWEEP}, converged boolean")
+    def sweep_pages(terms: pd.Series, ws: pd.Series, races: pd.Series) -> pd.DataFrame:
         out = []
-        for page_terms, page_ws in zip(terms, ws):
+        for page_terms, page_ws, page_race in zip(terms, ws, races):
             n = len(page_terms)
             if n < 3 or not any(len(t) for t in page_terms):
-                out.append(([0] * n, 1, None, []))
+                out.append(([0] * n, 1, None, [], True))
                 continue
             inner = vectors.gram(list(page_terms), list(page_ws))
-            labels, k, score, seen = vectors.sweep(inner, restarts, seed)
-            out.append((labels.tolist(), k, score, [{"k": a, "silhouette": b} for a, b in seen]))
-        frame = pd.DataFrame(out, columns=["labels", "optimal_k", "silhouette", "sweep"])
+            draws = np.stack(list(page_race)).reshape(n, restarts, spread_kmeans.DRAWS)
+            labels, k, score, seen, settled = vectors.sweep(inner, draws)
+            out.append((labels.tolist(), k, score, [{"k": a, "silhouette": b} for a, b in seen], settled))
+        frame = pd.DataFrame(out, columns=["labels", "optimal_k", "silhouette", "sweep", "converged"])
         return frame.astype({"silhouette": "float64"})
 
-    swept = pages.withColumn("_s", sweep_pages("_rows.terms", "_rows.ws"))
+    swept = pages.withColumn("_s", sweep_pages("_rows.terms", "_rows.ws", "_rows.race"))
     labelled = F.arrays_zip(F.col("_rows.pos").alias("pos"), F.col("_s.labels").alias("cluster"))
     return swept.select(
-        *by, "_s.optimal_k", F.nanvl("_s.silhouette", F.lit(None).cast("double")).alias("silhouette"), "_s.sweep", F.inline(labelled)
-    ).select(*by, "pos", "cluster", "optimal_k", "silhouette", "sweep")
+        *by, "_s.optimal_k", F.nanvl("_s.silhouette", F.lit(None).cast("double")).alias("silhouette"), "_s.sweep",
+        "_s.converged", F.inline(labelled),
+    ).select(*by, "pos", "cluster", "optimal_k", "silhouette", "sweep", "converged")
 
 
 def sweep_log(labelled: DataFrame, by: Keys) -> DataFrame:

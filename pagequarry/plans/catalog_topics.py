@@ -11,6 +11,7 @@ from pagequarry.operators import html as E
 from pagequarry.operators import neardup as ND
 from pagequarry.operators import retrieve as R
 from pagequarry.operators import silhouette as V
+from pagequarry.operators import spread_kmeans as SK
 from pagequarry.operators import terms as W
 from pagequarry.operators import topics as K
 from pagequarry.plans.catalog import (
@@ -159,6 +160,40 @@ def _(spark, folder):
     return near.select("vec_id", "nearest", F.round("dist", 6).alias("dist"))
 
 
+@register(
+    "lloyd_step", "K2 K3",
+    f"""WITH {SQL_CENTRES}, s AS (SELECT vec_id, c, sum((x - m) ** 2) AS d2 FROM dims JOIN cen USING (d) GROUP BY ALL),
+    a AS (SELECT vec_id, arg_min(c, d2) AS cluster FROM s GROUP BY 1)
+    SELECT cluster, d - 1 AS dim, round(avg(x), 6) AS centre, count(*) AS size FROM dims JOIN a USING (vec_id) GROUP BY ALL""",
+)
+def _(spark, folder):
+    # One step of k-means from given centres: every vector to its nearest one, then the new means.
+    rows = labelled_vectors(spark, folder)
+    near = V.assign(rows, V.centroids(rows, ["scope"]), ["scope"])
+    moved = V.centroids(near.select("scope", F.col("nearest").alias("cluster"), "embedding"), ["scope"])
+    return moved.select("cluster", "size", F.posexplode("centre").alias("dim", "x")).select(
+        "cluster", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("centre"), "size"
+    )
+
+
+@register(
+    "best_k", "K5 K6",
+    f"""WITH {SQL_LINES}, t AS (SELECT doc_id, (pos + 2)::INTEGER AS k, CASE WHEN length(text) % 6 > 0 THEN (length(text) % 6) / 10 END AS s
+        FROM seg WHERE pos < 8)
+    SELECT doc_id, arg_min(k, {{'a': -s, 'k': k}}) AS optimal_k, round(max(s)::DOUBLE, 6) AS silhouette, count(*)::INTEGER AS tried
+    FROM t WHERE s IS NOT NULL GROUP BY 1""",
+)
+def _(spark, folder):
+    # Given scores of every k, with ties and with none: the choice is what is checked here.
+    size = F.length("text") % 6
+    scores = lines(spark, folder).where("pos < 8").select(
+        "doc_id", (F.col("pos") + 2).cast("int").alias("k"), F.when(size > 0, size / 10).alias("silhouette")
+    )
+    return SK.best_k(scores, DOC).select(
+        "doc_id", "optimal_k", F.round("silhouette", 6).alias("silhouette"), F.size("sweep").alias("tried")
+    )
+
+
 @register(
     "silhouette", "K4",
     """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),

@@ -94,11 +94,19 @@ def silhouette_by_hand(rows, labels):
 def test_sweep_invariants():
     rng = np.random.RandomState(3)
     rows = np.vstack([rng.normal(c, 0.1, (7, 4)) for c in (0, 3, 6)])
-    labels, k, score, seen = vectors.sweep(rows @ rows.T)
+    race = rng.exponential(size=(21, 10, SK.DRAWS))
+    labels, k, score, seen, settled = vectors.sweep(rows @ rows.T, race)
+    assert settled
     assert k == 3 and len(set(labels)) == 3 and [a for a, _s in seen] == list(range(2, 10))
     assert math.isclose(score, silhouette_by_hand(rows, labels.tolist()), abs_tol=1e-6)
     same = np.ones((4, 4))
-    assert vectors.sweep(same)[1] == 2
+    assert vectors.sweep(same, race[:4])[1] == 2
+
+
+def test_empty_clusters_take_the_farthest_rows():
+    labels, own = np.array([0, 0, 0, 0, 3, 3]), np.array([0.5, 0.1, 0.9, 0.9, 0.2, 0.7])
+    vectors.refill(labels, own, 4)
+    assert labels.tolist() == [0, 0, 1, 2, 3, 3] and own.tolist() == [0.5, 0.1, 0.0, 0.0, 0.2, 0.7]
 
 
 def big_page(rng, n=60):
@@ -112,7 +120,7 @@ def test_large_pages_by_joins(segments):
     pages = {"big": big_page(rng), "blank": ["the of and to in", "and the of it is", "it is to the of"] * 20}
     cleaned, _vocab, wt = prepared(segments(pages))
     rows = K.term_vectors(cleaned, wt, URL)
-    found = SK.sweep(rows, URL, restarts=3, seed=42, block=16).collect()
+    found = SK.sweep(rows, URL, restarts=2, seed=42, block=16).collect()
     big = sorted((r for r in found if r.url == "big"), key=lambda r: r.pos)
     assert len(big) == 60 and len({r.pos for r in big}) == 60
     assert big[0].optimal_k == max(big[0].sweep, key=lambda s: (s.silhouette, -s.k)).k
@@ -124,12 +132,24 @@ def test_large_pages_by_joins(segments):
     assert blank and all(r.optimal_k == 1 and r.cluster == 0 for r in blank)
 
 
-def test_large_and_small_meet_in_one_table(segments):
-    pages = {"big": big_page(random.Random(1), 24), **TWO}
+def test_the_limit_decides_nothing_but_the_place(segments):
+    """Every page by joins, and every page in a task: the same topics."""
+    rng = random.Random(8)
+    noise = [" ".join(f"w{rng.randint(0, 40)}x" for _ in range(5)) for _ in range(12)]
+    equal = ["alpha beta gamma delta"] * 2 + [f"alpha beta gamma {x}" for x in ("delta beta", "one", "two", "three")]
+    pages = {"big": big_page(random.Random(1), 20), "noise": noise, "equal": equal, "none": ["of the and to", "in is it on as"] * 3, **TWO}
     cleaned, _vocab, wt = prepared(segments(pages))
-    found = K.topics(cleaned, wt, URL, restarts=2, limit=10)
-    assert found.groupBy("url", "pos").count().where("count > 1").count() == 0
-    assert found.count() == cleaned.count()
+
+    def told(limit):
+        return {
+            (r.url, r.pos): (r.cluster, r.optimal_k, r.silhouette and round(r.silhouette, 9),
+                             tuple((x.k, round(x.silhouette, 9)) for x in r.sweep), r.converged)
+            for r in K.topics(cleaned, wt, URL, restarts=2, limit=limit).collect()
+        }
+
+    by_joins, in_tasks = told(0), told(10**9)
+    assert by_joins == in_tasks and len(in_tasks) == cleaned.count()
+    assert all(v[4] for v in in_tasks.values())
 
 
 def picks_by_hand(texts, scores, measure):
