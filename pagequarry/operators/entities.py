@@ -9,6 +9,7 @@ from pagequarry.functions.fixed import LABEL_CATEGORY
 from pagequarry.operators.keys import Keys, computed, joined_text, small_side, top_n
 
 DOC_CHARS = 1_000_000
+TOKEN = r"[\p{L}\p{N}]+"
 SENTENCE = r"[^.!?]+[.!?]*"
 PATTERNS = {
     "DATE": r"\b(?:19|20)[0-9]{2}(?:-[0-9]{2}-[0-9]{2})?\b",
@@ -16,9 +17,9 @@ PATTERNS = {
 }
 
 
-def documents(segments: DataFrame, by: Keys, text: str = "text", min_len: int = 6) -> DataFrame:
-    """Non-null texts of a page joined by a space, cut at a million characters."""
-    return joined_text(segments.where(F.col(text).isNotNull()), by, text, " ", DOC_CHARS, min_len)
+def documents(segments: DataFrame, by: Keys, text: str = "text", max_chars: int | None = None) -> DataFrame:
+    """Non-null texts of a page joined by a space, whole unless a cut is asked for."""
+    return joined_text(segments.where(F.col(text).isNotNull()), by, text, " ", max_chars)
 
 
 def sentences(docs: DataFrame, by: Keys) -> DataFrame:
@@ -43,33 +44,71 @@ def category_of(label: Column) -> Column:
     return category
 
 
+def _one_space(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def known_names(gazetteer: DataFrame) -> DataFrame:
+    """(key, size, name, label): names by the sequence of their tokens; blanks are one space, and
+    what stands before the first and after the last token is left out."""
+    inner = F.regexp_replace(_one_space(F.col("term")), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    tokens = F.regexp_extract_all("name", F.lit(TOKEN), F.lit(0))
+    return (
+        gazetteer.select(inner.alias("name"), "label")
+        .where("name <> ''")
+        .groupBy("name").agg(F.min("label").alias("label"))
+        .select(F.array_join(tokens, " ").alias("key"), F.size(tokens).alias("size"), "name", "label")
+    )
+
+
+def _pattern_hits(label: str, pattern: str) -> str:
+    """Matches with their places, from the pieces that the pattern cuts the text into."""
+    found, between = f"regexp_extract_all(text, r'{pattern}', 0)", f"split(text, r'{pattern}', -1)"
+    return (
+        f"transform({found}, (m, j) -> named_struct('name', m, 'label', '{label}', 'at', CAST(1 + "
+        f"length(array_join(slice({between}, 1, j + 1), '')) + length(array_join(slice({found}, 1, j), '')) AS BIGINT)))"
+    )
+
+
 def tagged(split: DataFrame, gazetteer: DataFrame, by: Keys, capitals: bool = True) -> DataFrame:
-    """(page, sentence, name, label, at): gazetteer names of one to three words, plus patterns.
+    """(page, sentence, name, label, at): gazetteer names of any number of words, plus patterns.
 
-    With ``capitals`` a name must start with a capital letter in the text. Names inside a longer name at the same place are dropped: a longer match marks the shorter
-    places it covers, and one aggregate settles each place.
+    A name matches where the text has its tokens with the same signs between them; any blanks,
+    line ends too, count as one space. ``at`` is the place of the first token. With ``capitals`` a
+    name must start with a capital letter in the text. Names inside a longer name at the same place
+    are dropped: a longer match marks the shorter places it covers, and one aggregate settles each
+    place.
     """
-    words = split.select(
-        *by, "sentence", "text", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("_w")
-    )
+    known = known_names(gazetteer)
+    # Distinct numbers of words in a name: a handful, whatever the gazetteer holds.
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect()) or [1]
+    words = split.select(*by, "sentence", "text", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("_w"))
     starts = "transform(_w, (w, i) -> i)"
     if capitals:
         starts = f"filter({starts}, i -> get(_w, i) rlike r'^\\p{{Lu}}')"
+    lengths = f"array({', '.join(map(str, sizes))})"
     grams = F.expr(
-        f"flatten(transform({starts}, i -> array("
-        "named_struct('i', i, 'n', 1, 'name', get(_w, i)), "
-        "named_struct('i', i, 'n', 2, 'name', get(_w, i) || ' ' || get(_w, i + 1)), "
-        "named_struct('i', i, 'n', 3, 'name', get(_w, i) || ' ' || get(_w, i + 1) || ' ' || get(_w, i + 2)))))"
+        f"flatten(transform({starts}, i -> transform(filter({lengths}, n -> i + n <= size(_w)), "
+        "n -> named_struct('i', i, 'n', n, 'key', array_join(slice(_w, i + 1, n), ' ')))))"
     )
     places = words.select(*by, "sentence", "text", F.inline(grams))
-    known = gazetteer.groupBy(F.col("term").alias("name")).agg(F.min("label").alias("label"))
-    found = places.join(small_side(known), "name")
-    # The position is worked out for hits only, after the join.
-    hits = computed(found, at=F.position("name", "text").cast("bigint")).drop("text").where("at > 0")
+    found = places.join(small_side(known.drop("size")), "key")
+    # Places and spellings are worked out for hits only, after the join.
+    tokens, gaps = f"regexp_extract_all(text, r'{TOKEN}', 0)", f"split(text, r'{TOKEN}', -1)"
+    placed = computed(
+        found,
+        at=F.expr(
+            f"CAST(1 + length(array_join(slice({gaps}, 1, i + 1), '')) + length(array_join(slice({tokens}, 1, i), '')) AS BIGINT)"
+        ),
+        span=F.expr(
+            f"length(array_join(slice({tokens}, i + 1, n), '')) + length(array_join(slice({gaps}, i + 2, n - 1), ''))"
+        ),
+    )
+    spelled = _one_space(F.substring(F.col("text"), F.col("at").cast("int"), F.col("span")))
+    hits = placed.where(spelled == F.col("name")).drop("text", "key", "span")
     covered = F.expr(
-        "filter(array(named_struct('i', i, 'n', n), named_struct('i', i, 'n', n - 1), "
-        "named_struct('i', i + 1, 'n', n - 1), named_struct('i', i, 'n', n - 2), "
-        "named_struct('i', i + 1, 'n', n - 2), named_struct('i', i + 2, 'n', n - 2)), s -> s.n > 0)"
+        f"flatten(transform(sequence(i, i + n - 1), s -> transform(filter({lengths}, m -> s + m <= i + n), "
+        "m -> named_struct('i', s, 'n', m))))"
     )
     spots = hits.select(*by, "sentence", "i", "n", "name", "label", "at", F.explode(covered).alias("_spot"))
     own = (F.col("_spot.i") == F.col("i")) & (F.col("_spot.n") == F.col("n"))
@@ -78,19 +117,10 @@ def tagged(split: DataFrame, gazetteer: DataFrame, by: Keys, capitals: bool = Tr
         F.max(F.when(own, F.struct("name", "label", "at"))).alias("hit"),
     )
     names = settled.where("free").select(*by, "sentence", "hit.name", "hit.label", "hit.at")
-    found = F.array(
-        *[
-            F.expr(
-                f"transform(regexp_extract_all(text, r'{pattern}', 0), "
-                f"m -> named_struct('name', m, 'label', '{label}'))"
-            )
-            for label, pattern in PATTERNS.items()
-        ]
-    )
-    patterned = split.select(*by, "sentence", "text", F.inline(F.flatten(found))).select(
-        *by, "sentence", "name", "label", F.position("name", "text").cast("bigint").alias("at")
-    )
-    return names.unionByName(patterned)
+    patterned = split.select(
+        *by, "sentence", F.inline(F.flatten(F.array(*[F.expr(_pattern_hits(k, v)) for k, v in PATTERNS.items()])))
+    )
+    return names.unionByName(patterned.select(*names.columns))
 
 
 def mentions(tags: DataFrame, by: Keys) -> DataFrame:

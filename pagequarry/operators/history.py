@@ -53,17 +53,20 @@ def by_id(history: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def listing(history: DataFrame) -> DataFrame:
-    """A user's history, newest first, with the shown date."""
-    return history.select(
+    """A user's history, newest first, with the shown date; users stay apart, so that no order over
+    all of them is made."""
+    shown = history.select(
         "user_id", "id", "url", "total_items", F.date_format(F.col("ts").cast("timestamp"), "MMMM dd, yyyy 'at' hh:mm a").alias("shown"), "ts"
-    ).orderBy("user_id", F.col("ts").desc(), F.col("id").desc())
+    )
+    return shown.repartition("user_id").sortWithinPartitions("user_id", F.col("ts").desc(), F.col("id").desc())
 
 
 def series(history: DataFrame) -> DataFrame:
     """Points per (user, url) in time order: label and mean subjectivity."""
-    return history.select(
+    points = history.select(
         "user_id", "url", "id", "ts", F.date_format(F.col("ts").cast("timestamp"), "MM-dd HH:mm").alias("label"), "avg_subjectivity"
-    ).orderBy("user_id", "url", "ts", "id")
+    )
+    return points.repartition("user_id", "url").sortWithinPartitions("user_id", "url", "ts", "id")
 
 
 def with_subscribed(rows: DataFrame, subs: DataFrame) -> DataFrame:
@@ -75,8 +78,9 @@ def with_subscribed(rows: DataFrame, subs: DataFrame) -> DataFrame:
 
 
 def new_users(users: DataFrame, logins: DataFrame) -> DataFrame:
-    """(email, name) to add: first login of every address that is not known yet."""
-    first = logins.groupBy("email").agg(F.min_by("name", "ts").alias("name"))
+    """(email, name) to add: first login of every address that is not known yet; of equal times, the
+    lower id."""
+    first = logins.groupBy("email").agg(F.min_by("name", F.struct("ts", "id")).alias("name"))
     return first.join(users, "email", "left_anti")
 
 
@@ -92,5 +96,8 @@ def segment_counts(segments: DataFrame, by: Keys) -> DataFrame:
 
 
 def latest_value(rows: DataFrame, by: Keys, value: str, ts: str = "ts") -> DataFrame:
-    """The last value per key; last write wins."""
-    return rows.groupBy(*by).agg(F.max_by(value, ts).alias(value), F.max(ts).alias(ts))
+    """The last value per key; last write wins, of equal times the greater value."""
+    last = F.max(F.struct(F.col(ts).alias("ts"), F.col(value).alias("value")))
+    return rows.groupBy(*by).agg(last.alias("_last")).select(
+        *by, F.col("_last.value").alias(value), F.col("_last.ts").alias(ts)
+    )

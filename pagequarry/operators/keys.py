@@ -51,30 +51,26 @@ def first_rows(df: DataFrame, by: Keys, same: Keys, pos: str = "pos") -> DataFra
 
 
 def joined_text(
-    df: DataFrame, by: Keys, text: str, sep: str, max_chars: int, min_len: int = 0, pos: str = "pos"
+    df: DataFrame, by: Keys, text: str, sep: str, max_chars: int | None = None, pos: str = "pos"
 ) -> DataFrame:
-    """Texts of a key in ``pos`` order, joined by ``sep`` and cut at ``max_chars``.
+    """Texts of a key in ``pos`` order, joined by ``sep``, whole or cut at ``max_chars``.
 
-    Only rows that start before the cut are gathered, so a group never exceeds ``max_chars``
-    characters plus one row, whatever the key holds. ``min_len`` is the least length of a text.
+    With a cut, only rows that start before it are gathered, so a group never exceeds ``max_chars``
+    characters plus one row, whatever the key holds.
     """
-    step = len(sep)
-    most = max_chars // max(min_len + step, 1) + 1
-    head = top_n(df.select(*by, pos, text), by, [F.col(pos)], most, rank="_rank")
-    before = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    head = head.withColumn(
-        "_start", F.coalesce(F.sum(F.length(text) + step).over(before), F.lit(0))
-    ).where(F.col("_start") < max_chars)
+    head = df.select(*by, pos, text)
+    if max_chars is not None:
+        step = len(sep)
+        # A row takes up its separator at least, whatever its text.
+        head = top_n(head, by, [F.col(pos)], max_chars // max(step, 1) + 1, rank="_rank") if step else head
+        before = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+        head = head.withColumn(
+            "_start", F.coalesce(F.sum(F.length(text) + step).over(before), F.lit(0))
+        ).where(F.col("_start") < max_chars)
     parts = F.array_sort(F.collect_list(F.struct(pos, text)))
-    return (
-        head.groupBy(*by)
-        .agg(parts.alias("_parts"))
-        .select(
-            *by,
-            F.substring(
-                F.array_join(F.transform("_parts", lambda p: p[text]), sep), 1, max_chars
-            ).alias("doc"),
-        )
+    whole = F.array_join(F.transform("_parts", lambda p: p[text]), sep)
+    return head.groupBy(*by).agg(parts.alias("_parts")).select(
+        *by, (whole if max_chars is None else F.substring(whole, 1, max_chars)).alias("doc")
     )
 
 

@@ -113,7 +113,7 @@ def chat_prompts(asked: DataFrame, fact_check: Column | None = None) -> DataFram
 
 def comparison_prompts(pairs: DataFrame, cleaned: DataFrame, site: str, max_chars: int = 12_000) -> DataFrame:
     """(pair_id, prompt): each side's cleaned text, cut to ``max_chars``, in one template."""
-    docs = joined_text(cleaned, [site], "cleaned", " ", max_chars, min_len=6)
+    docs = joined_text(cleaned, [site], "cleaned", " ", max_chars)
     one = docs.withColumnsRenamed({site: "site_a", "doc": "doc_a"})
     two = docs.withColumnsRenamed({site: "site_b", "doc": "doc_b"})
     sides = pairs.join(one, "site_a", "left").join(two, "site_b", "left")

@@ -80,8 +80,16 @@ def tfidf(cleaned: DataFrame, by: Keys, **options) -> DataFrame:
     return weights(counts, vocabulary(counts, cleaned, by, **cap), by)
 
 
-def vocab_size(vocab: DataFrame, by: Keys) -> DataFrame:
-    return vocab.groupBy(*by).agg(F.count("*").alias("vocab_size"))
+def usable_pages(cleaned: DataFrame, by: Keys, least: int = 3) -> DataFrame:
+    """(page): pages of ``least`` segments or more. Others get no term scores, takeaways or
+    vocabulary, and one topic."""
+    return cleaned.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*by)
+
+
+def vocab_size(vocab: DataFrame, pages: DataFrame, by: Keys, least: int = 3) -> DataFrame:
+    """(page, vocab_size) of all ``pages``; 0 without terms or with fewer than ``least`` segments."""
+    sizes = vocab.where(F.col("n") >= least).groupBy(*by).agg(F.count("*").alias("vocab_size"))
+    return pages.select(*by).join(sizes, list(by), "left").withColumn("vocab_size", F.coalesce("vocab_size", F.lit(0)))
 
 
 def segment_density(cleaned: DataFrame, weighted: DataFrame, by: Keys) -> DataFrame:
@@ -92,8 +100,10 @@ def segment_density(cleaned: DataFrame, weighted: DataFrame, by: Keys) -> DataFr
     )
 
 
-def term_scores(weighted: DataFrame, by: Keys) -> DataFrame:
-    return weighted.groupBy(*by, "term").agg(F.sum("w").alias("score")).where("score > 0")
+def term_scores(weighted: DataFrame, by: Keys, usable: DataFrame | None = None) -> DataFrame:
+    """(page, term, score): weights summed up, of the ``usable`` pages only if they are given."""
+    rows = weighted if usable is None else weighted.join(usable, list(by), "left_semi")
+    return rows.groupBy(*by, "term").agg(F.sum("w").alias("score")).where("score > 0")
 
 
 def cloud_terms(scores: DataFrame, by: Keys, n: int = 80, digits: int = 9) -> DataFrame:

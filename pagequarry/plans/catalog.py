@@ -50,12 +50,13 @@ def docs(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     return spread(read_table(spark, folder, "documents").select("doc_id", *extra, "text"))
 
 
-def lines(spark: SparkSession, folder: str) -> DataFrame:
-    return G.split_lines(docs(spark, folder), DOC)
+def lines(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
+    """Lines of every document; ``extra`` columns of it come along in the key."""
+    return G.split_lines(docs(spark, folder, *extra), [*DOC, *extra])
 
 
-def cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    return C.clean(lines(spark, folder), DOC)
+def cleaned(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
+    return C.clean(lines(spark, folder, *extra), [*DOC, *extra])
 
 
 def counted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -172,19 +173,6 @@ def _(spark, folder):
     return cleaned(spark, folder).select("doc_id", "pos", "cleaned")
 
 
-@register(
-    "clean_accounting", "C7",
-    f"""WITH {SQL_LINES}, t AS (SELECT doc_id, text, count(*) AS c, {sql_normalise('text')} AS cleaned FROM seg GROUP BY doc_id, text)
-    SELECT doc_id, sum(c)::BIGINT AS n_before, count(*) AS n_exact, count(*) FILTER (length(cleaned) > 5) AS n_long,
-      count(DISTINCT cleaned) FILTER (length(cleaned) > 5) AS n_kept, (sum(c) - count(*))::BIGINT AS removed_exact,
-      count(*) FILTER (length(cleaned) > 5) - count(DISTINCT cleaned) FILTER (length(cleaned) > 5) AS removed_near
-    FROM t GROUP BY doc_id""",
-)
-def _(spark, folder):
-    rows = lines(spark, folder)
-    return C.accounting(rows, C.distinct_cleaned(rows, DOC), DOC)
-
-
 # ---------------------------------------------------------------- sentiment
 
 _LEX = ", ".join(f"('{w}', {p}::DOUBLE, {s}::DOUBLE, {i}::DOUBLE)" for w, p, s, i in LEXICON)
@@ -244,49 +232,73 @@ ENTITY_LABELS = ["PERSON", "ORG", "GPE", "LOC", "NORP"]
 
 
 def gazetteer(spark: SparkSession, folder: str) -> DataFrame:
-    """Names from the benchmark texts: long words, and every pair of words at a text's start. The
+    """Names from the benchmark texts: long words, and two and five words at a text's start. The
     label follows from the length, so both engines agree on it."""
     words = read_table(spark, folder, "benchmark").select(
         F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0)).alias("w")
     )
     single = words.select(F.explode("w").alias("term")).where(F.length("term") >= 6)
     double = words.where(F.size("w") > 1).select(F.array_join(F.slice("w", 1, 2), " ").alias("term"))
+    # The beginning of a text as it is written, signs and line ends included, as a longer name.
+    first = r"^[\p{L}]+(?:[^\p{L}]+[\p{L}]+){4}"
+    longer = read_table(spark, folder, "benchmark").select(F.regexp_extract("text", first, 0).alias("term")).where("term <> ''")
     labels = F.array(*[F.lit(x) for x in ENTITY_LABELS])
-    return single.union(double).distinct().withColumn("label", F.get(labels, F.length("term") % len(ENTITY_LABELS)))
+    return single.union(double).union(longer).distinct().withColumn(
+        "label", F.get(labels, F.length("term") % len(ENTITY_LABELS))
+    )
 
 
-def page_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    split = N.sentences(N.documents(cleaned(spark, folder), DOC), DOC)
-    return N.mentions(N.tagged(split, gazetteer(spark, folder), DOC, capitals=False), DOC)
+def page_mentions(spark: SparkSession, folder: str, *extra: str, capitals: bool = False) -> DataFrame:
+    by = [*DOC, *extra]
+    split = N.sentences(N.documents(cleaned(spark, folder, *extra), by), by)
+    return N.mentions(N.tagged(split, gazetteer(spark, folder), by, capitals), by)
 
 
 _CATEGORY = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABEL_CATEGORY.items())
 SQL_SENTENCES = (
     SQL_CLEAN
-    + f""", dc AS (SELECT doc_id, substring(string_agg(text, ' ' ORDER BY pos), 1, 1000000) AS doc FROM cl GROUP BY 1),
+    + f""", dc AS (SELECT doc_id, string_agg(text, ' ' ORDER BY pos) AS doc FROM cl GROUP BY 1),
     sn AS (SELECT * FROM (SELECT doc_id, unnest(range(len(l)))::BIGINT AS sentence, trim(unnest(l)) AS text
         FROM (SELECT doc_id, regexp_extract_all(doc, '{N.SENTENCE}') AS l FROM dc)) WHERE length(text) > 0)"""
 )
-SQL_MENTIONS = (
-    SQL_SENTENCES
-    + f""", bw AS (SELECT regexp_extract_all(text, '[\\p{{L}}]+') AS w FROM benchmark),
-    gz AS (SELECT term, [{X.quoted(ENTITY_LABELS)}][(length(term) % 5) + 1] AS label FROM (
-        SELECT term FROM (SELECT unnest(w) AS term FROM bw) WHERE length(term) >= 6
-        UNION SELECT array_to_string(w[1:2], ' ') FROM bw WHERE len(w) > 1)),
-    sw AS (SELECT doc_id, sentence, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w FROM sn),
-    ix AS (SELECT *, unnest(range(len(w))) AS i FROM sw),
-    ng AS (SELECT *, array_to_string(w[i + 1 : i + n], ' ') AS name FROM ix, (VALUES (1), (2), (3)) g(n) WHERE i + n <= len(w)),
-    hits AS (SELECT doc_id, sentence, i, n, name, label, instr(text, name) AS spot FROM ng JOIN gz ON name = term
-        WHERE instr(text, name) > 0),
+
+
+def sql_mentions(capitals: bool = False) -> str:
+    """Names by token offsets: a name's span is cut from the text and compared as it is written."""
+    token, one = r"[\p{L}\p{N}]+", r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+    upper = r"WHERE regexp_matches(w[i + 1], '^\p{Lu}')" if capitals else ""
+    patterns = " UNION ALL ".join(
+        f"SELECT doc_id, sentence, m[j] AS name, '{k}' AS label, (1 + length(array_to_string(b[1:j], '')) + "
+        f"length(array_to_string(m[1:j - 1], '')))::BIGINT AS spot FROM (SELECT doc_id, sentence, m, b, "
+        f"unnest(range(1, len(m) + 1)) AS j FROM (SELECT doc_id, sentence, regexp_extract_all(text, '{v}') AS m, "
+        f"string_split_regex(text, '{v}') AS b FROM sn))"
+        for k, v in N.PATTERNS.items()
+    )
+    return (
+        SQL_SENTENCES
+        + f""", bw AS (SELECT text, regexp_extract_all(text, '[\\p{{L}}]+') AS w FROM benchmark),
+    gt AS (SELECT term FROM (SELECT unnest(w) AS term FROM bw) WHERE length(term) >= 6
+        UNION SELECT array_to_string(w[1:2], ' ') FROM bw WHERE len(w) > 1
+        UNION SELECT regexp_extract(text, '^[\\p{{L}}]+(?:[^\\p{{L}}]+[\\p{{L}}]+){{4}}') FROM bw WHERE len(w) > 4),
+    gn AS (SELECT {one.format('term')} AS name, [{X.quoted(ENTITY_LABELS)}][(length(term) % 5) + 1] AS label FROM gt WHERE term <> ''),
+    gz AS (SELECT name, min(label) AS label, array_to_string(regexp_extract_all(name, '{token}'), ' ') AS key FROM gn GROUP BY name),
+    gs AS (SELECT DISTINCT len(regexp_extract_all(name, '{token}')) AS n FROM gz),
+    sw AS (SELECT doc_id, sentence, text, regexp_extract_all(text, '{token}') AS w, string_split_regex(text, '{token}') AS g FROM sn),
+    ix AS (SELECT * FROM (SELECT *, unnest(range(len(w))) AS i FROM sw) {upper}),
+    ng AS (SELECT *, array_to_string(w[i + 1 : i + n], ' ') AS key FROM ix, gs WHERE i + n <= len(w)),
+    hits AS (SELECT * FROM (SELECT doc_id, sentence, i, n, name, label,
+        1 + length(array_to_string(g[1 : i + 1], '')) + length(array_to_string(w[1 : i], '')) AS spot,
+        length(array_to_string(w[i + 1 : i + n], '')) + length(array_to_string(g[i + 2 : i + n], '')) AS span, text
+        FROM ng JOIN gz USING (key)) WHERE {one.format('substr(text, spot, span)')} = name),
     free AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.doc_id = h.doc_id
         AND o.sentence = h.sentence AND o.n > h.n AND o.i <= h.i AND o.i + o.n >= h.i + h.n)),
-    pt AS (SELECT doc_id, sentence, text, unnest(regexp_extract_all(text, '{N.PATTERNS["DATE"]}')) AS name, 'DATE' AS label FROM sn
-        UNION ALL SELECT doc_id, sentence, text, unnest(regexp_extract_all(text, '{N.PATTERNS["MONEY"]}')), 'MONEY' FROM sn),
-    tg AS (SELECT doc_id, sentence, name, label, spot FROM free
-        UNION ALL SELECT doc_id, sentence, name, label, instr(text, name) FROM pt),
+    tg AS (SELECT doc_id, sentence, name, label, spot::BIGINT AS spot FROM free UNION ALL {patterns}),
     me AS (SELECT doc_id, sentence, spot AS pos, trim(replace(name, chr(10), ' ')) AS name,
         CASE label {_CATEGORY} END AS category FROM tg WHERE CASE label {_CATEGORY} END IS NOT NULL AND length(trim(name)) > 1)"""
-)
+    )
+
+
+SQL_MENTIONS = sql_mentions()
 SQL_NODES = (
     SQL_MENTIONS
     + """, na AS (SELECT doc_id, name, count(*) AS n, min({'s': sentence, 'p': pos, 'c': category}) AS f FROM me GROUP BY ALL),
@@ -304,9 +316,9 @@ SQL_EDGES = (
 )
 
 
-@register("page_documents", "N1", f"WITH {SQL_SENTENCES} SELECT doc_id, doc FROM dc")
+@register("page_documents", "N1", f"WITH {SQL_SENTENCES} SELECT doc_id, substring(doc, 1, {N.DOC_CHARS}) AS doc FROM dc")
 def _(spark, folder):
-    return N.documents(cleaned(spark, folder), DOC)
+    return N.documents(cleaned(spark, folder), DOC, max_chars=N.DOC_CHARS)
 
 
 @register("sentences", "N2", f"WITH {SQL_SENTENCES} SELECT doc_id, sentence, text FROM sn")
@@ -319,6 +331,14 @@ def _(spark, folder):
     return page_mentions(spark, folder)
 
 
+@register(
+    "entity_mentions_capitals", "N3 N4 N5",
+    f"WITH {sql_mentions(capitals=True)} SELECT doc_id, sentence, pos, name, category FROM me",
+)
+def _(spark, folder):
+    return page_mentions(spark, folder, capitals=True)
+
+
 @register(
     "top_entities", "N6 P5",
     f"""WITH {SQL_MENTIONS}, e AS (SELECT doc_id, category, name, count(*) AS n, min({{'s': sentence, 'p': pos}}) AS f FROM me GROUP BY ALL),
@@ -385,9 +405,13 @@ def _(spark, folder):
     return counted(spark, folder)[2].select("doc_id", "term", "df", "cf", "n")
 
 
-@register("vocabulary_size", "F7 F11", f"WITH {SQL_TERMS} SELECT doc_id, count(*) AS vocab_size FROM vocab GROUP BY 1")
+@register(
+    "vocabulary_size", "F7 F11",
+    f"""WITH {SQL_TERMS}, v AS (SELECT doc_id, count(*) AS k FROM vocab WHERE n >= 3 GROUP BY 1)
+    SELECT doc_id, coalesce(k, 0) AS vocab_size FROM documents LEFT JOIN v USING (doc_id)""",
+)
 def _(spark, folder):
-    return W.vocab_size(counted(spark, folder)[2], DOC)
+    return W.vocab_size(counted(spark, folder)[2], docs(spark, folder), DOC)
 
 
 @register(
@@ -412,7 +436,7 @@ def _(spark, folder):
 
 SQL_CLOUD = (
     SQL_WEIGHTS
-    + """, ts AS (SELECT doc_id, term, sum(w) AS score FROM wt GROUP BY ALL HAVING sum(w) > 0),
+    + """, ts AS (SELECT doc_id, term, sum(w) AS score FROM wt JOIN nn USING (doc_id) WHERE n >= 3 GROUP BY ALL HAVING sum(w) > 0),
     cloud AS (SELECT doc_id, term, score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, term)::INTEGER AS rank FROM ts)"""
 )
 
@@ -422,7 +446,8 @@ SQL_CLOUD = (
     f"WITH {SQL_CLOUD} SELECT doc_id, term, round(score, 6) AS score, rank FROM cloud WHERE rank <= 80",
 )
 def top_terms(spark, folder):
-    top = W.cloud_terms(W.term_scores(weighted(spark, folder)[1], DOC), DOC)
+    rows, wt = weighted(spark, folder)
+    top = W.cloud_terms(W.term_scores(wt, DOC, W.usable_pages(rows, DOC)), DOC)
     return top.withColumn("score", F.round("score", 6))
 
 

@@ -110,13 +110,18 @@ def _(spark, folder):
     return H.by_id(rows, wanted).select("id", "user_id", "url")
 
 
-@register(
-    "history_list", "H6 S10",
-    f"""WITH {SQL_HIST} SELECT user_id, id, url, total_items, strftime(ts, '%B %d, %Y at %I:%M %p') AS shown, ts FROM hist
-    WHERE total_items >= 10""",
-)
+SQL_LISTED = "SELECT user_id, id, url, total_items, strftime(ts, '%B %d, %Y at %I:%M %p') AS shown, ts FROM hist"
+
+
+@register("history_list", "H6", f"WITH {SQL_HIST} {SQL_LISTED}")
 def _(spark, folder):
-    return H.listing(history(spark, folder).where(F.col("total_items") >= 10))
+    return H.listing(history(spark, folder))
+
+
+@register("history_of_url", "H6 S10", f"WITH {SQL_HIST} {SQL_LISTED} WHERE url = 'signup'")
+def _(spark, folder):
+    # A column of the stored table, so the filter reaches the scan.
+    return H.listing(history(spark, folder).where(F.col("url") == "signup"))
 
 
 @register(
@@ -142,15 +147,15 @@ def _(spark, folder):
 @register(
     "new_users", "H9",
     """WITH known AS (SELECT DISTINCT 'user' || user_id || '@example.org' AS email FROM events WHERE event_type = 'signup' AND value > 60),
-    logins AS (SELECT 'user' || user_id || '@example.org' AS email, event_type AS name, ts FROM events)
-    SELECT email, arg_min(name, ts) AS name FROM logins ANTI JOIN known USING (email) GROUP BY email""",
+    logins AS (SELECT 'user' || user_id || '@example.org' AS email, event_type AS name, ts, event_id AS id FROM events)
+    SELECT email, arg_min(name, {'t': ts, 'i': id}) AS name FROM logins ANTI JOIN known USING (email) GROUP BY email""",
 )
 def _(spark, folder):
     events = read_table(spark, folder, "events").withColumn(
         "email", F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.org"))
     )
     known = events.where("event_type = 'signup' AND value > 60").select("email").distinct()
-    return H.new_users(known, events.select("email", F.col("event_type").alias("name"), "ts"))
+    return H.new_users(known, events.select("email", F.col("event_type").alias("name"), "ts", F.col("event_id").alias("id")))
 
 
 @register(
@@ -164,7 +169,7 @@ def _(spark, folder):
 
 @register(
     "latest_context", "H11",
-    "SELECT conv_id, arg_max(text, turn) AS text, max(turn) AS turn FROM conversations GROUP BY 1",
+    "SELECT conv_id, arg_max(text, {'n': turn, 't': text}) AS text, max(turn) AS turn FROM conversations GROUP BY 1",
 )
 def _(spark, folder):
     turns = read_table(spark, folder, "conversations")
@@ -394,10 +399,6 @@ def site_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(b, "pair_id")
 
 
-def by_site(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
-    return rows.join(read_table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
-
-
 SQL_PAIRS = (
     "st_no AS (SELECT DISTINCT source, CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS no FROM documents), "
     "pairs AS (SELECT a.no AS pair_id, a.source AS site_a, b.source AS site_b FROM st_no a JOIN st_no b ON b.no = a.no + 1)"
@@ -417,7 +418,7 @@ SQL_PAIRS = (
     (SELECT pair_id, sum(wa * wb) / (sqrt(sum(wa * wa)) * sqrt(sum(wb * wb))) AS s FROM wx GROUP BY 1) USING (pair_id)""",
 )
 def _(spark, folder):
-    terms = P.site_terms(by_site(spark, folder, cleaned(spark, folder)), "source")
+    terms = P.site_terms(cleaned(spark, folder, "source"), "source")
     return P.similarity(site_pairs(spark, folder), terms, "source")
 
 
@@ -431,7 +432,7 @@ def _(spark, folder):
 def _(spark, folder):
     from pagequarry.operators import entities as N
 
-    found = by_site(spark, folder, page_mentions(spark, folder))
+    found = page_mentions(spark, folder, "source")
     top = N.top_entities(found.withColumn("sentence", F.struct("doc_id", "sentence")), ["source"])
     return P.shared_entities(site_pairs(spark, folder), top, "source")
 
@@ -443,7 +444,7 @@ def _(spark, folder):
     FROM sent JOIN documents USING (doc_id) GROUP BY 1""",
 )
 def _(spark, folder):
-    return P.sentiment_sides(by_site(spark, folder, S.score(lines(spark, folder))), "source")
+    return P.sentiment_sides(S.score(lines(spark, folder, "source")), "source")
 
 
 @register(
@@ -455,8 +456,7 @@ def _(spark, folder):
     round(1 - s, 6) AS objectivity, round(least(1, k / 10), 6) AS diversity FROM m""",
 )
 def _(spark, folder):
-    sites = read_table(spark, folder, "documents").select("doc_id", "source", "lang")
-    rows = S.score(lines(spark, folder)).join(sites, "doc_id")
+    rows = S.score(lines(spark, folder, "source", "lang"))
     label = F.col("sentiment_label")
     sums = rows.groupBy("source").agg(
         F.count_if(label == "Positive").alias("p"), F.count_if(label == "Negative").alias("n"), F.count("*").alias("t"),
@@ -494,5 +494,5 @@ _COMPARE = COMPARE_PROMPT.split("%s")
     '{_COMPARE[3]}' || b.doc || '{_COMPARE[4]}' AS prompt FROM pairs JOIN t a ON a.source = site_a JOIN t b ON b.source = site_b""",
 )
 def _(spark, folder):
-    rows = by_site(spark, folder, cleaned(spark, folder)).withColumn("pos", F.struct("doc_id", "pos"))
+    rows = cleaned(spark, folder, "source").withColumn("pos", F.struct("doc_id", "pos"))
     return R.comparison_prompts(site_pairs(spark, folder), rows, "source")

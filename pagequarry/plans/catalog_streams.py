@@ -32,7 +32,7 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "stream_latest", "ST2",
-    "SELECT user_id, arg_max(event_type, ts) AS url, max(ts) AS ts FROM events GROUP BY 1",
+    "SELECT user_id, arg_max(event_type, {'t': ts, 'v': event_type}) AS url, max(ts) AS ts FROM events GROUP BY 1",
 )
 def _(spark, folder):
     base = fresh_path(spark, "latest")

@@ -37,23 +37,43 @@ def _(spark, folder):
     return ND.drop_near_duplicates(rows, DOC).select("doc_id", "pos", "cleaned")
 
 
-@register(
-    "near_duplicates_levenshtein", "C4 C5 C6",
-    f"""WITH RECURSIVE {SQL_LINES}, d AS (SELECT doc_id, min(pos) AS pos, cleaned, strlen(cleaned) AS size,
+SQL_SURVIVORS = f"""{SQL_LINES}, d AS (SELECT doc_id, min(pos) AS pos, cleaned, strlen(cleaned) AS size,
         row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS r
         FROM (SELECT doc_id, pos, {sql_normalise('text')} AS cleaned FROM seg) WHERE length(cleaned) > 5 GROUP BY doc_id, cleaned),
     g AS (SELECT doc_id, 0::BIGINT AS r, []::VARCHAR[] AS kept, NULL::BIGINT AS pos FROM (SELECT DISTINCT doc_id FROM d)
         UNION ALL SELECT doc_id, r, CASE WHEN gone THEN kept ELSE list_append(kept, cleaned) END, CASE WHEN gone THEN NULL ELSE pos END
         FROM (SELECT g.doc_id, g.kept, d.r, d.pos, d.cleaned, len(list_filter(g.kept, lambda k:
             1.0::DOUBLE - levenshtein(k, d.cleaned)::DOUBLE / greatest(strlen(k), d.size) > 0.85::DOUBLE)) > 0 AS gone
-            FROM g JOIN d ON d.doc_id = g.doc_id AND d.r = g.r + 1))
-    SELECT doc_id, pos FROM g WHERE pos IS NOT NULL""",
+            FROM g JOIN d ON d.doc_id = g.doc_id AND d.r = g.r + 1))"""
+
+
+@register(
+    "near_duplicates_levenshtein", "C4 C5 C6",
+    f"WITH RECURSIVE {SQL_SURVIVORS} SELECT doc_id, pos FROM g WHERE pos IS NOT NULL",
 )
 def _(spark, folder):
-    # The SQL side measures bytes, so the texts are compared as bytes here too.
-    rows = C.distinct_cleaned(lines(spark, folder), DOC)
-    as_bytes = rows.withColumn("cleaned", F.decode(F.encode("cleaned", "UTF-8"), "ISO-8859-1"))
-    return ND.drop_near_duplicates(as_bytes, DOC, measure="levenshtein").select("doc_id", "pos")
+    return _survivors(lines(spark, folder)).select("doc_id", "pos")
+
+
+def _survivors(rows: DataFrame) -> DataFrame:
+    """What is left after near-duplicate removal by Levenshtein. The SQL side measures bytes, so the
+    texts are compared as bytes here too."""
+    short = C.distinct_cleaned(rows, DOC)
+    as_bytes = short.withColumn("cleaned", F.decode(F.encode("cleaned", "UTF-8"), "ISO-8859-1"))
+    return ND.drop_near_duplicates(as_bytes, DOC, measure="levenshtein")
+
+
+@register(
+    "clean_accounting", "C7",
+    f"""WITH RECURSIVE {SQL_SURVIVORS}, t AS (SELECT doc_id, text, count(*) AS c, {sql_normalise('text')} AS cleaned FROM seg GROUP BY doc_id, text),
+    e AS (SELECT doc_id, sum(c)::BIGINT AS n_before, count(*) AS n_exact, count(*) FILTER (length(cleaned) > 5) AS n_long FROM t GROUP BY doc_id),
+    k AS (SELECT doc_id, count(*) AS n FROM g WHERE pos IS NOT NULL GROUP BY doc_id)
+    SELECT doc_id, n_before, n_exact, n_long, coalesce(n, 0) AS n_kept, n_before - n_exact AS removed_exact, n_long - coalesce(n, 0) AS removed_near
+    FROM e LEFT JOIN k USING (doc_id)""",
+)
+def _(spark, folder):
+    rows = lines(spark, folder)
+    return C.accounting(rows, _survivors(rows), DOC)
 
 
 # ---------------------------------------------------------------- topics
@@ -212,13 +232,13 @@ SQL_DENSITY = (
     SQL_WEIGHTS
     + """, ds AS (SELECT doc_id, pos, sum(w) AS s FROM wt GROUP BY ALL),
     able AS (SELECT doc_id, pos, text, row_number() OVER (PARTITION BY doc_id ORDER BY round(coalesce(s, 0), 9) DESC, pos) AS r
-        FROM cl LEFT JOIN ds USING (doc_id, pos) WHERE length(text) > 50)"""
+        FROM cl LEFT JOIN ds USING (doc_id, pos) JOIN nn USING (doc_id) WHERE length(text) > 50 AND n >= 3)"""
 )
 
 
 def _dense(spark, folder):
     rows, wt = weighted(spark, folder)
-    return W.segment_density(rows, wt, DOC)
+    return W.segment_density(rows, wt, DOC).join(W.usable_pages(rows, DOC), DOC, "left_semi")
 
 
 @register("takeaways", "K11 P5")

@@ -50,9 +50,11 @@ def report_snapshots(
 def latest_by_key(
     rows: DataFrame, by: Keys, value: str, base: str, ts: str = "ts", every: str | None = None
 ) -> StreamingQuery:
-    """Last value per key: each micro-batch writes its changed keys; read with ``read_latest``."""
-    state = rows.groupBy(*by).agg(F.max_by(value, ts).alias(value), F.max(ts).alias(ts))
-    return _upserts(state, base, every)
+    """Last value per key, of equal times the greater one: each micro-batch writes its changed keys;
+    read with ``read_latest``."""
+    last = F.max(F.struct(F.col(ts).alias("ts"), F.col(value).alias("value")))
+    state = rows.groupBy(*by).agg(last.alias("_last"))
+    return _upserts(state.select(*by, F.col("_last.value").alias(value), F.col("_last.ts").alias(ts)), base, every)
 
 
 def toggle_state(rows: DataFrame, base: str, every: str | None = None) -> StreamingQuery:

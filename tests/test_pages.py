@@ -106,7 +106,7 @@ def test_script_heavy(spark):
 
 def test_joined_text_cut(spark):
     rows = spark.createDataFrame([("a", i, f"t{i:03d}") for i in range(300)] + [("b", 0, "xy")], "url string, pos bigint, text string")
-    got = {r.url: r.doc for r in A.joined_text(rows, ["url"], "text", " ", 52, min_len=2).collect()}
+    got = {r.url: r.doc for r in A.joined_text(rows, ["url"], "text", " ", 52).collect()}
     assert got == {"a": " ".join(f"t{i:03d}" for i in range(300))[:52], "b": "xy"}
 
 
@@ -159,6 +159,32 @@ def test_longer_names_win(spark):
     assert got == {("New York City", "Locations"), ("New York", "Locations"), ("Ann", "People"), ("2021", "Dates"), ("$1,200", "Money")}
 
 
+def test_names_over_signs_and_line_ends(spark):
+    text = "Art met O'Neill in New\nYork, at the Upper West  Side Council of Arts. Smart Art, O Neill"
+    split = spark.createDataFrame([("a", 0, text)], "url string, sentence bigint, text string")
+    terms = ["New\nYork", "Upper West Side Council", "O'Neill", "Art", "Upper West", "(Arts)"]
+    names = spark.createDataFrame([(t, "ORG") for t in terms], "term string, label string")
+    got = sorted((r.at, r.name) for r in N.tagged(split, names, ["url"]).collect())
+    want = [("Art", 0), ("O'Neill", 0), ("New York", 0), ("Upper West Side Council", 0), ("Arts", 0), ("Art", text.index("Smart") + 3)]
+    assert got == sorted((text.index(n.replace("New York", "New\nYork").replace("West Side", "West  Side"), s) + 1, n) for n, s in want)
+
+
+def test_long_pages_are_read_whole(spark):
+    rows = [("a", i, "some words without any name in them" * 30 + ".", 1200) for i in range(1200)] + [("a", 1200, "Here is Ann.", 1201)]
+    table = spark.createDataFrame(rows, "url string, pos bigint, text string, n_lines bigint")
+    names = spark.createDataFrame([("Ann", "PERSON")], "term string, label string")
+    split = N.sentences(N.documents(table, ["url"]), ["url"])
+    assert [(r.name, r.at) for r in N.tagged(split, names, ["url"]).collect()] == [("Ann", 9)]
+    assert len(N.documents(table, ["url"], max_chars=1000).first().doc) == 1000
+
+
+def test_a_name_that_starts_small_is_no_name(spark):
+    split = spark.createDataFrame([("a", 0, "art and Art")], "url string, sentence bigint, text string")
+    names = spark.createDataFrame([("art", "ORG"), ("Art", "ORG")], "term string, label string")
+    assert [(r.name, r.at) for r in N.tagged(split, names, ["url"]).collect()] == [("Art", 9)]
+    assert N.tagged(split, names, ["url"], capitals=False).count() == 2
+
+
 def test_empty_graph(spark):
     pages = spark.createDataFrame([("a",)], "url string")
     none = mention_rows(spark, [])
