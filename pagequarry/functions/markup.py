@@ -122,8 +122,6 @@ def elements(html: str) -> list[dict]:
     for node in walker.found:
         source = node.first_heading if node.tag in ("article", "section") else node
         text = " ".join(source.pieces) if source is not None else None
-        if node.tag in ("span", "div") and len(text) >= 300:
-            continue  # no rule takes one this long, and nested ones would repeat the page
         out.append(
             {
                 "ord": node.ord,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.functions.fixed import CHAT_PROMPT, FACT_CHECK_PROMPT
+from pagequarry.functions import text as X
+from pagequarry.functions.fixed import CHAT_PROMPT, FACT_CHECK_PROMPT, JUNK_CONTAINERS, JUNK_FRAGMENTS, TITLE_WORDS
 from pagequarry.operators import clean as C
 from pagequarry.operators import html as E
 from pagequarry.operators import neardup as ND
@@ -22,6 +23,7 @@ from pagequarry.plans.catalog import (
     counted,
     lines,
     register,
+    sql_content,
     sql_normalise,
     weighted,
 )
@@ -375,7 +377,7 @@ _UNESCAPE = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;',
 
 
 @register(
-    "page_headings", "E1 E2 E4",
+    "page_headings", "E1",
     f"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<h1[^>]*>(.*?)</h1>', 1, 's')) AS raw FROM pages)
     SELECT page_id, count(*) AS n_headings, string_agg(trim({_UNESCAPE.format("regexp_replace(raw, '<[^>]*>', ' ', 'g')")}), '|') AS headings
     FROM h GROUP BY 1""",
@@ -388,6 +390,103 @@ def _(spark, folder):
     )
 
 
+@register(
+    "element_counts", "E1",
+    """WITH t AS (SELECT page_id, lower(unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'),
+        '(?i)<(h[1-6]|a|p|li|article|section|span|div)[\\s>]', 1))) AS tag FROM pages)
+    SELECT page_id, tag, count(*) AS n FROM t GROUP BY ALL""",
+)
+def _(spark, folder):
+    found = E.elements(html_pages(spark, folder), PAGE)
+    return found.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+# Elements made of the documents' lines, the same in both engines: tags, marks and ancestors go by
+# the numbers of document and line. Every third document has no headings and few links, so gates open.
+MADE_TAGS = ["h2", "a", "p", "li", "div", "span", "article", "h4", "section", "a", "p"]
+MADE_MARKS = ["", "post title", "main-nav left", "card", "x share y", "Story", "body", "ad-box", "news item"]
+MADE_ABOVE = [[], ["div", "body"], ["div", "nav"], ["p", "div", "section", "footer"], ["aside"], ["div", "p", "div", "nav"]]
+
+
+def made_elements(spark: SparkSession, folder: str) -> DataFrame:
+    doc, pos = F.col("doc_id"), F.col("pos")
+
+    def pick(values: list, number: Column) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(number, F.lit(len(values))).cast("int"))
+
+    plain = F.when(F.pmod(doc, F.lit(3)) == 0, pick(["p", "li", "div", "p", "a"], doc + pos)).otherwise(
+        pick(MADE_TAGS, doc * 7 + pos * 3)
+    )
+    above = F.array(*[
+        F.array(*[F.struct(F.lit(t).alias("tag"), F.lit("").alias("attrs")) for t in tags]).cast("array<struct<tag:string,attrs:string>>")
+        for tags in MADE_ABOVE
+    ])
+    marked = F.struct(F.lit("div").alias("tag"), pick(MADE_MARKS, doc + pos * 2).alias("attrs"))
+    return lines(spark, folder).select(
+        "doc_id", pos.alias("ord"), plain.alias("tag"), F.nullif(F.trim("text"), F.lit("")).alias("text"),
+        pick(MADE_MARKS, doc + pos * 5).alias("own_attrs"), (F.pmod(pos, F.lit(4)) > 0).alias("has_href"),
+        (plain == "p").alias("main_line"),
+        F.when(
+            F.pmod(doc + pos, F.lit(5)) == 0, F.array(marked)
+        ).otherwise(F.get(above, F.pmod(doc + pos * 11, F.lit(len(MADE_ABOVE))).cast("int"))).alias("ancestors"),
+    )
+
+
+def _sql_list(values: list) -> str:
+    return "[" + ", ".join("'" + v + "'" for v in values) + "]"
+
+
+_JUNK = X.any_phrase(JUNK_FRAGMENTS)
+SQL_MADE = f"""{SQL_LINES}, me AS (SELECT doc_id, pos AS ord, nullif(trim(text, ' '), '') AS text,
+        CASE WHEN doc_id % 3 = 0 THEN {_sql_list(["p", "li", "div", "p", "a"])}[((doc_id + pos) % 5 + 1)::INT]
+        ELSE {_sql_list(MADE_TAGS)}[((doc_id * 7 + pos * 3) % {len(MADE_TAGS)} + 1)::INT] END AS tag,
+        {_sql_list(MADE_MARKS)}[((doc_id + pos * 5) % {len(MADE_MARKS)} + 1)::INT] AS marks, pos % 4 > 0 AS href,
+        (doc_id + pos) % 5 = 0 AS marked, {_sql_list(MADE_MARKS)}[((doc_id + pos * 2) % {len(MADE_MARKS)} + 1)::INT] AS up,
+        [{", ".join(_sql_list(t) + "::VARCHAR[]" for t in MADE_ABOVE)}][((doc_id + pos * 11) % {len(MADE_ABOVE)} + 1)::INT] AS above FROM seg),
+    jk AS (SELECT *, length(text) AS size, regexp_matches(marks, '{_JUNK}') OR CASE WHEN marked THEN regexp_matches(up, '{_JUNK}')
+        ELSE len(list_intersect(above[1:3], {_sql_list(JUNK_CONTAINERS)})) > 0 END AS junk, {sql_content('text')} AS fit FROM me WHERE text IS NOT NULL),
+    el AS (SELECT *, tag[1] = 'h' AND NOT junk AND fit AS heading,
+        tag = 'a' AND NOT junk AND fit AND size > 20 AND text NOT LIKE 'http%' AS link,
+        tag = 'a' AND href AND fit AND size > 15 AND size < 200 AND text NOT LIKE 'http%' AND len(string_split(text, ' ')) > 2 AS raw_link,
+        tag IN ('article', 'section') AND NOT junk AND fit AS container,
+        tag IN ('span', 'div') AND regexp_matches(marks, '(?i){"|".join(TITLE_WORDS)}') AND NOT junk AND fit AND size > 15 AND size < 300 AS titled,
+        tag = 'p' AND NOT junk AND fit AND size > 30 AS paragraph, tag = 'li' AND NOT junk AND fit AND size > 20 AND size < 200 AS list_item,
+        tag = 'p' AND fit AND size > 15 AS main FROM jk)"""
+
+
+@register(
+    "element_rules", "E2 E4 E5 E6 E7 E8 E9 E10",
+    f"WITH {SQL_MADE} SELECT doc_id, ord, junk, heading, link, raw_link, container, titled, paragraph, list_item, main FROM el",
+)
+def _(spark, folder):
+    return E.classified(made_elements(spark, folder)).select("doc_id", "ord", "junk", *E.PASSES)
+
+
+def _sql_passes() -> str:
+    """The passes one after the other, each with its gate, as the texts kept so far decide."""
+    gates = {"raw_link": 5, "paragraph": 5, "list_item": 5, "main": 10}
+    steps, kept = [], None
+    for name, number in E.PASSES.items():
+        gate = ""
+        if name in gates:
+            steps.append(f"n{number} AS (SELECT doc_id, count(DISTINCT text) AS n FROM s{kept} GROUP BY 1)")
+            gate = f" AND coalesce((SELECT n FROM n{number} WHERE n{number}.doc_id = el.doc_id), 0) < {gates[name]}"
+        before = f"SELECT * FROM s{kept} UNION ALL " if kept else ""
+        steps.append(f"s{number} AS ({before}SELECT doc_id, text, {number} AS pass, ord FROM el WHERE {name}{gate})")
+        kept = number
+    return ", ".join(steps)
+
+
+@register(
+    "gated_passes", "E11 E12 E14",
+    f"""WITH {SQL_MADE}, {_sql_passes()}, f AS (SELECT doc_id, text, min({{'p': pass, 'o': ord}}) AS place FROM s8 GROUP BY ALL)
+    SELECT doc_id, text, place.p::INTEGER AS pass, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::BIGINT AS pos,
+    count(*) OVER (PARTITION BY doc_id) AS n_lines FROM f""",
+)
+def _(spark, folder):
+    return E.gated_segments(E.classified(made_elements(spark, folder)), DOC)
+
+
 @register("page_segments", "E3 E7 E11 E12 E14")
 def _(spark, folder):
     return E.segments(html_pages(spark, folder), PAGE)
