@@ -177,13 +177,14 @@ def _(spark, folder):
 
 _LEX = ", ".join(f"('{w}', {p}::DOUBLE, {s}::DOUBLE, {i}::DOUBLE)" for w, p, s, i in LEXICON)
 _NEG = X.quoted([n for n in NEGATIONS])
-SQL_SENTIMENT = (
-    SQL_LINES
-    + f""", lex(word, p, s, f) AS (VALUES {_LEX}),
+
+
+def sql_sentiment(lexicon: str) -> str:
+    return SQL_LINES + f""", {lexicon},
     wd AS (SELECT doc_id, pos, w, unnest(range(1, len(w) + 1)) AS i FROM
         (SELECT doc_id, pos, regexp_extract_all(lower(text), '[{X.WORD}'']+') AS w FROM seg)),
     hit AS (SELECT doc_id, pos, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] ELSE '' END AS b1,
-        CASE WHEN i > 2 THEN w[i - 2] ELSE '' END AS b2 FROM wd WHERE w[i] IN ({X.quoted([r[0] for r in LEXICON])})),
+        CASE WHEN i > 2 THEN w[i - 2] ELSE '' END AS b2 FROM wd WHERE w[i] IN (SELECT word FROM lex)),
     sc AS (SELECT doc_id, pos, greatest(-1, least(1, l.p * coalesce(k.f, 1))) *
         CASE WHEN b1 IN ({_NEG}) OR (k.f IS NOT NULL AND b2 IN ({_NEG})) THEN -0.5 ELSE 1 END AS p,
         greatest(0, least(1, l.s * coalesce(k.f, 1))) AS s
@@ -194,7 +195,32 @@ SQL_SENTIMENT = (
         FROM seg LEFT JOIN ag USING (doc_id, pos)),
     bad AS (SELECT *, CASE sentiment_label WHEN 'Positive' THEN '🟩 Positive' WHEN 'Negative' THEN '🟥 Negative'
         ELSE '⬜ Neutral' END AS sentiment FROM sent)"""
+
+
+SQL_SENTIMENT = sql_sentiment(f"lex(word, p, s, f) AS (VALUES {_LEX})")
+# A lexicon table made of the benchmark's words; lengths give the numbers, so both engines agree.
+SQL_BENCH_LEXICON = f"""lex AS (SELECT word, ((length(word) % 7) - 3) / 4 AS p, (length(word) % 5) / 5 AS s,
+    CASE WHEN length(word) = 4 THEN 1.3::DOUBLE ELSE 1 END AS f FROM (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[{X.WORD}]+'))) AS word FROM benchmark))"""
+
+
+def bench_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    words = F.explode(F.regexp_extract_all("text", F.lit(f"[{X.WORD}]+"), F.lit(0)))
+    size = F.length("word")
+    return read_table(spark, folder, "benchmark").select(words.alias("raw")).select(F.lower("raw").alias("word")).distinct().select(
+        "word", ((size % 7 - 3) / 4).alias("polarity"), (size % 5 / 5).alias("subjectivity"),
+        F.when(size == 4, 1.3).otherwise(1.0).alias("intensity"),
+    )
+
+
+@register(
+    "sentiment_by_table", "T1 T2",
+    f"WITH {sql_sentiment(SQL_BENCH_LEXICON)} SELECT doc_id, pos, round(polarity, 6) AS polarity, "
+    "round(subjectivity, 6) AS subjectivity, sentiment_label FROM bad",
 )
+def _(spark, folder):
+    return S.score_by_table(lines(spark, folder), bench_lexicon(spark, folder), DOC).select(
+        "doc_id", "pos", F.round("polarity", 6).alias("polarity"), F.round("subjectivity", 6).alias("subjectivity"), "sentiment_label"
+    )
 
 
 @register(

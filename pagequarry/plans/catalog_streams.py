@@ -11,7 +11,7 @@ from pagequarry.operators import html as E
 from pagequarry.operators import segments as G
 from pagequarry.plans import report as RP
 from pagequarry.plans.catalog import DOC, docs, gazetteer, register
-from pagequarry.session import fresh_path
+from pagequarry.session import cut, fresh_path
 from pagequarry.sources import store
 from pagequarry.sources.tables import read_table
 from pagequarry.streaming import streams as ST
@@ -61,21 +61,32 @@ def _(spark, folder):
     return points.withColumn("avg_subjectivity", F.round("avg_subjectivity", 6))
 
 
+def page_subscribers(spark: SparkSession, folder: str) -> DataFrame:
+    """(url, user_id): users of the events table by the number of the page; every fourth page has none."""
+    users = read_table(spark, folder, "events").select(F.pmod("user_id", F.lit(7)).alias("slot"), "user_id").distinct()
+    users = users.groupBy("slot").agg(F.min("user_id").alias("user_id"))
+    pages = read_table(spark, folder, "pages").where("page_id % 4 <> 0").select("url", "page_id")
+    slots = F.explode(F.array((F.col("page_id") % 7), (F.col("page_id") * 3 + 1) % 7)).alias("slot")
+    return pages.select("url", slots).join(users, "slot").select("url", "user_id").distinct()
+
+
 @register("stream_reports", "ST1")
 def _(spark, folder):
-    """Page snapshots as they arrive: segments and status per url, one row per url and batch."""
-    snapshots = table_stream(spark, folder, "pages").withColumn("ts", F.lit(0))
+    """Page snapshots as they arrive: the whole report of every subscribed url, copied to its users."""
+    snapshots = table_stream(spark, folder, "pages").withColumn("ts", F.col("page_id"))
     base = fresh_path(spark, "reports")
+    names = gazetteer(spark, folder)
 
     def make(pages: DataFrame) -> DataFrame:
-        found = E.segments(pages, ["page_id"])
-        counts = found.groupBy("page_id").agg(F.count("*").alias("n_segments"))
-        joined = pages.select("page_id", "url").join(counts, "page_id", "left")
-        total = F.coalesce("n_segments", F.lit(0))
-        return joined.select("url", "page_id", total.alias("n_segments"), G.status_of(total, total).alias("status"))
-
-    ST.report_snapshots(snapshots, make, base).awaitTermination()
-    return spark.read.parquet(os.path.join(base, "reports")).drop("batch")
+        pages = cut(pages)
+        found = RP.stages(pages, E.segments(pages, ["url"]), names, ["url"], capitals=False)
+        packed = store.pack("sentiment_counts", "cluster_counts", "takeaways", "metrics", "entities", "graph")
+        return RP.report(found, ["url"]).select("url", "status", "total_items", "avg_subjectivity", packed.alias("results"))
+
+    ST.report_snapshots(snapshots, lambda: page_subscribers(spark, folder), make, base).awaitTermination()
+    copies = spark.read.parquet(os.path.join(base, "copies")).drop("batch")
+    failed = spark.read.parquet(os.path.join(base, "reports")).drop("batch").where("status <> 'ok'")
+    return copies.unionByName(failed.withColumn("user_id", F.lit(None).cast("bigint")))
 
 
 @register("page_report", "S6 S9 C6 T4 N12 K10 K11")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pagequarry.operators import history
 from pagequarry.operators.keys import Keys
 
 
@@ -29,19 +30,29 @@ def _start(writer, every: str | None) -> StreamingQuery:
 
 
 def report_snapshots(
-    snapshots: DataFrame, make_report: Callable[[DataFrame], DataFrame], base: str, every: str | None = None
+    snapshots: DataFrame,
+    subscriptions: Callable[[], DataFrame],
+    make_report: Callable[[DataFrame], DataFrame],
+    base: str,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Per micro-batch: every url once (its newest snapshot), reported and written.
+    """Per micro-batch: every subscribed url once (its newest snapshot), reported, and a copy of the
+    report for each subscriber.
 
-    A batch writes its own folder and overwrites it when it is run again, so a repeated batch adds
-    nothing twice. Pages that fail carry their status and do not stop the others.
+    ``subscriptions`` is asked anew for each batch: (url, user_id), as they are then. A batch writes
+    its own folders, ``reports`` with the status of every url and ``copies`` with those that went
+    well, and overwrites them when it is run again, so a repeated batch adds nothing twice. Pages
+    that fail carry their status and do not stop the others.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
+        subs = subscriptions()
         others = [c for c in rows.columns if c != "url"]
         newest = rows.groupBy("url").agg(F.max_by(F.struct(*others), F.struct("ts", "page_id")).alias("_row"))
-        report = make_report(newest.select("url", "_row.*"))
-        report.write.mode("overwrite").parquet(f"{base}/reports/batch={number}")
+        due = newest.join(history.due_urls(subs).select("url"), "url", "left_semi")
+        make_report(due.select("url", "_row.*")).write.mode("overwrite").parquet(f"{base}/reports/batch={number}")
+        report = rows.sparkSession.read.parquet(f"{base}/reports/batch={number}")
+        history.fan_in(report, subs).write.mode("overwrite").parquet(f"{base}/copies/batch={number}")
 
     writer = snapshots.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/progress")
     return _start(writer, every)

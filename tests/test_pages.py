@@ -14,6 +14,7 @@ from pagequarry.operators import keys as A
 from pagequarry.operators import retrieve as R
 from pagequarry.operators import silhouette as V
 from pagequarry.sources import store
+from pagequarry.plans import report as RP
 from pagequarry.streaming import streams as ST
 
 PAGE = ["page_id"]
@@ -224,3 +225,31 @@ def test_streams_equal_batch(spark, tmp_path):
     assert got == {r.user_id: r.ts for r in table.groupBy("user_id").agg(F.max("ts").alias("ts")).collect()}
     ST.append_series(stream(), str(tmp_path / "s")).awaitTermination()
     assert ST.read_series(spark, str(tmp_path / "s")).count() == 60
+
+
+def test_scheduled_reports_equal_batch(spark, tmp_path):
+    """Two batches: only subscribed urls, the newest snapshot of a batch, one copy per subscriber,
+    and a page that fails stops nobody."""
+    page = "<h1>Rivers carry water down to the wide sea</h1><p>{} burn fuel and turn the wheels all day long</p><p>Wheels turn when engines burn fuel in the night</p>"
+    schema = "page_id bigint, url string, html string, ts bigint"
+    first = [(1, "a", page.format("Engines"), 1), (2, "a", page.format("Motors"), 2), (3, "b", "<p>x</p>", 1), (4, "c", page.format("Cars"), 1)]
+    second = [(5, "a", page.format("Trains"), 3), (6, "d", page.format("Ships"), 3)]
+    source = str(tmp_path / "in")
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    subs = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("d", 3)], "url string, user_id bigint")
+    names = spark.createDataFrame([("Trains", "ORG")], "term string, label string")
+
+    def make(pages):
+        found = RP.stages(pages, E.segments(pages, ["url"]), names, ["url"])
+        return RP.report(found, ["url"]).select("url", "status", "total_items", "takeaways", "graph")
+
+    stream = ST.arrivals(spark, source, schema, files_per_batch=1)
+    ST.report_snapshots(stream, lambda: subs, make, str(tmp_path / "out")).awaitTermination()
+    told = spark.read.parquet(str(tmp_path / "out" / "reports"))
+    assert sorted((r.url, r.status) for r in told.collect()) == [("a", "ok"), ("a", "ok"), ("b", "no_content"), ("d", "ok")]
+    copies = spark.read.parquet(str(tmp_path / "out" / "copies"))
+    assert sorted((r.url, r.user_id) for r in copies.collect()) == [("a", 1), ("a", 1), ("a", 2), ("a", 2), ("d", 3)]
+    whole = make(spark.createDataFrame([second[0]], schema)).first()
+    last = max((r for r in told.where("url = 'a'").collect()), key=lambda r: len(r.graph.nodes))
+    assert last.graph == whole.graph and last.total_items == whole.total_items and len(whole.graph.nodes) == 1
