@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import text as X
 from pagequarry.functions.fixed import HEADING_TAGS, IGNORED_PHRASES, LABEL_CATEGORY, LEXICON, NEGATIONS, STOP_WORDS
 from pagequarry.operators import clean as C
+from pagequarry.operators import compare as P
 from pagequarry.operators import entities as N
 from pagequarry.operators import segments as G
 from pagequarry.operators import sentiment as S
@@ -197,7 +198,8 @@ def sql_sentiment(lexicon: str) -> str:
         ELSE '⬜ Neutral' END AS sentiment FROM sent)"""
 
 
-SQL_SENTIMENT = sql_sentiment(f"lex(word, p, s, f) AS (VALUES {_LEX})")
+SQL_LEXICON = f"lex(word, p, s, f) AS (VALUES {_LEX})"
+SQL_SENTIMENT = sql_sentiment(SQL_LEXICON)
 # A lexicon table made of the benchmark's words; lengths give the numbers, so both engines agree.
 SQL_BENCH_LEXICON = f"""lex AS (SELECT word, ((length(word) % 7) - 3) / 4 AS p, (length(word) % 5) / 5 AS s,
     CASE WHEN length(word) = 4 THEN 1.3::DOUBLE ELSE 1 END AS f FROM (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[{X.WORD}]+'))) AS word FROM benchmark))"""
@@ -365,15 +367,21 @@ def _(spark, folder):
     return page_mentions(spark, folder, capitals=True)
 
 
-@register(
-    "top_entities", "N6 P5",
-    f"""WITH {SQL_MENTIONS}, e AS (SELECT doc_id, category, name, count(*) AS n, min({{'s': sentence, 'p': pos}}) AS f FROM me GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY n DESC, f, name)::INTEGER AS rank FROM e)
-    SELECT doc_id, category, name, n, rank, rank <= 2 AS compact FROM r WHERE rank <= 5""",
+SQL_TOP_ENTITIES = (
+    SQL_MENTIONS
+    + """, e AS (SELECT doc_id, category, name, count(*) AS n, min({'s': sentence, 'p': pos}) AS f FROM me GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY n DESC, f, name)::INTEGER AS rank FROM e)"""
 )
+
+
+@register("top_entities", "N6", f"WITH {SQL_TOP_ENTITIES} SELECT doc_id, category, name, n, rank FROM r WHERE rank <= 5")
+def _(spark, folder):
+    return N.top_entities(page_mentions(spark, folder), DOC)
+
+
+@register("compact_entities", "P5", f"WITH {SQL_TOP_ENTITIES} SELECT doc_id, category, name, n, rank FROM r WHERE rank <= 2")
 def _(spark, folder):
-    top = N.top_entities(page_mentions(spark, folder), DOC)
-    return top.withColumn("compact", F.col("rank") <= 2)
+    return P.compact_entities(N.top_entities(page_mentions(spark, folder), DOC))
 
 
 @register("entity_nodes", "N7 N9", f"WITH {SQL_NODES} SELECT doc_id, name, category, n, title, rank FROM tn")

@@ -25,10 +25,15 @@ from pagequarry.plans.catalog import (
     page_mentions,
     register,
 )
+from pagequarry.plans import report as RP
+from pagequarry.plans.catalog import SQL_LEXICON, SQL_LINES, sql_sentiment
+from pagequarry.plans.catalog_topics import SQL_PICKS, SQL_TOPICS, given_labels, picked
 from pagequarry.session import fresh_path
 from pagequarry.sources import store
 from pagequarry.sources.tables import read_table
 
+SQL_SCORED = sql_sentiment(SQL_LEXICON).replace(SQL_LINES + ", ", "")
+
 # ---------------------------------------------------------------- history and subscriptions
 
 
@@ -181,14 +186,17 @@ def _(spark, folder):
 
 @register(
     "store_records", "S2",
-    f"""WITH {SQL_SENTIMENT}, {SQL_CLEAN.replace(SQL_CLEAN.split(', cl AS')[0] + ', ', '')}
-    SELECT source, c.doc_id, c.pos, c.text, b.sentiment, c.cleaned FROM cl c JOIN bad b ON b.doc_id = c.doc_id AND b.pos = c.pos
+    f"""WITH {SQL_TOPICS}, {SQL_SCORED}
+    SELECT source, c.doc_id, c.pos, c.text, l.cluster, n.cluster_name, b.sentiment, c.cleaned FROM cl c JOIN bad b ON b.doc_id = c.doc_id AND b.pos = c.pos
+    JOIN lb l ON l.doc_id = c.doc_id AND l.pos = c.pos JOIN names n ON n.doc_id = l.doc_id AND n.cluster = l.cluster
     JOIN documents d ON d.doc_id = c.doc_id""",
 )
 def _(spark, folder):
-    sites = docs(spark, folder, "source").select("doc_id", "source")
-    records = S.score(cleaned(spark, folder)).join(sites, "doc_id")
-    records = records.select("source", "doc_id", "pos", "text", "sentiment", "cleaned")
+    # Topics are given by a rule on the segment, names come from their centroids.
+    _rows, wt, labels = given_labels(spark, folder)
+    names = K.topic_names(labels, K.centroid_terms(wt, labels, DOC), DOC)
+    named = K.named_topics(labels.withColumn("optimal_k", F.lit(3)), names, DOC)
+    records = RP.records(S.score(cleaned(spark, folder, "source")), named, DOC, "source")
     path = fresh_path(spark, "records")
     store.write_records(records, path, "source")
     return spark.read.schema(records.schema).parquet(path)
@@ -203,14 +211,13 @@ def _(spark, folder):
 
 @register(
     "store_workbook", "S5",
-    f"""WITH {SQL_CLEAN}, f AS (SELECT text FROM cl QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1)
-    SELECT 'summary' AS sheet, text FROM f UNION ALL SELECT 'clustered', text FROM cl""",
+    f"""WITH RECURSIVE {SQL_PICKS} SELECT 'summary' AS sheet, picks[-1] AS text FROM g WHERE pos IS NOT NULL
+    UNION ALL SELECT 'clustered', text FROM cl""",
 )
 def _(spark, folder):
     rows = cleaned(spark, folder)
-    first = A.top_n(rows, DOC, [F.col("pos")], 1).select("doc_id", "text")
     path = fresh_path(spark, "workbook")
-    store.write_workbook(first, rows.select("doc_id", "pos", "text"), path)
+    store.write_workbook(picked(spark, folder).select("doc_id", "text"), rows.select("doc_id", "pos", "text"), path)
     summary = store.read_csv(spark, f"{path}/summary", "text STRING")
     clustered = store.read_csv(spark, f"{path}/clustered", "doc_id BIGINT, pos BIGINT, text STRING")
     return summary.select(F.lit("summary").alias("sheet"), "text").union(
@@ -298,13 +305,9 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("cluster", (F.length("cleaned") % 4).cast("int"))
 
 
-SQL_RESULTS = (
-    SQL_SENTIMENT
-    + ", "
-    + SQL_CLEAN.split("FROM documents)), ", 1)[1]
-    + """, res AS (SELECT c.doc_id, c.pos, c.text, c.cleaned, (length(c.cleaned) % 4)::INTEGER AS cluster, b.sentiment
+SQL_RES = """res AS (SELECT c.doc_id, c.pos, c.text, c.cleaned, (length(c.cleaned) % 4)::INTEGER AS cluster, b.sentiment
         FROM cl c JOIN bad b ON b.doc_id = c.doc_id AND b.pos = c.pos)"""
-)
+SQL_RESULTS = f"{SQL_CLEAN}, {SQL_SCORED}, {SQL_RES}"
 
 
 def sql_has_words(query: str) -> str:
@@ -355,16 +358,14 @@ def _(spark, folder):
 
 @register(
     "filter_takeaway", "D6",
-    f"""WITH {SQL_RESULTS}, q AS (SELECT doc_id, trim(regexp_replace(array_to_string(string_split(text, ' ')[1:5], ' '),
-        '[^A-Za-z0-9_\\s]', '', 'g')) AS query FROM res QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1)
-    SELECT doc_id, query, pos FROM q JOIN res USING (doc_id) WHERE {sql_has_words('query')}""",
+    f"""WITH RECURSIVE {SQL_PICKS}, {SQL_SCORED}, {SQL_RES}, q AS (SELECT doc_id, len(picks)::INTEGER AS rank,
+        trim(regexp_replace(array_to_string(string_split(picks[-1], ' ')[1:5], ' '), '[^A-Za-z0-9_\\s]', '', 'g')) AS query FROM g WHERE pos IS NOT NULL)
+    SELECT doc_id, rank, query, pos FROM q JOIN res USING (doc_id) WHERE {sql_has_words('query')}""",
 )
 def _(spark, folder):
-    rows = results(spark, folder)
-    first = A.top_n(rows, DOC, [F.col("pos")], 1)
-    queries = first.select("doc_id", D.takeaway_query(F.col("text")).alias("query"))
-    found = queries.join(rows, "doc_id").where(D.has_words(F.col("query"), *SHOWN))
-    return found.select("doc_id", "query", "pos")
+    queries = picked(spark, folder).select("doc_id", "rank", D.takeaway_query(F.col("text")).alias("query"))
+    found = queries.join(results(spark, folder), "doc_id").where(D.has_words(F.col("query"), *SHOWN))
+    return found.select("doc_id", "rank", "query", "pos")
 
 
 @register(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import text as X
 from pagequarry.functions.fixed import CHAT_PROMPT, FACT_CHECK_PROMPT, JUNK_CONTAINERS, JUNK_FRAGMENTS, TITLE_WORDS
 from pagequarry.operators import clean as C
+from pagequarry.operators import compare as P
 from pagequarry.operators import html as E
 from pagequarry.operators import neardup as ND
 from pagequarry.operators import retrieve as R
@@ -243,26 +244,42 @@ def _dense(spark, folder):
     return W.segment_density(rows, wt, DOC).join(W.usable_pages(rows, DOC), DOC, "left_semi")
 
 
-@register("takeaways", "K11 P5")
+@register("takeaways", "K11")
 def _(spark, folder):
     return K.takeaways(_dense(spark, folder), DOC)
 
 
-@register(
-    "takeaways_levenshtein", "K11 P5",
-    f"""WITH RECURSIVE {SQL_DENSITY},
+SQL_PICKS = f"""{SQL_DENSITY},
     g AS (SELECT doc_id, 0::BIGINT AS r, []::VARCHAR[] AS picks, NULL::BIGINT AS pos FROM (SELECT DISTINCT doc_id FROM able)
         UNION ALL SELECT doc_id, r, CASE WHEN skip THEN picks ELSE list_append(picks, text) END, CASE WHEN skip THEN NULL ELSE pos END
         FROM (SELECT g.doc_id, g.picks, a.r, a.pos, a.text, len(list_filter(g.picks, lambda k:
             1.0::DOUBLE - levenshtein(k, a.text)::DOUBLE / greatest(strlen(k), strlen(a.text)) > 0.6::DOUBLE)) > 0 AS skip
-            FROM g JOIN able a ON a.doc_id = g.doc_id AND a.r = g.r + 1 WHERE len(g.picks) < 3))
-    SELECT doc_id, len(picks)::INTEGER AS rank, pos FROM g WHERE pos IS NOT NULL""",
+            FROM g JOIN able a ON a.doc_id = g.doc_id AND a.r = g.r + 1 WHERE len(g.picks) < 3))"""
+
+
+@register(
+    "takeaways_levenshtein", "K11",
+    f"WITH RECURSIVE {SQL_PICKS} SELECT doc_id, len(picks)::INTEGER AS rank, pos FROM g WHERE pos IS NOT NULL",
 )
 def _(spark, folder):
-    # Longer than 50 characters is decided on the text, similarity on its bytes as in the SQL.
+    return picked(spark, folder).select("doc_id", "rank", "pos")
+
+
+def picked(spark: SparkSession, folder: str) -> DataFrame:
+    """Takeaways by Levenshtein: doc_id, rank, pos, text. Longer than 50 characters is decided on the
+    text, similarity on its bytes as in the SQL."""
     dense = _dense(spark, folder).where(F.length("text") > 50)
     as_bytes = dense.withColumn("text", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
-    return K.takeaways(as_bytes, DOC, measure="levenshtein").select("doc_id", "rank", "pos")
+    found = K.takeaways(as_bytes, DOC, measure="levenshtein")
+    return found.withColumn("text", F.decode(F.encode("text", "ISO-8859-1"), "UTF-8"))
+
+
+@register(
+    "compact_takeaways", "P5",
+    f"WITH RECURSIVE {SQL_PICKS} SELECT doc_id, len(picks)::INTEGER AS rank, picks[-1] AS text FROM g WHERE pos IS NOT NULL AND len(picks) <= 2",
+)
+def _(spark, folder):
+    return P.compact_takeaways(picked(spark, folder), 2).select("doc_id", "rank", "text")
 
 
 # ---------------------------------------------------------------- retrieval

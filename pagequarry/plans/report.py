@@ -58,11 +58,11 @@ def stages(pages: DataFrame, segments: DataFrame, gazetteer: DataFrame, by: Keys
     )
 
 
-def records(s: Stages, by: Keys) -> DataFrame:
+def records(rows: DataFrame, named: DataFrame, by: Keys, *extra: str) -> DataFrame:
     """Result records: text, cluster, sentiment, cleaned."""
-    topics = s.named.select(*by, "pos", "cluster", "cluster_name")
-    return s.rows.join(topics, [*by, "pos"]).select(
-        *by, "pos", "text", "cluster", "cluster_name", "sentiment", "cleaned"
+    topics = named.select(*by, "pos", "cluster", "cluster_name")
+    return rows.join(topics, [*by, "pos"]).select(
+        *extra, *by, "pos", "text", "cluster", "cluster_name", "sentiment", "cleaned"
     )
 
 

@@ -15,12 +15,3 @@ API_FIELDS = [
     "url", "total_items", "processing_time_sec", "human_time_mins",
     "takeaways", "cluster_counts", "metrics", "avg_subjectivity",
 ]
-
-
-def require(df, columns: str):
-    """Check at a stage's entry that the named columns are there, and keep only them."""
-    names = [part.strip().split(" ")[0] for part in columns.split(",")]
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*names)
