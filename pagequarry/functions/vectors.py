@@ -128,8 +128,18 @@ def sweep(inner: np.ndarray, race: np.ndarray) -> tuple[np.ndarray, int, float |
     return chosen, best_k, dict(seen).get(best_k), seen, all_settled
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All Euclidean distances, some rows of ``x`` at a time, so that differences take tens of megabytes
+    whatever the dimension."""
+    out = np.empty((len(x), len(y)))
+    step = max(1, 4_000_000 // max(y.size, 1))
+    for i in range(0, len(x), step):
+        out[i : i + step] = np.sqrt(((x[i : i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+    return out
+
+
 def nearest(questions: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, distances) of the k nearest rows per question; equal distances go by id."""
-    dist = np.sqrt(((questions[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2))
+    dist = distances(questions, rows)
     order = np.lexsort((np.broadcast_to(ids, dist.shape), dist), axis=1)[:, :k]
     return ids[order], np.take_along_axis(dist, order, axis=1)

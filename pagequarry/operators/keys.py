@@ -86,3 +86,20 @@ def array_parts(df: DataFrame, by: Keys, value: str, pos: str = "pos", width: in
         .agg(items.alias("_items"))
         .select(*by, "part", F.transform("_items", lambda x: x[value]).alias("items"))
     )
+
+
+def block_sizes(df: DataFrame, by: Keys, block: int) -> DataFrame:
+    """(key, parts): in how many blocks of about ``block`` rows a key goes."""
+    return df.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+
+
+def in_blocks(df: DataFrame, by: Keys, row_id: str, sizes: DataFrame) -> DataFrame:
+    """Add ``parts`` and the row's block ``part``, 0 .. parts - 1, by hash of its id: blocks are even
+    whatever the ids look like."""
+    return df.join(sizes, list(by)).withColumn("part", F.pmod(F.xxhash64(row_id), F.col("parts")).cast("int"))
+
+
+def every_part(parts: str = "parts") -> Column:
+    """One row per block of the other side; each block lists its partners itself, so no task makes
+    all pairs of a key."""
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))

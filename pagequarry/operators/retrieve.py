@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import text as X
 from pagequarry.functions import vectors
 from pagequarry.functions.fixed import CHAT_PROMPT, COMPARE_PROMPT, FACT_CHECK_PROMPT, STOP_WORDS
-from pagequarry.operators.keys import Keys, joined_text, top_n
+from pagequarry.operators.keys import Keys, block_sizes, every_part, in_blocks, joined_text, top_n
 
 TOP_K = 7
 
@@ -43,12 +43,12 @@ def nearest(
     spread, and top-k is cut again on the map side before the final shuffle.
     """
     keys = list(by)
-    left = _blocks(questions, by, question_id, block).withColumnsRenamed(
-        {"part": "question_part", "ids": "question_ids", "rows": "question_rows"}
+    sizes = block_sizes(texts, by, block)
+    left = _blocks(questions, by, question_id, block_sizes(questions, by, block)).drop("part").withColumnsRenamed(
+        {"ids": "question_ids", "rows": "question_rows"}
     )
-    right = _blocks(texts, by, text_id, block)
-    meet = left.select(*by, "question_part").join(right.select(*by, "part"), keys)
-    pairs = meet.join(left, [*keys, "question_part"]).join(right, [*keys, "part"])
+    right = _blocks(texts, by, text_id, sizes)
+    pairs = left.join(sizes, keys).withColumn("part", every_part()).join(right, [*keys, "part"])
 
     @F.pandas_udf("array<struct<question: bigint, text: bigint, dist: double>>")
     def best(q_ids: pd.Series, q_rows: pd.Series, ids: pd.Series, rows: pd.Series) -> pd.Series:
@@ -71,9 +71,9 @@ def nearest(
     return ranked.withColumnsRenamed({"question": question_id, "text": text_id})
 
 
-def _blocks(df: DataFrame, by: Keys, row_id: str, block: int) -> DataFrame:
-    """Rows packed by id range: at most ``block`` distinct ids per (key, part)."""
-    return df.groupBy(*by, F.floor(F.col(row_id) / block).alias("part")).agg(
+def _blocks(df: DataFrame, by: Keys, row_id: str, sizes: DataFrame) -> DataFrame:
+    """Rows packed into the blocks of their key."""
+    return in_blocks(df, by, row_id, sizes).groupBy(*by, "part").agg(
         F.collect_list(row_id).alias("ids"), F.collect_list("embedding").alias("rows")
     )
 

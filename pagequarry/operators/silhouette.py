@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.operators.keys import Keys, small_side
+from pagequarry.functions import vectors
+from pagequarry.operators.keys import Keys, block_sizes, every_part, in_blocks, small_side
 
 # A key's packed centres are a few kilobytes; up to this many keys are broadcast.
 PACKED_KEYS = 2000
@@ -51,22 +52,20 @@ def cluster_distances(rows: DataFrame, by: Keys, row_id: str, block: int = 512)
     Block pairs are computed as array operations and leave only one sum per row and cluster.
     """
     keys = list(by)
-    blocks = rows.groupBy(*by, F.floor(F.col(row_id) / block).alias("part")).agg(
+    placed = in_blocks(rows, by, row_id, block_sizes(rows, by, block))
+    blocks = placed.groupBy(*by, "parts", "part").agg(
         F.collect_list(F.struct(F.col(row_id).alias("id"), F.col("cluster"))).alias("tags"),
         F.collect_list("embedding").alias("rows"),
     )
-    parts = blocks.select(*by, "part")
-    meet = parts.join(parts.withColumnRenamed("part", "other"), keys)
-    pairs = meet.join(blocks, [*keys, "part"]).join(
-        blocks.withColumnsRenamed({"part": "other", "tags": "other_tags", "rows": "other_rows"}), [*keys, "other"]
-    )
+    others = blocks.drop("parts").withColumnsRenamed({"part": "other", "tags": "other_tags", "rows": "other_rows"})
+    pairs = blocks.withColumn("other", every_part()).join(others, [*keys, "other"])
 
     @F.pandas_udf("array<struct<id: bigint, own: int, cluster: int, total: double>>")
     def sums(ids: pd.Series, own: pd.Series, left: pd.Series, codes: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for i, o, a, c, b in zip(ids, own, left, codes, right):
             x, y, c = np.stack(a).astype(float), np.stack(b).astype(float), np.asarray(c)
-            dist = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+            dist = vectors.distances(x, y)
             found = []
             for k in np.unique(c):
                 total = dist[:, c == k].sum(axis=1)

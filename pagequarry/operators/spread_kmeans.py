@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import vectors
-from pagequarry.operators.keys import Keys, top_n
+from pagequarry.operators.keys import Keys, block_sizes, every_part, in_blocks, top_n
 from pagequarry.session import cut
 
 RUN = ["k", "restart"]
@@ -229,15 +229,13 @@ def _scores(points: DataFrame, labels: DataFrame, by: Keys, block: int) -> DataF
     keys = list(by)
     tags = labels.groupBy(*by, "pos").agg(F.map_from_entries(F.collect_list(F.struct("k", "cluster"))).alias("tags"))
     rows = points.select(*by, "pos", "terms", "ws").join(tags, [*keys, "pos"])
-    blocks = rows.groupBy(*by, F.floor(F.col("pos") / block).alias("part")).agg(
+    placed = in_blocks(rows, by, "pos", block_sizes(rows, by, block))
+    blocks = placed.groupBy(*by, "parts", "part").agg(
         F.sort_array(F.collect_list(F.struct("pos", "terms", "ws", F.map_entries("tags").alias("tags")))).alias("rows")
     )
     blocks = cut(blocks)
-    parts = blocks.select(*by, "part")
-    meet = parts.join(parts.withColumnRenamed("part", "other"), keys)
-    pairs = meet.join(blocks, [*keys, "part"]).join(
-        blocks.withColumnsRenamed({"part": "other", "rows": "other_rows"}), [*keys, "other"]
-    )
+    others = blocks.drop("parts").withColumnsRenamed({"part": "other", "rows": "other_rows"})
+    pairs = blocks.withColumn("other", every_part()).join(others, [*keys, "other"])
 
     @F.pandas_udf("array<struct<pos: bigint, k: int, own: int, cluster: int, total: double>>")
     def sums(left: pd.Series, right: pd.Series) -> pd.Series:

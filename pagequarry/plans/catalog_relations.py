@@ -278,7 +278,7 @@ def _(spark, folder):
         F.struct(F.lit(None).cast("double").alias("silhouette"), F.lit(1).alias("optimal_k")).alias("metrics"),
         F.round("avg_subjectivity", 6).alias("avg_subjectivity"),
     )
-    packed = full.select("id", "url", store.pack(*store.schemas.API_FIELDS).alias("record"))
+    packed = store.api_record(full, "id")
     fields = "total_items BIGINT, avg_subjectivity DOUBLE, human_time_mins DOUBLE"
     opened = packed.withColumn("n_fields", F.size(F.json_object_keys("record")).cast("bigint"))
     return store.unpack(opened, fields, "record")

@@ -60,6 +60,6 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.HISTORY_FILE).parquet(path)
 
 
-def api_record(reports: DataFrame) -> DataFrame:
-    """The compact record as JSON, eight named fields."""
-    return reports.select("url", pack(*schemas.API_FIELDS).alias("record"))
+def api_record(reports: DataFrame, *keys: str) -> DataFrame:
+    """The compact record as JSON, eight named fields, beside the url and ``keys``."""
+    return reports.select(*keys, "url", pack(*schemas.API_FIELDS).alias("record"))
