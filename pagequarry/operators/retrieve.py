@@ -14,14 +14,36 @@ from pyspark.sql import functions as F
 from pagequarry.functions import text as X
 from pagequarry.functions import vectors
 from pagequarry.functions.fixed import CHAT_PROMPT, COMPARE_PROMPT, FACT_CHECK_PROMPT, STOP_WORDS
-from pagequarry.operators.keys import Keys, block_sizes, every_part, in_blocks, joined_text, top_n
+from pagequarry.operators.keys import Keys, block_sizes, computed, every_part, in_blocks, joined_text, top_n
 
 TOP_K = 7
 
 
-def encode(texts: DataFrame, text: str = "text", size: int = 256, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
-    """Add ``embedding``: hashed word counts of unit length. A model's own column serves as well."""
+def encode(
+    texts: DataFrame,
+    text: str = "text",
+    size: int = 256,
+    stop_words: Sequence[str] = tuple(STOP_WORDS),
+    portable: bool = False,
+) -> DataFrame:
+    """Add ``embedding``: hashed word counts of unit length. A model's own column serves as well.
+
+    ``portable`` takes the buckets from MD5, which other engines have too, instead of Spark's own hash.
+    """
     words = texts.withColumn("_w", X.without(X.tokens(F.col(text)), stop_words))
+    if portable:
+        bucket = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % size
+        # Each step is worked out once per row.
+        slots = computed(words, _b=F.array_sort(F.transform("_w", bucket)))
+        slots = computed(slots, _d=F.array_distinct("_b"))
+        slots = computed(slots, _c=F.transform("_d", lambda d: F.size(F.filter("_b", lambda x: x == d)).cast("double")))
+        slots = computed(slots, _l=F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, c: s + c * c)))
+        held = lambda b: F.try_element_at("_c", F.array_position("_d", b).cast("int"))
+        dense = F.transform(
+            F.sequence(F.lit(0), F.lit(size - 1)),
+            lambda b: F.when(F.array_contains("_d", b.cast("bigint")), held(b.cast("bigint")) / F.col("_l")).otherwise(0.0),
+        )
+        return slots.withColumn("embedding", dense).drop("_w", "_b", "_d", "_c", "_l")
     hashed = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=size).transform(words)
     unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(hashed)
     return unit.withColumn("embedding", vector_to_array("_unit")).drop("_w", "_tf", "_unit")

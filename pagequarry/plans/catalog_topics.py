@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as X
-from pagequarry.functions.fixed import CHAT_PROMPT, FACT_CHECK_PROMPT, JUNK_CONTAINERS, JUNK_FRAGMENTS, TITLE_WORDS
+from pagequarry.functions.fixed import CHAT_PROMPT, FACT_CHECK_PROMPT, JUNK_CONTAINERS, JUNK_FRAGMENTS, STOP_WORDS, TITLE_WORDS
 from pagequarry.operators import clean as C
 from pagequarry.operators import compare as P
 from pagequarry.operators import html as E
@@ -361,6 +361,19 @@ def _(spark, folder):
     return R.chat_prompts(rows, F.length("context") > 10000).select("question_id", "prompt")
 
 
+@register(
+    "text_vectors", "R1",
+    f"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[{X.WORD}]{{2,}}'), lambda t: t NOT IN ({X.quoted(STOP_WORDS)})) AS w FROM conversations),
+    b AS (SELECT conv_id, turn, ('0x' || substr(md5(unnest(w)), 1, 8))::BIGINT % 256 AS bucket FROM w),
+    c AS (SELECT conv_id, turn, bucket, count(*) AS n FROM b GROUP BY ALL)
+    SELECT conv_id, turn, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 6) AS weight FROM c""",
+)
+def _(spark, folder):
+    turns = R.encode(read_table(spark, folder, "conversations"), portable=True)
+    spelled = turns.select("conv_id", "turn", F.posexplode("embedding").alias("bucket", "weight")).where("weight > 0")
+    return spelled.select("conv_id", "turn", F.col("bucket").cast("bigint").alias("bucket"), F.round("weight", 6).alias("weight"))
+
+
 @register("hashed_retrieval", "R1 R2")
 def _(spark, folder):
     """User turns against the assistant turns of the same conversation, by hashed word vectors."""
