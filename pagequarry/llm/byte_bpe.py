@@ -46,7 +46,7 @@ class ByteBpe:
         ranks = {bytes(BYTE_OF[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in added}
         self.kind = np.dtype("<u2") if max(spec["model"]["vocab"].values()) < 1 << 16 else np.dtype("<u4")
         self.fast = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self.words = Memo(self._word, most=600_000)
+        self.words = Memo(self._word, most=300_000)
 
     def _word(self, word: str) -> bytes:
         return np.array(self.fast.encode_ordinary(word), self.kind).tobytes()

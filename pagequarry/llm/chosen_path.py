@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import few_rows, row_key, slices, stash, worker_cache
+from pagequarry.llm.common import few_rows, map_batches, row_key, slices, stash, worker_cache
 from pagequarry.llm.components import components
 from pagequarry.llm.sp_model import Memo
 
@@ -64,7 +64,7 @@ def signature(sets: np.ndarray) -> np.ndarray:
 def _hasher():
     cache = worker_cache("shingles")
     if "words" not in cache:
-        cache["words"] = Memo(_word_hash, most=500_000)
+        cache["words"] = Memo(_word_hash, most=150_000)
     return cache["words"].__getitem__
 
 
@@ -87,7 +87,7 @@ def signatures(source: DataFrame, width: int) -> DataFrame:
             )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, key bigint, digest binary, n bigint, sig binary")
+    return map_batches(source, run, f"doc_id {kind}, key bigint, digest binary, n bigint, sig binary")
 
 
 # ---------------------------------------------------------------- paths
@@ -327,7 +327,7 @@ def jaccard_join(
             # Another text with the same key is no member.
             yield out.filter(pa.array([a == b for a, b in zip(right, batch.column("digest").to_pylist())]))
 
-    spelled_sets = needed.mapInArrow(spelled, "digest binary, set binary").dropDuplicates(["digest"])
+    spelled_sets = map_batches(needed, spelled, "digest binary, set binary").dropDuplicates(["digest"])
     placed = members.select("component", "blocks", "block", "digest", "node", "weight").join(spelled_sets, "digest")
     others = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = others.select(
@@ -337,7 +337,7 @@ def jaccard_join(
         "block", "node", "weight", "set",
     ).repartition("group", "first", "second").sortWithinPartitions("group", "first", "second")
     compared = stash(
-        paired.mapInArrow(lambda b: _compare(b, similarity), "u bigint, v bigint, links bigint"), "compared"
+        map_batches(paired, lambda b: _compare(b, similarity), "u bigint, v bigint, links bigint"), "compared"
     )
     classes = components(compared.where("v IS NOT NULL").select("u", "v"))
     links = compared.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +16,8 @@ from pyspark.sql import functions as F
 
 from pagequarry.session import fresh_path
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,6 +77,36 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
 
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker process, so that compiled tables are
-    shared by the tasks that the process runs one after the other."""
-    home = sys.modules.setdefault("_pagequarry_llm_cache", types.ModuleType("_pagequarry_llm_cache"))
-    return home.__dict__.setdefault(name, {})
+    shared by the tasks that the process runs one after the other. A worker keeps one operator's
+    tables only: asking for another name lets the former go."""
+    home = sys.modules.setdefault("_pagequarry_llm_cache", types.ModuleType("_pagequarry_llm_cache")).__dict__
+    if "held" not in home or name not in home["held"]:
+        home["held"] = {name: {}}
+    return home["held"][name]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker stays alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable, schema, rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` for tables of texts: small Arrow batches, and memory given back after a task.
+
+    Lowers the session's rows per Arrow batch if they are more than ``rows``; nothing else of the
+    session is changed.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ARROW_ROWS)) <= rows:
+        conf.set(ARROW_ROWS, str(rows))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)

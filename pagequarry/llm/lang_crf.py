@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import held_out, slices, worker_cache
+from pagequarry.llm.common import held_out, map_batches, slices, worker_cache
 
 NO_LANGUAGE = "und"
 # The bounds of the sample that the model is fitted on: documents in all, and bytes of one.
@@ -308,4 +308,4 @@ def identify(
             T.StructField("switches", T.LongType()),
         ]
     )
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS text").mapInArrow(run, schema)
+    return map_batches(docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS text"), run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.llm import byte_bpe
-from pagequarry.llm.common import slices, stash, worker_cache
+from pagequarry.llm.common import map_batches, slices, stash, worker_cache
 
 WINDOW = 2048
 # Sources with a queue of their own; where there are more, sources share this many queues by hash.
@@ -161,7 +161,9 @@ def tokenised(docs: DataFrame, queue, tokenizer: bytes, end_id: int, text: str,
             T.StructField("ids", T.BinaryType()),
         ]
     )
-    return docs.select(F.col(id_col).alias("id"), queue.alias("queue"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return map_batches(
+        docs.select(F.col(id_col).alias("id"), queue.alias("queue"), F.col(text).alias("text")), run, schema
+    )
 
 
 def pack(
@@ -241,7 +243,7 @@ def pack(
     placed = held.join(bases, ["queue", "part"]).select(
         "doc_id", "queue", (F.col("base") + F.col("before")).alias("base"), "n", "ids"
     )
-    return placed.mapInArrow(cut, schema)
+    return map_batches(placed, cut, schema)
 
 
 def _narrow(tokenizer: bytes) -> bool:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import slices, worker_cache
+from pagequarry.llm.common import map_batches, slices, worker_cache
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
@@ -144,7 +144,7 @@ def find(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
         [T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]
     )
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("spans", T.ArrayType(span))])
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS text").mapInArrow(_run, schema)
+    return map_batches(docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS text"), _run, schema)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -177,4 +177,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = [batch.column(i) if i != at else pa.array(new, batch.schema.field(at).type) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

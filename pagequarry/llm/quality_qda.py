@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import held_out, slices, stash
+from pagequarry.llm.common import held_out, map_batches, slices, stash
 
 # Classes of UTF-8 bytes that are counted.
 LOWER, UPPER, DIGIT, BLANK, BREAK, STOP, SYMBOL, HIGH = range(8)
@@ -134,7 +134,7 @@ def features(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("features", T.ArrayType(T.DoubleType()))]
     )
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS text").mapInArrow(run, schema)
+    return map_batches(docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS text"), run, schema)
 
 
 def fit(measured: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant:
@@ -201,4 +201,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: st
             x = np.array([statistics(t or "") for t in batch.column(text).to_pylist()])
             yield batch.filter(pa.array(model.scores(x) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

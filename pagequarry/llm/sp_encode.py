@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import slices, worker_cache
+from pagequarry.llm.common import map_batches, slices, worker_cache
 from pagequarry.llm.sp_model import Memo, PieceModel, load
 
 SLICE_BYTES = 4 << 20
@@ -59,7 +59,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", id_col: str = "doc
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache("encoders")
         if "encoder" not in cache or cache["of"] != hash(shared.value):
-            cache["encoder"], cache["of"] = Encoder(load(shared.value, worker_cache("models"))), hash(shared.value)
+            cache["encoder"], cache["of"] = Encoder(load(shared.value, {})), hash(shared.value)
         encoder = cache["encoder"]
         for batch in slices(batches, "text", SLICE_BYTES):
             found = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
@@ -85,4 +85,4 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", id_col: str = "doc
             T.StructField("decoded", T.StringType()),
         ]
     )
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS text").mapInArrow(encoded, schema)
+    return map_batches(docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS text"), encoded, schema)

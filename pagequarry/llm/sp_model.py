@@ -128,7 +128,7 @@ class Memo(dict):
     """Values by unit, made on first sight. Beyond ``most`` entries, or for long units, a value is
     made anew each time, so the table stays bounded."""
 
-    def __init__(self, make: Callable, most: int = 600_000, longest: int = 64):
+    def __init__(self, make: Callable, most: int = 500_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 

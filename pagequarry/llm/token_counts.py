@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import slices, worker_cache
+from pagequarry.llm.common import map_batches, slices, worker_cache
 from pagequarry.llm.sp_model import Memo, load
 
 CHUNK_CHARS = 1 << 16
@@ -94,7 +94,7 @@ def count_tokens(
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache("transducers")
         if "machine" not in cache or cache["of"] != hash(shared.value):
-            cache["machine"], cache["of"] = Transducer(load(shared.value, worker_cache("models"))), hash(shared.value)
+            cache["machine"], cache["of"] = Transducer(load(shared.value, {})), hash(shared.value)
         machine = cache["machine"]
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
@@ -108,4 +108,4 @@ def count_tokens(
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
     )
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS text").mapInArrow(counted, schema)
+    return map_batches(docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS text"), counted, schema)
