@@ -161,7 +161,7 @@ def test_trigram_queries():
     assert secrets_index.trigram_query("[0-9a-f]{32,}") is None
     assert secrets_index.trigram_query("(abc|xy)z*") is None
     assert secrets_index.trigram_query("api_?key") == [["_ke", "api", "i_k", "key", "pi_"], ["api", "ike", "key", "pik"]]
-    assert secrets_index.trigram_query("ab?cde") == [["cde"]]
+    assert secrets_index.trigram_query("ab?cde") == [["abc", "bcd", "cde"], ["acd", "cde"]]
 
 
 def test_every_secret_is_found(spark):
