@@ -28,7 +28,12 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _GROUPED = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _DIALLED = re.compile(r"\+[0-9][\x20().0-9-]+")
 _ADDRESS = re.compile(r"[A-Za-z0-9][A-Za-z0-9./?=&%_#:+~-]*")
-_NUMBER = re.compile(r"[\x20:#.]{1,3}([A-Z0-9]*[0-9][A-Z0-9]*)")
+# What may stand between a cue and its number: signs, or signs, a word and signs.
+_LEAD = re.compile(r"[\x20:#.]{1,3}(?:(?i:number|no)[\x20:#.]{1,4})?")
+_NUMBER = re.compile(r"[A-Z0-9]*[0-9][A-Z0-9]*")
+_IBAN = re.compile(r"[A-Z]{2}\x20?[0-9]{2}(?:\x20?[A-Z0-9]){11,30}|[a-z]{2}\x20?[0-9]{2}(?:\x20?[a-z0-9]){11,30}")
+_WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+_FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -44,6 +49,27 @@ def _automaton() -> ahocorasick.Automaton:
     return found
 
 
+def folded(text: str) -> str:
+    """The text with its ASCII letters in lower case, every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_FOLD)
+
+
+def iban_end(text: str, at: int) -> int:
+    """Where an international account number that begins at ``at`` ends, 0 if none does. Single
+    blanks may split it; of several ends that pass the check digits the last one counts."""
+    run = _IBAN.match(text, at)
+    end = run.end() if run else -1
+    while end > at:
+        number = text[at:end].replace(" ", "")
+        if len(number) < 15:
+            break
+        if text[end : end + 1] not in _WORD and int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1:
+            return end
+        end = text.rfind(" ", at, end)
+    return 0
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for place, d in enumerate(reversed(digits)):
@@ -62,7 +88,7 @@ class Finder:
         found: list[tuple[int, int, int]] = []
         # Where the next match of a kind may begin; an attempt that fails validation uses up its text.
         free = {"email": 0, "ip": 0, "card": 0, "phone": 0, "url": 0, "account": 0}
-        for last, (anchor, width) in self.anchors.iter(text):
+        for last, (anchor, width) in self.anchors.iter(folded(text)):
             at = last - width + 1
             if anchor == "digit":
                 if at >= free["ip"]:
@@ -82,10 +108,8 @@ class Finder:
                 if at >= free["url"] and (rest := _ADDRESS.match(text, last + 1)):
                     found.append((4, at, rest.end()))
                     free["url"] = rest.end()
-            elif at >= free["account"] and (number := _NUMBER.match(text, last + 1)):
-                free["account"] = number.end()
-                if 6 <= len(number[1]) <= 34:
-                    found.append((5, at, number.end()))
+            elif at >= free["account"]:
+                self._account(text, at, last + 1, free, found)
         return sorted(found)
 
     def _ip(self, text: str, at: int, free: dict, found: list) -> None:
@@ -119,6 +143,19 @@ class Finder:
         if 9 <= sum(map(number.count, "0123456789")) <= 15:
             found.append((3, at, at + len(number)))
 
+    def _account(self, text: str, at: int, after: int, free: dict, found: list) -> None:
+        """A cue, what leads over, and an international number with its check or one unbroken number."""
+        lead = _LEAD.match(text, after)
+        if not lead:
+            return
+        if end := iban_end(text, lead.end()):
+            free["account"] = end
+            found.append((5, at, end))
+        elif number := _NUMBER.match(text, lead.end()):
+            free["account"] = number.end()
+            if 6 <= len(number[0]) <= 34:
+                found.append((5, at, number.end()))
+
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = worker_cache("pii")

@@ -222,6 +222,46 @@ def test_added_kinds_and_masking():
     assert pii_anchors.masked(text, spans) == "see <URL> and <ACCOUNT>, card <CARD> or <PHONE>"
 
 
+@pytest.mark.parametrize("form", [
+    "IBAN DE89370400440532013000", "Account: 12345678", "ACCT 123456", "account: AB123456", "acct#123456",
+    "iban: DE89 3704 0044 0532 0130 00", "Iban: de89 3704 0044 0532 0130 00", "IBAN NO93 8601 1117 947",
+    "IBAN number: GB82 WEST 1234 5698 7654 32", "account number 12345678", "account no. 12345678",
+    "Account No.: #12345678", "ACCOUNT NUMBER 12345678", "account #12345678", "account NO12345678",
+])
+def test_usual_forms_of_accounts(form):
+    for before, after in (("", ""), ("İ: my ", ", and more"), ("e ", " and 12 more")):
+        text = before + form + after
+        spans = [s for s in pii_anchors.Finder().spans(text) if s[0] == 5]
+        assert spans == [(5, len(before), len(before) + len(form))], text
+        assert pii_anchors.masked(text, spans) == f"{before}<ACCOUNT>{after}"
+
+
+@pytest.mark.parametrize("text", [
+    "iban: DE89 3704 0044 0532 0130 01", "account no 12345", "an account of 12345678", "account notes 12345678",
+    "iban DE89 3704", "account number", "IBAN DE89  3704 0044 0532 0130 00",
+])
+def test_other_numbers_are_no_accounts(text):
+    assert 5 not in [s[0] for s in pii_anchors.Finder().spans(text)]
+
+
+@pytest.mark.parametrize("url", ["HTTPS://A.EXAMPLE/x?Y=1", "Http://a.example", "FTP://a.example/b"])
+def test_schemes_in_every_case(url):
+    assert [s for s in pii_anchors.Finder().spans(f"İ {url} b") if s[0] == 4] == [(4, 2, 2 + len(url))]
+
+
+def test_added_kinds_still_hold_what_their_twin_finds():
+    rules = [(4, r"(?:https?|ftp)://[A-Za-z0-9][A-Za-z0-9./?=&%_#:+~-]*"), (5, r"(?:account|acct|iban)[\x20:#.]{1,3}([A-Z0-9]*[0-9][A-Z0-9]*)")]
+    finder, draw = pii_anchors.Finder(), random.Random(6)
+    parts = ["account", "acct", "iban", " ", ": ", "#", "AB12", "123456", "no", "number", "NO", "http://", "ftp://", "a", "B", "é", "İ", "."]
+    for _ in range(4000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 20)))
+        spans = finder.spans(text)
+        for kind, form in rules:
+            for m in re.finditer(form, text):
+                if kind == 4 or 6 <= len(m[1]) <= 34:
+                    assert any(k == kind and a <= m.start() and m.end() <= b for k, a, b in spans), text
+
+
 def test_personal_data_of_odd_rows(odd, none):
     assert pii_anchors.find(odd).count() == odd.count()
     clean = pii_anchors.redact(odd)
