@@ -194,6 +194,58 @@ def test_more_sources_than_queues_and_no_broadcast(docs, byte_library):
     assert {r["queue"] for r in pieces} <= {0, 1, 2}
 
 
+@pytest.mark.parametrize("most", [2, 4, 8])
+def test_many_sources_keep_their_shares(spark, byte_library, most):
+    # Each source's documents lie together, so a queue that isn't mixed inside sends them one source after the other.
+    rows = [(i, "word " * (20 + i % 7), None if i < 25 else f"s{i // 25}") for i in range(1000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartitionByRange(5, "doc_id")
+    pieces = mix_packing.pack(table, queries.byte_tokenizer(), window=256, most_queues=most)
+    pieces = pieces.withColumn("crc", F.crc32("ids")).collect()
+    check_packing(pieces, {i: t for i, t, _ in rows}, byte_library, 256)
+    total = sum(r["length"] for r in pieces)
+    sent = np.zeros((40, max(r["sequence_id"] for r in pieces) + 1))
+    for r in pieces:
+        sent[r["doc_id"] // 25, r["sequence_id"]] += r["length"]
+    even = sent.sum(1)[:, None] * np.minimum(1, (np.arange(sent.shape[1]) + 1) * 256 / total)
+    assert np.abs(np.cumsum(sent, 1) - even).max() <= 16  # a token or two a level of the tree
+    assert {r["queue"] for r in pieces} <= set(range(most))
+
+
+def test_targets_of_more_sources_than_queues(spark, byte_library):
+    rows = [(i, "word " * 60, f"s{i // 20}") for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartitionByRange(4, "doc_id")
+    targets = {"s0": 10, "s1": 5} | {f"s{k}": 1 for k in range(2, 20)}
+    pieces = mix_packing.pack(table, queries.byte_tokenizer(), targets=targets, window=256, most_queues=6)
+    pieces = pieces.withColumn("crc", F.crc32("ids")).collect()
+    check_packing(pieces, {i: t for i, t, _ in rows}, byte_library, 256)
+    half = 20 * 61 * 33 / 10 // 256  # s0 runs dry after twice as many windows
+    early = np.zeros(30)
+    for r in pieces:
+        early[r["doc_id"] // 20] += r["length"] * (r["sequence_id"] < half // 2)
+    sent = half // 2 * 256
+    assert abs(early[0] - sent * 10 / 33) <= 8 and abs(early[1] - sent * 5 / 33) <= 8
+    assert np.abs(early[2:20] - sent / 33).max() <= 8 and early[20:].max() <= 1
+
+
+def test_tree_and_flat_schedule_place_every_token_once():
+    draw = np.random.default_rng(4)
+    for most in (2, 3, 5, 64):
+        n = int(draw.integers(1, 40))
+        totals = draw.integers(1, 300, n).tolist()
+        shares = (draw.random(n) * (draw.random(n) < 0.7)).tolist()
+        tree = mix_packing.Tree(totals, shares, most, 50)
+        plans = [mix_packing.Schedule(*node) for node in zip(tree.totals, tree.shares, tree.rounds)]
+        assert max(len(t) for t in tree.totals) <= most and tree.top().max() < most
+        doc, start, size, at = mix_packing.windows(
+            *tree.pieces(plans.__getitem__, np.arange(n), np.zeros(n, np.int64), np.array(totals)), 50
+        )
+        assert (np.diff(doc) >= 0).all()
+        places = np.concatenate([np.arange(a, a + k) for a, k in zip(at, size)])
+        tokens = np.concatenate([np.arange(a, a + k) + 1000 * d for d, a, k in zip(doc, start, size)])
+        assert sorted(places) == list(range(sum(totals)))
+        assert tokens.tolist() == [1000 * d + t for d in range(n) for t in range(totals[d])]
+
+
 def test_packing_odd_rows(odd, none, byte_library):
     pieces = mix_packing.pack(odd, queries.byte_tokenizer()).collect()
     want = sum(len(byte_library.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in odd.collect())
