@@ -1,11 +1,9 @@
-"""Token counts by a transducer compiled from the tokenizer.
+"""Token counts unit by unit, memoised.
 
-The machine rests between units (see ``PieceModel``) and its states inside one are the unit's
-prefixes. The transition that closes a unit emits the unit's number of tokens; transitions are
-compiled when a unit is first met and kept in a bounded table. A chunk of text is a map on the
-machine's states: what it completes by itself has a fixed count, only its first and last unit wait
+No merge leaves a unit (see ``PieceModel``). A unit's number of tokens comes from the ordinary merge
+when it is first met and is kept in a bounded table; there is no automaton over characters. A chunk of text is a map: what it completes by itself has a fixed count, only its first and last unit wait
 for their neighbours. Such maps compose associatively, so the chunks of a text of any length can be
-counted apart, in any grouping, and put together by a parallel prefix scan.
+counted apart and in any grouping. One task counts a text; it folds the maps in pairs.
 """
 
 from __future__ import annotations
@@ -72,6 +70,16 @@ class Transducer:
             step *= 2
         return maps
 
+    def text_count(self, text: str, width: int = CHUNK_CHARS) -> int:
+        """Tokens of the text. Neighbouring chunks are folded in pairs, so that no prefix is kept or
+        merged by itself: a text without a boundary is merged once."""
+        text = self.model.normaliser.text(text)
+        maps = [self.chunk(text[i : i + width]) for i in range(0, len(text), width)]
+        while len(maps) > 1:
+            pairs = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2])]
+            maps = pairs + maps[len(pairs) * 2 :]
+        return self.total(maps[0]) if maps else 0
+
     def chunk_counts(self, text: str, width: int = CHUNK_CHARS) -> list[int]:
         """Tokens of the text up to the end of each chunk, as if it ended there; the last is the
         text's own count."""
@@ -98,7 +106,7 @@ def count_tokens(
         machine = cache["machine"]
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
-            tokens = [machine.chunk_counts(t, width)[-1] if t else 0 for t in texts]
+            tokens = [machine.text_count(t, width) if t else 0 for t in texts]
             sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())],

@@ -104,6 +104,18 @@ def test_counts_and_encoding_of_odd_rows(odd, none, library):
     assert sp_encode.encode(none, queries.piece_model()).count() == 0
 
 
+def test_a_long_text_merges_no_prefixes(library):
+    machine = token_counts.Transducer(token_counts.load(queries.piece_model(), {}))
+    for text in ("ab" * 300, "one two  three, four" * 30, "", " ", MIXED * 5):
+        for width in (1, 3, 64, 1 << 16):
+            assert machine.text_count(text, width) == len(library.encode(text)), (text, width)
+    machine = token_counts.Transducer(token_counts.load(queries.piece_model(), {}))
+    merged, count = [], machine.model.count_unit
+    machine.emits = token_counts.Memo(lambda unit: merged.append(unit) or count(unit))
+    machine.text_count("a" * 4000, 16)
+    assert len(merged) == 1
+
+
 def test_token_queries_over_a_whole_table(spark, docs, library):
     import hashlib
 
