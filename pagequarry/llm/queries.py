@@ -3,12 +3,13 @@ its contract fixes."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import chosen_path, dedup_names, lang_crf, mix_packing, pii_anchors, quality_qda, rp_forest, secrets_index, sp_encode, token_counts
+from pagequarry.llm import chosen_path, dedup_names, equal_average, lang_crf, mix_packing, pii_anchors, quality_qda, rank_index, rp_forest, secrets_index, source_mix, sp_encode, token_counts
 from pagequarry.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,3 +232,106 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @register("op8_neighbours")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return rp_forest.nearest(table(spark, folder, "embeddings"))
+
+
+def codes_sql(parts: int = equal_average.PARTS, entries: int = equal_average.ENTRIES, rounds: int = equal_average.ROUNDS) -> str:
+    """The rounds unrolled; every part against every entry, by inner products of whole numbers."""
+    ctes = [
+        "v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, "
+        f"list_transform(embedding, lambda x: floor({equal_average.SCALE} * x::DOUBLE)) AS w FROM embeddings "
+        "WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT r, k, w[k * (len(w) // {parts}) + 1:(k + 1) * (len(w) // {parts})] AS x "
+        f"FROM v, range({parts}) AS t(k))",
+        f"c0 AS MATERIALIZED (SELECT k, r AS e, x FROM p WHERE r < {entries})",
+    ]
+    for n in range(rounds + 1):
+        ctes.append(
+            f"a{n} AS MATERIALIZED (SELECT r, k, m // {entries} AS d, m % {entries} AS e FROM (SELECT p.r, p.k, "
+            "min((list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, c.x) + list_dot_product(c.x, c.x))::BIGINT "
+            f"* {entries} + c.e) AS m FROM p JOIN c{n} c ON c.k = p.k GROUP BY ALL))"
+        )
+        if n < rounds:
+            ctes.append(
+                f"c{n + 1} AS MATERIALIZED (SELECT c.k, c.e, coalesce(f.x, c.x) AS x FROM c{n} c LEFT JOIN ("
+                "SELECT k, e, list(floor(s / n) ORDER BY i) AS x FROM (SELECT a.k, a.e, i, sum(p.x[i]) AS s, count(*) AS n "
+                f"FROM a{n} a JOIN p ON p.r = a.r AND p.k = a.k, range(1, len(p.x) + 1) AS t(i) GROUP BY ALL) "
+                "GROUP BY k, e) f ON f.k = c.k AND f.e = c.e)"
+            )
+    return (
+        "WITH " + ", ".join(ctes) + ", o AS (SELECT r, string_agg(format('{:02x}', e), '' ORDER BY k) AS code, "
+        f"sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r), "
+        f"h AS (SELECT sha256(string_agg(x[i]::BIGINT::VARCHAR, ',' ORDER BY k, e, i)) AS codebooks_sha256 "
+        f"FROM c{rounds}, range(1, len(x) + 1) AS t(i)) "
+        "SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 "
+        "FROM v JOIN o USING (r), h"
+    )
+
+
+@register("op11_vector_codes", codes_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    codes, books = equal_average.compress(table(spark, folder, "embeddings"))
+    listed = hashlib.sha256((books.listed() if books else "").encode()).hexdigest()
+    return codes.select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(listed).alias("codebooks_sha256")
+    )
+
+
+# ---------------------------------------------------------------- mixing
+
+MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, source IS NULL AS none FROM d GROUP BY source),
+w AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY none, source) - 1) % 3 + 1] AS weight FROM s),
+c AS (SELECT *, source_size * 3 AS cap, source_size::DOUBLE * 3 / weight AS full_at FROM w),
+l AS (SELECT max(((SELECT sum(source_size) FROM c) - coalesce(filled, 0))::DOUBLE
+                 / ((SELECT sum(weight) FROM c) - coalesce(gone, 0))::DOUBLE) AS level
+      FROM (SELECT sum(cap) OVER f AS filled, sum(weight) OVER f AS gone FROM c
+            WINDOW f AS (ORDER BY full_at, none, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
+t AS (SELECT source, source_size, least(weight * level, cap::DOUBLE) AS target FROM c, l),
+k AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS budget,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id NULLS FIRST, d.size
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM k)
+SELECT doc_id, source, size, source_size, target,
+       (epochs * size + least(size, greatest(0, budget - epochs * source_size - start)))::BIGINT AS taken
+FROM e
+"""
+
+
+@register("op12_source_mix", MIX_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = source_mix.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+# ---------------------------------------------------------------- fill in the middle
+
+FIM_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units, ('0x' || h[1:8])::BIGINT AS h1,
+             ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT doc_id, t, len(units) AS n, units, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+             greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+x AS (SELECT doc_id, t, n, form, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m,
+             array_to_string(units[b + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM x
+"""
+
+
+@register("op13_fill_in_middle", FIM_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    cut = rank_index.fill_in_middle(table(spark, folder, "documents"))
+    text = rank_index.restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(text.cast("binary"), 256).alias("restored_sha256"),
+    )
