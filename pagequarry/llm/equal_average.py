@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pagequarry.llm.common import map_batches, stash
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-# Parts of one block, and entries by which a side of its window grows.
-BLOCK, STEP = 64, 8
+# Parts of one block, and entries by which a side of its window grows first; then twice as many, and so on.
+BLOCK, STEP = 128, 8
 # Components of one slice of a batch.
 SLICE = 1 << 20
 
@@ -71,7 +71,7 @@ class Codebook:
         # The window starts where the sums of the block are; one entry at least.
         left = min(int(np.searchsorted(self.sums, sums[0])), count - 1)
         right = max(int(np.searchsorted(self.sums, sums[-1], "right")), left + 1)
-        compared, open_rows = 0, np.arange(len(points))
+        compared, open_rows, step = 0, np.arange(len(points)), STEP
 
         def compare(start: int, stop: int, rows: np.ndarray) -> None:
             gaps = own[rows, None] - 2 * (points[rows] @ entries[start:stop].T) + squares[start:stop]
@@ -91,17 +91,18 @@ class Codebook:
             if right < count:
                 above = reaches(self.sums[right] - sums[open_rows], best[open_rows], d)
             if below.any():
-                start = max(0, left - STEP)
+                start = max(0, left - step)
                 compare(start, left, open_rows[below])
                 compared += (left - start) * int(below.sum())
                 left = start
             if above.any():
-                stop = min(count, right + STEP)
+                stop = min(count, right + step)
                 compare(right, stop, open_rows[above])
                 compared += (stop - right) * int(above.sum())
                 right = stop
             # Sums go on growing apart and the best only falls, so a closed side stays closed.
             open_rows = open_rows[below | above]
+            step *= 2
         return index, best, compared
 
 
