@@ -6,12 +6,14 @@ arguments in (earlier, later) order; ``levenshtein`` is 1 - distance / longer le
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
 
-BINS = 64
+CHAR_BINS, PAIR_BINS, PAIR_LEVELS = 64, 256, 4
+# Bytes of one temporary array, words of a text up to which pairs are compared side by side.
+TEMPORARY, SIDE_BY_SIDE = 1 << 23, 4
 
 
 def length_floor(measure: str, threshold: float) -> float:
@@ -19,15 +21,6 @@ def length_floor(measure: str, threshold: float) -> float:
     return threshold / (2 - threshold) if measure == "ratio" else threshold
 
 
-def histograms(texts: Sequence[str]) -> np.ndarray:
-    """Character counts folded into bins; folding only raises the overlap, so it stays a bound."""
-    out = np.zeros((len(texts), BINS), dtype=np.int32)
-    for row, text in enumerate(texts):
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        out[row] = np.bincount(codes % BINS, minlength=BINS)
-    return out
-
-
 def _masks(text: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, ch in enumerate(text):
@@ -87,63 +80,289 @@ class Later:
         return self.matcher.ratio() > self.threshold
 
 
-def possible(
-    earlier: np.ndarray, lengths: np.ndarray, one: np.ndarray, length: int, measure: str, threshold: float
-) -> np.ndarray:
-    """Which earlier rows can still pass: bound by the characters both sides share."""
-    shared = np.minimum(earlier, one).sum(axis=1)
+class Block:
+    """Texts with what the bounds need: code points, lengths, and bags of characters and of
+    neighbouring characters.
+
+    A bag is folded into bins, and a bin's count kept as that many ones (up to a level, the rest
+    counted apart), so the size of the common part of two bags is a number of common bits. Folding
+    and cutting only raise it.
+    """
+
+    def __init__(self, texts: Sequence[str]):
+        self.texts = list(texts)
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.codes = np.frombuffer("".join(self.texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        rows = np.repeat(np.arange(len(self.texts)), self.lengths)
+        longest = int(self.lengths.max(initial=1))
+        self.levels = 8 * int(np.clip(longest // 128 + 1, 1, 8))
+        self.chars = self._counts(rows, self.codes % CHAR_BINS, CHAR_BINS)
+        inside = rows[1:] == rows[:-1]
+        pairs = (self.codes[:-1] * 31 + self.codes[1:]) % PAIR_BINS
+        self.pairs = self._counts(rows[:-1][inside], pairs[inside], PAIR_BINS)
+        self.pair_bits, self.pair_rest = packed(self.pairs, PAIR_LEVELS)
+        self._symbols: np.ndarray | None = None
+        self._packed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _counts(self, rows: np.ndarray, bins: np.ndarray, width: int) -> np.ndarray:
+        n = len(self.texts)
+        return np.bincount(rows * width + bins, minlength=n * width).reshape(n, width)
+
+    def packed_chars(self, levels: int) -> tuple[np.ndarray, np.ndarray]:
+        if levels not in self._packed:
+            self._packed[levels] = packed(self.chars, levels)
+        return self._packed[levels]
+
+    @property
+    def symbols(self) -> np.ndarray:
+        if self._symbols is None:
+            self._symbols = np.unique(self.codes)
+        return self._symbols
+
+
+def packed(counts: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits as 64-bit words, what is above the levels)."""
+    ones = counts[:, :, None] > np.arange(levels)
+    bits = np.packbits(ones.reshape(len(counts), -1), axis=1)
+    return bits.view(np.uint64), np.maximum(counts - levels, 0).sum(1).astype(np.int32)
+
+
+def bound_pairs(
+    early: Block, early_rows: np.ndarray, late: Block, late_rows: np.ndarray, measure: str, threshold: float, ordered: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (early row, late row) that may be similar, by late row: nothing similar is left out.
+
+    Tried in turn: lengths, common characters, common neighbours, and last the longest common
+    subsequence, or for Levenshtein the distance itself, so those pairs are final. ``ordered``: both
+    blocks are one, and a row only meets rows before it.
+    """
+    levels = max(early.levels, late.levels)
+    early_bits, early_rest = (x[early_rows] for x in early.packed_chars(levels))
+    late_bits, late_rest = (x[late_rows] for x in late.packed_chars(levels))
+    early_bits = np.ascontiguousarray(early_bits.T)
+    early_sizes = early.lengths[early_rows].astype(np.int32)
+    step = max(1, TEMPORARY // 8 // max(1, len(early_rows)))
+    left, right = [], []
+    for low in range(0, len(late_rows), step):
+        rows = late_rows[low : low + step]
+        sizes = late.lengths[rows][:, None].astype(np.int32)
+        shared = np.minimum(late_rest[low : low + step, None], early_rest)
+        words = late_bits[low : low + step]
+        for w in range(words.shape[1]):
+            shared += np.bitwise_count(words[:, w, None] & early_bits[w])
+        shared = np.minimum(shared, np.minimum(sizes, early_sizes))
+        able = _passes(shared, early_sizes, sizes, measure, threshold)
+        if ordered:
+            able &= early_rows < rows[:, None]
+        j, i = np.nonzero(able)
+        i, j = early_rows[i], rows[j]
+        keep = _neighbours(early, i, late, j, measure, threshold)
+        left.append(i[keep])
+        right.append(j[keep])
+    i = np.concatenate(left) if left else np.zeros(0, np.int64)
+    j = np.concatenate(right) if right else np.zeros(0, np.int64)
+    keep = _subsequences(early, i, late, j, measure, threshold)
+    return i[keep], j[keep]
+
+
+def _passes(shared: np.ndarray, a: np.ndarray, b: np.ndarray, measure: str, threshold: float) -> np.ndarray:
+    """Whether so many common characters are enough."""
     if measure == "levenshtein":
-        return 1.0 - (np.maximum(np.maximum(lengths, length), 1) - shared) / np.maximum(
-            np.maximum(lengths, length), 1
-        ) > threshold
-    return 2.0 * shared / np.maximum(lengths + length, 1) > threshold
+        longest = np.maximum(np.maximum(a, b), 1)
+        return 1.0 - (longest - shared) / longest > threshold
+    return 2.0 * shared / np.maximum(a + b, 1) > threshold
+
+
+def _neighbours(early: Block, i: np.ndarray, late: Block, j: np.ndarray, measure: str, threshold: float) -> np.ndarray:
+    """A common subsequence that long leaves so many of its characters side by side in both texts."""
+    a, b = early.lengths[i], late.lengths[j]
+    if measure == "levenshtein":
+        longest = np.maximum(a, b)
+        need = longest - 1 - 2 * np.floor((1 - threshold) * longest + 1e-6)
+    else:
+        need = 3 * np.ceil(threshold * (a + b) / 2 - 1e-6) - a - b - 1
+    keep = np.zeros(len(i), bool)
+    step = TEMPORARY // 8 // early.pair_bits.shape[1]
+    for low in range(0, len(i), step):
+        x, y = i[low : low + step], j[low : low + step]
+        shared = np.bitwise_count(early.pair_bits[x] & late.pair_bits[y]).sum(1, dtype=np.int64)
+        keep[low : low + step] = shared + np.minimum(early.pair_rest[x], late.pair_rest[y]) >= need[low : low + step]
+    return keep
+
 
+def _subsequences(early: Block, i: np.ndarray, late: Block, j: np.ndarray, measure: str, threshold: float) -> np.ndarray:
+    a, b = early.lengths[i], late.lengths[j]
+    keep = np.zeros(len(i), bool)
+    words = (b + 63) // 64
+    many = (words <= SIDE_BY_SIDE) & (b > 0) & (a > 0)
+    if many.sum() < 8:
+        many[:] = False
+    for width in range(1, SIDE_BY_SIDE + 1):
+        at = np.flatnonzero(many & (words == width))
+        if at.size:
+            found = side_by_side(early, i[at], late, j[at], width, measure)
+            if measure == "levenshtein":
+                keep[at] = 1.0 - found / np.maximum(np.maximum(a[at], b[at]), 1) > threshold
+            else:
+                keep[at] = 2.0 * found / np.maximum(a[at] + b[at], 1) > threshold
+    later: tuple[int, Later] | None = None
+    for n in np.flatnonzero(~many):
+        if later is None or later[0] != j[n]:
+            later = (j[n], Later(late.texts[j[n]], measure, threshold))
+        text = early.texts[i[n]]
+        if measure == "levenshtein":
+            keep[n] = later[1].matches(text)
+        else:
+            total = a[n] + b[n]
+            keep[n] = (2.0 * later[1].common(text) / total if total else 1.0) > threshold
+    return keep
 
-def first_wins(texts: Sequence[str], measure: str, threshold: float, autojunk: bool = True) -> list[int]:
-    """Indices kept by the greedy rule: a text goes when an earlier kept one is similar."""
+
+def side_by_side(early: Block, i: np.ndarray, late: Block, j: np.ndarray, width: int, measure: str) -> np.ndarray:
+    """Longest common subsequence, or Levenshtein distance, of many pairs at once: each step of the
+    bit-vector recurrences takes one character of every early text. Late texts have ``width`` words."""
+    out = np.zeros(len(i), np.int64)
+    symbols = late.symbols
+    row_bytes = (len(symbols) + 1) * width * 8
+    # Pairs come by late row; a chunk has as many late rows and characters as the arrays allow.
+    names, first = np.unique(j, return_index=True)
+    most_rows = max(1, TEMPORARY // row_bytes)
+    for low in range(0, len(names), most_rows):
+        rows = names[low : low + most_rows]
+        table = np.zeros((len(rows), len(symbols) + 1, width), np.uint64)
+        spots = np.concatenate([np.arange(late.starts[r], late.starts[r + 1]) for r in rows])
+        owner = np.repeat(np.arange(len(rows)), late.lengths[rows])
+        place = spots - np.repeat(late.starts[rows], late.lengths[rows])
+        marks = np.left_shift(np.uint64(1), (place % 64).astype(np.uint64))
+        np.bitwise_or.at(table, (owner, np.searchsorted(symbols, late.codes[spots]), place // 64), marks)
+        end = first[low + most_rows] if low + most_rows < len(names) else len(j)
+        span = np.arange(first[low], end)
+        span = span[np.argsort(early.lengths[i[span]], kind="stable")]
+        most = max(1, TEMPORARY // 8 // max(1, int(early.lengths[i[span]].max(initial=1))))
+        for start in range(0, len(span), most):
+            at = span[start : start + most]
+            sizes = early.lengths[i[at]]
+            steps = np.arange(int(sizes.max()))
+            spots = np.minimum(early.starts[i[at]][:, None] + steps, len(early.codes) - 1)
+            codes = early.codes[spots]
+            seen = np.minimum(np.searchsorted(symbols, codes), len(symbols) - 1)
+            seen[(symbols[seen] != codes) | (steps >= sizes[:, None])] = len(symbols)
+            owners = np.searchsorted(rows, j[at])
+            kernel = _distances if measure == "levenshtein" else _common
+            out[at] = kernel(table, owners, seen, sizes, late.lengths[j[at]], width)
+    return out
+
+
+def _common(table, owners, seen, sizes, lengths, width: int) -> np.ndarray:
+    row = [np.full(len(owners), ~np.uint64(0)) for _ in range(width)]
+    for step in range(seen.shape[1]):
+        masks = table[owners, seen[:, step]]
+        carry = None
+        for w in range(width):
+            mask = masks[:, w]
+            total = row[w] + (row[w] & mask)
+            over = total < row[w]
+            if carry is not None:
+                total = total + carry
+                over |= total < carry
+            carry = over.astype(np.uint64)
+            row[w] = total | (row[w] & ~mask)
+    common = np.zeros(len(owners), np.int64)
+    for w in range(width):
+        common += np.bitwise_count(~row[w] & _lowest(lengths - 64 * w))
+    return common
+
+
+def _lowest(bits: np.ndarray) -> np.ndarray:
+    """Words with so many low ones."""
+    bits = np.clip(bits, 0, 64)
+    ones = np.left_shift(np.uint64(1), np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1)
+    return np.where(bits == 64, ~np.uint64(0), ones)
+
+
+def _distances(table, owners, seen, sizes, lengths, width: int) -> np.ndarray:
+    one = np.uint64(1)
+    up = [np.full(len(owners), ~np.uint64(0)) for _ in range(width)]
+    down = [np.zeros(len(owners), np.uint64) for _ in range(width)]
+    score = lengths.copy()
+    last = ((lengths - 1) % 64).astype(np.uint64)
+    final = (lengths - 1) // 64
+    for step in range(seen.shape[1]):
+        masks = table[owners, seen[:, step]]
+        carry = np.zeros(len(owners), np.uint64)
+        plus_in, minus_in = np.full(len(owners), one), np.zeros(len(owners), np.uint64)
+        for w in range(width):
+            equal = masks[:, w]
+            total = up[w] + (equal & up[w])
+            over = total < up[w]
+            total = total + carry
+            over |= total < carry
+            carry = over.astype(np.uint64)
+            diagonal = (total ^ up[w]) | equal | down[w]
+            plus = down[w] | ~(diagonal | up[w])
+            minus = up[w] & diagonal
+            here = (final == w) & (step < sizes)
+            score += here & ((plus >> last) & one).astype(bool)
+            score -= here & ((minus >> last) & one).astype(bool)
+            plus, plus_in = (plus << one) | plus_in, plus >> np.uint64(63)
+            minus, minus_in = (minus << one) | minus_in, minus >> np.uint64(63)
+            up[w] = minus | ~(diagonal | plus)
+            down[w] = plus & diagonal
+    return score
+
+
+class _Confirm:
+    """The exact decision on a pair that passed the bounds."""
+
+    def __init__(self, measure: str, threshold: float, autojunk: bool):
+        self.measure, self.threshold, self.autojunk = measure, threshold, autojunk
+        self.text: str | None = None
+
+    def __call__(self, earlier: str, later: str) -> bool:
+        if self.measure == "levenshtein":
+            return True
+        if not earlier and not later:
+            return 1.0 > self.threshold
+        if later != self.text:
+            self.text = later
+            self.matcher = SequenceMatcher(None, "", later, self.autojunk)
+        self.matcher.set_seq1(earlier)
+        return self.matcher.ratio() > self.threshold
+
+
+def first_wins(texts: Sequence[str], measure: str, threshold: float, autojunk: bool = True, chunk: int = 256) -> list[int]:
+    """Indices kept by the greedy rule: a text goes when an earlier kept one is similar.
+
+    Rows are taken in chunks, against the rows kept so far and those of the chunk, so copies that are
+    gone cost nothing.
+    """
     if len(texts) == 1:
         return [0]
-    bins = histograms(texts)
-    sizes = np.array([len(t) for t in texts])
-    kept: list[int] = []
-    for j, text in enumerate(texts):
-        if kept:
-            rows = np.array(kept)
-            open_rows = rows[possible(bins[rows], sizes[rows], bins[j], sizes[j], measure, threshold)]
-            if len(open_rows):
-                later = Later(text, measure, threshold, autojunk)
-                if any(later.matches(texts[i]) for i in open_rows):
-                    continue
-        kept.append(j)
-    return kept
+    block, confirm = Block(texts), _Confirm(measure, threshold, autojunk)
+    kept = np.zeros(len(texts), bool)
+    for low in range(0, len(texts), chunk):
+        rows = np.arange(low, min(low + chunk, len(texts)))
+        earlier = np.concatenate([np.flatnonzero(kept[:low]), rows])
+        i, j = bound_pairs(block, earlier, block, rows, measure, threshold, ordered=True)
+        kept[rows] = True
+        for a, b in zip(i.tolist(), j.tolist()):  # by later row, so all before it are decided
+            if kept[b] and kept[a] and confirm(texts[a], texts[b]):
+                kept[b] = False
+    return np.flatnonzero(kept).tolist()
 
 
 def any_similar(
-    earlier: Sequence[str],
-    earlier_pos: Sequence[int],
-    later: Sequence[str],
-    later_pos: Sequence[int],
-    flags: Sequence[bool],
-    measure: str,
-    threshold: float,
-    autojunk: bool = True,
-) -> Iterable[tuple[int, bool, bool]]:
-    """For every later row: (pos, an earlier kept row is similar, an earlier open row is similar).
-
-    ``flags`` marks the earlier rows that are kept. The search for one row stops at its first kept
-    match; nothing but one verdict per row leaves the task.
-    """
-    bins, sizes = histograms(earlier), np.array([len(t) for t in earlier])
-    order, kept = np.array(earlier_pos), np.array(flags, dtype=bool)
-    later_bins = histograms(later)
-    for j, text in enumerate(later):
-        able = (order < later_pos[j]) & possible(
-            bins, sizes, later_bins[j], len(text), measure, threshold
-        )
-        if not able.any():
-            continue
-        test = Later(text, measure, threshold, autojunk)
-        if any(test.matches(earlier[i]) for i in np.flatnonzero(able & kept)):
-            yield int(later_pos[j]), True, False
-        elif any(test.matches(earlier[i]) for i in np.flatnonzero(able & ~kept)):
-            yield int(later_pos[j]), False, True
+    earlier: Sequence[str], later: Sequence[str], measure: str, threshold: float, autojunk: bool = True, chunk: int = 256
+) -> list[int]:
+    """Indices of the later texts that are similar to some earlier one."""
+    early, late, confirm = Block(earlier), Block(later), _Confirm(measure, threshold, autojunk)
+    gone = np.zeros(len(late.texts), bool)
+    every = np.arange(len(early.texts))
+    for low in range(0, len(gone), chunk):
+        rows = np.arange(low, min(low + chunk, len(gone)))
+        i, j = bound_pairs(early, every, late, rows, measure, threshold)
+        for a, b in zip(i.tolist(), j.tolist()):
+            if not gone[b] and confirm(early.texts[a], late.texts[b]):
+                gone[b] = True
+    return np.flatnonzero(gone).tolist()

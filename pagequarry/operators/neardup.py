@@ -1,24 +1,31 @@
 """Near-duplicate removal inside a page: first wins, dropped rows suppress nobody.
 
 Small pages (line count known from the split) are decided whole in one task over a group of at
-most ``limit`` rows. Larger pages are cut into length cells and position parts, and decided in
-rounds: a row is dropped when an earlier kept row is similar, and kept when no earlier open row is.
-Every round ships one verdict per row and block pair, never a table of similar pairs, so a page
-full of near copies stays linear in output.
+most ``limit`` rows. Larger pages are cut into ranges of positions, which are settled one after the
+other, the same range of all pages at once. When a range is settled, what it and the ranges before
+it have kept meets the ranges that follow: range r + 1 is a multiple of some largest power of two,
+and so many ranges back meet so many ranges ahead. Each pair of ranges meets in exactly one of these
+steps, so a range costs two jobs, a row takes part in a logarithm of the ranges, chains of copies of
+any length settle, and copies that are gone take no further part.
+
+Rows that meet are packed into blocks of similar length and bounded bytes. A pair of blocks is one
+task's work, which returns the rows to drop and no pairs: a page of near copies stays linear in output.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import similar
 from pagequarry.operators.keys import Keys
-from pagequarry.session import cut
+from pagequarry.session import fresh_path
+
+# Characters of a block; it has as many rows as that gives, within ``limit`` times eight.
+BLOCK_CHARS = 1 << 20
 
 
 def drop_near_duplicates(
@@ -66,75 +73,73 @@ def _small_pages(rows: DataFrame, by: Keys, threshold: float, measure: str, auto
 def _large_pages(
     rows: DataFrame, by: Keys, threshold: float, measure: str, autojunk: bool, limit: int
 ) -> DataFrame:
-    keys = list(by)
+    spark, keys = rows.sparkSession, list(by)
+    width = limit * 8
     step = -math.log(similar.length_floor(measure, threshold))
-    cells = cut(
-        rows.select(
-            *by,
-            "pos",
-            "cleaned",
-            F.floor(F.log(F.length("cleaned").cast("double")) / step).cast("int").alias("cell"),
-            F.floor(F.col("pos") / (limit * 4)).alias("part"),
-            F.lit(False).alias("kept"),
-        )
-    )
-    undecided, fresh, rounds = cells, None, []
-    while not undecided.isEmpty():
-        verdicts = _compare(undecided, fresh, by, threshold, measure, autojunk)
-        state = cut(
-            undecided.join(verdicts, [*keys, "pos"], "left").select(
-                *undecided.columns,
-                F.coalesce("dropped", F.lit(False)).alias("dropped"),
-                F.coalesce("blocked", F.lit(False)).alias("blocked"),
-            )
-        )
-        fresh = state.where("NOT dropped AND NOT blocked").select(
-            *keys, "pos", "cleaned", "cell", "part", F.lit(True).alias("kept")
-        )
-        rounds.append(fresh.select(*keys, "pos"))
-        undecided = state.where("NOT dropped AND blocked").select(*cells.columns)
-    return reduce(DataFrame.unionByName, rounds)
-
-
-def _compare(
-    undecided: DataFrame, fresh: DataFrame | None, by: Keys, threshold: float, measure: str, autojunk: bool
+    # Texts of one cell differ in length by that quotient at most, so a block's rows follow from its bytes.
+    fits = F.greatest(F.lit(1), F.least(F.lit(width), F.floor(F.lit(BLOCK_CHARS) * F.exp(-step * F.col("cell")))))
+    placed = rows.select(
+        *by,
+        "pos",
+        "cleaned",
+        F.floor(F.col("pos") / width).cast("int").alias("range"),
+        F.floor(F.log(F.greatest(F.length("cleaned"), F.lit(1)).cast("double")) / step).cast("int").alias("cell"),
+    ).withColumn("part", F.floor(F.col("pos") / fits).cast("bigint"))
+    # In range order on storage, so that a step reads its own ranges.
+    path = fresh_path(spark, "ranges")
+    placed.repartitionByRange("range", *by, "pos").sortWithinPartitions("range").write.parquet(path)
+    placed = spark.read.parquet(path)
+    ranges = placed.agg(F.max("range")).first()[0] + 1
+
+    kept: list[str] = []
+    gone: list[tuple[int, int, str]] = []  # first range, range after the last, where the dropped rows are
+
+    def left(first: int, end: int) -> DataFrame:
+        out = placed.where(F.col("range").between(first, end - 1))
+        found = [where for a, b, where in gone if a < end and first < b]
+        return out.join(spark.read.parquet(*found), [*keys, "pos"], "left_anti") if found else out
+
+    for at in range(ranges):
+        own = left(at, at + 1)
+        survivors = _small_pages(own, by, threshold, measure, autojunk)
+        kept.append(fresh_path(spark, f"kept-{at}"))
+        survivors.select(*own.columns).write.parquet(kept[-1])
+        reach = (at + 1) & -(at + 1)
+        if at + 1 < ranges:
+            earlier = spark.read.parquet(*kept[at + 1 - reach :])
+            end = min(at + 1 + reach, ranges)
+            dropped = _similar_to_any(earlier, left(at + 1, end), by, threshold, measure, autojunk)
+            where = fresh_path(spark, f"gone-{at}")
+            dropped.write.parquet(where)
+            gone.append((at + 1, end, where))
+    return spark.read.parquet(*kept).select(*keys, "pos")
+
+
+def _similar_to_any(
+    earlier: DataFrame, later: DataFrame, by: Keys, threshold: float, measure: str, autojunk: bool
 ) -> DataFrame:
-    """(page, pos, dropped, blocked) of undecided rows against earlier undecided and fresh rows."""
+    """(page, pos) of the later rows that some earlier row is similar to."""
     keys = list(by)
-    earlier = undecided if fresh is None else undecided.unionByName(fresh)
-    pack = F.collect_list(F.struct("pos", "cleaned", "kept"))
-    left = earlier.groupBy(*by, "cell", "part").agg(pack.alias("left_rows"))
-    right = undecided.groupBy(*by, "cell", "part").agg(pack.alias("right_rows"))
+    left = earlier.groupBy(*by, "cell", "part").agg(F.collect_list("cleaned").alias("left_rows"))
+    right = later.groupBy(*by, "cell", "part").agg(F.collect_list(F.struct("pos", "cleaned")).alias("right_rows"))
 
-    # Which blocks meet: same or next length cell, left part not after the right one. Only block
-    # keys take part here; the rows join afterwards on the full block key, which spreads a hot page.
+    # Which blocks meet: same or next length cell. Only block keys take part here; the rows join
+    # afterwards on the full block key, which spreads a hot page.
     near = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")
     left_keys = left.select(*by, F.col("cell").alias("left_cell"), F.col("part").alias("left_part"), near)
-    right_keys = right.select(*by, "cell", "part")
-    meet = left_keys.join(right_keys, [*keys, "cell"]).where("left_part <= part")
+    meet = left_keys.join(right.select(*by, "cell", "part"), [*keys, "cell"])
     pairs = meet.join(right, [*keys, "cell", "part"]).join(
         left.withColumnsRenamed({"cell": "left_cell", "part": "left_part"}),
         [*keys, "left_cell", "left_part"],
     )
 
-    @F.pandas_udf("array<struct<pos: bigint, dropped: boolean, blocked: boolean>>")
-    def judge(
-        a_text: pd.Series, a_pos: pd.Series, a_kept: pd.Series, b_text: pd.Series, b_pos: pd.Series
-    ) -> pd.Series:
-        out = []
-        for at, ap, ak, bt, bp in zip(a_text, a_pos, a_kept, b_text, b_pos):
-            found = similar.any_similar(
-                list(at), list(ap), list(bt), list(bp), list(ak), measure, threshold, autojunk
-            )
-            out.append([{"pos": p, "dropped": d, "blocked": b} for p, d, b in found])
-        return pd.Series(out)
-
-    verdicts = judge(
-        F.col("left_rows.cleaned"), F.col("left_rows.pos"), F.col("left_rows.kept"),
-        F.col("right_rows.cleaned"), F.col("right_rows.pos"),
-    )
-    return (
-        pairs.select(*by, F.inline(verdicts))
-        .groupBy(*by, "pos")
-        .agg(F.max("dropped").alias("dropped"), F.max("blocked").alias("blocked"))
-    )
+    @F.pandas_udf("array<bigint>")
+    def judge(a: pd.Series, texts: pd.Series, pos: pd.Series) -> pd.Series:
+        return pd.Series(
+            [[int(p[n]) for n in similar.any_similar(list(x), list(y), measure, threshold, autojunk)]
+             for x, y, p in zip(a, texts, pos)],
+            dtype=object,
+        )
+
+    verdicts: Column = judge(F.col("left_rows"), F.col("right_rows.cleaned"), F.col("right_rows.pos"))
+    return pairs.select(*by, F.explode(verdicts).alias("pos")).distinct()

@@ -3,8 +3,11 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from pagequarry.functions import similar
 from pagequarry.operators import clean as C
 from pagequarry.operators import neardup as ND
 
@@ -78,6 +81,111 @@ def test_against_brute_force(segments, limit, autojunk):
     assert survivors(segments(pages), limit=limit, autojunk=autojunk) == greedy(pages, autojunk=autojunk)
 
 
+@pytest.mark.parametrize("measure", ["ratio", "levenshtein"])
+def test_chains_and_copies_over_many_ranges(segments, measure):
+    """Thirteen ranges of eight rows: every pair of ranges has to meet, and a chain in which each row
+    is like its neighbours only has to be settled from its start."""
+    rng = random.Random(5)
+    text = [rng.choice("abcdefgh") for _ in range(100)]
+    chain = []
+    for _ in range(60):
+        chain.append("".join(text))
+        for spot in rng.sample(range(100), 9):
+            text[spot] = rng.choice("ijklmnop")
+    far = [c + "x" for c in chain[::2]]
+    rng.shuffle(far)
+    pages = {"chain": chain, "mixed": chain[:20] + far + chain[20:50], "short": chain[:5]}
+
+    def alike(a, b):
+        if measure == "ratio":
+            return SequenceMatcher(None, a, b).ratio() > 0.85
+        return 1.0 - distance(a, b) / max(len(a), len(b)) > 0.85
+
+    want = set()
+    for url, texts in pages.items():
+        kept = []
+        for pos, t in enumerate(texts):
+            if t not in texts[:pos] and not any(alike(k, t) for k in kept):
+                kept.append(t)
+                want.add((url, pos))
+    rows = segments(pages)
+    assert survivors(rows, limit=1, measure=measure) == want
+    assert survivors(rows, limit=512, measure=measure) == want
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for n, x in enumerate(a, 1):
+        before, row[0] = row[0], n
+        for k, y in enumerate(b, 1):
+            before, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for k, y in enumerate(b, 1):
+            before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
+    return row[-1]
+
+
+def test_pairs_side_by_side_against_plain_recurrences():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcde 漢𝔘") for _ in range(rng.choice([1, 9, 63, 64, 65, 128, 130, 250]))) for _ in range(24)]
+    block = similar.Block(texts)
+    late, early = (x.ravel() for x in np.meshgrid(np.arange(24), np.arange(24), indexing="ij"))
+    words = (block.lengths[late] + 63) // 64
+    for width in range(1, 5):
+        i, j = early[words == width], late[words == width]
+        for measure, plain in (("ratio", common), ("levenshtein", distance)):
+            got = similar.side_by_side(block, i, block, j, width, measure)
+            assert got.tolist() == [plain(texts[a], texts[b]) for a, b in zip(i, j)]
+
+
+@pytest.mark.parametrize("measure", ["ratio", "levenshtein"])
+@pytest.mark.parametrize("threshold", [0.6, 0.85, 0.95])
+def test_bounds_leave_no_similar_pair_out(measure, threshold):
+    rng = random.Random(int(threshold * 100))
+    seeds = ["".join(rng.choice("abcdefgh éx") for _ in range(n)) for n in (1, 6, 30, 64, 199, 260, 300)]
+    texts = [noisy(rng, rng.choice(seeds), rng.choice([0, 0.05, 0.1, 0.3])) or "q" for _ in range(70)]
+    block = similar.Block(texts)
+    rows = np.arange(len(texts))
+    found = set(zip(*(x.tolist() for x in similar.bound_pairs(block, rows, block, rows, measure, threshold))))
+    for a in range(0, len(texts), 2):
+        for b in range(len(texts)):
+            if measure == "ratio":
+                alike = SequenceMatcher(None, texts[a], texts[b]).ratio() > threshold
+                assert (a, b) in found or not alike
+            else:
+                longest = max(len(texts[a]), len(texts[b]))
+                assert ((a, b) in found) == (1.0 - distance(texts[a], texts[b]) / longest > threshold)
+
+
+@pytest.mark.parametrize("measure", ["ratio", "levenshtein"])
+def test_a_page_of_a_hundred_thousand_lines_of_one_length(spark, measure):
+    """Copies differ from an original in three of sixty letters, all else is drawn at random, so who
+    survives is known: originals, and copies of none."""
+    draw = np.random.default_rng(9)
+    n, originals = 100_000, 80_000
+    letters = draw.integers(0, 26, (originals, 60))
+    of = draw.integers(0, originals // 100, n - originals)
+    copies = letters[of]
+    for _ in range(3):
+        copies[np.arange(len(copies)), draw.integers(0, 60, len(copies))] = draw.integers(0, 26, len(copies))
+    every = np.concatenate([letters, copies])
+    order = draw.permutation(n)
+    family = np.concatenate([np.arange(originals), of])[order]
+    texts = (every[order] + 97).astype(np.uint8).view("S60").ravel().astype(str)
+    frame = pd.DataFrame({"url": "a", "pos": np.arange(n), "cleaned": texts, "n_lines": n}).drop_duplicates("cleaned")
+    rows = spark.createDataFrame(frame).repartition(8)
+    kept = ND.drop_near_duplicates(rows, URL, measure=measure).select("pos").toPandas()["pos"]
+    # Two copies differ from each other in six letters at most, which is within the bound as well.
+    first = pd.Series(np.arange(n)).groupby(family).min()
+    assert sorted(kept) == sorted(first)
+
+
 def test_accounting(segments):
     rows = segments({"a": ["One good long line", "One good long line", "one good long line!", "Hi"]})
     kept = ND.drop_near_duplicates(C.distinct_cleaned(rows, URL), URL)
