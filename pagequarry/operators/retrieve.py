@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pagequarry.functions import text as X
 from pagequarry.functions import vectors
 from pagequarry.functions.fixed import CHAT_PROMPT, COMPARE_PROMPT, FACT_CHECK_PROMPT, STOP_WORDS
-from pagequarry.operators.keys import Keys, block_sizes, computed, every_part, in_blocks, joined_text, top_n
+from pagequarry.operators import metric
+from pagequarry.operators.keys import Keys, computed, joined_text, top_n
+from pagequarry.session import cut
 
 TOP_K = 7
 
@@ -57,20 +59,23 @@ def nearest(
     text_id: str = "text_id",
     k: int = TOP_K,
     block: int = 256,
+    pivots: int = metric.PIVOTS,
 ) -> DataFrame:
     """(key, question, rank, text, dist): the k nearest texts of the question's own key, by L2.
 
-    Both sides are packed into blocks; a block pair computes its distances as one array operation
-    and emits k rows per question. A key with a third of all rows has many blocks, so its work is
-    spread, and top-k is cut again on the map side before the final shuffle.
+    The texts of a key with more than ``block`` of them lie in cells around pivots, and a question
+    goes only to the cells that may hold one of its k nearest (see :mod:`metric`). A cell's texts and
+    its questions are packed into blocks; a pair of blocks computes its distances as one array
+    operation and emits k rows per question, so a key with a third of all rows is spread over its
+    cells, and top-k is cut again on the map side before the final shuffle.
     """
-    keys = list(by)
-    sizes = block_sizes(texts, by, block)
-    left = _blocks(questions, by, question_id, block_sizes(questions, by, block)).drop("part").withColumnsRenamed(
-        {"ids": "question_ids", "rows": "question_rows"}
+    placed, asked = _cells(questions, texts, by, question_id, text_id, k, block, pivots)
+    place = [*by, "cell"]
+    right = metric.packed_rows(metric.in_key_blocks(placed, place, text_id, block), [*place, "part"], text_id)
+    left = metric.packed_rows(metric.in_key_blocks(asked, place, question_id, block), [*place, "part"], question_id)
+    pairs = left.drop("part").withColumnsRenamed({"ids": "question_ids", "rows": "question_rows"}).join(
+        right.drop("part"), place
     )
-    right = _blocks(texts, by, text_id, sizes)
-    pairs = left.join(sizes, keys).withColumn("part", every_part()).join(right, [*keys, "part"])
 
     @F.pandas_udf("array<struct<question: bigint, text: bigint, dist: double>>")
     def best(q_ids: pd.Series, q_rows: pd.Series, ids: pd.Series, rows: pd.Series) -> pd.Series:
@@ -93,10 +98,45 @@ def nearest(
     return ranked.withColumnsRenamed({"question": question_id, "text": text_id})
 
 
-def _blocks(df: DataFrame, by: Keys, row_id: str, sizes: DataFrame) -> DataFrame:
-    """Rows packed into the blocks of their key."""
-    return in_blocks(df, by, row_id, sizes).groupBy(*by, "part").agg(
-        F.collect_list(row_id).alias("ids"), F.collect_list("embedding").alias("rows")
+def _cells(
+    questions: DataFrame, texts: DataFrame, by: Keys, question_id: str, text_id: str, k: int, block: int, pivots: int
+) -> tuple[DataFrame, DataFrame]:
+    """Texts with their cell, and questions with each cell they visit; keys of one block are one cell."""
+    texts, asked = texts.select(*by, text_id, "embedding"), questions.select(*by, question_id, "embedding")
+    samples = cut(metric.drawn(texts, by, text_id, block, pivots))
+    one = F.lit(0).alias("cell")
+    if samples.isEmpty():
+        return texts.select("*", one), asked.select("*", one)
+    large = samples.select(*by)
+    placed = cut(metric.in_cells(texts.join(large, list(by), "left_semi"), by, text_id, samples))
+    visits = metric.visits(
+        asked.join(large, list(by), "left_semi"), by, question_id, samples, metric.cell_sizes(placed, by), k
+    )
+    return (
+        placed.drop("away").unionByName(texts.join(large, list(by), "left_anti").select("*", one)),
+        visits.unionByName(asked.join(large, list(by), "left_anti").select("*", one)),
+    )
+
+
+def nearest_work(
+    questions: DataFrame,
+    texts: DataFrame,
+    by: Keys,
+    question_id: str = "question_id",
+    text_id: str = "text_id",
+    k: int = TOP_K,
+    block: int = 256,
+    pivots: int = metric.PIVOTS,
+) -> DataFrame:
+    """(key, questions, texts, pairs, compared): how many pairs of a key :func:`nearest` computes."""
+    placed, asked = _cells(questions, texts, by, question_id, text_id, k, block, pivots)
+    held = placed.groupBy(*by, "cell").agg(F.count("*").alias("held"))
+    compared = asked.join(held, [*by, "cell"]).groupBy(*by).agg(
+        F.count_distinct(question_id).alias("questions"), F.sum("held").alias("compared")
+    )
+    sizes = held.groupBy(*by).agg(F.sum("held").alias("texts"))
+    return compared.join(sizes, list(by)).select(
+        *by, "questions", "texts", (F.col("questions") * F.col("texts")).alias("pairs"), "compared"
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import vectors
-from pagequarry.operators.keys import Keys, block_sizes, every_part, in_blocks, small_side
+from pagequarry.operators import metric
+from pagequarry.operators.keys import Keys, small_side
 
 # A key's packed centres are a few kilobytes; up to this many keys are broadcast.
 PACKED_KEYS = 2000
@@ -46,39 +47,66 @@ def assign(rows: DataFrame, centres: DataFrame, by: Keys, cluster: str = "cluste
     )
 
 
-def cluster_distances(rows: DataFrame, by: Keys, row_id: str, block: int = 512) -> DataFrame:
-    """(key, id, own, cluster, total): distance sums of a row to every cluster of its key.
+def wanted_clusters(rows: DataFrame, by: Keys, row_id: str, block: int) -> DataFrame:
+    """(key, id, own, embedding, cluster): a row with its own cluster, and with every other one that
+    may be nearest on average.
 
-    Block pairs are computed as array operations and leave only one sum per row and cluster.
+    A row's mean distance to a cluster lies between its distance to the centre and the root of that
+    squared and the cluster's mean squared distance from its centre, so a cluster whose centre is
+    farther than another one's upper bound is left out. Bounds are widened by more than rounding takes.
     """
-    keys = list(by)
-    placed = in_blocks(rows, by, row_id, block_sizes(rows, by, block))
-    blocks = placed.groupBy(*by, "parts", "part").agg(
-        F.collect_list(F.struct(F.col(row_id).alias("id"), F.col("cluster"))).alias("tags"),
-        F.collect_list("embedding").alias("rows"),
+    norm2 = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    norms = rows.groupBy(*by, "cluster").agg(F.avg(norm2).alias("norm2"))
+    packed = centroids(rows, by).join(norms, [*by, "cluster"]).groupBy(*by).agg(
+        F.collect_list(F.struct("cluster", "centre", "norm2")).alias("centres")
     )
-    others = blocks.drop("parts").withColumnsRenamed({"part": "other", "tags": "other_tags", "rows": "other_rows"})
-    pairs = blocks.withColumn("other", every_part()).join(others, [*keys, "other"])
+    placed = metric.in_key_blocks(rows.select(*by, row_id, "embedding", "cluster"), by, row_id, block)
+    blocks = metric.packed_rows(placed, [*by, "part"], row_id, ["cluster"]).join(packed, list(by))
 
-    @F.pandas_udf("array<struct<id: bigint, own: int, cluster: int, total: double>>")
-    def sums(ids: pd.Series, own: pd.Series, left: pd.Series, codes: pd.Series, right: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<array<int>>")
+    def choose(own: pd.Series, rows: pd.Series, names: pd.Series, centres: pd.Series, norms: pd.Series) -> pd.Series:
         out = []
-        for i, o, a, c, b in zip(ids, own, left, codes, right):
-            x, y, c = np.stack(a).astype(float), np.stack(b).astype(float), np.asarray(c)
-            dist = vectors.distances(x, y)
-            found = []
-            for k in np.unique(c):
-                total = dist[:, c == k].sum(axis=1)
-                found += [
-                    {"id": int(p), "own": int(q), "cluster": int(k), "total": float(t)} for p, q, t in zip(i, o, total)
-                ]
-            out.append(found)
-        return pd.Series(out)
+        for o, x, c, m, s in zip(own, rows, names, centres, norms):
+            o, c, m, s = np.asarray(o), np.asarray(c), np.stack(m).astype(float), np.asarray(s, float)
+            dist = vectors.distances(np.stack(x).astype(float), m)
+            slack = 1e-6 * (1 + np.sqrt(s.max()) + dist.max())
+            spread = np.maximum(s - (m**2).sum(axis=1), 0)
+            other = o[:, None] != c
+            upper = np.where(other, np.sqrt(dist**2 + spread), np.inf).min(axis=1)
+            able = ~other | (dist <= (upper + slack)[:, None])
+            out.append([c[row].tolist() for row in able])
+        return pd.Series(out, dtype=object)
 
-    found = sums("tags.id", "tags.cluster", "rows", "other_tags.cluster", "other_rows")
-    return (
-        pairs.select(*by, F.inline(found)).groupBy(*by, "id", "own", "cluster").agg(F.sum("total").alias("total"))
+    told = blocks.withColumn(
+        "_w", choose("cluster", "rows", F.col("centres.cluster"), F.col("centres.centre"), F.col("centres.norm2"))
     )
+    zipped = F.arrays_zip(F.col("ids").alias("id"), F.col("rows").alias("embedding"), F.col("cluster").alias("own"), F.col("_w").alias("_c"))
+    return told.select(*by, F.inline(zipped)).select(*by, "id", "own", "embedding", F.explode("_c").alias("cluster"))
+
+
+def cluster_distances(rows: DataFrame, by: Keys, row_id: str, block: int = 512) -> DataFrame:
+    """(key, id, own, cluster, total): distance sums of a row to its own cluster and to those of its
+    key that may be the nearest other one.
+
+    A row goes once to each such cluster, where it meets the members block by block; a pair of
+    blocks is one array operation and leaves one sum per row.
+    """
+    place = [*by, "cluster"]
+    asking = metric.in_key_blocks(wanted_clusters(rows, by, row_id, block), place, "id", block)
+    left = metric.packed_rows(asking, [*place, "part"], "id", ["own"]).drop("part")
+    members = metric.in_key_blocks(rows.select(*place, row_id, "embedding"), place, row_id, block)
+    right = metric.packed_rows(members, [*place, "part"], row_id).select(*place, F.col("rows").alias("other_rows"))
+
+    @F.pandas_udf("array<struct<id: bigint, own: int, total: double>>")
+    def sums(ids: pd.Series, own: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for i, o, a, b in zip(ids, own, left, right):
+            total = vectors.distances(np.stack(a).astype(float), np.stack(b).astype(float)).sum(axis=1)
+            out.append([{"id": int(p), "own": int(q), "total": float(t)} for p, q, t in zip(i, o, total)])
+        return pd.Series(out)
+
+    found = left.join(right, place).select(*place, F.inline(sums("ids", "own", "rows", "other_rows")))
+    return found.groupBy(*by, "id", "own", "cluster").agg(F.sum("total").alias("total"))
 
 
 def silhouette(rows: DataFrame, by: Keys, row_id: str, block: int = 512) -> DataFrame:

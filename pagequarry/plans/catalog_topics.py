@@ -309,6 +309,23 @@ def _(spark, folder):
     return R.nearest(questions, texts, ["label"]).withColumn("dist", F.round("dist", 6))
 
 
+@register(
+    "nearest_vectors", "R2 R3",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    nb AS (SELECT a.vec_id AS question_id, b.vec_id AS text_id, list_distance(a.v, b.v) AS dist,
+        row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id)::INTEGER AS rank
+        FROM e a CROSS JOIN e b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 7)
+    SELECT question_id, rank, text_id, round(dist, 6) AS dist FROM nb""",
+)
+def _(spark, folder):
+    # One key for all vectors, in small cells; the questions are those of the search rule.
+    rows = read_table(spark, folder, "embeddings").withColumn("scope", F.lit(0))
+    questions = rows.where("vec_id % 50 = 0").select("scope", F.col("vec_id").alias("question_id"), "embedding")
+    texts = rows.select("scope", F.col("vec_id").alias("text_id"), "embedding")
+    found = R.nearest(questions, texts, ["scope"], block=64)
+    return found.select("question_id", "rank", "text_id", F.round("dist", 6).alias("dist"))
+
+
 def asked(spark: SparkSession, folder: str) -> DataFrame:
     """Questions with their contexts: the text of a vector is the document of the same id."""
     questions, texts = vector_questions(spark, folder)

@@ -126,6 +126,54 @@ def test_nearest_against_brute_force(spark, block):
     assert got == want
 
 
+@pytest.mark.parametrize("spread", [0.05, 0.3, 50.0])
+def test_pruning_leaves_no_neighbour_out(spark, spread):
+    """Forty clumps, from far apart to one cloud, a hot key, vectors that are equal, far questions."""
+    rng = np.random.RandomState(int(spread * 100))
+    homes = rng.normal(0, 3, (40, 6))
+    points = homes[rng.randint(0, 40, 1500)] + rng.normal(0, spread, (1500, 6))
+    points[::50] = points[0]
+    keys = np.where(np.arange(1500) < 1300, "hot", np.where(np.arange(1500) % 9, "mid", "few"))
+    rows = [(str(k), i, p.tolist()) for i, (k, p) in enumerate(zip(keys, points))]
+    texts = spark.createDataFrame(rows, "key string, text_id bigint, embedding array<double>").repartition(5)
+    far = [("hot", 9000 + i, (rng.normal(0, 30, 6)).tolist()) for i in range(20)] + [("none", 9999, [0.0] * 6)]
+    asks = texts.withColumnRenamed("text_id", "question_id").where("question_id % 7 = 0").unionByName(
+        spark.createDataFrame(far, "key string, question_id bigint, embedding array<double>")
+    )
+    got = {(r.key, r.question_id, r["rank"]): r.text_id for r in R.nearest(asks, texts, ["key"], k=5, block=32).collect()}
+    want = {}
+    for r in asks.collect():
+        own = np.flatnonzero(keys == r.key)
+        dist = np.sqrt(((points[own] - np.array(r.embedding)) ** 2).sum(1))
+        for n, at in enumerate(np.lexsort((own, dist))[:5], 1):
+            want[(r.key, r.question_id, n)] = int(own[at])
+    assert got == want
+    work = {r.key: r for r in R.nearest_work(asks, texts, ["key"], k=5, block=32).collect()}
+    assert work["hot"].texts == 1300 and work["hot"].compared <= work["hot"].pairs
+    if spread == 0.05:
+        assert work["hot"].compared < 0.35 * work["hot"].pairs
+
+
+@pytest.mark.parametrize("apart", [0.2, 2.0, 100.0])
+def test_silhouette_without_far_clusters(spark, apart):
+    rng = np.random.RandomState(int(apart * 10))
+    labels = rng.randint(0, 8, 400)
+    labels[0] = 8
+    points = rng.normal(0, 1, (9, 5))[labels] * apart + rng.normal(0, 1, (400, 5)) + 1000.0
+    rows = [(0, i, int(c), p.tolist()) for i, (c, p) in enumerate(zip(labels, points))] + [(1, 500 + i, 0, [float(i)]) for i in range(3)]
+    frame = spark.createDataFrame(rows, "scope int, id bigint, cluster int, embedding array<double>")
+    got = {(r.scope, r.own): r for r in V.silhouette(frame, ["scope"], "id", block=64).collect()}
+    dist = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    for c in range(9):
+        own = np.flatnonzero(labels == c)
+        b = np.min([dist[own][:, labels == o].mean(1) for o in range(9) if o != c], axis=0)
+        a = dist[own][:, own].sum(1) / max(len(own) - 1, 1)
+        want = ((b - a) / np.maximum(a, b)).mean() if len(own) > 1 else 0.0
+        assert got[(0, c)].n == len(own) and abs(got[(0, c)].silhouette - want) < 1e-9
+    if apart == 100.0:  # a row meets its own cluster and the nearest other one only
+        assert V.wanted_clusters(frame.where("scope = 0"), ["scope"], "id", 64).count() < 400 * 3
+
+
 def test_silhouette_blocks(spark):
     rng = np.random.RandomState(4)
     rows = [(0, i, i % 3 if i < 29 else 3, (rng.rand(3) + i % 3).tolist()) for i in range(30)]
