@@ -79,6 +79,83 @@ def kmeans(inner: np.ndarray, seeds: np.ndarray, rounds: int = 300) -> tuple[np.
     return np.array([renumber[int(c)] for c in winner]), settled
 
 
+def sparse_dots(codes: np.ndarray, weights: np.ndarray, sizes: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Sparse rows, given as joined codes and weights with row sizes, times a dense matrix."""
+    out = np.zeros((len(sizes), dense.shape[1]))
+    ends = np.cumsum(sizes)
+    step = max(1, 2_000_000 // max(dense.shape[1], 1))
+    low = 0
+    while low < len(sizes):
+        start = int(ends[low] - sizes[low])
+        high = max(low + 1, int(np.searchsorted(ends, start + step, "right")))
+        filled = np.flatnonzero(sizes[low:high]) + low
+        if filled.size:
+            span = slice(start, int(ends[high - 1]))
+            at = ends[filled] - sizes[filled] - start
+            out[filled] = np.add.reduceat(dense[codes[span]] * weights[span, None], at, axis=0)
+        low = high
+    return out
+
+
+def lloyd_block(
+    k: int, size: int, pos: np.ndarray, codes: list, ws: list, held_run: np.ndarray, held_cluster: np.ndarray, held_n: np.ndarray,
+    sum_run: np.ndarray | None, sum_cluster: np.ndarray, sum_code: np.ndarray, sum_total: np.ndarray, last: list | None,
+    moves: list | None, most: int,
+) -> list[dict]:
+    """One block of points in one round of k-means, all restarts at once: labels and partial sums.
+
+    Centres come as sums over their members (``sum_*``) and counts (``held_*``); ``last`` are the labels
+    of the round before, ``moves`` the rows that empty clusters took since. ``most``: how many far rows to
+    name where the block leaves a cluster empty.
+    """
+    pos = np.asarray(pos)
+    sizes = np.array([len(c) for c in codes])
+    flat = np.concatenate([np.asarray(c, np.int64) for c in codes]) if sizes.sum() else np.zeros(0, np.int64)
+    weights = np.concatenate([np.asarray(w, float) for w in ws]) if sizes.sum() else np.zeros(0)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    norm2 = np.bincount(rows, weights * weights, len(sizes))
+    runs = np.unique(held_run)
+    counts = np.zeros((len(runs), k))
+    counts[np.searchsorted(runs, held_run), held_cluster] = held_n
+    dense = np.zeros((size, len(runs) * k))
+    if sum_run is not None and len(sum_run):
+        spot = np.searchsorted(runs, sum_run) * k + np.asarray(sum_cluster)
+        dense[np.asarray(sum_code), spot] = sum_total
+    dense /= counts.ravel()
+    rest = np.round((dense**2).sum(axis=0) - 2 * sparse_dots(flat, weights, sizes, dense), PLACES)
+    rest = rest.reshape(len(sizes), len(runs), k)
+    former = {} if last is None else {r["restart"]: np.array(r["labels"]) for r in last}
+    where = {int(p): n for n, p in enumerate(pos)}
+    for move in () if moves is None else moves:
+        if move["pos"] in where and move["restart"] in former:
+            former[move["restart"]][where[move["pos"]]] = move["cluster"]
+    out = []
+    for n, run in enumerate(runs.tolist()):
+        labels = rest[:, n].argmin(axis=1)
+        own = np.round(np.maximum(norm2 + rest[np.arange(len(labels)), n, labels], 0), PLACES)
+        prev = former.get(run, np.full(len(labels), -1))
+        members = np.bincount(labels, minlength=k)
+        # Sums per (cluster, code) that occur in the block.
+        slots, place = np.unique(labels[rows] * size + flat, return_inverse=True)
+        totals = np.bincount(place, weights, len(slots))
+        far, near = [], []
+        if (members == 0).any():
+            order = np.lexsort((pos, -own))
+            far = [
+                {"own": float(own[i]), "pos": int(pos[i]), "cluster": int(labels[i]), "prev": int(prev[i]),
+                 "codes": np.asarray(codes[i], np.int32), "ws": np.asarray(ws[i], float)}
+                for i in order[:most]
+            ]
+            last_of = {int(labels[i]): int(i) for i in order}
+            near = [{"own": float(own[i]), "pos": int(pos[i]), "cluster": c} for c, i in last_of.items()]
+        out.append({
+            "restart": run, "changed": int((labels != prev).sum()), "cost": float(own.sum()), "counts": members,
+            "labels": labels.astype(np.int32), "cluster": (slots // max(size, 1)).astype(np.int32),
+            "code": (slots % max(size, 1)).astype(np.int32), "total": totals, "far": far, "near": near,
+        })
+    return out
+
+
 def silhouette(dist: np.ndarray, labels: np.ndarray) -> float | None:
     """Mean silhouette from a distance matrix; None with one label or as many labels as rows."""
     names, codes = np.unique(labels, return_inverse=True)

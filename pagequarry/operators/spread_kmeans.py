@@ -1,11 +1,14 @@
 """K-means and silhouette for pages too large for one task, as joins and aggregates.
 
-Every (page, k, restart) is a key of the same DataFrame job, so all large pages and all candidate
-k advance together. Points and centres are long term tables; nothing of a page meets in one task.
+Every (page, k, restart) is part of the same DataFrame job, so all large pages and all candidate k
+advance together. Points lie in packed blocks, centres are packed per (page, k); nothing of a page
+meets in one task but its word list and its centres.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,9 +16,10 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import vectors
 from pagequarry.operators.keys import Keys, block_sizes, every_part, in_blocks, top_n
-from pagequarry.session import cut
+from pagequarry.session import cut, fresh_path
 
-RUN = ["k", "restart"]
+# Points of a block.
+ROWS = 4096
 # Seeds that a restart draws: as many as the largest k has clusters.
 DRAWS = 9
 PLACES = vectors.PLACES
@@ -98,35 +102,8 @@ def _seeds(norms: DataFrame, terms: DataFrame, by: Keys, restarts: int) -> DataF
     return found
 
 
-def _refilled(assigned: DataFrame, by: Keys) -> DataFrame:
-    """Give each empty cluster a row: the farthest from their centres go, but none that is the
-    nearest of its cluster."""
-    keys = [*by, *RUN]
-    full = assigned.groupBy(*keys).agg(F.collect_set("cluster").alias("held")).where(F.size("held") < F.col("k"))
-    if full.isEmpty():
-        return assigned
-    order = F.struct(F.col("dist2").alias("d"), (-F.col("pos")).alias("p"))
-    held = assigned.groupBy(*keys, "cluster").agg(F.min(order).alias("stay"))
-    empty = full.select(
-        *keys, F.posexplode(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda c: ~F.array_contains("held", c))).alias("i", "new")
-    ).select(*keys, (F.col("i") + 1).alias("nth"), "new")
-    open_runs = empty.select(*keys).distinct()
-    able = (
-        assigned.join(open_runs, keys, "left_semi").join(held, [*keys, "cluster"])
-        .where(F.col("pos") != -F.col("stay.p"))
-    )
-    moved = top_n(able.select(*keys, "pos", "dist2"), keys, [F.col("dist2").desc(), F.col("pos")], DRAWS, "nth")
-    moved = moved.join(empty, [*keys, "nth"]).select(*keys, "pos", "new")
-    return cut(assigned.join(moved, [*keys, "pos"], "left").select(
-        *keys, "pos", F.coalesce("new", "cluster").alias("cluster"),
-        F.when(F.col("new").isNull(), F.col("dist2")).otherwise(0.0).alias("dist2"),
-    ))
-
-
-def _lloyd(points: DataFrame, by: Keys, restarts: int, seed: int, rounds: int) -> DataFrame:
-    """(page, pos, k, cluster, converged) of the cheapest restart per k. Runs that have settled leave
-    the loop."""
-    keys = [*by, *RUN]
+def _lloyd(points: DataFrame, by: Keys, restarts: int, seed: int, rounds: int, block: int = ROWS) -> DataFrame:
+    """(page, pos, k, cluster, converged) of the cheapest restart per k, from drawn seeds."""
     terms = cut(
         points.select(*by, "pos", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("ws").alias("w"))))
     )
@@ -139,88 +116,196 @@ def _lloyd(points: DataFrame, by: Keys, restarts: int, seed: int, rounds: int) -
         F.sequence(F.lit(2), F.lit(9)), lambda k: (k > F.col("draw")) & (k < F.least(F.lit(10), F.col("n")))
     )
     seeds = drawn.select(*by, "pos", "restart", F.col("draw").alias("cluster"), F.explode(ks).alias("k"))
-    norms = norms.drop("race")
-    centres = cut(
-        seeds.join(terms, [*by, "pos"]).select(*keys, "cluster", "term", "w")
-    )
-    sizes = seeds.join(norms, [*by, "pos"]).select(*keys, "cluster", F.col("norm2").alias("c2"))
-    done, marks = [], None
+    return lloyd(points, seeds, by, rounds, block)
+
+
+RUN_FIELDS = (
+    "restart int, changed bigint, cost double, counts array<bigint>, labels array<int>, cluster array<int>, "
+    "code array<int>, total array<double>, "
+    "far array<struct<own double, pos bigint, cluster int, prev int, codes array<int>, ws array<double>>>, "
+    "near array<struct<own double, pos bigint, cluster int>>"
+)
+
+
+def lloyd(points: DataFrame, seeds: DataFrame, by: Keys, rounds: int = 300, block: int = ROWS) -> DataFrame:
+    """(page, pos, k, cluster, converged) of the cheapest restart per k, from given seeds.
+
+    ``points`` has page, pos, terms, ws; ``seeds`` has page, k, restart, cluster (from 0), pos. A page's
+    points lie in packed blocks, its terms numbered. In a round a block meets the centres of a
+    (page, k), all its restarts packed in one row, assigns its points, and gives back its labels and
+    mergeable partial sums: per restart the changes, the cost, and count and sum per cluster. Those
+    are added up where they are before they are shuffled, and are the next round's centres. Empty
+    clusters take the farthest rows, of which a block with an empty cluster names enough. Runs that
+    have settled leave the loop. Clusters are numbered by their first rows in the end.
+    """
+    keys, unit = list(by), [*by, "k"]
+    run = [*unit, "restart"]
+    blocks = cut(_coded(points, by, block))
+    work = blocks.join(seeds.select(*unit).distinct(), keys)
+    rows = blocks.select(*by, F.inline(F.arrays_zip("pos", "codes", "ws")))
+    counts = seeds.select(*run, "cluster", F.lit(1).cast("bigint").alias("n"))
+    totals = _spelled(seeds.join(rows, [*keys, "pos"]), run)
+    done, before, moves = [], None, None
     for turn in range(rounds):
-        assigned = _refilled(cut(_assign(terms, norms, centres, sizes, by)), by)
-        # Labels are compared by a 128-bit digest of each run.
-        now = cut(assigned.groupBy(*keys).agg(
-            F.bit_xor(F.xxhash64("pos", "cluster")).alias("m1"),
-            F.bit_xor(F.xxhash64(F.lit(7), "cluster", "pos")).alias("m2"),
-        ))
-        last = turn + 1 == rounds
-        if marks is not None:
-            same = now.join(marks, [*keys, "m1", "m2"], "left_semi").select(*keys)
-            stop = now.select(*keys) if last else same
-            flags = stop.join(same.withColumn("converged", F.lit(True)), keys, "left").withColumn(
-                "converged", F.coalesce("converged", F.lit(False))
-            )
-            done.append(assigned.join(flags, keys))
-            now = cut(now.join(stop, keys, "left_anti"))
-            assigned = assigned.join(now.select(*keys), keys, "left_semi")
-        if last or now.isEmpty():
+        path = fresh_path(points.sparkSession, f"round-{turn}")
+        _step(work, totals, counts, before, moves, unit).write.parquet(path)
+        now = points.sparkSession.read.parquet(path)
+        told = now.select(*unit, "part", F.inline("runs"))
+        summed = cut(told.groupBy(*run).agg(
+            F.sum("changed").alias("changed"), F.sum("cost").alias("cost"),
+            F.array(*[F.coalesce(F.sum(F.get("counts", F.lit(c))), F.lit(0)) for c in range(DRAWS)]).alias("counts"),
+        ).withColumn("counts", F.slice("counts", 1, F.col("k"))))
+        moves = _moves(told, summed.where(F.array_contains("counts", F.lit(0))), run)
+        if moves is not None:
+            summed = cut(_moved(summed, moves, run))
+        settled = (F.col("changed") == 0) if turn else F.lit(False)
+        ends = summed.where(settled) if turn + 1 < rounds else summed
+        done.append((now, moves, ends.select(*run, "cost", settled.alias("converged"), F.lit(turn).alias("turn"))))
+        active = summed.where(~settled)
+        if turn + 1 == rounds or active.isEmpty():
             break
-        marks = now
-        counts = assigned.groupBy(*keys, "cluster").agg(F.count("*").alias("size"))
-        sums = (
-            assigned.select(*keys, "pos", "cluster").join(terms, [*by, "pos"])
-            .groupBy(*keys, "cluster", "term").agg(F.sum("w").alias("total"))
-        )
-        centres = cut(sums.join(counts, [*keys, "cluster"]).select(
-            *keys, "cluster", "term", (F.col("total") / F.col("size")).alias("w")
-        ))
-        filled = centres.groupBy(*keys, "cluster").agg(F.sum(F.col("w") * F.col("w")).alias("c2"))
-        sizes = counts.join(filled, [*keys, "cluster"], "left").select(
-            *keys, "cluster", F.coalesce("c2", F.lit(0.0)).alias("c2")
+        counts = active.select(*run, F.posexplode("counts").alias("cluster", "n"))
+        totals = told.join(active.select(*run), run, "left_semi").select(
+            *run, F.inline(F.arrays_zip("cluster", "code", "total"))
         )
-    ended = done[0]
-    for part in done[1:]:
-        ended = ended.unionByName(part)
-    ended = cut(ended)
-    cost = ended.groupBy(*keys).agg(F.round(F.sum("dist2"), PLACES).alias("cost"))
-    best = cost.groupBy(*by, "k").agg(F.min_by("restart", F.struct("cost", "restart")).alias("restart"))
-    # Whether a page settled counts all of its runs.
-    settled = ended.groupBy(*by).agg(F.bool_and("converged").alias("converged"))
-    found = cut(ended.drop("converged").join(best, keys).select(*by, "pos", "k", "cluster"))
-    # Clusters are numbered by their first rows; there are nine at most.
-    firsts = found.groupBy(*by, "k", "cluster").agg(F.min("pos").alias("at"))
-    numbered = firsts.groupBy(*by, "k").agg(F.array_sort(F.collect_list(F.struct("at", "cluster"))).alias("o"))
-    numbered = numbered.select(*by, "k", F.posexplode("o").alias("nth", "c")).select(
-        *by, "k", F.col("c.cluster").alias("cluster"), "nth"
+        if moves is not None:
+            out = _spelled(moves.withColumn("cluster", F.col("raw")), run, -1.0)
+            totals = totals.unionByName(out).unionByName(_spelled(moves, run))
+        totals = totals.groupBy(*run, "cluster", "code").agg(F.sum("total").alias("total"))
+        before = now
+    return _numbered(done, by)
+
+
+def _coded(points: DataFrame, by: Keys, block: int) -> DataFrame:
+    """(page, part, size, pos, codes, ws): blocks of a page's points, terms as places in its word list."""
+    words = points.select(*by, F.explode("terms").alias("term")).groupBy(*by).agg(
+        F.sort_array(F.collect_set("term")).alias("words")
     )
-    return found.join(numbered, [*by, "k", "cluster"]).join(settled, list(by)).select(
-        *by, "pos", "k", F.col("nth").alias("cluster"), "converged"
+    packed = in_blocks(points, by, "pos", block_sizes(points, by, block)).groupBy(*by, "part").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "terms", "ws"))).alias("_r")
     )
 
+    @F.pandas_udf("array<array<int>>")
+    def codes(terms: pd.Series, words: pd.Series) -> pd.Series:
+        out = []
+        for page, listed in zip(terms, words):
+            place = {w: n for n, w in enumerate(listed)}
+            out.append([[place[t] for t in row] for row in page])
+        return pd.Series(out, dtype=object)
 
-def _assign(terms: DataFrame, norms: DataFrame, centres: DataFrame, sizes: DataFrame, by: Keys) -> DataFrame:
-    """(page, k, restart, pos, cluster, dist2): nearest centre, also for rows that share no term."""
-    keys = [*by, *RUN]
-    dots = (
-        terms.join(centres.withColumnRenamed("w", "cw"), [*by, "term"])
-        .groupBy(*keys, "pos", "cluster").agg(F.sum(F.col("w") * F.col("cw")).alias("dot"))
-        .join(sizes, [*keys, "cluster"])
+    met = packed.join(words, list(by), "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    return met.select(
+        *by, "part", F.size("words").alias("size"), F.col("_r.pos").alias("pos"),
+        codes(F.col("_r.terms"), F.col("words")).alias("codes"), F.col("_r.ws").alias("ws"),
     )
-    touched = dots.groupBy(*keys, "pos").agg(
-        F.min(F.struct(F.round(F.col("c2") - 2 * F.col("dot"), PLACES).alias("rest"), "cluster")).alias("near")
+
+
+def _spelled(rows: DataFrame, run: list[str], sign: float = 1.0) -> DataFrame:
+    """(run, cluster, code, total) of rows with codes and ws."""
+    zipped = F.arrays_zip(F.col("codes").alias("code"), F.transform("ws", lambda w: w * sign).alias("total"))
+    return rows.select(*run, "cluster", F.inline(zipped))
+
+
+def _step(
+    work: DataFrame, totals: DataFrame, counts: DataFrame, before: DataFrame | None, moves: DataFrame | None, unit: list[str]
+) -> DataFrame:
+    """(page, k, part, pos, runs): every block against the centres of its page and k."""
+    held = counts.groupBy(*unit).agg(F.collect_list(F.struct("restart", "cluster", "n")).alias("held"))
+    sums = totals.groupBy(*unit).agg(F.collect_list(F.struct("restart", "cluster", "code", "total")).alias("sums"))
+    met = work.join(held.join(sums, unit, "left"), unit)
+    none = F.lit(None).cast("array<struct<restart int, labels array<int>>>")
+    if before is None:
+        met = met.withColumn("last", none)
+    else:
+        last = F.transform("runs", lambda r: F.struct(r["restart"].alias("restart"), r["labels"].alias("labels")))
+        met = met.join(before.select(*unit, "part", last.alias("last")), [*unit, "part"])
+    if moves is None:
+        met = met.withColumn("moves", F.lit(None).cast("array<struct<restart int, pos bigint, cluster int>>"))
+    else:
+        listed = moves.groupBy(*unit).agg(F.collect_list(F.struct("restart", "pos", "cluster")).alias("moves"))
+        met = met.join(listed, unit, "left")
+
+    @F.pandas_udf(f"array<struct<{RUN_FIELDS}>>")
+    def assign(
+        k: pd.Series, size: pd.Series, pos: pd.Series, codes: pd.Series, ws: pd.Series, h_run: pd.Series, h_cluster: pd.Series,
+        h_n: pd.Series, s_run: pd.Series, s_cluster: pd.Series, s_code: pd.Series, s_total: pd.Series, last: pd.Series, moves: pd.Series,
+    ) -> pd.Series:
+        out = []
+        for one in zip(k, size, pos, codes, ws, h_run, h_cluster, h_n, s_run, s_cluster, s_code, s_total, last, moves):
+            out.append(vectors.lloyd_block(*one, most=2 * DRAWS))
+        return pd.Series(out, dtype=object)
+
+    runs = assign(
+        "k", "size", "pos", "codes", "ws", F.col("held.restart"), F.col("held.cluster"), F.col("held.n"),
+        F.col("sums.restart"), F.col("sums.cluster"), F.col("sums.code"), F.col("sums.total"), "last", "moves",
     )
-    # Without a shared term the distance is norm + centre norm: only the shortest centre can win.
-    shortest = sizes.groupBy(*keys).agg(
-        F.min(F.struct(F.round("c2", PLACES).alias("rest"), "cluster")).alias("short")
+    return met.select(*unit, "part", "pos", runs.alias("runs"))
+
+
+def _moves(told: DataFrame, empty: DataFrame, run: list[str]) -> DataFrame | None:
+    """(run, pos, cluster, raw, prev, own, codes, ws): the rows that empty clusters take. The farthest
+    from their centres go, but none that is the nearest of its cluster."""
+    if empty.isEmpty():
+        return None
+    gaps = empty.select(*run, F.posexplode(F.filter(
+        F.transform("counts", lambda n, c: F.when(n == 0, c)), lambda c: c.isNotNull()
+    )).alias("i", "cluster")).select(*run, (F.col("i") + 1).alias("nth"), F.col("cluster").cast("int").alias("cluster"))
+    some = told.join(empty.select(*run), run, "left_semi")
+    stay = some.select(*run, F.inline("near")).groupBy(*run, F.col("cluster").alias("raw")).agg(
+        F.min(F.struct("own", (-F.col("pos")).alias("p"))).alias("stay")
     )
-    every = norms.join(shortest, list(by)).select(*keys, "pos", "norm2", "short")
-    nearest = F.least(F.coalesce("near", "short"), F.col("short"))
-    return (
-        every.join(touched, [*keys, "pos"], "left")
-        .withColumn("best", nearest)
-        .select(
-            *keys, "pos", F.col("best.cluster").cast("int").alias("cluster"),
-            F.round(F.greatest(F.lit(0.0), F.col("norm2") + F.col("best.rest")), PLACES).alias("dist2"),
-        )
+    far = some.select(*run, F.inline("far")).withColumnRenamed("cluster", "raw").join(stay, [*run, "raw"])
+    able = far.where(F.col("pos") != -F.col("stay.p")).drop("stay")
+    ranked = top_n(able, run, [F.col("own").desc(), F.col("pos")], DRAWS, "nth")
+    return cut(ranked.join(gaps, [*run, "nth"]).drop("nth"))
+
+
+def _moved(summed: DataFrame, moves: DataFrame, run: list[str]) -> DataFrame:
+    """The runs' sums after the moves."""
+    told = moves.groupBy(*run).agg(
+        F.sum((F.col("cluster") != F.col("prev")).cast("int") - (F.col("raw") != F.col("prev")).cast("int")).alias("more"),
+        F.sum("own").alias("spared"),
+        F.collect_list(F.struct("cluster", "raw")).alias("swaps"),
+    )
+    swapped = F.transform("counts", lambda n, c: n + F.aggregate(
+        "swaps", F.lit(0).cast("bigint"),
+        lambda s, m: s + (m["cluster"] == c).cast("bigint") - (m["raw"] == c).cast("bigint"),
+    ))
+    return summed.join(told, run, "left").select(
+        *run,
+        (F.col("changed") + F.coalesce("more", F.lit(0))).alias("changed"),
+        (F.col("cost") - F.coalesce("spared", F.lit(0.0))).alias("cost"),
+        F.when(F.col("swaps").isNull(), F.col("counts")).otherwise(swapped).alias("counts"),
+    )
+
+
+def _numbered(done: list[tuple[DataFrame, DataFrame | None, DataFrame]], by: Keys) -> DataFrame:
+    """The cheapest restart of every k, its clusters numbered by their first rows."""
+    unit = [*by, "k"]
+    ended = cut(reduce(DataFrame.unionByName, [ends for _now, _moves, ends in done]))
+    best = cut(ended.groupBy(*unit).agg(
+        F.min(F.struct(F.round("cost", PLACES).alias("cost"), "restart", "turn")).alias("b")
+    ).select(*unit, F.col("b.restart").alias("restart"), F.col("b.turn").alias("turn")))
+    # Whether a page settled counts all of its runs.
+    settled = ended.groupBy(*by).agg(F.bool_and("converged").alias("converged"))
+    found = []
+    for turn, (now, moves, _ends) in enumerate(done):
+        own = now.select(*unit, "pos", F.inline(F.transform("runs", lambda r: F.struct(r["restart"].alias("restart"), r["labels"].alias("cluster")))))
+        own = own.join(best.where(F.col("turn") == turn), [*unit, "restart"], "left_semi")
+        labelled = own.select(*unit, "restart", F.inline(F.arrays_zip("pos", "cluster")))
+        if moves is not None:
+            new = moves.select(*unit, "restart", "pos", F.col("cluster").alias("_new"))
+            labelled = labelled.join(new, [*unit, "restart", "pos"], "left").withColumn("cluster", F.coalesce("_new", "cluster"))
+        found.append(labelled.select(*unit, "pos", "cluster"))
+    found = cut(reduce(DataFrame.unionByName, found))
+    # There are nine clusters at most.
+    firsts = found.groupBy(*unit, "cluster").agg(F.min("pos").alias("at"))
+    numbered = firsts.groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct("at", "cluster"))).alias("o"))
+    numbered = numbered.select(*unit, F.posexplode("o").alias("nth", "c")).select(
+        *unit, F.col("c.cluster").alias("cluster"), "nth"
+    )
+    return found.join(numbered, [*unit, "cluster"]).join(settled, list(by)).select(
+        *by, "pos", "k", F.col("nth").alias("cluster"), "converged"
     )
 
 
