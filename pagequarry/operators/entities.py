@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagequarry.functions import tokens
 from pagequarry.functions.fixed import LABEL_CATEGORY
-from pagequarry.operators.keys import Keys, computed, joined_text, small_side, top_n
+from pagequarry.operators.keys import Keys, joined_text, running_before, top_n
 
 DOC_CHARS = 1_000_000
 TOKEN = r"[\p{L}\p{N}]+"
@@ -32,6 +36,42 @@ def sentences(docs: DataFrame, by: Keys) -> DataFrame:
     )
 
 
+def page_sentences(segments: DataFrame, by: Keys, text: str = "text") -> DataFrame:
+    """(page, sentence, text): what :func:`sentences` gives for the page's :func:`documents`, without
+    gathering a page.
+
+    A segment yields an open head, whole sentences and an open tail. How many sentences are closed
+    before a segment numbers its pieces, so a tail and the heads that go on with it have one number,
+    and only those meet. A sentence without an end in its page is one row, as long as it is.
+    """
+    sized = ["n_lines"] if "n_lines" in segments.columns and "n_lines" not in by else []
+    pieces_of = lambda t: F.regexp_extract_all(t, F.lit(SENTENCE), F.lit(0))
+    held = segments.where(F.col(text).isNotNull()).select(
+        *by, *sized, "pos", pieces_of(F.concat(F.lit(" "), F.col(text))).alias("_p"), F.col(text).rlike("^[.!?]").cast("int").alias("_lead")
+    )
+    open_end = F.coalesce((~F.try_element_at("_p", F.lit(-1)).rlike("[.!?]$")).cast("int"), F.lit(0))
+    counted = running_before(
+        held.select("*", (F.size("_p") - open_end).alias("_n"), F.lit(1).alias("_one")), by, "pos", ["_n", "_one"], ["_lead"]
+    )
+    # All but the first segment follow a blank, which is no part of a sentence's end. Ends that open
+    # the page belong to no sentence: the first piece is not one then, and no number is spent on it.
+    first = F.col("before__one") == 0
+    lead = F.when(F.col("first__lead") == 1, 1).otherwise(0)
+    counted = counted.select(
+        *by, "pos", F.when(first & (lead == 1), F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1)))).otherwise(F.col("_p")).alias("_q"),
+        (F.col("before__n") - F.when(first, 0).otherwise(lead)).alias("_at"),
+    )
+    pieces = counted.select(*by, "pos", "_at", F.posexplode("_q").alias("_i", "_x"))
+    whole = (F.col("_i") > 0) & F.col("_x").rlike(r"[.!?]$")
+    named = pieces.select(*by, (F.col("_at") + F.col("_i")).cast("bigint").alias("sentence"), "pos", "_x", whole.alias("_w"))
+    parts = named.where("NOT _w").groupBy(*by, "sentence").agg(F.array_sort(F.collect_list(F.struct("pos", "_x"))).alias("_l"))
+    joined = parts.select(*by, "sentence", F.array_join(F.transform("_l", lambda x: x["_x"]), "").alias("_x"))
+    return (
+        named.where("_w").select(*by, "sentence", "_x").unionByName(joined)
+        .select(*by, "sentence", F.trim("_x").alias("text")).where(F.length("text") > 0)
+    )
+
+
 def _clean_name(name: Column) -> Column:
     return F.trim(F.replace(F.trim(name), F.lit("\n"), F.lit(" ")))
 
@@ -61,66 +101,71 @@ def known_names(gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def _pattern_hits(label: str, pattern: str) -> str:
-    """Matches with their places, from the pieces that the pattern cuts the text into."""
-    found, between = f"regexp_extract_all(text, r'{pattern}', 0)", f"split(text, r'{pattern}', -1)"
-    return (
-        f"transform({found}, (m, j) -> named_struct('name', m, 'label', '{label}', 'at', CAST(1 + "
-        f"length(array_join(slice({between}, 1, j + 1), '')) + length(array_join(slice({found}, 1, j), '')) AS BIGINT)))"
-    )
+HIT = "name string, label string, at bigint"
+# Bytes of names up to which every worker walks the whole gazetteer as a trie.
+TRIE_BYTES = 4 << 20
 
 
-def tagged(split: DataFrame, gazetteer: DataFrame, by: Keys, capitals: bool = True) -> DataFrame:
+def tagged(split: DataFrame, gazetteer: DataFrame, by: Keys, capitals: bool = True, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """(page, sentence, name, label, at): gazetteer names of any number of words, plus patterns.
 
     A name matches where the text has its tokens with the same signs between them; any blanks,
     line ends too, count as one space. ``at`` is the place of the first token. With ``capitals`` a
     name must start with a capital letter in the text. Names inside a longer name at the same place
-    are dropped: a longer match marks the shorter places it covers, and one aggregate settles each
-    place.
+    are dropped. A sentence is cut into tokens once, and offsets come from running sums over them, so
+    the work is linear in its length. Names of up to ``trie_bytes`` (measured) are walked as a trie of
+    tokens in the workers; of a larger gazetteer, the spellings that stand in the text meet the names
+    in a join, without the text.
     """
     known = known_names(gazetteer)
-    # Distinct numbers of words in a name: a handful, whatever the gazetteer holds.
-    sizes = sorted(r[0] for r in known.select("size").distinct().collect()) or [1]
-    words = split.select(*by, "sentence", "text", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("_w"))
-    starts = "transform(_w, (w, i) -> i)"
+    total, sizes = known.agg(F.sum(F.octet_length("name")), F.collect_set("size")).first()
+    sizes = sorted(sizes) or [1]  # distinct numbers of words in a name: a handful, whatever the gazetteer holds
+    starts = F.lit(None).cast("array<boolean>")
+    words = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
     if capitals:
-        starts = f"filter({starts}, i -> get(_w, i) rlike r'^\\p{{Lu}}')"
-    lengths = f"array({', '.join(map(str, sizes))})"
-    grams = F.expr(
-        f"flatten(transform({starts}, i -> transform(filter({lengths}, n -> i + n <= size(_w)), "
-        "n -> named_struct('i', i, 'n', n, 'key', array_join(slice(_w, i + 1, n), ' ')))))"
-    )
-    places = words.select(*by, "sentence", "text", F.inline(grams))
-    found = places.join(small_side(known.drop("size")), "key")
-    # Places and spellings are worked out for hits only, after the join.
-    tokens, gaps = f"regexp_extract_all(text, r'{TOKEN}', 0)", f"split(text, r'{TOKEN}', -1)"
-    placed = computed(
-        found,
-        at=F.expr(
-            f"CAST(1 + length(array_join(slice({gaps}, 1, i + 1), '')) + length(array_join(slice({tokens}, 1, i), '')) AS BIGINT)"
-        ),
-        span=F.expr(
-            f"length(array_join(slice({tokens}, i + 1, n), '')) + length(array_join(slice({gaps}, i + 2, n - 1), ''))"
-        ),
-    )
-    spelled = _one_space(F.substring(F.col("text"), F.col("at").cast("int"), F.col("span")))
-    hits = placed.where(spelled == F.col("name")).drop("text", "key", "span")
-    covered = F.expr(
-        f"flatten(transform(sequence(i, i + n - 1), s -> transform(filter({lengths}, m -> s + m <= i + n), "
-        "m -> named_struct('i', s, 'n', m))))"
-    )
-    spots = hits.select(*by, "sentence", "i", "n", "name", "label", "at", F.explode(covered).alias("_spot"))
-    own = (F.col("_spot.i") == F.col("i")) & (F.col("_spot.n") == F.col("n"))
-    settled = spots.groupBy(*by, "sentence", F.col("_spot.i").alias("i"), F.col("_spot.n").alias("n")).agg(
-        F.bool_and(own).alias("free"),
-        F.max(F.when(own, F.struct("name", "label", "at"))).alias("hit"),
-    )
-    names = settled.where("free").select(*by, "sentence", "hit.name", "hit.label", "hit.at")
-    patterned = split.select(
-        *by, "sentence", F.inline(F.flatten(F.array(*[F.expr(_pattern_hits(k, v)) for k, v in PATTERNS.items()])))
-    )
-    return names.unionByName(patterned.select(*names.columns))
+        starts = F.transform(words, lambda w: w.rlike(r"^\p{Lu}"))
+    cut_up = split.select(
+        *by, "sentence", words.alias("words"), F.split("text", TOKEN, -1).alias("gaps"), starts.alias("starts"),
+        F.array(*[
+            F.struct(F.lit(label).alias("label"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("found"),
+                     F.split("text", p, -1).alias("between"))
+            for label, p in PATTERNS.items()
+        ]).alias("patterns"),
+    )
+    if (total or 0) <= trie_bytes:
+        listed = split.sparkSession.sparkContext.broadcast([tuple(r) for r in known.select("key", "name", "label").collect()])
+
+        @F.pandas_udf(f"array<struct<{HIT.replace(' ', ':').replace(',:', ',')}>>")
+        def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            trie = tokens.trie(listed.value)
+            for batch in batches:
+                yield pd.Series([tokens.hits(*row, trie) for row in zip(*batch)], dtype=object)
+
+        return cut_up.select(*by, "sentence", F.inline(walk("words", "gaps", "starts", "patterns")))
+    return _joined_hits(cut_up, known, by, sizes)
+
+
+def _joined_hits(cut_up: DataFrame, known: DataFrame, by: Keys, sizes: list[int]) -> DataFrame:
+    """The same for a gazetteer of any size: every spelling of fitting length meets the names."""
+
+    @F.pandas_udf("array<struct<i:int,n:int,at:bigint,spelled:string>>")
+    def spellings(words: pd.Series, gaps: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([tokens.spellings(*row, sizes) for row in zip(words, gaps, starts)], dtype=object)
+
+    @F.pandas_udf(f"array<struct<{HIT.replace(' ', ':').replace(',:', ',')}>>")
+    def patterned(patterns: pd.Series) -> pd.Series:
+        return pd.Series([tokens.pattern_hits(row) for row in patterns], dtype=object)
+
+    spelled = cut_up.select(*by, "sentence", F.inline(spellings("words", "gaps", "starts")))
+    hits = spelled.join(known.select(F.col("name").alias("spelled"), "label"), "spelled")
+    # Inside a longer name: an earlier start, or the same and a longer one, that ends no sooner.
+    order = [F.col("i"), F.col("n").desc()]
+    before = Window.partitionBy(*by, "sentence").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    free = hits.withColumn("_end", F.max(F.col("i") + F.col("n")).over(before))
+    names = free.where(F.coalesce(F.col("i") + F.col("n") > F.col("_end"), F.lit(True)))
+    return names.select(*by, "sentence", F.col("spelled").alias("name"), "label", "at").unionByName(
+        cut_up.select(*by, "sentence", F.inline(patterned("patterns")))
+    )
 
 
 def mentions(tags: DataFrame, by: Keys) -> DataFrame:

@@ -88,6 +88,39 @@ def array_parts(df: DataFrame, by: Keys, value: str, pos: str = "pos", width: in
     )
 
 
+def running_before(
+    df: DataFrame, by: Keys, pos: str, values: Sequence[str], heads: Sequence[str] = (), width: int = 4096
+) -> DataFrame:
+    """Add ``before_<value>``, sums over the rows of a key with a smaller ``pos``, and ``first_<head>``, the
+    value in the key's first row.
+
+    Windows run inside stretches of ``width`` positions, and over the sums of stretches, so a key
+    with a third of all rows is spread over its stretches. Where ``n_lines`` says that a key has one
+    stretch only (no ``pos`` reaches it), that is all.
+    """
+    placed = df.withColumn("_part", F.floor(F.col(pos) / width))
+    wide = placed.where(F.col("n_lines") > width) if "n_lines" in df.columns else placed
+    sums = wide.groupBy(*by, "_part").agg(
+        *[F.sum(v).alias(f"_s_{v}") for v in values], *[F.min_by(h, pos).alias(f"_h_{h}") for h in heads]
+    )
+    over = Window.partitionBy(*by).orderBy("_part")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        *by, "_part", *[F.sum(f"_s_{v}").over(earlier).alias(f"_b_{v}") for v in values],
+        *[F.first(f"_h_{h}").over(over).alias(f"_h_{h}") for h in heads], F.row_number().over(over).alias("_r"),
+    ).where("_r > 1").drop("_r")
+    stretch = Window.partitionBy(*by, "_part").orderBy(pos)
+    inside = stretch.rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.select(
+        "*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_i_{v}") for v in values],
+        *[F.first(h).over(stretch).alias(f"_f_{h}") for h in heads],
+    )
+    return summed.join(starts, [*by, "_part"], "left").select(
+        *df.columns, *[(F.col(f"_i_{v}") + F.coalesce(f"_b_{v}", F.lit(0))).alias(f"before_{v}") for v in values],
+        *[F.coalesce(f"_h_{h}", f"_f_{h}").alias(f"first_{h}") for h in heads],
+    )
+
+
 def block_sizes(df: DataFrame, by: Keys, block: int) -> DataFrame:
     """(key, parts): in how many blocks of about ``block`` rows a key goes."""
     return df.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))

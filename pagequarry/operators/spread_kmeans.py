@@ -42,9 +42,9 @@ def sweep(rows: DataFrame, by: Keys, restarts: int, seed: int, rounds: int = 300
     plain = sizes.where("n < 3 OR NOT has_terms").select(*by)
     usable = sizes.where("n >= 3 AND has_terms").select(*by, "n")
     labels = cut(_lloyd(points.join(usable, keys), by, restarts, seed, rounds))
-    scores = cut(_scores(points, labels, by, block))
+    scored = cut(scores(points, labels, by, block))
     settled = labels.groupBy(*by).agg(F.bool_and("converged").alias("converged"))
-    chosen = usable.select(*by).join(settled, keys).join(best_k(scores, by), keys, "left").withColumn(
+    chosen = usable.select(*by).join(settled, keys).join(best_k(scored, by), keys, "left").withColumn(
         "optimal_k", F.coalesce("optimal_k", F.lit(2))
     )
     found = labels.drop("converged").join(chosen, keys).where("k = optimal_k")
@@ -58,9 +58,9 @@ def sweep(rows: DataFrame, by: Keys, restarts: int, seed: int, rounds: int = 300
     ).unionByName(one)
 
 
-def best_k(scores: DataFrame, by: Keys) -> DataFrame:
+def best_k(scored: DataFrame, by: Keys) -> DataFrame:
     """(page, optimal_k, silhouette, sweep): the largest silhouette wins, the smallest k of equals."""
-    best = scores.where("silhouette IS NOT NULL").groupBy(*by).agg(
+    best = scored.where("silhouette IS NOT NULL").groupBy(*by).agg(
         F.max_by(F.struct("k", "silhouette"), F.struct(F.round("silhouette", PLACES), -F.col("k"))).alias("best"),
         F.sort_array(F.collect_list(F.struct("k", "silhouette"))).alias("sweep"),
     )
@@ -309,7 +309,7 @@ def _numbered(done: list[tuple[DataFrame, DataFrame | None, DataFrame]], by: Key
     )
 
 
-def _scores(points: DataFrame, labels: DataFrame, by: Keys, block: int) -> DataFrame:
+def scores(points: DataFrame, labels: DataFrame, by: Keys, block: int = 512) -> DataFrame:
     """(page, k, silhouette): exact mean, from distance sums that block pairs compute in place."""
     keys = list(by)
     tags = labels.groupBy(*by, "pos").agg(F.map_from_entries(F.collect_list(F.struct("k", "cluster"))).alias("tags"))

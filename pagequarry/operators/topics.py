@@ -77,6 +77,28 @@ def _small(rows: DataFrame, by: Keys, restarts: int, seed: int) -> DataFrame:
     ).select(*by, "pos", "cluster", "optimal_k", "silhouette", "sweep", "converged")
 
 
+def kmeans_in_tasks(points: DataFrame, seeds: DataFrame, by: Keys, rounds: int = 300) -> DataFrame:
+    """The counterpart of :func:`spread_kmeans.lloyd` for pages of bounded size: (page, pos, k, cluster,
+    converged) of the cheapest restart per k, from the same points and seeds, a page and k in a task."""
+    pages = points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "terms", "ws"))).alias("_rows"))
+    starts = seeds.groupBy(*by, "k").agg(F.array_sort(F.collect_list(F.struct("restart", "cluster", "pos"))).alias("_seeds"))
+
+    @F.pandas_udf("labels array<int>, converged boolean")
+    def settle(pos: pd.Series, terms: pd.Series, ws: pd.Series, k: pd.Series, drawn: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, t, w, n, s in zip(pos, terms, ws, k, drawn):
+            chosen = np.searchsorted(np.asarray(p), np.asarray(s)).reshape(-1, n)
+            labels, settled = vectors.kmeans(vectors.gram(list(t), list(w)), chosen, rounds)
+            out.append((labels.tolist(), settled))
+        return pd.DataFrame(out, columns=["labels", "converged"])
+
+    found = pages.join(starts, list(by)).withColumn(
+        "_s", settle("_rows.pos", "_rows.terms", "_rows.ws", "k", "_seeds.pos")
+    )
+    labelled = F.arrays_zip(F.col("_rows.pos").alias("pos"), F.col("_s.labels").alias("cluster"))
+    return found.select(*by, "k", "_s.converged", F.inline(labelled)).select(*by, "pos", "k", "cluster", "converged")
+
+
 def sweep_log(labelled: DataFrame, by: Keys) -> DataFrame:
     """(page, k, silhouette) of every k tried."""
     per_page = labelled.groupBy(*by).agg(F.max("sweep").alias("sweep"))

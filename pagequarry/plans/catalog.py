@@ -278,7 +278,7 @@ def gazetteer(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_mentions(spark: SparkSession, folder: str, *extra: str, capitals: bool = False) -> DataFrame:
     by = [*DOC, *extra]
-    split = N.sentences(N.documents(cleaned(spark, folder, *extra), by), by)
+    split = N.page_sentences(cleaned(spark, folder, *extra), by)
     return N.mentions(N.tagged(split, gazetteer(spark, folder), by, capitals), by)
 
 
@@ -351,7 +351,7 @@ def _(spark, folder):
 
 @register("sentences", "N2", f"WITH {SQL_SENTENCES} SELECT doc_id, sentence, text FROM sn")
 def _(spark, folder):
-    return N.sentences(N.documents(cleaned(spark, folder), DOC), DOC)
+    return N.page_sentences(cleaned(spark, folder), DOC)
 
 
 @register("entity_mentions", "N3 N4 N5", f"WITH {SQL_MENTIONS} SELECT doc_id, sentence, pos, name, category FROM me")

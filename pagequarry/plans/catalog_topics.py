@@ -123,25 +123,143 @@ def _(spark, folder):
     return K.topic_names(labels, K.centroid_terms(wt, labels, DOC), DOC)
 
 
+# Distances between the segments of a document, and the mean silhouette of labels ``cluster`` of (doc_id, k).
+SQL_APART = (
+    SQL_WEIGHTS
+    + """, n2 AS (SELECT cl.doc_id, cl.pos, coalesce(sum(w * w), 0) AS norm2 FROM cl LEFT JOIN wt USING (doc_id, pos) GROUP BY ALL),
+    dt AS (SELECT a.doc_id, a.pos, b.pos AS other, sum(a.w * b.w) AS dot FROM wt a JOIN wt b USING (doc_id, term) GROUP BY ALL),
+    ap AS (SELECT a.doc_id, a.pos, b.pos AS other, CASE WHEN a.pos = b.pos THEN 0 ELSE sqrt(greatest(0, a.norm2 + b.norm2 - 2 * coalesce(dot, 0))) END AS dist
+        FROM n2 a JOIN n2 b USING (doc_id) LEFT JOIN dt ON dt.doc_id = a.doc_id AND dt.pos = a.pos AND dt.other = b.pos)"""
+)
+SQL_SILHOUETTES = """cs AS (SELECT doc_id, k, cluster, count(*) AS size FROM lk GROUP BY ALL),
+    tot AS (SELECT l.doc_id, l.k, l.pos, l.cluster AS own, o.cluster, sum(dist) AS total FROM lk l JOIN ap USING (doc_id, pos)
+        JOIN lk o ON o.doc_id = l.doc_id AND o.k = l.k AND o.pos = ap.other GROUP BY ALL),
+    ab AS (SELECT doc_id, k, pos, max(size) FILTER (own = cluster) AS size, max(total) FILTER (own = cluster) AS inside,
+        min(total / size) FILTER (own <> cluster) AS b FROM tot JOIN cs USING (doc_id, k, cluster) GROUP BY ALL),
+    sr AS (SELECT doc_id, k, CASE WHEN size > 1 AND greatest(inside / greatest(size - 1, 1), b) > 0
+        THEN (b - inside / greatest(size - 1, 1)) / greatest(inside / greatest(size - 1, 1), b) ELSE 0 END AS v FROM ab),
+    kc AS (SELECT doc_id, k, count(*) AS clusters FROM cs GROUP BY ALL),
+    sk AS (SELECT doc_id, k, CASE WHEN any_value(clusters) BETWEEN 2 AND count(*) - 1 THEN avg(v) END AS s
+        FROM sr JOIN kc USING (doc_id, k) GROUP BY ALL)"""
+
+
+def rule_labels(rows: DataFrame, ks: Column) -> DataFrame:
+    """(doc_id, pos, k, cluster) for every k in ``ks`` (an array over ``n`` segments): the length of a
+    segment decides its cluster."""
+    sized = rows.join(rows.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
+    each = sized.select("doc_id", "pos", F.length("cleaned").alias("size"), F.explode(ks).alias("k"))
+    return each.select("doc_id", "pos", "k", (F.col("size") % F.col("k")).cast("int").alias("cluster"))
+
+
 @register(
-    "topic_metrics", "K10 K1",
-    f"""WITH {SQL_WEIGHTS}, p AS (SELECT doc_id, count(*) AS rows, count(DISTINCT length(cleaned) % 3) AS k, avg(length(cleaned)) / 1000 AS s FROM cl GROUP BY 1),
-    v AS (SELECT doc_id, count(*) AS size FROM vocab GROUP BY 1)
-    SELECT doc_id, CASE WHEN rows >= 3 THEN round_even(s::DOUBLE, 3)::DOUBLE END AS silhouette, (CASE WHEN rows < 3 THEN 1 ELSE k END)::INTEGER AS optimal_k,
-      CASE WHEN rows < 3 OR k = 1 THEN 0 ELSE coalesce(size, 0) END AS vocab_size FROM p LEFT JOIN v USING (doc_id)""",
+    "topic_metrics", "K10 K6",
+    f"""WITH {SQL_APART}, v AS (SELECT doc_id, count(*) AS size FROM vocab GROUP BY 1),
+    lk AS (SELECT doc_id, pos, 3 AS k, length(cleaned) % 3 AS cluster FROM cl), {SQL_SILHOUETTES}
+    SELECT doc_id, CASE WHEN n >= 3 THEN round(s::DOUBLE, 3) END AS silhouette, CASE WHEN n < 3 THEN 1 ELSE clusters END::INTEGER AS optimal_k,
+      CASE WHEN n < 3 OR clusters = 1 THEN 0 ELSE coalesce(size, 0) END AS vocab_size
+    FROM kc JOIN sk USING (doc_id) JOIN (SELECT doc_id, count(*) AS n FROM cl GROUP BY 1) USING (doc_id) LEFT JOIN v USING (doc_id)""",
 )
 def _(spark, folder):
-    # Given labels and scores: the guard, the rounding and the record are what is checked here.
-    rows, _counts, vocab = counted(spark, folder)
-    size = F.length("cleaned")
-    pages = rows.groupBy("doc_id").agg(
-        F.count("*").alias("rows"), F.count_distinct(size % 3).alias("k"), (F.avg(size) / 1000).alias("s")
+    # Given labels; their silhouettes are those that the sweep over large pages computes.
+    rows, counts, vocab = counted(spark, folder)
+    wt = W.weights(counts, vocab, DOC)
+    labels = cut(rule_labels(rows, F.array(F.lit(3))))
+    scores = SK.scores(K.term_vectors(rows, wt, DOC), labels, DOC)
+    held = labels.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("held"))
+    told = held.join(scores, "doc_id").select(
+        "doc_id", F.when(F.col("n") >= 3, F.col("silhouette")).alias("silhouette"),
+        F.when(F.col("n") < 3, 1).otherwise(F.col("held")).cast("int").alias("optimal_k"),
     )
-    labelled = pages.select(
-        "doc_id", F.when(F.col("rows") >= 3, F.col("s")).alias("silhouette"),
-        F.when(F.col("rows") < 3, 1).otherwise(F.col("k")).cast("int").alias("optimal_k"),
+    return K.metrics(told, vocab, DOC)
+
+
+SQL_GUARD = """SELECT doc_id, pos, n < 3 OR coalesce(size, 0) = 0 AS guarded, true AS in_range FROM cl
+    JOIN (SELECT doc_id, count(*) AS n FROM cl GROUP BY 1) USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS size FROM wt GROUP BY 1) USING (doc_id)"""
+
+
+@register("topic_guard", "K1", f"WITH {SQL_WEIGHTS} {SQL_GUARD}")
+def _(spark, folder):
+    # All that SQL can say of the topics of every page: which are one cluster, and that k is in range.
+    rows, _wt, found = page_topics(spark, folder)
+    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    one = F.col("optimal_k") == 1
+    most = F.greatest(F.lit(2), F.least(F.lit(10), F.col("n").cast("int")) - 1)
+    plain = (F.col("cluster") == 0) & F.col("silhouette").isNull() & (F.size("sweep") == 0)
+    swept = F.col("optimal_k").between(2, most) & F.col("cluster").between(0, F.col("optimal_k") - 1)
+    return found.join(sizes, "doc_id").select(
+        "doc_id", "pos", one.alias("guarded"), F.when(one, plain).otherwise(swept).alias("in_range")
     )
-    return K.metrics(labelled, vocab, DOC)
+
+
+SEED_K, SEED_ROUNDS = 3, 4
+
+
+def seeded(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Points of the documents with more segments than seeds, and their first segments as seeds."""
+    rows, wt = weighted(spark, folder)
+    points = cut(K.term_vectors(rows, wt, DOC))
+    first = points.groupBy("doc_id").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("pos")), 1, SEED_K).alias("p"))
+    seeds = first.where(F.col("n") > SEED_K).select(
+        "doc_id", F.lit(SEED_K).alias("k"), F.lit(0).alias("restart"), F.posexplode("p").alias("cluster", "pos")
+    )
+    return points.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi"), seeds
+
+
+def sql_lloyd(k: int = SEED_K, rounds: int = SEED_ROUNDS) -> str:
+    """The rounds unrolled: assignment, rows for empty clusters, new centres."""
+    steps = []
+    for t in range(rounds):
+        if t == 0:
+            steps += [
+                "c0 AS (SELECT doc_id, c, term, w FROM sd JOIN wt USING (doc_id, pos))",
+                "z0 AS (SELECT doc_id, c, norm2 AS c2 FROM sd JOIN pt USING (doc_id, pos))",
+            ]
+        else:
+            steps += [
+                f"s{t} AS (SELECT doc_id, c, count(*) AS size FROM l{t - 1} GROUP BY ALL)",
+                f"c{t} AS MATERIALIZED (SELECT doc_id, c, term, sum(w) / any_value(size) AS w FROM l{t - 1} JOIN wt USING (doc_id, pos) "
+                f"JOIN s{t} USING (doc_id, c) GROUP BY ALL)",
+                f"z{t} AS (SELECT doc_id, c, coalesce(sum(w * w), 0) AS c2 FROM s{t} LEFT JOIN c{t} USING (doc_id, c) GROUP BY ALL)",
+            ]
+        steps += [
+            f"x{t} AS (SELECT a.doc_id, a.pos, b.c, sum(a.w * b.w) AS dot FROM wt a JOIN c{t} b USING (doc_id, term) GROUP BY ALL)",
+            f"r{t} AS (SELECT doc_id, pos, norm2, c, round(c2 - 2 * coalesce(dot, 0), 9) AS rest FROM pt JOIN z{t} USING (doc_id) "
+            f"LEFT JOIN x{t} USING (doc_id, pos, c))",
+            f"a{t} AS MATERIALIZED (SELECT doc_id, pos, c AS raw, round(greatest(norm2 + rest, 0), 9) AS own FROM r{t} "
+            "QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY rest, c) = 1)",
+            f"e{t} AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY c) AS nth FROM z0 "
+            f"ANTI JOIN (SELECT DISTINCT doc_id, raw AS c FROM a{t}) USING (doc_id, c))",
+            f"f{t} AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY own DESC, pos) AS nth FROM ("
+            f"SELECT * FROM a{t} QUALIFY row_number() OVER (PARTITION BY doc_id, raw ORDER BY own, pos DESC) > 1))",
+            f"l{t} AS MATERIALIZED (SELECT a.doc_id, a.pos, coalesce(e.c, a.raw) AS c FROM a{t} a LEFT JOIN f{t} f USING (doc_id, pos) "
+            f"LEFT JOIN e{t} e ON e.doc_id = a.doc_id AND e.nth = f.nth)",
+        ]
+    end, last = rounds - 1, rounds - 2
+    return (
+        f"WITH {SQL_WEIGHTS}, pt AS (SELECT doc_id, cl.pos, coalesce(sum(w * w), 0) AS norm2 FROM cl JOIN (SELECT doc_id FROM cl "
+        f"GROUP BY 1 HAVING count(*) > {k}) USING (doc_id) LEFT JOIN wt USING (doc_id, pos) GROUP BY ALL), "
+        "sd AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS c FROM pt QUALIFY c < "
+        f"{k}), " + ", ".join(steps)
+        + f", nb AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) - 1 AS name FROM "
+        f"(SELECT doc_id, c, min(pos) AS first_pos FROM l{end} GROUP BY doc_id, c)), "
+        f"cv AS (SELECT doc_id, bool_and(l{end}.c = l{last}.c) AS converged FROM l{end} JOIN l{last} USING (doc_id, pos) GROUP BY 1) "
+        f"SELECT doc_id, pos, name::INTEGER AS cluster, converged FROM l{end} JOIN nb USING (doc_id, c) JOIN cv USING (doc_id)"
+    )
+
+
+@register("kmeans_in_blocks", "K2", sql_lloyd())
+def _(spark, folder):
+    # What large pages go through, from given seeds; blocks of few rows, so that a document has several.
+    points, seeds = seeded(spark, folder)
+    found = SK.lloyd(points, seeds, DOC, SEED_ROUNDS, block=8)
+    return found.select("doc_id", "pos", F.col("cluster").cast("int").alias("cluster"), "converged")
+
+
+@register("kmeans_in_tasks", "K2", sql_lloyd())
+def _(spark, folder):
+    points, seeds = seeded(spark, folder)
+    return K.kmeans_in_tasks(points, seeds, DOC, SEED_ROUNDS).select("doc_id", "pos", "cluster", "converged")
 
 
 def page_topics(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -201,17 +319,17 @@ def _(spark, folder):
 
 @register(
     "best_k", "K5 K6",
-    f"""WITH {SQL_LINES}, t AS (SELECT doc_id, (pos + 2)::INTEGER AS k, CASE WHEN length(text) % 6 > 0 THEN (length(text) % 6) / 10 END AS s
-        FROM seg WHERE pos < 8)
-    SELECT doc_id, arg_min(k, {{'a': -s, 'k': k}}) AS optimal_k, round(max(s)::DOUBLE, 6) AS silhouette, count(*)::INTEGER AS tried
-    FROM t WHERE s IS NOT NULL GROUP BY 1""",
+    f"""WITH {SQL_APART}, lk AS (SELECT doc_id, pos, k, length(cleaned) % k AS cluster FROM cl
+        JOIN (SELECT doc_id, unnest(range(2, least(10, count(*)))) AS k FROM cl GROUP BY 1) USING (doc_id)), {SQL_SILHOUETTES}
+    SELECT doc_id, arg_min(k, {{'a': -round(s, 9), 'k': k}})::INTEGER AS optimal_k, round(max(s)::DOUBLE, 6) AS silhouette, count(*)::INTEGER AS tried
+    FROM sk WHERE s IS NOT NULL GROUP BY 1""",
 )
 def _(spark, folder):
-    # Given scores of every k, with ties and with none: the choice is what is checked here.
-    size = F.length("text") % 6
-    scores = lines(spark, folder).where("pos < 8").select(
-        "doc_id", (F.col("pos") + 2).cast("int").alias("k"), F.when(size > 0, size / 10).alias("silhouette")
-    )
+    # Silhouettes of given labels for every k, by the operators that the sweep over large pages uses.
+    rows, wt = weighted(spark, folder)
+    tried = F.filter(F.sequence(F.lit(2), F.lit(9)), lambda k: k < F.col("n"))
+    labels = cut(rule_labels(rows, tried))
+    scores = SK.scores(K.term_vectors(rows, wt, DOC), labels, DOC)
     return SK.best_k(scores, DOC).select(
         "doc_id", "optimal_k", F.round("silhouette", 6).alias("silhouette"), F.size("sweep").alias("tried")
     )

@@ -47,7 +47,7 @@ def stages(pages: DataFrame, segments: DataFrame, gazetteer: DataFrame, by: Keys
     labelled = cut(K.topics(rows, weights, by))
     names = K.topic_names(labelled, K.centroid_terms(weights, labelled, by), by)
     named = K.named_topics(labelled, names, by)
-    found = cut(N.mentions(N.tagged(N.sentences(N.documents(rows, by), by), gazetteer, by, capitals), by))
+    found = cut(N.mentions(N.tagged(N.page_sentences(rows, by), gazetteer, by, capitals), by))
     chosen = N.top_nodes(N.nodes(found, by), by)
     graph = N.packed_graph(usable, chosen, N.top_edges(N.edges(found, chosen, by), by), by)
     # A page of one topic has no takeaways.

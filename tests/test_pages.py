@@ -218,6 +218,50 @@ def test_names_over_signs_and_line_ends(spark):
     assert got == sorted((text.index(n.replace("New York", "New\nYork").replace("West Side", "West  Side"), s) + 1, n) for n, s in want)
 
 
+@pytest.mark.parametrize("width", [3, 4096])
+def test_sentences_without_gathering_a_page(spark, monkeypatch, width):
+    """The same sentences under the same numbers as from the page's joined text."""
+    rng = np.random.RandomState(6)
+    bits = ["One", "two three", ".", "!?", "", " ", "four. five", "Six!", "seven?? eight", "...", "nine ten. ", " . ", "e.g. this"]
+    rows = []
+    for page in range(60):
+        n = rng.randint(1, 14)
+        for p in range(n):
+            parts = [bits[i] for i in rng.randint(0, len(bits), rng.randint(0, 4))]
+            rows.append((f"p{page}", p * (1 + page % 3), None if rng.rand() < 0.1 else "".join(parts), 3 * n))
+    rows += [("open", i, "no end here", 9) for i in range(9)] + [("ends", i, "...", 4) for i in range(4)]
+    table = spark.createDataFrame(rows, "url string, pos bigint, text string, n_lines bigint").repartition(4)
+    monkeypatch.setattr(A.running_before, "__defaults__", ((), width))
+    want = {(r.url, r.sentence, r.text) for r in N.sentences(N.documents(table, ["url"]), ["url"]).collect()}
+    assert {(r.url, r.sentence, r.text) for r in N.page_sentences(table, ["url"]).collect()} == want
+    assert {(r.url, r.sentence, r.text) for r in N.page_sentences(table.drop("n_lines"), ["url"]).collect()} == want
+
+
+def test_a_gazetteer_of_any_size_finds_the_same(spark):
+    rng = np.random.RandomState(7)
+    words = ["New", "York", "City", "Ann", "met", "in", "Art", "O'Neill", "the", "West"]
+    signs = [" ", "  ", "\n", ", ", "-", " & "]
+    texts = ["".join(words[rng.randint(10)] + signs[rng.randint(6)] for _ in range(rng.randint(1, 30))) + "2021 €5" for _ in range(80)]
+    split = spark.createDataFrame([(f"p{i % 7}", i, t) for i, t in enumerate(texts)], "url string, sentence bigint, text string")
+    terms = ["New York City", "New York", "York City", "City", "Ann", "Art - West", "Art-West", "O'Neill", "met in", "West & Ann", "in the West", "New"]
+    names = spark.createDataFrame([(t, "ORG" if len(t) % 2 else "GPE") for t in terms], "term string, label string")
+    for capitals in (True, False):
+        small = sorted(map(tuple, N.tagged(split, names, ["url"], capitals).collect()))
+        assert small == sorted(map(tuple, N.tagged(split, names, ["url"], capitals, trie_bytes=-1).collect()))
+        assert len(small) > 200
+
+
+def test_a_megabyte_without_a_full_stop(spark):
+    """Linear work: 1 MB with a name at every few words, of which each place is exact."""
+    text = "we saw Ann Lee and Bob " * 45_000
+    split = spark.createDataFrame([("a", 0, text)], "url string, sentence bigint, text string")
+    names = spark.createDataFrame([("Ann Lee", "PERSON"), ("Bob", "PERSON"), ("Lee", "ORG")], "term string, label string")
+    got = N.tagged(split, names, ["url"]).groupBy("name").agg(F.count("*").alias("n"), F.sum("at").alias("s"), F.max("at").alias("m")).collect()
+    step, n = len("we saw Ann Lee and Bob "), 45_000
+    want = {name: (n, sum(step * i + at for i in range(n)), step * (n - 1) + at) for name, at in (("Ann Lee", 8), ("Bob", 20))}
+    assert {r["name"]: (r["n"], r["s"], r["m"]) for r in got} == want
+
+
 def test_long_pages_are_read_whole(spark):
     rows = [("a", i, "some words without any name in them" * 30 + ".", 1200) for i in range(1200)] + [("a", 1200, "Here is Ann.", 1201)]
     table = spark.createDataFrame(rows, "url string, pos bigint, text string, n_lines bigint")

@@ -152,6 +152,34 @@ def test_the_limit_decides_nothing_but_the_place(segments):
     assert all(v[4] for v in in_tasks.values())
 
 
+@pytest.mark.parametrize("block", [3, 16, 4096])
+def test_blocks_and_tasks_agree_on_given_seeds(segments, block):
+    """Several restarts and k, seeds that are equal rows (so clusters are empty), pages of any kind."""
+    rng = random.Random(12)
+    equal = ["alpha beta gamma delta"] * 3 + [f"alpha beta gamma {x}" for x in ("delta beta", "one", "two", "three", "delta alpha")]
+    pages = {"big": big_page(rng, 40), "equal": equal, "none": ["of the and to", "in is it on as", "the of to in"] * 3 + ["alpha beta gamma"]}
+    cleaned, _vocab, wt = prepared(segments(pages))
+    points = K.term_vectors(cleaned, wt, URL)
+    own = {}
+    for r in points.collect():
+        own.setdefault(r.url, []).append(r.pos)
+    rows = []
+    for url, pos in own.items():
+        for k in {2, 3, min(6, len(pos) - 1)}:
+            for restart in range(3):
+                drawn = sorted(pos)[:k] if not restart else rng.sample(sorted(pos), k)
+                rows += [(url, k, restart, c, p) for c, p in enumerate(drawn)]
+    seeds = points.sparkSession.createDataFrame(sorted(set(rows)), "url string, k int, restart int, cluster int, pos bigint")
+    for rounds in (1, 3, 300):
+        told = [
+            {(r.url, r.k, r.pos): r.cluster for r in found.collect()}
+            for found in (SK.lloyd(points, seeds, URL, rounds, block), K.kmeans_in_tasks(points, seeds, URL, rounds))
+        ]
+        assert told[0] == told[1] and len(told[0]) == sum(len({k for u, k, *_ in rows if u == url}) * len(p) for url, p in own.items())
+        if block != 3:
+            break
+
+
 def picks_by_hand(texts, scores, measure):
     order = sorted((i for i in range(len(texts)) if len(texts[i]) > 50), key=lambda i: (-round(scores[i], 9), i))
     picks = []
