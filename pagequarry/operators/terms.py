@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as X
@@ -12,28 +15,50 @@ from pagequarry.functions.fixed import STOP_WORDS
 from pagequarry.operators.keys import Keys, top_n
 
 SALTS = 16
+# Positions of a block of segments.
+BLOCK = 512
 
 
-def term_counts(
-    cleaned: DataFrame,
-    by: Keys,
-    pairs: bool = True,
-    stop_words: Sequence[str] = tuple(STOP_WORDS),
-    text: str = "cleaned",
-) -> DataFrame:
-    """(page, pos, term, tf) over words and, with ``pairs``, word pairs. A segment is one row, so repeats are counted inside the row by
-    sorting its terms and measuring the runs; nothing is shuffled."""
-    words = cleaned.select(*by, "pos", X.without(X.tokens(F.col(text)), stop_words).alias("_w"))
+def _runs(cleaned: DataFrame, by: Keys, pairs: bool, stop_words: Sequence[str], text: str, keep: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Segments with their sorted terms, and the expression that counts them: where the runs of equal
+    terms start, and how long they are."""
+    words = cleaned.select(*by, "pos", *keep, X.without(X.tokens(F.col(text)), stop_words).alias("_w"))
     both = F.concat("_w", X.bigrams(F.col("_w"))) if pairs else F.col("_w")
-    terms = words.select(*by, "pos", F.sort_array(both).alias("_t"))
+    terms = words.select(*by, "pos", *keep, F.sort_array(both).alias("_t"))
     starts = terms.withColumn(
         "_s",
         F.expr("filter(transform(_t, (t, i) -> i), i -> i = 0 OR get(_t, i) <> get(_t, i - 1))"),
     )
-    runs = F.expr(
+    return starts, F.expr(
         "transform(_s, (s, j) -> named_struct('term', get(_t, s), "
         "'tf', CAST(coalesce(get(_s, j + 1), size(_t)) - s AS BIGINT)))"
     )
+
+
+def packed_counts(
+    cleaned: DataFrame,
+    by: Keys,
+    pairs: bool = True,
+    stop_words: Sequence[str] = tuple(STOP_WORDS),
+    text: str = "cleaned",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """(page, pos, *keep, terms): a segment's words and, with ``pairs``, word pairs, with how often each
+    occurs, sorted, in its own row. Nothing is shuffled. A segment without terms has an empty list."""
+    starts, runs = _runs(cleaned, by, pairs, stop_words, text, keep)
+    return starts.select(*by, "pos", *keep, runs.alias("terms"))
+
+
+def term_counts(
+    cleaned: DataFrame,
+    by: Keys,
+    pairs: bool = True,
+    stop_words: Sequence[str] = tuple(STOP_WORDS),
+    text: str = "cleaned",
+) -> DataFrame:
+    """(page, pos, term, tf): the same, a row per term. The generator takes the expression itself: given
+    a column, the optimiser would push a filter on its size below, and count everything once more in it."""
+    starts, runs = _runs(cleaned, by, pairs, stop_words, text, ())
     return starts.select(*by, "pos", F.inline(runs))
 
 
@@ -53,31 +78,79 @@ def vocabulary(
     return top_n(kept, by, [F.col("cf").desc(), F.col("term")], max_features, "_r").drop("_r")
 
 
-def weights(counts: DataFrame, vocab: DataFrame, by: Keys) -> DataFrame:
-    """(page, pos, term, tf, df, idf, w): tf times smoothed idf, L2-normalised per segment.
+def packed_weights(packed: DataFrame, vocab: DataFrame, by: Keys) -> DataFrame:
+    """(page, pos, ..., terms): term, tf, df, idf and w of a segment's vocabulary terms in its own row.
 
-    The norm needs no second pass: a segment's terms (at most ``max_features``) are gathered once,
-    scaled in place and spread out again.
+    w is tf times smoothed idf, L2-normalised per segment. ``packed`` is what :func:`packed_counts` gives,
+    with what it kept. The vocabulary of a page (at most ``max_features`` terms) travels as one
+    dictionary to each block of the page's segments; rows per term are not shuffled.
     """
-    keys = list(by)
-    idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
-    raw = counts.join(vocab, [*keys, "term"]).select(
-        *by, "pos", "term", "tf", "df", idf.alias("idf")
-    )
-    packed = raw.groupBy(*by, "pos").agg(
-        F.collect_list(F.struct("term", "tf", "df", "idf")).alias("_terms"),
-        F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("_norm"),
+    others = [c for c in packed.columns if c not in (*by, "pos", "terms")]
+    blocks = packed.groupBy(*by, F.floor(F.col("pos") / BLOCK).alias("_part")).agg(
+        F.collect_list(F.struct("pos", *others, "terms")).alias("_rows")
     )
-    return packed.select(*by, "pos", "_norm", F.inline("_terms")).select(
-        *by, "pos", "term", "tf", "df", "idf", (F.col("tf") * F.col("idf") / F.col("_norm")).alias("w")
+    idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
+    words = vocab.groupBy(*by).agg(F.collect_list(F.struct("term", F.col("df").cast("bigint").alias("df"), idf.alias("idf"))).alias("_words"))
+    met = blocks.join(words, list(by), "left").select(*by, "_rows", "_words")
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
+    columns = [*by, "pos", *others]
+    term = "array<struct<term:string,tf:bigint,df:bigint,idf:double,w:double>>"
+    shape = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"terms {term}"])
+    names = ["pos", *others, "terms"]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.column("_rows")
+                fields = dict(zip(names, rows.flatten().flatten()))
+                block = np.repeat(np.arange(batch.num_rows), np.diff(rows.offsets.to_numpy()))
+                fields["terms"] = _weighed(fields["terms"], block, batch.column("_words"))
+                out = {c: batch.column(c).take(pa.array(block)) for c in by} | fields
+                yield pa.RecordBatch.from_arrays([out[c] for c in (*columns, "terms")], [*columns, "terms"])
+
+    return met.mapInArrow(weigh, shape)
+
+
+def _weighed(terms: pa.ListArray, block: np.ndarray, words: pa.ListArray) -> pa.ListArray:
+    """Counts of segments to weights; ``block`` says whose word list a segment has."""
+    sizes = np.diff(terms.offsets.to_numpy())
+    term, tf = terms.flatten().flatten()
+    segment = np.repeat(np.arange(len(sizes)), sizes)
+    # Segments of a block are neighbours, and so are their terms.
+    ends = np.cumsum(np.bincount(block[segment], minlength=len(words)))
+    df, idf = np.full(len(term), -1, np.int64), np.ones(len(term))
+    for n, (start, end) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
+        if words[n].is_valid and end > start:
+            listed, listed_df, listed_idf = words[n].values.flatten()
+            found = pc.fill_null(pc.index_in(term.slice(start, end - start), value_set=listed), -1).to_numpy()
+            known = found >= 0
+            df[start:end][known] = listed_df.to_numpy()[found[known]]
+            idf[start:end][known] = listed_idf.to_numpy()[found[known]]
+    kept = df >= 0
+    own, raw = segment[kept], tf.to_numpy()[kept] * idf[kept]
+    norm = np.sqrt(np.bincount(own, raw * raw, len(sizes)))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(sizes)))]).astype(np.int32)
+    rows = pa.StructArray.from_arrays(
+        [term.filter(pa.array(kept)), tf.filter(pa.array(kept)), pa.array(df[kept]), pa.array(idf[kept]), pa.array(raw / norm[own])],
+        ["term", "tf", "df", "idf", "w"],
     )
+    return pa.ListArray.from_arrays(pa.array(offsets), rows)
+
+
+def weights(packed: DataFrame, vocab: DataFrame, by: Keys) -> DataFrame:
+    """(page, pos, term, tf, df, idf, w): the packed weights, a row per term."""
+    return by_term(packed_weights(packed, vocab, by), by)
+
+
+def by_term(weighted: DataFrame, by: Keys) -> DataFrame:
+    return weighted.select(*by, "pos", F.inline("terms"))
 
 
 def tfidf(cleaned: DataFrame, by: Keys, **options) -> DataFrame:
     """Cleaned segments to term weights."""
     cap = {k: options.pop(k) for k in ("max_df", "max_features") if k in options}
-    counts = term_counts(cleaned, by, **options)
-    return weights(counts, vocabulary(counts, cleaned, by, **cap), by)
+    vocab = vocabulary(term_counts(cleaned, by, **options), cleaned, by, **cap)
+    return weights(packed_counts(cleaned, by, **options), vocab, by)
 
 
 def usable_pages(cleaned: DataFrame, by: Keys, least: int = 3) -> DataFrame:
@@ -92,12 +165,9 @@ def vocab_size(vocab: DataFrame, pages: DataFrame, by: Keys, least: int = 3) ->
     return pages.select(*by).join(sizes, list(by), "left").withColumn("vocab_size", F.coalesce("vocab_size", F.lit(0)))
 
 
-def segment_density(cleaned: DataFrame, weighted: DataFrame, by: Keys) -> DataFrame:
-    """Sum of a segment's weights; 0 for a segment without terms."""
-    sums = weighted.groupBy(*by, "pos").agg(F.sum("w").alias("tfidf_score"))
-    return cleaned.join(sums, [*by, "pos"], "left").withColumn(
-        "tfidf_score", F.coalesce("tfidf_score", F.lit(0.0))
-    )
+def segment_density(weighted: DataFrame) -> DataFrame:
+    """Packed weights with ``tfidf_score``, the sum of a segment's weights; 0 for a segment without terms."""
+    return weighted.withColumn("tfidf_score", F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["w"])).drop("terms")
 
 
 def term_scores(weighted: DataFrame, by: Keys, usable: DataFrame | None = None) -> DataFrame:

@@ -19,31 +19,25 @@ GENERAL = "0: General Topics"
 SWEEP = "array<struct<k:int,silhouette:double>>"
 
 
-def term_vectors(cleaned: DataFrame, weighted: DataFrame, by: Keys) -> DataFrame:
-    """(page, pos, n_lines, terms, ws): a segment's terms with their weights, empty if it has none."""
-    packed = weighted.groupBy(*by, "pos").agg(F.collect_list(F.struct("term", "w")).alias("_t"))
-    return cleaned.select(*by, "pos", "n_lines").join(packed, [*by, "pos"], "left").select(
-        *by,
-        "pos",
-        "n_lines",
-        F.coalesce("_t.term", F.array().cast("array<string>")).alias("terms"),
-        F.coalesce("_t.w", F.array().cast("array<double>")).alias("ws"),
-    )
+def term_vectors(weighted: DataFrame, by: Keys) -> DataFrame:
+    """(page, pos, n_lines, terms, ws): a segment's terms with their weights, from the packed weights."""
+    return weighted.select(*by, "pos", "n_lines", F.col("terms.term").alias("terms"), F.col("terms.w").alias("ws"))
 
 
 def topics(
-    cleaned: DataFrame, weighted: DataFrame, by: Keys, restarts: int = 10, seed: int = 42, limit: int = 512
+    weighted: DataFrame, by: Keys, restarts: int = 10, seed: int = 42, limit: int = 512
 ) -> DataFrame:
-    """(page, pos, cluster, optimal_k, silhouette, sweep, converged) for every segment.
+    """(page, pos, cluster, optimal_k, silhouette, sweep, converged) for every segment of the packed
+    weights, which have kept ``n_lines``.
 
     Pages of fewer than three segments, or without any term, are one cluster with k = 1. Pages up
     to ``limit`` lines are swept whole in a task, larger ones by joins and aggregates: the same
     seeds, assignments, refills, numbering and choice of k, so the limit decides where a page is
     worked on and nothing else.
     """
-    rows = term_vectors(cleaned, weighted, by)
+    rows = term_vectors(weighted, by)
     small = _small(rows.where(F.col("n_lines") <= limit), by, restarts, seed)
-    if cleaned.where(F.col("n_lines") > limit).isEmpty():
+    if rows.where(F.col("n_lines") > limit).isEmpty():
         return small
     large = spread_kmeans.sweep(rows.where(F.col("n_lines") > limit), by, restarts, seed)
     return small.unionByName(large)

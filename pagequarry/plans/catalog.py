@@ -62,13 +62,14 @@ def cleaned(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
 
 def counted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = cleaned(spark, folder)
-    counts = W.term_counts(rows, DOC)
-    return rows, counts, W.vocabulary(counts, rows, DOC)
+    packed = W.packed_counts(rows, DOC, keep=["n_lines", "text"])
+    return rows, packed, W.vocabulary(W.term_counts(rows, DOC), rows, DOC)
 
 
 def weighted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows, counts, vocab = counted(spark, folder)
-    return rows, W.weights(counts, vocab, DOC)
+    """Cleaned segments, and their packed weights."""
+    rows, packed, vocab = counted(spark, folder)
+    return rows, W.packed_weights(packed, vocab, DOC)
 
 
 # ---------------------------------------------------------------- shared SQL
@@ -453,7 +454,7 @@ def _(spark, folder):
     f"WITH {SQL_WEIGHTS} SELECT doc_id, pos, term, tf, df, round(idf, 6) AS idf, round(w, 6) AS w FROM wt",
 )
 def _(spark, folder):
-    rows = weighted(spark, folder)[1]
+    rows = W.by_term(weighted(spark, folder)[1], DOC)
     return rows.withColumn("idf", F.round("idf", 6)).withColumn("w", F.round("w", 6))
 
 
@@ -463,8 +464,7 @@ def _(spark, folder):
     SELECT doc_id, pos, round(coalesce(s, 0), 6) AS tfidf_score FROM cl LEFT JOIN d USING (doc_id, pos)""",
 )
 def _(spark, folder):
-    rows, wt = weighted(spark, folder)
-    dense = W.segment_density(rows, wt, DOC)
+    dense = W.segment_density(weighted(spark, folder)[1])
     return dense.select("doc_id", "pos", F.round("tfidf_score", 6).alias("tfidf_score"))
 
 
@@ -481,7 +481,7 @@ SQL_CLOUD = (
 )
 def top_terms(spark, folder):
     rows, wt = weighted(spark, folder)
-    top = W.cloud_terms(W.term_scores(wt, DOC, W.usable_pages(rows, DOC)), DOC)
+    top = W.cloud_terms(W.term_scores(W.by_term(wt, DOC), DOC, W.usable_pages(rows, DOC)), DOC)
     return top.withColumn("score", F.round("score", 6))
 
 

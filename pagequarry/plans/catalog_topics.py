@@ -84,7 +84,8 @@ def _(spark, folder):
 
 def given_labels(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Weights with given topics: the length of a segment decides its cluster."""
-    rows, wt = weighted(spark, folder)
+    rows, packed = weighted(spark, folder)
+    wt = W.by_term(packed, DOC)
     return rows, wt, rows.select("doc_id", "pos", (F.length("cleaned") % 3).cast("int").alias("cluster"))
 
 
@@ -161,10 +162,10 @@ def rule_labels(rows: DataFrame, ks: Column) -> DataFrame:
 )
 def _(spark, folder):
     # Given labels; their silhouettes are those that the sweep over large pages computes.
-    rows, counts, vocab = counted(spark, folder)
-    wt = W.weights(counts, vocab, DOC)
+    rows, packed, vocab = counted(spark, folder)
+    wt = W.packed_weights(packed, vocab, DOC)
     labels = cut(rule_labels(rows, F.array(F.lit(3))))
-    scores = SK.scores(K.term_vectors(rows, wt, DOC), labels, DOC)
+    scores = SK.scores(K.term_vectors(wt, DOC), labels, DOC)
     held = labels.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("held"))
     told = held.join(scores, "doc_id").select(
         "doc_id", F.when(F.col("n") >= 3, F.col("silhouette")).alias("silhouette"),
@@ -197,8 +198,8 @@ SEED_K, SEED_ROUNDS = 3, 4
 
 def seeded(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Points of the documents with more segments than seeds, and their first segments as seeds."""
-    rows, wt = weighted(spark, folder)
-    points = cut(K.term_vectors(rows, wt, DOC))
+    _rows, wt = weighted(spark, folder)
+    points = cut(K.term_vectors(wt, DOC))
     first = points.groupBy("doc_id").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("pos")), 1, SEED_K).alias("p"))
     seeds = first.where(F.col("n") > SEED_K).select(
         "doc_id", F.lit(SEED_K).alias("k"), F.lit(0).alias("restart"), F.posexplode("p").alias("cluster", "pos")
@@ -265,7 +266,7 @@ def _(spark, folder):
 def page_topics(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows, wt = weighted(spark, folder)
     wt = cut(wt)
-    return rows, wt, cut(K.topics(rows, wt, DOC))
+    return rows, W.by_term(wt, DOC), cut(K.topics(wt, DOC))
 
 
 @register("page_topics", "K1 K2 K3 K5")
@@ -329,7 +330,7 @@ def _(spark, folder):
     rows, wt = weighted(spark, folder)
     tried = F.filter(F.sequence(F.lit(2), F.lit(9)), lambda k: k < F.col("n"))
     labels = cut(rule_labels(rows, tried))
-    scores = SK.scores(K.term_vectors(rows, wt, DOC), labels, DOC)
+    scores = SK.scores(K.term_vectors(wt, DOC), labels, DOC)
     return SK.best_k(scores, DOC).select(
         "doc_id", "optimal_k", F.round("silhouette", 6).alias("silhouette"), F.size("sweep").alias("tried")
     )
@@ -359,7 +360,7 @@ SQL_DENSITY = (
 
 def _dense(spark, folder):
     rows, wt = weighted(spark, folder)
-    return W.segment_density(rows, wt, DOC).join(W.usable_pages(rows, DOC), DOC, "left_semi")
+    return W.segment_density(wt).join(W.usable_pages(rows, DOC), DOC, "left_semi")
 
 
 @register("takeaways", "K11")

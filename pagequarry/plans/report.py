@@ -41,10 +41,11 @@ def stages(pages: DataFrame, segments: DataFrame, gazetteer: DataFrame, by: Keys
     status = cut(G.page_status(pages, segments, kept, by))
     usable = status.where("status = 'ok'").select(*by)
     rows = cut(S.score(kept.join(usable, list(by), "left_semi")))
-    counts = cut(W.term_counts(rows, by))
-    vocab = cut(W.vocabulary(counts, rows, by))
-    weights = cut(W.weights(counts, vocab, by))
-    labelled = cut(K.topics(rows, weights, by))
+    packed = W.packed_counts(rows, by, keep=["n_lines", "text"])
+    vocab = cut(W.vocabulary(W.term_counts(rows, by), rows, by))
+    weighed = cut(W.packed_weights(packed, vocab, by))
+    weights = W.by_term(weighed, by)
+    labelled = cut(K.topics(weighed, by))
     names = K.topic_names(labelled, K.centroid_terms(weights, labelled, by), by)
     named = K.named_topics(labelled, names, by)
     found = cut(N.mentions(N.tagged(N.page_sentences(rows, by), gazetteer, by, capitals), by))
@@ -52,7 +53,7 @@ def stages(pages: DataFrame, segments: DataFrame, gazetteer: DataFrame, by: Keys
     graph = N.packed_graph(usable, chosen, N.top_edges(N.edges(found, chosen, by), by), by)
     # A page of one topic has no takeaways.
     several = labelled.where("optimal_k > 1").select(*by, "pos")
-    dense = W.segment_density(rows.join(several, [*by, "pos"], "left_semi"), weights, by)
+    dense = W.segment_density(weighed.join(several, [*by, "pos"], "left_semi"))
     return Stages(
         rows, weights, vocab, labelled, named, N.top_entities(found, by), graph, K.takeaways(dense, by), status
     )

@@ -28,9 +28,9 @@ TWO = {
 
 def prepared(rows):
     cleaned = C.clean(rows, URL)
-    counts = W.term_counts(cleaned, URL)
-    vocab = W.vocabulary(counts, cleaned, URL)
-    return cleaned, vocab, W.weights(counts, vocab, URL)
+    packed = W.packed_counts(cleaned, URL, keep=["n_lines", "text"])
+    vocab = W.vocabulary(W.term_counts(cleaned, URL), cleaned, URL)
+    return cleaned, vocab, W.packed_weights(packed, vocab, URL)
 
 
 def test_sentiment_labels(segments):
@@ -64,13 +64,13 @@ def test_document_frequency_cut(segments):
 
 def test_topics(segments):
     cleaned, vocab, wt = prepared(segments(TWO))
-    found = K.topics(cleaned, wt, URL)
+    found = K.topics(wt, URL)
     rows = {(r.url, r.pos): r for r in found.collect()}
     assert len(rows) == 8
     sides = [rows[("two", i)].cluster for i in range(6)]
     assert rows[("two", 0)].optimal_k >= 2 and set(sides[:3]).isdisjoint(sides[3:])
     assert rows[("tiny", 0)].optimal_k == 1 and rows[("tiny", 0)].silhouette is None
-    names = K.topic_names(found, K.centroid_terms(wt, found, URL), URL)
+    names = K.topic_names(found, K.centroid_terms(W.by_term(wt, URL), found, URL), URL)
     named = K.named_topics(found, names, URL)
     assert {r.cluster_name for r in named.where("url = 'tiny'").collect()} == {K.GENERAL}
     metrics = {r.url: r for r in K.metrics(found, vocab, URL).collect()}
@@ -119,13 +119,13 @@ def test_large_pages_by_joins(segments):
     rng = random.Random(5)
     pages = {"big": big_page(rng), "blank": ["the of and to in", "and the of it is", "it is to the of"] * 20}
     cleaned, _vocab, wt = prepared(segments(pages))
-    rows = K.term_vectors(cleaned, wt, URL)
+    rows = K.term_vectors(wt, URL)
     found = SK.sweep(rows, URL, restarts=2, seed=42, block=16).collect()
     big = sorted((r for r in found if r.url == "big"), key=lambda r: r.pos)
     assert len(big) == 60 and len({r.pos for r in big}) == 60
     assert big[0].optimal_k == max(big[0].sweep, key=lambda s: (s.silhouette, -s.k)).k
     index, dense = {}, np.zeros((60, 5000))
-    for r in wt.where("url = 'big'").collect():
+    for r in W.by_term(wt, URL).where("url = 'big'").collect():
         dense[r.pos, index.setdefault(r.term, len(index))] = r.w
     assert math.isclose(big[0].silhouette, silhouette_by_hand(dense[:, : len(index)], [r.cluster for r in big]), abs_tol=1e-6)
     blank = [r for r in found if r.url == "blank"]
@@ -144,7 +144,7 @@ def test_the_limit_decides_nothing_but_the_place(segments):
         return {
             (r.url, r.pos): (r.cluster, r.optimal_k, r.silhouette and round(r.silhouette, 9),
                              tuple((x.k, round(x.silhouette, 9)) for x in r.sweep), r.converged)
-            for r in K.topics(cleaned, wt, URL, restarts=2, limit=limit).collect()
+            for r in K.topics(wt, URL, restarts=2, limit=limit).collect()
         }
 
     by_joins, in_tasks = told(0), told(10**9)
@@ -159,7 +159,7 @@ def test_blocks_and_tasks_agree_on_given_seeds(segments, block):
     equal = ["alpha beta gamma delta"] * 3 + [f"alpha beta gamma {x}" for x in ("delta beta", "one", "two", "three", "delta alpha")]
     pages = {"big": big_page(rng, 40), "equal": equal, "none": ["of the and to", "in is it on as", "the of to in"] * 3 + ["alpha beta gamma"]}
     cleaned, _vocab, wt = prepared(segments(pages))
-    points = K.term_vectors(cleaned, wt, URL)
+    points = K.term_vectors(wt, URL)
     own = {}
     for r in points.collect():
         own.setdefault(r.url, []).append(r.pos)
