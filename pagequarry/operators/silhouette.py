@@ -101,7 +101,7 @@ def cluster_distances(rows: DataFrame, by: Keys, row_id: str, block: int = 512)
     def sums(ids: pd.Series, own: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for i, o, a, b in zip(ids, own, left, right):
-            total = vectors.distances(np.stack(a).astype(float), np.stack(b).astype(float)).sum(axis=1)
+            total = vectors.distance_sums(np.stack(a).astype(float), np.stack(b).astype(float))
             out.append([{"id": int(p), "own": int(q), "total": float(t)} for p, q, t in zip(i, o, total)])
         return pd.Series(out)
 

@@ -281,9 +281,14 @@ def _(spark, folder):
     return K.sweep_log(page_topics(spark, folder)[2], DOC)
 
 
+def one_key() -> Column:
+    """One key for all rows; as a literal the optimiser would drop it and join everything with everything."""
+    return F.pmod("vec_id", F.lit(1)).alias("scope")
+
+
 def labelled_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "embeddings").select(
-        F.lit(0).alias("scope"), "vec_id", "embedding", F.col("label").alias("cluster")
+        one_key(), "vec_id", "embedding", F.col("label").alias("cluster")
     )
 
 
@@ -438,7 +443,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     # One key for all vectors, in small cells; the questions are those of the search rule.
-    rows = read_table(spark, folder, "embeddings").withColumn("scope", F.lit(0))
+    rows = read_table(spark, folder, "embeddings").select("*", one_key())
     questions = rows.where("vec_id % 50 = 0").select("scope", F.col("vec_id").alias("question_id"), "embedding")
     texts = rows.select("scope", F.col("vec_id").alias("text_id"), "embedding")
     found = R.nearest(questions, texts, ["scope"], block=64)
