@@ -12,6 +12,8 @@ key; a question once to each cell it has to visit, so to at most ``pivots`` of t
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -93,3 +95,41 @@ def visits(questions: DataFrame, by: Keys, question_id: str, samples: DataFrame,
 
 def cell_sizes(placed: DataFrame, by: Keys) -> DataFrame:
     return placed.groupBy(*by, "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
+
+
+# Rows of asking blocks that a task holds before it lets results go.
+FOLDED = 200_000
+
+
+def fold_pairs(pairs: DataFrame, keys: Keys, step: Callable, result: Callable, shape: str) -> DataFrame:
+    """Fold the pairs of blocks of each asking block where they are.
+
+    ``pairs`` has ``keys`` (they name the asking block) and then what ``step(state, *columns)`` takes;
+    ``result(state)`` is a dictionary of columns, put out with the keys. A task puts out an asking
+    block once, however many blocks it has met there, but for a flush when it holds many.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    n = len(keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, object] = {}
+        size = 0
+
+        def flushed() -> Iterator[pd.DataFrame]:
+            for key, state in held.items():
+                columns = pd.DataFrame(result(state))
+                for at, name in reversed(list(enumerate(keys))):
+                    columns.insert(0, name, key[at])
+                yield columns
+
+        for frame in frames:
+            for row in frame.itertuples(index=False, name=None):
+                key = row[:n]
+                size += 0 if key in held else len(row[n])
+                held[key] = step(held.get(key), *row[n:])
+                if size > FOLDED:
+                    yield from flushed()
+                    held, size = {}, 0
+        yield from flushed()
+
+    return pairs.mapInPandas(run, ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [shape]))

@@ -66,34 +66,30 @@ def nearest(
     The texts of a key with more than ``block`` of them lie in cells around pivots, and a question
     goes only to the cells that may hold one of its k nearest (see :mod:`metric`). A cell's texts and
     its questions are packed into blocks; a pair of blocks computes its distances as one array
-    operation and emits k rows per question, so a key with a third of all rows is spread over its
-    cells, and top-k is cut again on the map side before the final shuffle.
+    operation, and a task emits k rows per question and cell, so a key with a third of all rows is
+    spread over its cells, and top-k is cut again on the map side before the final shuffle.
     """
     placed, asked = _cells(questions, texts, by, question_id, text_id, k, block, pivots)
     place = [*by, "cell"]
     right = metric.packed_rows(metric.in_key_blocks(placed, place, text_id, block), [*place, "part"], text_id)
     left = metric.packed_rows(metric.in_key_blocks(asked, place, question_id, block), [*place, "part"], question_id)
-    pairs = left.drop("part").withColumnsRenamed({"ids": "question_ids", "rows": "question_rows"}).join(
-        right.drop("part"), place
-    )
-
-    @F.pandas_udf("array<struct<question: bigint, text: bigint, dist: double>>")
-    def best(q_ids: pd.Series, q_rows: pd.Series, ids: pd.Series, rows: pd.Series) -> pd.Series:
-        out = []
-        for qi, q, ti, t in zip(q_ids, q_rows, ids, rows):
-            found, dist = vectors.nearest(
-                np.stack(q).astype(float), np.stack(t).astype(float), np.asarray(ti), k
-            )
-            out.append(
-                [
-                    {"question": int(a), "text": int(b), "dist": float(d)}
-                    for a, bs, ds in zip(qi, found, dist)
-                    for b, d in zip(bs, ds)
-                ]
-            )
-        return pd.Series(out)
-
-    hits = pairs.select(*by, F.inline(best("question_ids", "question_rows", "ids", "rows")))
+    pairs = left.withColumnsRenamed({"ids": "question_ids", "rows": "question_rows"}).join(right.drop("part"), place)
+
+    def step(state, q_ids, q_rows, ids, rows):
+        found, dist = vectors.nearest(np.stack(q_rows).astype(float), np.stack(rows).astype(float), np.asarray(ids), k)
+        if state is not None:
+            found, dist = np.hstack([state[1], found]), np.hstack([state[2], dist])
+            order = np.lexsort((found, dist), axis=1)[:, :k]
+            found, dist = np.take_along_axis(found, order, 1), np.take_along_axis(dist, order, 1)
+        return np.asarray(q_ids), found, dist
+
+    def result(state):
+        ids, found, dist = state
+        return {"question": np.repeat(ids, found.shape[1]), "text": found.ravel(), "dist": dist.ravel()}
+
+    asking = [*place, "part"]
+    pairs = pairs.select(*asking, "question_ids", "question_rows", "ids", "rows")
+    hits = metric.fold_pairs(pairs, asking, step, result, "question bigint, text bigint, dist double").drop("cell", "part")
     ranked = top_n(hits, [*by, "question"], [F.col("dist"), F.col("text")], k)
     return ranked.withColumnsRenamed({"question": question_id, "text": text_id})
 

@@ -89,23 +89,23 @@ def cluster_distances(rows: DataFrame, by: Keys, row_id: str, block: int = 512)
     key that may be the nearest other one.
 
     A row goes once to each such cluster, where it meets the members block by block; a pair of
-    blocks is one array operation and leaves one sum per row.
+    blocks is one array operation, and a task leaves one sum per row and cluster.
     """
     place = [*by, "cluster"]
     asking = metric.in_key_blocks(wanted_clusters(rows, by, row_id, block), place, "id", block)
-    left = metric.packed_rows(asking, [*place, "part"], "id", ["own"]).drop("part")
+    left = metric.packed_rows(asking, [*place, "part"], "id", ["own"])
     members = metric.in_key_blocks(rows.select(*place, row_id, "embedding"), place, row_id, block)
     right = metric.packed_rows(members, [*place, "part"], row_id).select(*place, F.col("rows").alias("other_rows"))
 
-    @F.pandas_udf("array<struct<id: bigint, own: int, total: double>>")
-    def sums(ids: pd.Series, own: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for i, o, a, b in zip(ids, own, left, right):
-            total = vectors.distance_sums(np.stack(a).astype(float), np.stack(b).astype(float))
-            out.append([{"id": int(p), "own": int(q), "total": float(t)} for p, q, t in zip(i, o, total)])
-        return pd.Series(out)
+    def step(state, ids, own, left, right):
+        total = vectors.distance_sums(np.stack(left).astype(float), np.stack(right).astype(float))
+        return (ids, own, total) if state is None else (ids, own, state[2] + total)
+
+    def result(state):
+        return {"id": state[0], "own": state[1], "total": state[2]}
 
-    found = left.join(right, place).select(*place, F.inline(sums("ids", "own", "rows", "other_rows")))
+    pairs = left.join(right, place).select(*place, "part", "ids", "own", "rows", "other_rows")
+    found = metric.fold_pairs(pairs, [*place, "part"], step, result, "id bigint, own int, total double")
     return found.groupBy(*by, "id", "own", "cluster").agg(F.sum("total").alias("total"))
 
 
