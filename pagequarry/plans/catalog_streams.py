@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry.operators import history as H
 from pagequarry.operators import html as E
 from pagequarry.operators import segments as G
 from pagequarry.plans import report as RP
@@ -62,12 +63,15 @@ def _(spark, folder):
 
 
 def page_subscribers(spark: SparkSession, folder: str) -> DataFrame:
-    """(url, user_id): users of the events table by the number of the page; every fourth page has none."""
-    users = read_table(spark, folder, "events").select(F.pmod("user_id", F.lit(7)).alias("slot"), "user_id").distinct()
-    users = users.groupBy("slot").agg(F.min("user_id").alias("user_id"))
-    pages = read_table(spark, folder, "pages").where("page_id % 4 <> 0").select("url", "page_id")
-    slots = F.explode(F.array((F.col("page_id") % 7), (F.col("page_id") * 3 + 1) % 7)).alias("slot")
-    return pages.select("url", slots).join(users, "slot").select("url", "user_id").distinct()
+    """(url, user_id): every event of every user toggles a page, by its number, all of one type the same
+    page, which so has many followers. Pages without an odd number of some user's toggles have none."""
+    events, pages = read_table(spark, folder, "events"), read_table(spark, folder, "pages")
+    n = F.lit(pages.count())
+    popular = F.col("event_type") == F.lit(events.agg(F.min("event_type")).first()[0])
+    toggles = events.select("user_id", "ts", F.when(popular, 0).otherwise(F.pmod("event_id", n)).alias("place"))
+    # Some page numbers may not occur; what toggles them is lost to nobody.
+    numbered = pages.select(F.pmod("page_id", n).alias("place"), "url")
+    return H.subscriptions(toggles.join(numbered, "place").select("user_id", "url", "ts")).select("url", "user_id")
 
 
 @register("stream_reports", "ST1")

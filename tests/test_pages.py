@@ -319,6 +319,24 @@ def test_streams_equal_batch(spark, tmp_path):
     assert ST.read_series(spark, str(tmp_path / "s")).count() == 60
 
 
+def test_state_is_merged_and_batches_may_run_again(spark, tmp_path):
+    """Forty batches: the state is the newest per key, few folders are left, and a batch that runs
+    again, after a broken run too, adds nothing."""
+    base, want = str(tmp_path / "state"), {}
+    for number in range(40):
+        rows = [(f"k{(number * j) % 9}", number * 10 + j) for j in range(1, 4)]
+        rows = list({k: (k, v) for k, v in rows}.values())
+        changed = spark.createDataFrame(rows, "k string, v int").coalesce(1)
+        for _ in range(2 if number % 5 == 0 else 1):
+            ST._merge(changed, base, ["k"], number)
+        want.update(dict(rows))
+    assert {r.k: r.v for r in ST.read_latest(spark, base, ["k"]).collect()} == want
+    assert ST._batches(spark, f"{base}/merged") == [15, 31] and min(ST._batches(spark, f"{base}/changes")) == 16
+    before = {r.k: r.v for r in ST._state(spark, base, ["k"], before=39).collect()}
+    (tmp_path / "state" / "changes" / "batch=40").mkdir()  # a run that broke leaves no mark of success
+    assert {r.k: r.v for r in ST.read_latest(spark, base, ["k"]).collect()} == want and before != want
+
+
 def test_scheduled_reports_equal_batch(spark, tmp_path):
     """Two batches: only subscribed urls, the newest snapshot of a batch, one copy per subscriber,
     and a page that fails stops nobody."""
@@ -326,8 +344,9 @@ def test_scheduled_reports_equal_batch(spark, tmp_path):
     schema = "page_id bigint, url string, html string, ts bigint"
     first = [(1, "a", page.format("Engines"), 1), (2, "a", page.format("Motors"), 2), (3, "b", "<p>x</p>", 1), (4, "c", page.format("Cars"), 1)]
     second = [(5, "a", page.format("Trains"), 3), (6, "d", page.format("Ships"), 3)]
+    late = [(9, "a", page.format("Carts"), 2), (8, "d", page.format("Boats"), 3)]  # of "a" a newer one was there
     source = str(tmp_path / "in")
-    for rows in (first, second):
+    for rows in (first, second, late):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
     subs = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("d", 3)], "url string, user_id bigint")
     names = spark.createDataFrame([("Trains", "ORG")], "term string, label string")
@@ -339,9 +358,9 @@ def test_scheduled_reports_equal_batch(spark, tmp_path):
     stream = ST.arrivals(spark, source, schema, files_per_batch=1)
     ST.report_snapshots(stream, lambda: subs, make, str(tmp_path / "out")).awaitTermination()
     told = spark.read.parquet(str(tmp_path / "out" / "reports"))
-    assert sorted((r.url, r.status) for r in told.collect()) == [("a", "ok"), ("a", "ok"), ("b", "no_content"), ("d", "ok")]
+    assert sorted((r.url, r.status) for r in told.collect()) == [("a", "ok"), ("a", "ok"), ("b", "no_content"), ("d", "ok"), ("d", "ok")]
     copies = spark.read.parquet(str(tmp_path / "out" / "copies"))
-    assert sorted((r.url, r.user_id) for r in copies.collect()) == [("a", 1), ("a", 1), ("a", 2), ("a", 2), ("d", 3)]
+    assert sorted((r.url, r.user_id) for r in copies.collect()) == [("a", 1), ("a", 1), ("a", 2), ("a", 2), ("d", 3), ("d", 3)]
     whole = make(spark.createDataFrame([second[0]], schema)).first()
     last = max((r for r in told.where("url = 'a'").collect()), key=lambda r: len(r.graph.nodes))
     assert last.graph == whole.graph and last.total_items == whole.total_items and len(whole.graph.nodes) == 1
