@@ -17,6 +17,7 @@ from pagequarry.operators.keys import Keys, top_n
 SALTS = 16
 # Positions of a block of segments.
 BLOCK = 512
+MAX_DF, MAX_FEATURES = 0.95, 5000
 
 
 def _runs(cleaned: DataFrame, by: Keys, pairs: bool, stop_words: Sequence[str], text: str, keep: Sequence[str]) -> tuple[DataFrame, Column]:
@@ -63,9 +64,49 @@ def term_counts(
 
 
 def vocabulary(
-    counts: DataFrame, cleaned: DataFrame, by: Keys, max_df: float = 0.95, max_features: int = 5000
+    cleaned: DataFrame, by: Keys, max_df: float = MAX_DF, max_features: int = MAX_FEATURES, **options
 ) -> DataFrame:
-    """(page, term, df, cf, n): terms in at most ``max_df`` of the segments, capped by count."""
+    """(page, term, df, cf, n): terms in at most ``max_df`` of the segments, capped by count.
+
+    A page of up to ``BLOCK`` lines (known from the split) is one block, and its vocabulary is made
+    where the block is; only larger pages shuffle rows per term.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in cleaned.schema}
+    shape = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["term string", "df bigint", "cf bigint", "n bigint"])
+    packed = packed_counts(cleaned.where(F.col("n_lines") <= BLOCK), by, **options)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.column("_rows")
+                sizes = np.diff(rows.offsets.to_numpy())
+                terms = rows.flatten().flatten()[1]
+                ends = np.concatenate([[0], np.cumsum(np.diff(terms.offsets.to_numpy()))])[np.concatenate([[0], np.cumsum(sizes)])]
+                term, tf = terms.flatten().flatten()
+                found = [
+                    _own_words(term.slice(s, e - s), tf.to_numpy()[s:e], int(n), max_df, max_features)
+                    for s, e, n in zip(ends, ends[1:], sizes)
+                ]
+                lengths = [len(f[1]) for f in found]
+                place = pa.array(np.repeat(np.arange(len(found)), lengths))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(place) for c in by], pa.concat_arrays([f[0] for f in found]),
+                     pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found])),
+                     pa.array(np.repeat(sizes, lengths).astype(np.int64))],
+                    [*by, "term", "df", "cf", "n"],
+                )
+
+    small = _blocks(packed, by, ["pos", "terms"]).select(*by, "_rows").mapInArrow(made, shape)
+    large = cleaned.where(F.col("n_lines") > BLOCK)
+    if large.isEmpty():
+        return small
+    return small.unionByName(spread_vocabulary(term_counts(large, by, **options), large, by, max_df, max_features))
+
+
+def spread_vocabulary(
+    counts: DataFrame, cleaned: DataFrame, by: Keys, max_df: float = MAX_DF, max_features: int = MAX_FEATURES
+) -> DataFrame:
+    """The vocabulary of pages of any size, from a row per term and segment."""
     # Counting pos (never null) instead of rows keeps the column, so that these two branches and the
     # weights can share one shuffle of the segments.
     stats = counts.groupBy(*by, "term").agg(F.count("pos").alias("df"), F.sum("tf").alias("cf"))
@@ -78,54 +119,107 @@ def vocabulary(
     return top_n(kept, by, [F.col("cf").desc(), F.col("term")], max_features, "_r").drop("_r")
 
 
-def packed_weights(packed: DataFrame, vocab: DataFrame, by: Keys) -> DataFrame:
+def _own_words(term: pa.Array, tf: np.ndarray, n: int, max_df: float, max_features: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(terms, df, cf) of a block that is a whole page of ``n`` segments; a segment names a term once."""
+    coded = pc.dictionary_encode(term)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    df = np.bincount(codes, minlength=len(coded.dictionary)).astype(np.int64)
+    cf = np.bincount(codes, tf, len(coded.dictionary)).astype(np.int64)
+    kept = np.flatnonzero(df <= max_df * n)
+    if len(kept) > max_features:
+        names = coded.dictionary.take(pa.array(kept)).to_pylist()
+        order = sorted(range(len(kept)), key=lambda i: (-cf[kept[i]], names[i].encode()))
+        kept = kept[np.sort(order[:max_features])]
+    return coded.dictionary.take(pa.array(kept)), df[kept], cf[kept]
+
+
+def _blocks(packed: DataFrame, by: Keys, names: Sequence[str]) -> DataFrame:
+    return packed.groupBy(*by, F.floor(F.col("pos") / BLOCK).alias("_part")).agg(
+        F.collect_list(F.struct(*names)).alias("_rows")
+    )
+
+
+def weigh(
+    cleaned: DataFrame, by: Keys, keep: Sequence[str] = (), max_df: float = MAX_DF, max_features: int = MAX_FEATURES, **options
+) -> DataFrame:
+    """Cleaned segments to packed weights: (page, pos, *keep, terms).
+
+    A page of up to ``BLOCK`` lines is weighed whole where its block is: no row per term is shuffled. The
+    terms of larger pages are shuffled once, for their document frequencies.
+    """
+    small = packed_weights(
+        packed_counts(cleaned.where(F.col("n_lines") <= BLOCK), by, keep=keep, **options), None, by, max_df, max_features
+    )
+    large = cleaned.where(F.col("n_lines") > BLOCK)
+    if large.isEmpty():
+        return small
+    vocab = spread_vocabulary(term_counts(large, by, **options), large, by, max_df, max_features)
+    return small.unionByName(packed_weights(packed_counts(large, by, keep=keep, **options), vocab, by))
+
+
+def packed_weights(
+    packed: DataFrame, vocab: DataFrame | None, by: Keys, max_df: float = MAX_DF, max_features: int = MAX_FEATURES
+) -> DataFrame:
     """(page, pos, ..., terms): term, tf, df, idf and w of a segment's vocabulary terms in its own row.
 
     w is tf times smoothed idf, L2-normalised per segment. ``packed`` is what :func:`packed_counts` gives,
     with what it kept. The vocabulary of a page (at most ``max_features`` terms) travels as one
-    dictionary to each block of the page's segments; rows per term are not shuffled.
+    dictionary to each block of the page's segments; without ``vocab`` a block is a whole page, and makes
+    its own.
     """
     others = [c for c in packed.columns if c not in (*by, "pos", "terms")]
-    blocks = packed.groupBy(*by, F.floor(F.col("pos") / BLOCK).alias("_part")).agg(
-        F.collect_list(F.struct("pos", *others, "terms")).alias("_rows")
-    )
-    idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
-    words = vocab.groupBy(*by).agg(F.collect_list(F.struct("term", F.col("df").cast("bigint").alias("df"), idf.alias("idf"))).alias("_words"))
-    met = blocks.join(words, list(by), "left").select(*by, "_rows", "_words")
+    names = ["pos", *others, "terms"]
+    met = _blocks(packed, by, names)
+    if vocab is None:
+        met = met.select(*by, "_rows")
+    else:
+        words = vocab.groupBy(*by).agg(F.collect_list(F.struct("term", F.col("df").cast("bigint").alias("df"), F.col("n").cast("bigint").alias("n"))).alias("_words"))
+        met = met.join(words, list(by), "left").select(*by, "_rows", "_words")
     kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
     columns = [*by, "pos", *others]
     term = "array<struct<term:string,tf:bigint,df:bigint,idf:double,w:double>>"
     shape = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"terms {term}"])
-    names = ["pos", *others, "terms"]
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 rows = batch.column("_rows")
                 fields = dict(zip(names, rows.flatten().flatten()))
                 block = np.repeat(np.arange(batch.num_rows), np.diff(rows.offsets.to_numpy()))
-                fields["terms"] = _weighed(fields["terms"], block, batch.column("_words"))
+                words = None if vocab_free else batch.column("_words")
+                fields["terms"] = _weighed(fields["terms"], block, batch.num_rows, words, max_df, max_features)
                 out = {c: batch.column(c).take(pa.array(block)) for c in by} | fields
                 yield pa.RecordBatch.from_arrays([out[c] for c in (*columns, "terms")], [*columns, "terms"])
 
-    return met.mapInArrow(weigh, shape)
+    vocab_free = vocab is None
+    return met.mapInArrow(run, shape)
 
 
-def _weighed(terms: pa.ListArray, block: np.ndarray, words: pa.ListArray) -> pa.ListArray:
+def _weighed(
+    terms: pa.ListArray, block: np.ndarray, blocks: int, words: pa.ListArray | None, max_df: float, max_features: int
+) -> pa.ListArray:
     """Counts of segments to weights; ``block`` says whose word list a segment has."""
     sizes = np.diff(terms.offsets.to_numpy())
     term, tf = terms.flatten().flatten()
     segment = np.repeat(np.arange(len(sizes)), sizes)
     # Segments of a block are neighbours, and so are their terms.
-    ends = np.cumsum(np.bincount(block[segment], minlength=len(words)))
+    ends = np.cumsum(np.bincount(block[segment], minlength=blocks))
+    held = np.bincount(block, minlength=blocks)
     df, idf = np.full(len(term), -1, np.int64), np.ones(len(term))
     for n, (start, end) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
-        if words[n].is_valid and end > start:
-            listed, listed_df, listed_idf = words[n].values.flatten()
-            found = pc.fill_null(pc.index_in(term.slice(start, end - start), value_set=listed), -1).to_numpy()
-            known = found >= 0
-            df[start:end][known] = listed_df.to_numpy()[found[known]]
-            idf[start:end][known] = listed_idf.to_numpy()[found[known]]
+        if end == start or (words is not None and not words[n].is_valid):
+            continue
+        own = term.slice(start, end - start)
+        if words is None:
+            listed, listed_df, _ = _own_words(own, tf.to_numpy()[start:end], int(held[n]), max_df, max_features)
+            total = np.full(len(listed_df), held[n])
+        else:
+            listed, *numbers = words[n].values.flatten()
+            listed_df, total = (x.to_numpy() for x in numbers)
+        found = pc.fill_null(pc.index_in(own, value_set=listed), -1).to_numpy()
+        known = found >= 0
+        df[start:end][known] = listed_df[found[known]]
+        idf[start:end][known] = (np.log((1.0 + total) / (1.0 + listed_df)) + 1.0)[found[known]]
     kept = df >= 0
     own, raw = segment[kept], tf.to_numpy()[kept] * idf[kept]
     norm = np.sqrt(np.bincount(own, raw * raw, len(sizes)))
@@ -137,20 +231,14 @@ def _weighed(terms: pa.ListArray, block: np.ndarray, words: pa.ListArray) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets), rows)
 
 
-def weights(packed: DataFrame, vocab: DataFrame, by: Keys) -> DataFrame:
-    """(page, pos, term, tf, df, idf, w): the packed weights, a row per term."""
-    return by_term(packed_weights(packed, vocab, by), by)
-
-
 def by_term(weighted: DataFrame, by: Keys) -> DataFrame:
+    """(page, pos, term, tf, df, idf, w): the packed weights, a row per term."""
     return weighted.select(*by, "pos", F.inline("terms"))
 
 
 def tfidf(cleaned: DataFrame, by: Keys, **options) -> DataFrame:
-    """Cleaned segments to term weights."""
-    cap = {k: options.pop(k) for k in ("max_df", "max_features") if k in options}
-    vocab = vocabulary(term_counts(cleaned, by, **options), cleaned, by, **cap)
-    return weights(packed_counts(cleaned, by, **options), vocab, by)
+    """Cleaned segments to term weights, a row per term."""
+    return by_term(weigh(cleaned, by, **options), by)
 
 
 def usable_pages(cleaned: DataFrame, by: Keys, least: int = 3) -> DataFrame:

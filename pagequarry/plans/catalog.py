@@ -60,16 +60,10 @@ def cleaned(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     return C.clean(lines(spark, folder, *extra), [*DOC, *extra])
 
 
-def counted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = cleaned(spark, folder)
-    packed = W.packed_counts(rows, DOC, keep=["n_lines", "text"])
-    return rows, packed, W.vocabulary(W.term_counts(rows, DOC), rows, DOC)
-
-
 def weighted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Cleaned segments, and their packed weights."""
-    rows, packed, vocab = counted(spark, folder)
-    return rows, W.packed_weights(packed, vocab, DOC)
+    rows = cleaned(spark, folder)
+    return rows, W.weigh(rows, DOC, keep=["n_lines", "text"])
 
 
 # ---------------------------------------------------------------- shared SQL
@@ -437,7 +431,7 @@ def _(spark, folder):
 
 @register("vocabulary", "F4 F5", f"WITH {SQL_TERMS} SELECT doc_id, term, df, cf, n FROM vocab")
 def _(spark, folder):
-    return counted(spark, folder)[2].select("doc_id", "term", "df", "cf", "n")
+    return W.vocabulary(cleaned(spark, folder), DOC).select("doc_id", "term", "df", "cf", "n")
 
 
 @register(
@@ -446,7 +440,7 @@ def _(spark, folder):
     SELECT doc_id, coalesce(k, 0) AS vocab_size FROM documents LEFT JOIN v USING (doc_id)""",
 )
 def _(spark, folder):
-    return W.vocab_size(counted(spark, folder)[2], docs(spark, folder), DOC)
+    return W.vocab_size(W.vocabulary(cleaned(spark, folder), DOC), docs(spark, folder), DOC)
 
 
 @register(

@@ -21,7 +21,6 @@ from pagequarry.plans.catalog import (
     SQL_LINES,
     SQL_WEIGHTS,
     cleaned,
-    counted,
     lines,
     register,
     sql_content,
@@ -162,8 +161,8 @@ def rule_labels(rows: DataFrame, ks: Column) -> DataFrame:
 )
 def _(spark, folder):
     # Given labels; their silhouettes are those that the sweep over large pages computes.
-    rows, packed, vocab = counted(spark, folder)
-    wt = W.packed_weights(packed, vocab, DOC)
+    rows, wt = weighted(spark, folder)
+    vocab = W.vocabulary(rows, DOC)
     labels = cut(rule_labels(rows, F.array(F.lit(3))))
     scores = SK.scores(K.term_vectors(wt, DOC), labels, DOC)
     held = labels.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("held"))

@@ -41,9 +41,8 @@ def stages(pages: DataFrame, segments: DataFrame, gazetteer: DataFrame, by: Keys
     status = cut(G.page_status(pages, segments, kept, by))
     usable = status.where("status = 'ok'").select(*by)
     rows = cut(S.score(kept.join(usable, list(by), "left_semi")))
-    packed = W.packed_counts(rows, by, keep=["n_lines", "text"])
-    vocab = cut(W.vocabulary(W.term_counts(rows, by), rows, by))
-    weighed = cut(W.packed_weights(packed, vocab, by))
+    vocab = cut(W.vocabulary(rows, by))
+    weighed = cut(W.weigh(rows, by, keep=["n_lines", "text"]))
     weights = W.by_term(weighed, by)
     labelled = cut(K.topics(weighed, by))
     names = K.topic_names(labelled, K.centroid_terms(weights, labelled, by), by)

@@ -28,9 +28,7 @@ TWO = {
 
 def prepared(rows):
     cleaned = C.clean(rows, URL)
-    packed = W.packed_counts(cleaned, URL, keep=["n_lines", "text"])
-    vocab = W.vocabulary(W.term_counts(cleaned, URL), cleaned, URL)
-    return cleaned, vocab, W.packed_weights(packed, vocab, URL)
+    return cleaned, W.vocabulary(cleaned, URL), W.weigh(cleaned, URL, keep=["n_lines", "text"])
 
 
 def test_sentiment_labels(segments):
@@ -58,10 +56,34 @@ def test_title_case(spark):
 def test_document_frequency_cut(segments):
     rows = segments({"a": [f"alpha beta{i} gamma{i}" if i else "omega beta0 gamma0" for i in range(20)], "b": [f"alpha beta{i}" for i in range(20)]})
     cleaned = C.clean(rows, URL)
-    vocab = W.vocabulary(W.term_counts(cleaned, URL), cleaned, URL)
+    vocab = W.vocabulary(cleaned, URL)
     assert {r.url for r in vocab.where("term = 'alpha'").collect()} == {"a"}
 
 
+@pytest.mark.parametrize(("max_df", "max_features"), [(0.95, 5000), (0.4, 7), (0.05, 3)])
+def test_blocks_and_shuffles_weigh_alike(segments, monkeypatch, max_df, max_features):
+    """Pages weighed whole in their block, and pages whose terms are shuffled: the same, ties of the cap too."""
+    rng = random.Random(4)
+    pages = {f"p{i}": [" ".join(f"{rng.choice('éabc漢𝔘')}{rng.randint(0, 9)}x" for _ in range(rng.randint(1, 9))) for _ in range(n)] for i, n in enumerate((1, 3, 40, 90))}
+    pages["none"] = ["of the and to in it is", "in is it on as the of"]
+    cleaned = C.clean(segments(pages), URL)
+
+    def told():
+        weights = W.weigh(cleaned, URL, keep=["n_lines"], max_df=max_df, max_features=max_features)
+        vocab = W.vocabulary(cleaned, URL, max_df, max_features)
+        packed = {(r.url, r.pos, r.n_lines): sorted((t.term, t.tf, t.df, round(t.idf, 12), round(t.w, 12)) for t in r.terms) for r in weights.collect()}
+        return packed, sorted(map(tuple, vocab.collect()))
+
+    whole = told()
+    monkeypatch.setattr(W, "BLOCK", 16)
+    assert told() == whole and len(whole[0]) == cleaned.count()
+    counted = {}
+    for (url, _pos, _n), terms in whole[0].items():
+        for t in terms:
+            counted[url, t[0]] = counted.get((url, t[0]), 0) + 1
+    assert all(counted[u, t] == df and df <= max_df * n for u, t, df, _cf, n in whole[1]) and len(counted) == len(whole[1])
+
+
 def test_topics(segments):
     cleaned, vocab, wt = prepared(segments(TWO))
     found = K.topics(wt, URL)
