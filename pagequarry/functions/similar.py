@@ -38,13 +38,17 @@ class Later:
         self.autojunk = autojunk
         self.matcher: SequenceMatcher | None = None
 
-    def common(self, other: str) -> int:
-        """Length of the longest common subsequence, one machine word row at a time."""
-        row = self.full
-        for ch in other:
-            hit = row & self.masks.get(ch, 0)
-            row = ((row + hit) | (row - hit)) & self.full
-        return len(self.text) - row.bit_count()
+    def common(self, other: str, least: float = 0.0) -> int:
+        """Length of the longest common subsequence, one machine word row at a time; less than
+        ``least`` as soon as what is left of ``other`` cannot reach that."""
+        row, size, masks, full = self.full, len(self.text), self.masks, self.full
+        for start in range(0, len(other), 64):
+            for ch in other[start : start + 64]:
+                hit = row & masks.get(ch, 0)
+                row = ((row + hit) | (row - hit)) & full
+            if size - row.bit_count() + len(other) - start - 64 < least:
+                break
+        return size - row.bit_count()
 
     def edits(self, other: str) -> int:
         """Levenshtein distance by the bit-vector recurrence over columns of ``other``."""
@@ -215,7 +219,8 @@ def _subsequences(early: Block, i: np.ndarray, late: Block, j: np.ndarray, measu
             keep[n] = later[1].matches(text)
         else:
             total = a[n] + b[n]
-            keep[n] = (2.0 * later[1].common(text) / total if total else 1.0) > threshold
+            least = threshold * total / 2 - 1e-6
+            keep[n] = (2.0 * later[1].common(text, least) / total if total else 1.0) > threshold
     return keep
 
 
