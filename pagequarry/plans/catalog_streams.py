@@ -93,7 +93,7 @@ def _(spark, folder):
     return copies.unionByName(failed.withColumn("user_id", F.lit(None).cast("bigint")))
 
 
-@register("page_report", "S6 S9 C6 T4 N12 K10 K11")
+@register("page_report", "S6 C6 T4 N12 K10 K11")
 def _(spark, folder):
     """The whole report of every document, packed as the stored JSON form."""
     pages = docs(spark, folder)
