@@ -73,30 +73,28 @@ def vocabulary(
     """
     kinds = {f.name: f.dataType.simpleString() for f in cleaned.schema}
     shape = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["term string", "df bigint", "cf bigint", "n bigint"])
-    packed = packed_counts(cleaned.where(F.col("n_lines") <= BLOCK), by, **options)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rows = batch.column("_rows")
-                sizes = np.diff(rows.offsets.to_numpy())
-                terms = rows.flatten().flatten()[1]
-                ends = np.concatenate([[0], np.cumsum(np.diff(terms.offsets.to_numpy()))])[np.concatenate([[0], np.cumsum(sizes)])]
-                term, tf = terms.flatten().flatten()
-                found = [
-                    _own_words(term.slice(s, e - s), tf.to_numpy()[s:e], int(n), max_df, max_features)
-                    for s, e, n in zip(ends, ends[1:], sizes)
-                ]
-                lengths = [len(f[1]) for f in found]
-                place = pa.array(np.repeat(np.arange(len(found)), lengths))
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).take(place) for c in by], pa.concat_arrays([f[0] for f in found]),
-                     pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found])),
-                     pa.array(np.repeat(sizes, lengths).astype(np.int64))],
-                    [*by, "term", "df", "cf", "n"],
-                )
-
-    small = _blocks(packed, by, ["pos", "terms"]).select(*by, "_rows").mapInArrow(made, shape)
+        for batch, block in _blocks_of(batches):
+            sizes = np.bincount(block)
+            terms = batch.column("terms")
+            ends = np.concatenate([[0], np.cumsum(np.diff(terms.offsets.to_numpy()))])[np.concatenate([[0], np.cumsum(sizes)])]
+            term, tf = terms.flatten().flatten()
+            found = [
+                _own_words(term.slice(s, e - s), tf.to_numpy()[s:e], int(n), max_df, max_features)
+                for s, e, n in zip(ends, ends[1:], sizes)
+            ]
+            lengths = [len(f[1]) for f in found]
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            place = pa.array(np.repeat(first, lengths))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(place) for c in by], pa.concat_arrays([f[0] for f in found]),
+                 pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found])),
+                 pa.array(np.repeat(sizes, lengths).astype(np.int64))],
+                [*by, "term", "df", "cf", "n"],
+            )
+
+    small = _whole_pages(cleaned, by, (), **options).mapInArrow(made, shape)
     large = cleaned.where(F.col("n_lines") > BLOCK)
     if large.isEmpty():
         return small
@@ -133,10 +131,30 @@ def _own_words(term: pa.Array, tf: np.ndarray, n: int, max_df: float, max_featur
     return coded.dictionary.take(pa.array(kept)), df[kept], cf[kept]
 
 
-def _blocks(packed: DataFrame, by: Keys, names: Sequence[str]) -> DataFrame:
-    return packed.groupBy(*by, F.floor(F.col("pos") / BLOCK).alias("_part")).agg(
-        F.collect_list(F.struct(*names)).alias("_rows")
-    )
+def _whole_pages(cleaned: DataFrame, by: Keys, keep: Sequence[str], text: str = "cleaned", **options) -> DataFrame:
+    """Packed counts of the pages of one block, a page's rows next to each other, with their number in
+    ``_size``. Pages are gathered as texts, which are a fraction of their terms, and spread out again in
+    the same task."""
+    held = dict.fromkeys(["pos", *keep, text])
+    pages = cleaned.where(F.col("n_lines") <= BLOCK).groupBy(*by).agg(F.collect_list(F.struct(*held)).alias("_rows"))
+    rows = pages.select(*by, F.size("_rows").alias("_size"), F.inline("_rows"))
+    return packed_counts(rows, [*by, "_size"], keep=keep, text=text, **options)
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of whole pages, and which of the batch's pages a row is of; a page that a batch cuts waits
+    for its other rows."""
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0] if batch.num_rows else rest
+        sizes, at, starts = batch.column("_size").to_numpy(), 0, []
+        while at < batch.num_rows and at + sizes[at] <= batch.num_rows:
+            starts.append(at)
+            at += int(sizes[at])
+        rest = batch.slice(at) if at < batch.num_rows else None
+        if starts:
+            yield batch.slice(0, at), np.repeat(np.arange(len(starts)), sizes[starts])
 
 
 def weigh(
@@ -147,9 +165,15 @@ def weigh(
     A page of up to ``BLOCK`` lines is weighed whole where its block is: no row per term is shuffled. The
     terms of larger pages are shuffled once, for their document frequencies.
     """
-    small = packed_weights(
-        packed_counts(cleaned.where(F.col("n_lines") <= BLOCK), by, keep=keep, **options), None, by, max_df, max_features
-    )
+    columns = [*by, "pos", *keep]
+    packed = _whole_pages(cleaned, by, keep, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, block in _blocks_of(batches):
+            terms = _weighed(batch.column("terms"), block, int(block[-1]) + 1, None, max_df, max_features)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], terms], [*columns, "terms"])
+
+    small = packed.mapInArrow(run, _weight_shape(packed, columns))
     large = cleaned.where(F.col("n_lines") > BLOCK)
     if large.isEmpty():
         return small
@@ -157,28 +181,28 @@ def weigh(
     return small.unionByName(packed_weights(packed_counts(large, by, keep=keep, **options), vocab, by))
 
 
-def packed_weights(
-    packed: DataFrame, vocab: DataFrame | None, by: Keys, max_df: float = MAX_DF, max_features: int = MAX_FEATURES
-) -> DataFrame:
+def _weight_shape(packed: DataFrame, columns: Sequence[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
+    term = "array<struct<term:string,tf:bigint,df:bigint,idf:double,w:double>>"
+    return ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"terms {term}"])
+
+
+def packed_weights(packed: DataFrame, vocab: DataFrame, by: Keys) -> DataFrame:
     """(page, pos, ..., terms): term, tf, df, idf and w of a segment's vocabulary terms in its own row.
 
     w is tf times smoothed idf, L2-normalised per segment. ``packed`` is what :func:`packed_counts` gives,
-    with what it kept. The vocabulary of a page (at most ``max_features`` terms) travels as one
-    dictionary to each block of the page's segments; without ``vocab`` a block is a whole page, and makes
-    its own.
+    with what it kept. The vocabulary of a page (at most its cap of terms) travels as one dictionary to
+    each block of the page's segments.
     """
     others = [c for c in packed.columns if c not in (*by, "pos", "terms")]
-    names = ["pos", *others, "terms"]
-    met = _blocks(packed, by, names)
-    if vocab is None:
-        met = met.select(*by, "_rows")
-    else:
-        words = vocab.groupBy(*by).agg(F.collect_list(F.struct("term", F.col("df").cast("bigint").alias("df"), F.col("n").cast("bigint").alias("n"))).alias("_words"))
-        met = met.join(words, list(by), "left").select(*by, "_rows", "_words")
-    kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
-    columns = [*by, "pos", *others]
-    term = "array<struct<term:string,tf:bigint,df:bigint,idf:double,w:double>>"
-    shape = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"terms {term}"])
+    names, columns = ["pos", *others, "terms"], [*by, "pos", *others]
+    blocks = packed.groupBy(*by, F.floor(F.col("pos") / BLOCK).alias("_part")).agg(
+        F.collect_list(F.struct(*names)).alias("_rows")
+    )
+    words = vocab.groupBy(*by).agg(
+        F.collect_list(F.struct("term", F.col("df").cast("bigint").alias("df"), F.col("n").cast("bigint").alias("n"))).alias("_words")
+    )
+    met = blocks.join(words, list(by), "left").select(*by, "_rows", "_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,13 +210,11 @@ def packed_weights(
                 rows = batch.column("_rows")
                 fields = dict(zip(names, rows.flatten().flatten()))
                 block = np.repeat(np.arange(batch.num_rows), np.diff(rows.offsets.to_numpy()))
-                words = None if vocab_free else batch.column("_words")
-                fields["terms"] = _weighed(fields["terms"], block, batch.num_rows, words, max_df, max_features)
+                fields["terms"] = _weighed(fields["terms"], block, batch.num_rows, batch.column("_words"), 0.0, 0)
                 out = {c: batch.column(c).take(pa.array(block)) for c in by} | fields
                 yield pa.RecordBatch.from_arrays([out[c] for c in (*columns, "terms")], [*columns, "terms"])
 
-    vocab_free = vocab is None
-    return met.mapInArrow(run, shape)
+    return met.mapInArrow(run, _weight_shape(packed, columns))
 
 
 def _weighed(

@@ -75,6 +75,12 @@ def test_blocks_and_shuffles_weigh_alike(segments, monkeypatch, max_df, max_feat
         return packed, sorted(map(tuple, vocab.collect()))
 
     whole = told()
+    conf, rows = cleaned.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(rows)
+    conf.set(rows, "7")  # batches cut pages
+    cut_up = told()
+    conf.set(rows, before)
+    assert cut_up == whole
     monkeypatch.setattr(W, "BLOCK", 16)
     assert told() == whole and len(whole[0]) == cleaned.count()
     counted = {}
