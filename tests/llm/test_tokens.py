@@ -59,14 +59,74 @@ def test_counts_do_not_depend_on_chunks(model, library):
 
 def test_maps_compose_in_any_grouping(model):
     machine = token_counts.Transducer(model)
-    for text in strings(MIXED, 100, 40):
-        maps = [machine.chunk(text[i : i + 5]) for i in range(0, len(text), 5)]
+    for text in strings(MIXED, 100, 90):
+        text = model.normaliser.text(text)
+        cuts = machine.cuts(len(text), 17)
+        maps = [machine.chunk(text, a, b) for a, b in zip(cuts, cuts[1:])]
         if len(maps) < 3:
             continue
         a, b, c = maps[0], maps[1], maps[2]
         assert machine.compose(machine.compose(a, b), c) == machine.compose(a, machine.compose(b, c))
 
 
+def test_every_entry_of_a_map_is_a_run_from_its_start(model):
+    """Brute force: for each start a piece may have before the cut, and each exit, the encoding of
+    the text between them, if its first piece reaches over the cut."""
+    machine, compared = token_counts.Transducer(model), 0
+    for text in strings("theinrsao aA-=", 40, 60) + ["a" * 70, "-=" * 40, " " * 60, "ab" * 40]:
+        text = model.normaliser.text(text)
+        for begin in range(0, max(len(text) - 20, 0), 7):
+            for end in {begin + 18, len(text)}:
+                found = machine.chunk(text, begin, end)
+                for read in machine.entries(text, begin) if begin else [""]:
+                    begun = begin - len(read)
+                    exits = machine.entries(text, end) if end < len(text) else [""]
+                    for left in exits:
+                        pieces = model.merge(text[begun : end - len(left)])
+                        span = found.get(read, {}).get(left)
+                        if len(pieces[0]) <= len(read):
+                            assert span is None
+                            continue
+                        compared += 1
+                        assert (span.first, span.tokens) == (pieces[0], sum(map(machine.tokens, pieces)))
+                        assert span.last in (None, pieces[-1])
+    assert compared > 1000
+
+
+def test_every_state_counts_the_prefix_it_has_read(model):
+    machine = token_counts.Transducer(model)
+    for text in strings("theinrsao aA-=é漢", 60, 50):
+        state, tokens = machine.start, 0
+        for at, char in enumerate(text, 1):
+            state, change = state[char]
+            tokens += change
+            assert tokens == sum(map(machine.tokens, model.merge(text[:at])))
+
+
+def test_a_full_table_of_states_is_compiled_anew(model, library):
+    machine = token_counts.Transducer(model, most=40)
+    for text in strings(MIXED, 60):
+        want = len(library.encode(text))
+        assert machine.walk(model.normaliser.text(text)) == want
+        assert machine.chunk_counts(text, 20)[-1:] == ([want] if text else [])
+        assert len(machine.states) <= 40
+
+
+def test_long_texts_are_counted_in_rows(spark, library):
+    from pyspark.sql import types as T
+
+    draw = random.Random(8)
+    texts = ["".join(draw.choice(MIXED) for _ in range(n)) for n in (5000, 300, 2100)]
+    texts += ["a" * 3000, "-" * 2500, " " * 2000, "", None, "漢" * 1500, texts[0]]
+    rows = [(n % 8 or None, t) for n, t in enumerate(texts)]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    frame = spark.createDataFrame(rows, schema)
+    got = token_counts.count_tokens(frame, queries.piece_model(), width=64, spread=500).collect()
+    want = [(i, len((t or "").encode()), len(library.encode(t or ""))) for i, t in rows]
+    order = lambda row: (row[0] or 0, row[1:])
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+
+
 def test_character_map_is_read_and_applied_by_longest_prefix():
     library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
     from sentencepiece import sentencepiece_model_pb2 as proto
@@ -104,16 +164,11 @@ def test_counts_and_encoding_of_odd_rows(odd, none, library):
     assert sp_encode.encode(none, queries.piece_model()).count() == 0
 
 
-def test_a_long_text_merges_no_prefixes(library):
-    machine = token_counts.Transducer(token_counts.load(queries.piece_model(), {}))
-    for text in ("ab" * 300, "one two  three, four" * 30, "", " ", MIXED * 5):
-        for width in (1, 3, 64, 1 << 16):
-            assert machine.text_count(text, width) == len(library.encode(text)), (text, width)
+def test_two_runs_over_a_chunk_meet_or_go_on_apart(library):
     machine = token_counts.Transducer(token_counts.load(queries.piece_model(), {}))
-    merged, count = [], machine.model.count_unit
-    machine.emits = token_counts.Memo(lambda unit: merged.append(unit) or count(unit))
-    machine.text_count("a" * 4000, 16)
-    assert len(merged) == 1
+    for text in ("ab" * 3000, "one two  three, four" * 300, "a" * 9000, "-=" * 4000, MIXED * 150):
+        for width in (1000, 4500):
+            assert machine.chunk_counts(text, width)[-1] == len(library.encode(text)), (text[:20], width)
 
 
 def test_token_queries_over_a_whole_table(spark, docs, library):
