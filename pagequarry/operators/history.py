@@ -53,20 +53,21 @@ def by_id(history: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def listing(history: DataFrame) -> DataFrame:
-    """A user's history, newest first, with the shown date; users stay apart, so that no order over
-    all of them is made."""
+    """A user's history, newest first, with the shown date. Rows are dealt by ranges of (user, time,
+    id), so a user with much of the table spans tasks, and the order holds from one to the next."""
     shown = history.select(
         "user_id", "id", "url", "total_items", F.date_format(F.col("ts").cast("timestamp"), "MMMM dd, yyyy 'at' hh:mm a").alias("shown"), "ts"
     )
-    return shown.repartition("user_id").sortWithinPartitions("user_id", F.col("ts").desc(), F.col("id").desc())
+    return shown.orderBy("user_id", F.col("ts").desc(), F.col("id").desc())
 
 
 def series(history: DataFrame) -> DataFrame:
-    """Points per (user, url) in time order: label and mean subjectivity."""
+    """Points per (user, url) in time order: label and mean subjectivity. Dealt by ranges, as
+    ``listing`` is."""
     points = history.select(
         "user_id", "url", "id", "ts", F.date_format(F.col("ts").cast("timestamp"), "MM-dd HH:mm").alias("label"), "avg_subjectivity"
     )
-    return points.repartition("user_id", "url").sortWithinPartitions("user_id", "url", "ts", "id")
+    return points.orderBy("user_id", "url", "ts", "id")
 
 
 def with_subscribed(rows: DataFrame, subs: DataFrame) -> DataFrame:

@@ -364,3 +364,28 @@ def test_scheduled_reports_equal_batch(spark, tmp_path):
     whole = make(spark.createDataFrame([second[0]], schema)).first()
     last = max((r for r in told.where("url = 'a'").collect()), key=lambda r: len(r.graph.nodes))
     assert last.graph == whole.graph and last.total_items == whole.total_items and len(whole.graph.nodes) == 1
+
+
+def test_a_hot_user_spans_tasks_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from pagequarry.operators import history
+
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") % 50 + 100).otherwise(7).alias("user_id"),
+        "id", F.lit("u").alias("url"), F.lit(1).alias("total_items"), F.lit(0.5).alias("avg_subjectivity"),
+        F.timestamp_seconds(F.col("id") * 37 % 1000).alias("ts"),
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        listed = history.listing(rows).withColumn("task", F.spark_partition_id()).collect()
+        points = history.series(rows).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len({r["task"] for r in listed if r["user_id"] == 7}) > 1
+    assert len({r["task"] for r in points if r["user_id"] == 7}) > 1
+    newest_first = [(r["user_id"], -r["ts"].timestamp(), -r["id"]) for r in listed]
+    assert newest_first == sorted(newest_first) and len(newest_first) == 4000
+    oldest_first = [(r["user_id"], r["ts"], r["id"]) for r in points]
+    assert oldest_first == sorted(oldest_first) and len(oldest_first) == 4000
