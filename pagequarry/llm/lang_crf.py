@@ -26,7 +26,8 @@ NO_LANGUAGE = "und"
 # The bounds of the sample that the model is fitted on: documents in all, and bytes of one.
 SAMPLE_ROWS, SAMPLE_BYTES = 1600, 20_000
 BUCKETS = 1 << 18
-# Words of one chain; a longer text is several chains.
+# Words that are labelled side by side; the messages of a longer text are carried from one such chain
+# to the next.
 CHAIN = 128
 TRAIN_CHAIN, ROUNDS, RATE, DECAY = 64, 25, 0.5, 1e-6
 MOST_WORDS = 600_000
@@ -36,7 +37,14 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    return _words(text.lower())
+    """Runs of letters, in lower case; signs such as ² or ½ are none."""
+    words = []
+    for word in _words(text.lower()):
+        if word.isalpha():
+            words.append(word)
+        else:
+            words += "".join(c if c.isalpha() else " " for c in word).split()
+    return words
 
 
 def _buckets(codes: np.ndarray, salt: int) -> np.ndarray:
@@ -91,21 +99,30 @@ class Crf:
         return np.add.reduceat(self.weights[hashed], starts, axis=0)
 
 
-def forward_backward(potentials: np.ndarray, valid: np.ndarray, moves: np.ndarray, pairs: bool = False):
+def forward_backward(
+    potentials: np.ndarray,
+    valid: np.ndarray,
+    moves: np.ndarray,
+    pairs: bool = False,
+    entering: np.ndarray | None = None,
+    leaving: np.ndarray | None = None,
+):
     """Probabilities of every word of every chain (chains x places x languages).
 
     All chains advance together, scaled at each place. ``pairs`` adds the expected transitions.
+    ``entering`` and ``leaving`` are the messages from what stands before and after each chain; one
+    that something follows has a word at every place.
     """
     chains, places, k = potentials.shape
     step = np.exp(moves).astype(potentials.dtype)
     forward = np.empty_like(potentials)
-    forward[:, 0] = potentials[:, 0]
+    forward[:, 0] = potentials[:, 0] if entering is None else potentials[:, 0] * entering
     forward[:, 0] /= forward[:, 0].sum(1, keepdims=True)
     for t in range(1, places):
         now = (forward[:, t - 1] @ step) * potentials[:, t]
         forward[:, t] = now / now.sum(1, keepdims=True)
     expected = np.zeros((k, k))
-    backward = np.ones((chains, k), potentials.dtype)
+    backward = np.ones((chains, k), potentials.dtype) if leaving is None else leaving.astype(potentials.dtype)
     marginals = np.empty_like(potentials)
     for t in range(places - 1, -1, -1):
         if t + 1 < places:
@@ -121,6 +138,55 @@ def forward_backward(potentials: np.ndarray, valid: np.ndarray, moves: np.ndarra
     return marginals, expected
 
 
+def messages(
+    potentials: np.ndarray, valid: np.ndarray, nth: np.ndarray, moves: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """What every chain hears from the chains before and after it in its text, scaled; ones at the
+    ends of a text. ``nth``: the chain's place in its text, chains of a text in order.
+
+    A chain as a whole is a matrix from the language before its first word to that of its last;
+    these are made side by side, then applied one after the other, all texts together.
+    """
+    chains, places, k = potentials.shape
+    step = np.exp(moves).astype(np.float64)
+    entering, leaving = np.ones((chains, k)), np.ones((chains, k))
+    followed = np.flatnonzero(np.r_[nth[1:] > 0, False])
+    if not len(followed):
+        return entering, leaving
+    row = np.full(chains, -1)
+    row[followed] = np.arange(len(followed))
+    own = potentials[followed].astype(np.float64)
+    through = np.eye(k)[None] * own[:, 0][:, None, :]
+    for t in range(1, places):
+        through = (through @ step) * own[:, t][:, None, :]
+        through /= through.max((1, 2), keepdims=True)
+    for n in range(1, int(nth.max()) + 1):
+        at = np.flatnonzero(nth == n)
+        heard = np.einsum("ci,cij->cj", entering[at - 1], through[row[at - 1]]) @ step
+        entering[at] = heard / heard.sum(1, keepdims=True)
+    # From the last chain of each text backwards: what a chain says to the one before it.
+    first_place = potentials[:, 0].astype(np.float64)
+    for n in range(int(nth.max()), 0, -1):
+        at = np.flatnonzero(nth == n)
+        inner = np.empty((len(at), k))
+        whole = row[at] >= 0
+        inner[whole] = np.einsum("cij,cj->ci", through[row[at[whole]]], leaving[at[whole]])
+        inner[~whole] = first_place[at[~whole]] * _tail(potentials[at[~whole]].astype(np.float64), valid[at[~whole]], step)
+        heard = inner @ step.T
+        leaving[at - 1] = heard / heard.sum(1, keepdims=True)
+    return entering, leaving
+
+
+def _tail(potentials: np.ndarray, valid: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Backward messages at the first place of chains that nothing follows."""
+    chains, places, k = potentials.shape
+    backward = np.ones((chains, k))
+    for t in range(places - 1, 0, -1):
+        passed = (potentials[:, t] * backward) @ step.T
+        backward = np.where(valid[:, t][:, None], passed / passed.sum(1, keepdims=True), 1.0)
+    return backward
+
+
 def potentials_of(emissions: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """exp of the emissions of (chains x places) word numbers; -1 is no word."""
     found = emissions[ids]
@@ -225,17 +291,23 @@ class Labeller:
         grid = begin[:, None] + np.arange(min(CHAIN, int(size.max())))
         valid = np.arange(grid.shape[1]) < size[:, None]
         ids = np.where(valid, flat[np.minimum(grid, len(flat) - 1)], -1)
-        got, _ = forward_backward(potentials_of(self.emissions, ids), valid, self.model.moves)
+        potentials = potentials_of(self.emissions, ids)
+        entering, leaving = messages(potentials, valid, nth, self.model.moves)
+        got, _ = forward_backward(potentials, valid, self.model.moves, False, entering, leaving)
         return got[valid], counts
 
 
 def sample(docs: DataFrame, text: str, id_col: str, lang: str, rows: int, most_bytes: int) -> list[tuple[str, str]]:
     """At most ``rows`` labelled documents that aren't held out, evenly from the languages: those of
-    least hash. The bound, on number and length, holds for fitting alone."""
+    least hash. Of a document of more bytes, a window of a quarter as many characters, at a place
+    drawn by hash. Both bounds hold for fitting alone."""
     known = docs.where(
-        F.col(lang).isNotNull() & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull()
-        & (F.octet_length(F.col(text)) <= most_bytes)
+        F.col(lang).isNotNull() & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(text).isNotNull()
     )
+    width = max(most_bytes // 4, 1)
+    start = F.pmod(F.xxhash64(F.col(id_col), F.lit("window")), F.greatest(F.length(text) - width + 1, F.lit(1))) + 1
+    window = F.substring(F.col(text), start.cast("int"), F.lit(width))
+    window = F.when(F.octet_length(F.col(text)) <= most_bytes, F.col(text)).otherwise(window)
     names = [r[0] for r in known.select(lang).distinct().limit(rows + 1).collect()]
     if not names:
         return []
@@ -248,7 +320,7 @@ def sample(docs: DataFrame, text: str, id_col: str, lang: str, rows: int, most_b
         .distinct()
     )
     # No more rows than the bound, so the join is by broadcast and the texts stay where they are.
-    found = known.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(
+    found = known.select(F.col(id_col).alias("id"), window.alias("text"), F.col(lang).alias("lang")).join(
         F.broadcast(chosen.limit(rows)), "id", "left_semi"
     )
     return sorted((r["text"], r["lang"]) for r in found.limit(2 * rows).collect())
@@ -268,7 +340,8 @@ def identify(
     Learns from ``text`` and non-null ``lang`` of a bounded sample of the documents that aren't held
     out. One row per input row, no shuffle of texts; null texts, texts without a letter, and all
     texts if there is nothing to learn from give ``und`` with score 0; rows that repeat are labelled
-    each, other columns are ignored.
+    each, other columns are ignored. A text of any length is labelled as one chain of words in its own
+    task; of equal shares, the language that sorts first wins.
     """
     model = train(sample(docs, text, id_col, lang, rows, most_bytes))
     packed = pickle.dumps((model.languages, model.weights, model.moves))

@@ -62,6 +62,33 @@ def test_language_on_held_out_rows(spark):
     assert (mine.lang_pred == mine.lang).mean() >= 0.97
 
 
+def test_messages_are_carried_over_chain_ends(monkeypatch):
+    """Texts cut in chains of four words get the probabilities of uncut ones."""
+    rng = np.random.default_rng(5)
+    languages = ["aa", "bb", "cc"]
+    model = lang_crf.Crf(languages, rng.normal(0, 0.7, (lang_crf.BUCKETS, 3)), rng.normal(0, 1, (3, 3)))
+    words = ["one", "zwei", "trois", "four", "fünf", "six", "sieben"]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 4, 9, 30, 0, 8, 5)]
+    whole, counts = lang_crf.Labeller(model).marginals(texts)
+    monkeypatch.setattr(lang_crf, "CHAIN", 4)
+    cut, same = lang_crf.Labeller(model).marginals(texts)
+    assert counts.tolist() == same.tolist() == [1, 4, 9, 30, 0, 8, 5]
+    assert np.abs(whole - cut).max() < 1e-5
+
+
+def test_signs_are_no_words():
+    assert lang_crf.words_of("² ½ ① 12 _ \u2167") == []
+    assert lang_crf.words_of("Haus² a½b x_y 漢字") == ["haus", "a", "b", "x", "y", "漢字"]
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    rows = [(n, f"der die das und nicht {n} " * 3, "de") for n in range(40)]
+    rows += [(n, "le la les et pas " * 300, "fr") for n in range(40, 80)] + [(99, "²½", "de")]
+    got = lang_crf.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_bytes=400).collect()
+    assert len(got) == 81
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {i: lang if i < 99 else "und" for i, _, lang in rows}
+
+
 def test_forward_backward_against_all_paths():
     draw = np.random.default_rng(4)
     k, n = 3, 5
