@@ -109,7 +109,7 @@ def pair_errors(pairs: DataFrame, status: DataFrame, site: str) -> DataFrame:
 
     def failed(side: str, number: int) -> Column:
         state = F.coalesce(F.col(f"status_{side}"), F.lit("no_content"))
-        message = F.format_string(f"Error in URL {number} (%s): %s", F.col(f"site_{side}").cast("string"), state)
+        message = F.format_string(f"Page {number}, %s: %s", F.col(f"site_{side}").cast("string"), state)
         return F.when(state != "ok", message)
 
     error = F.when(blank("site_a") | blank("site_b"), "Two valid addresses are needed.").otherwise(

@@ -191,6 +191,7 @@ def nodes(found: DataFrame, by: Keys) -> DataFrame:
     """Name, category of its first mention, mention count and tooltip."""
     place = F.struct("sentence", "pos", "category")
     counted = found.groupBy(*by, "name").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    # The wording of both tooltips (this one and that of the edges) is part of the format.
     title = F.format_string(
         "<b>%s</b><br>Type: %s<br>Mentions: %d", F.col("name"), F.col("first.category"), F.col("n")
     )

@@ -55,8 +55,8 @@ def page_status(pages: DataFrame, segments: DataFrame, cleaned: DataFrame, by: K
 def error_records(status: DataFrame, url: str) -> DataFrame:
     """Rejected pages as (error, url)."""
     message = F.when(
-        F.col("status") == "no_content", "No content could be extracted from this URL."
-    ).otherwise("Not enough unique text found after cleaning.")
+        F.col("status") == "no_content", "The page has no text to work on."
+    ).otherwise("Fewer than two different texts are left after cleaning.")
     return status.where(F.col("status") != "ok").select(
         message.alias("error"), F.col(url).cast("string").alias("url")
     )

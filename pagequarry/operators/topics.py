@@ -183,7 +183,8 @@ def takeaways(
     ``dense`` has text and tfidf_score. Picks come from the best ``batch`` candidates of a page. Where
     those do not yield enough, every remaining row that is similar to a pick is dropped in place, all
     over the cluster, and the page goes on with the best rows left. The best one left is always a
-    pick, so there are at most ``most`` rounds and no page is gathered beyond ``batch`` rows.
+    pick, so there are at most ``most`` rounds and no page is gathered beyond ``batch`` rows. What the
+    open pages have left is written after each round, so ``dense`` is made twice at most.
     """
     able = dense.where(F.length("text") > longer_than).select(
         *by, "pos", "text", F.round("tfidf_score", 9).alias("score")
@@ -195,7 +196,7 @@ def takeaways(
         prior = picked.where("unsettled").select(*by, "picks")
         if prior.isEmpty():
             break
-        able = _unlike(able, prior, by, threshold, measure)
+        able = cut(_unlike(able, prior, by, threshold, measure))
     settled = reduce(DataFrame.unionByName, done)
     return settled.select(*by, F.posexplode("picks").alias("_i", "_pick")).select(
         *by, (F.col("_i") + 1).alias("rank"), "_pick.pos", "_pick.text"

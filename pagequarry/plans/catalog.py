@@ -145,8 +145,8 @@ def _(spark, folder):
     SELECT doc_id, coalesce(n_segments, 0) AS n_segments, coalesce(n_clean, 0) AS n_clean,
       CASE WHEN coalesce(n_segments, 0) = 0 THEN 'no_content' WHEN coalesce(n_clean, 0) < 2 THEN 'too_little_text'
       ELSE 'ok' END AS status,
-      CASE WHEN coalesce(n_segments, 0) = 0 THEN 'No content could be extracted from this URL.'
-      WHEN coalesce(n_clean, 0) < 2 THEN 'Not enough unique text found after cleaning.' END AS error
+      CASE WHEN coalesce(n_segments, 0) = 0 THEN 'The page has no text to work on.'
+      WHEN coalesce(n_clean, 0) < 2 THEN 'Fewer than two different texts are left after cleaning.' END AS error
     FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)""",
 )
 def _(spark, folder):

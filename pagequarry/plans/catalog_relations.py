@@ -472,8 +472,8 @@ def _(spark, folder):
     "pair_errors", "P6",
     f"""WITH {SQL_PAIRS}, s AS (SELECT source, CASE WHEN sum(n_chars) > 110000 THEN 'ok' WHEN sum(n_chars) > 100000
         THEN 'too_little_text' ELSE 'no_content' END AS status FROM documents GROUP BY 1)
-    SELECT pair_id, site_a, site_b, CASE WHEN a.status <> 'ok' THEN 'Error in URL 1 (' || site_a || '): ' || a.status
-      WHEN b.status <> 'ok' THEN 'Error in URL 2 (' || site_b || '): ' || b.status END AS error
+    SELECT pair_id, site_a, site_b, CASE WHEN a.status <> 'ok' THEN 'Page 1, ' || site_a || ': ' || a.status
+      WHEN b.status <> 'ok' THEN 'Page 2, ' || site_b || ': ' || b.status END AS error
     FROM pairs JOIN s a ON a.source = site_a JOIN s b ON b.source = site_b""",
 )
 def _(spark, folder):
