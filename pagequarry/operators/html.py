@@ -24,8 +24,9 @@ PASSES = {"heading": 1, "link": 2, "raw_link": 3, "container": 4, "titled": 5, "
 BATCH = 5000
 
 
-def elements(pages: DataFrame, by: Keys, html: str = "html") -> DataFrame:
-    """One row per heading, link, span, div, p, li, article and section in document order."""
+def elements(pages: DataFrame, by: Keys, html: str = "html", closed: bool = False) -> DataFrame:
+    """One row per heading, link, span, div, p, li, article and section in document order. ``closed``:
+    character references count only with their semicolon."""
     keys = [T.StructField(k, pages.schema[k].dataType) for k in by]
     found = T.StructType(
         [
@@ -51,7 +52,7 @@ def elements(pages: DataFrame, by: Keys, html: str = "html") -> DataFrame:
             records: list[dict] = []
             for row in batch.itertuples(index=False):
                 key = dict(zip(names, row))
-                records += [{**key, **e} for e in markup.elements(row[-1])]
+                records += [{**key, **e} for e in markup.elements(row[-1], closed)]
                 if len(records) >= BATCH:
                     yield pd.DataFrame(records)[found.names]
                     records = []

@@ -93,6 +93,13 @@ def test_elements_on_broken_markup():
     ]
 
 
+def test_references_without_a_semicolon():
+    page = "<h1>a &amp;&amp &lt;b&gt; &eacute;&#33;&ampx; c&d &#x27;&amp</h1>"
+    text = lambda closed: markup.elements(page, closed)[0]["text"]
+    assert text(True) == "a &&amp <b> é!&ampx; c&d '&amp"
+    assert text(False) == "a && <b> é!&x; c&d '&"
+
+
 def test_junk_within_three_ancestors():
     near = "<nav><div><div><h2>A heading near the top</h2></div></div></nav>"
     far = "<nav><div><div><div><h2>A heading near the top</h2></div></div></div></nav>"
