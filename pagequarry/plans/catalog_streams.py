@@ -19,9 +19,10 @@ from pagequarry.streaming import streams as ST
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A driver table as a stream of files."""
+    """A driver table as a stream of files: one file, or a folder of them. The pattern stands for either;
+    a plain path would have to be a folder."""
     schema = read_table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(os.path.join(folder, f"{name}.parque[t]"))
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pagequarry.operators import retrieve as R
 from pagequarry.operators import silhouette as V
 from pagequarry.sources import store
 from pagequarry.plans import report as RP
+from pagequarry.plans.catalog_streams import table_stream
 from pagequarry.streaming import streams as ST
 
 PAGE = ["page_id"]
@@ -326,6 +327,22 @@ def test_streams_equal_batch(spark, tmp_path):
     assert ST.read_series(spark, str(tmp_path / "s")).count() == 60
 
 
+@pytest.mark.parametrize("parts", [0, 3])
+def test_a_table_of_one_file_or_many_is_streamed(spark, tmp_path, parts):
+    rows = spark.range(20).select(F.col("id").alias("event_id"), "id")
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    if parts:
+        rows.repartition(parts).write.parquet(str(tmp_path / "in" / "events.parquet"))
+    else:
+        (tmp_path / "in").mkdir()
+        next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "in" / "events.parquet")
+    rows.write.parquet(str(tmp_path / "in" / "pages.parquet"))
+    found = table_stream(spark, str(tmp_path / "in"), "events").writeStream.trigger(availableNow=True)
+    out = str(tmp_path / "out")
+    found.option("checkpointLocation", str(tmp_path / "progress")).start(out, format="parquet").awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(20))
+
+
 def test_state_is_merged_and_batches_may_run_again(spark, tmp_path):
     """Forty batches: the state is the newest per key, few folders are left, and a batch that runs
     again, after a broken run too, adds nothing."""
