@@ -53,6 +53,12 @@ def test_title_case(spark):
     assert [r.t for r in rows.collect()] == [w.title() for w in words]
 
 
+def test_title_case_letter_by_letter(spark):
+    words = ["als ßauzu ßß", "ﬁn ŉa", "ᾳα ᾀ ᾗ", "ẞa", "", " a"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select(X.title_case(F.col("w")).alias("t"))
+    assert [r.t for r in rows.collect()] == ["Als ẞauzu ẞß", "ﬁn ŉa", "ᾼα ᾈ ᾟ", "ẞa", "", " A"]
+
+
 def test_document_frequency_cut(segments):
     rows = segments({"a": [f"alpha beta{i} gamma{i}" if i else "omega beta0 gamma0" for i in range(20)], "b": [f"alpha beta{i}" for i in range(20)]})
     cleaned = C.clean(rows, URL)
