@@ -117,6 +117,26 @@ def test_centroid_terms_are_summed_where_pages_are(segments, monkeypatch, block,
         assert "term#" not in " ".join(re.findall(r"hashpartitioning.*", found._jdf.queryExecution().toString()))
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_scores_are_worked_out_where_pages_are(segments, monkeypatch, block):
+    rows = many_pages(segments).cache()
+    tags = lambda n: F.transform(
+        F.filter(F.sequence(F.lit(2), F.lit(9)), lambda k: k < F.col(n)),
+        lambda k: F.struct(k.alias("k"), (F.length("cleaned") % k).cast("int").alias("cluster")),
+    )
+    sized = rows.join(rows.groupBy("url").agg(F.count("*").alias("n")), "url")
+    labels = sized.select("url", "pos", F.inline(tags("n")))
+    shown = lambda df: {(r.url, r.k): r.silhouette and round(r.silhouette, 9) for r in df.collect()}
+    want = shown(SK.scores(K.term_vectors(W.weigh(rows, URL, keep=["n_lines"]), URL), labels, URL))
+    sizes = {r.url: r["count"] for r in W.vocabulary(rows, URL).groupBy("url").count().collect()}
+    monkeypatch.setattr(W, "BLOCK", block)
+    found = K.scores_of(rows, URL, tags("_size"))
+    assert shown(found) == want and len(want) > 10
+    assert {r.url: r["size"] for r in W.vocabulary_sizes(rows, URL).collect()} == sizes
+    if block == 512:
+        assert "pos#" not in " ".join(re.findall(r"hashpartitioning.*", found._jdf.queryExecution().executedPlan().toString()))
+
+
 def test_topics(segments):
     cleaned, vocab, wt = prepared(segments(TWO))
     found = K.topics(wt, URL)
