@@ -13,7 +13,6 @@ from pagequarry.operators import history as H
 from pagequarry.operators import neardup as ND
 from pagequarry.operators import segments as G
 from pagequarry.operators import sentiment as S
-from pagequarry.operators import terms as W
 from pagequarry.operators import topics as K
 from pagequarry.operators.keys import Keys
 from pagequarry.session import cut
@@ -24,8 +23,6 @@ class Stages:
     """Tables behind the report; each is a plain DataFrame keyed by page."""
 
     rows: DataFrame
-    weights: DataFrame
-    vocab: DataFrame
     labelled: DataFrame
     named: DataFrame
     top_entities: DataFrame
@@ -41,20 +38,16 @@ def stages(pages: DataFrame, segments: DataFrame, gazetteer: DataFrame, by: Keys
     status = cut(G.page_status(pages, segments, kept, by))
     usable = status.where("status = 'ok'").select(*by)
     rows = cut(S.score(kept.join(usable, list(by), "left_semi")))
-    vocab = cut(W.vocabulary(rows, by))
-    weighed = cut(W.weigh(rows, by, keep=["n_lines", "text"]))
-    weights = W.by_term(weighed, by)
-    labelled = cut(K.topics(weighed, by))
-    names = K.topic_names(labelled, K.centroid_terms(weights, labelled, by), by)
-    named = K.named_topics(labelled, names, by)
+    labelled = cut(K.topics_of(rows, by))
+    named = K.named_topics(labelled, K.names_of(labelled, by), by)
     found = cut(N.mentions(N.tagged(N.page_sentences(rows, by), gazetteer, by, capitals), by))
     chosen = N.top_nodes(N.nodes(found, by), by)
     graph = N.packed_graph(usable, chosen, N.top_edges(N.edges(found, chosen, by), by), by)
     # A page of one topic has no takeaways.
-    several = labelled.where("optimal_k > 1").select(*by, "pos")
-    dense = W.segment_density(weighed.join(several, [*by, "pos"], "left_semi"))
+    several = labelled.where("optimal_k > 1").select(*by, "pos", "tfidf_score")
+    dense = rows.select(*by, "pos", "text").join(several, [*by, "pos"])
     return Stages(
-        rows, weights, vocab, labelled, named, N.top_entities(found, by), graph, K.takeaways(dense, by), status
+        rows, labelled, named, N.top_entities(found, by), graph, K.takeaways(dense, by), status
     )
 
 
@@ -79,7 +72,8 @@ def report(s: Stages, by: Keys) -> DataFrame:
 
     sentiment = as_map(S.label_counts(s.rows, by), "sentiment_label", "sentiment_counts")
     clusters = as_map(K.topic_counts(s.named, by), "cluster_name", "cluster_counts")
-    numbers = K.metrics(s.labelled, s.vocab, by).select(
+    sizes = s.labelled.groupBy(*by).agg(F.max("size").alias("size"))
+    numbers = K.metrics_of(s.labelled, sizes, by).select(
         *by, F.struct("silhouette", "optimal_k", "vocab_size").alias("metrics")
     )
     picks = s.takeaways.groupBy(*by).agg(

@@ -137,6 +137,25 @@ def test_scores_are_worked_out_where_pages_are(segments, monkeypatch, block):
         assert "pos#" not in " ".join(re.findall(r"hashpartitioning.*", found._jdf.queryExecution().executedPlan().toString()))
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_topics_are_found_where_pages_are(segments, monkeypatch, block):
+    rows = many_pages(segments).cache()
+    wt = W.weigh(rows, URL, keep=["n_lines"]).cache()
+    want = K.topics(wt, URL, restarts=2).cache()
+    dense = {(r.url, r.pos): round(r.tfidf_score, 9) for r in W.segment_density(wt).collect()}
+    names = {tuple(r) for r in K.topic_names(want, K.centroid_terms(W.by_term(wt, URL), want, URL), URL).collect()}
+    sizes = {r.url: r["count"] for r in W.vocabulary(rows, URL).groupBy("url").count().collect()}
+    monkeypatch.setattr(W, "BLOCK", block)
+    found = K.topics_of(rows, URL, restarts=2).cache()
+    shown = lambda df: sorted(
+        (r.url, r.pos, r.cluster, r.optimal_k, r.silhouette and round(r.silhouette, 9), [s.k for s in r.sweep], r.converged) for r in df.collect()
+    )
+    assert shown(found) == shown(want)
+    assert {(r.url, r.pos): round(r.tfidf_score, 9) for r in found.collect()} == dense
+    assert {tuple(r) for r in K.names_of(found, URL).collect()} == names
+    assert {r.url: r["size"] for r in found.collect() if r["size"]} == sizes
+
+
 def test_topics(segments):
     cleaned, vocab, wt = prepared(segments(TWO))
     found = K.topics(wt, URL)
