@@ -137,6 +137,17 @@ def test_scores_are_worked_out_where_pages_are(segments, monkeypatch, block):
         assert "pos#" not in " ".join(re.findall(r"hashpartitioning.*", found._jdf.queryExecution().executedPlan().toString()))
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_density_is_summed_where_pages_are(segments, monkeypatch, block):
+    rows = many_pages(segments).cache()
+    shown = lambda df: sorted((r.url, r.pos, r.text, round(r.tfidf_score, 9)) for r in df.collect())
+    want = shown(W.segment_density(W.weigh(rows, URL, keep=["n_lines", "text"])).join(W.usable_pages(rows, URL), URL, "left_semi"))
+    monkeypatch.setattr(W, "BLOCK", block)
+    found = W.density(rows, URL, ["text"])
+    assert shown(found.where("n >= 3")) == want
+    assert "terms" not in found.columns
+
+
 @pytest.mark.parametrize("block", [512, 16])
 def test_topics_are_found_where_pages_are(segments, monkeypatch, block):
     rows = many_pages(segments).cache()
