@@ -148,6 +148,18 @@ def test_density_is_summed_where_pages_are(segments, monkeypatch, block):
     assert "terms" not in found.columns
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_best_terms_are_summed_where_pages_are(segments, monkeypatch, block):
+    rows = many_pages(segments).cache()
+    shown = lambda df: sorted((r.url, r.rank, r.term, round(r.score, 9)) for r in df.collect())
+    want = shown(W.cloud_terms(W.term_scores(W.tfidf(rows, URL), URL, W.usable_pages(rows, URL)), URL, 12))
+    monkeypatch.setattr(W, "BLOCK", block)
+    found = W.best_terms(rows, URL, 12)
+    assert shown(found) == want
+    if block == 512:
+        assert "term#" not in " ".join(re.findall(r"hashpartitioning.*", found._jdf.queryExecution().toString()))
+
+
 @pytest.mark.parametrize("block", [512, 16])
 def test_topics_are_found_where_pages_are(segments, monkeypatch, block):
     rows = many_pages(segments).cache()
