@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import text as X
 from pagequarry.functions import vectors
 from pagequarry.operators import clean as C
+from pagequarry.operators import segments as G
 from pagequarry.operators import sentiment as S
 from pagequarry.operators import spread_kmeans as SK
 from pagequarry.operators import terms as W
@@ -297,6 +298,48 @@ def test_blocks_and_tasks_agree_on_given_seeds(segments, block):
             break
 
 
+@pytest.mark.parametrize("limit", [2, 512])
+def test_pages_are_cleaned_in_their_rows(spark, limit):
+    """The same segments as line by line; with pages of one block, nothing is shuffled."""
+    texts = ["One line, twice\none line, twice\nOne line, twice\nshort\n\nThe last: line", "", None, "Only line of this page", "a\nb"]
+    docs = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(texts)], "url string, text string")
+    found = C.clean_pages(docs, URL, limit=limit)
+    want = C.clean(G.split_lines(docs, URL), URL)
+    rows = C.segments_of(found, URL)
+    assert (found.large is None) == (limit == 512)
+    assert sorted(map(tuple, rows.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    if limit == 512:
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [1, 512])
+def test_merged_terms_keep_inner_products(segments, monkeypatch, block):
+    """Vectors of merged terms are shorter than those of all terms, and give the same clusters."""
+    monkeypatch.setattr(W, "BLOCK", block)
+    rng = random.Random(5)
+    cleaned, _vocab, wt = prepared(segments({"big": big_page(rng, 30), "none": ["of the and to", "in is it on as"], **TWO}))
+
+    def told(points):
+        held = {}
+        for r in points.collect():
+            held.setdefault(r.url, []).append((r.pos, r.terms, r.ws))
+        return {u: sorted(rows) for u, rows in held.items()}
+
+    merged, plain = told(K.inner_vectors(cleaned, URL)), told(K.term_vectors(wt, URL))
+    assert merged.keys() == plain.keys()
+    for url, rows in plain.items():
+        a, b = ([np.array(x[1]) for x in r] for r in (rows, merged[url]))
+        v, w = ([np.array(x[2]) for x in r] for r in (rows, merged[url]))
+        assert [x[0] for x in rows] == [x[0] for x in merged[url]]
+        assert np.allclose(vectors.gram(a, v), vectors.gram(b, w), atol=1e-12)
+        assert block == 1 or sum(map(len, b)) <= sum(map(len, a)) and (url != "two" or sum(map(len, b)) < sum(map(len, a)))
+    seeds = cleaned.sparkSession.createDataFrame([("big", 3, 0, c, c) for c in range(3)], "url string, k int, restart int, cluster int, pos bigint")
+    points = [K.inner_vectors(cleaned, URL), K.term_vectors(wt, URL)]
+    ends = [sorted(map(tuple, SK.lloyd(p, seeds, URL, 5, 4).collect())) for p in points]
+    ends += [sorted((r.url, r.pos, r.k, r.cluster, r.converged) for r in K.kmeans_in_tasks(p, seeds, URL, 5).collect()) for p in points]
+    assert ends[0] == ends[1] == ends[2] == ends[3] and ends[0]
+
+
 def picks_by_hand(texts, scores, measure):
     order = sorted((i for i in range(len(texts)) if len(texts[i]) > 50), key=lambda i: (-round(scores[i], 9), i))
     picks = []
