@@ -54,9 +54,12 @@ def stages(pages: DataFrame, segments: DataFrame, gazetteer: DataFrame, by: Keys
 def records(rows: DataFrame, named: DataFrame, by: Keys, *extra: str) -> DataFrame:
     """Result records: text, cluster, sentiment, cleaned."""
     topics = named.select(*by, "pos", "cluster", "cluster_name")
-    return rows.join(topics, [*by, "pos"]).select(
-        *extra, *by, "pos", "text", "cluster", "cluster_name", "sentiment", "cleaned"
-    )
+    return records_of(rows.join(topics, [*by, "pos"]), by, *extra)
+
+
+def records_of(rows: DataFrame, by: Keys, *extra: str) -> DataFrame:
+    """The same of scored rows that carry their topics."""
+    return rows.select(*extra, *by, "pos", "text", "cluster", "cluster_name", "sentiment", "cleaned")
 
 
 def report(s: Stages, by: Keys) -> DataFrame:
