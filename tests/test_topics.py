@@ -312,6 +312,37 @@ def test_pages_are_cleaned_in_their_rows(spark, limit):
         assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
+LINES = ["Rivers carry water to the sea, water", "The sea takes water from rivers", "Engines burn fuel", "Rivers carry water to the sea, water", "of the"]
+
+
+@pytest.mark.parametrize("limit", [2, 512])
+def test_segments_carry_the_best_terms_of_their_cluster(spark, limit, monkeypatch):
+    """As centroid terms give them; packed pages are not shuffled."""
+    monkeypatch.setattr(W, "BLOCK", limit)
+    docs = spark.createDataFrame([("a", "\n".join(LINES)), ("b", "The wheel turned\nof the and to"), ("c", "")], "url string, text string")
+    cluster = (F.length("cleaned") % 2).cast("int")
+    cleaned = C.clean(G.split_lines(docs, URL), URL)
+    want = {}
+    for r in K.centroid_terms_of(cleaned.withColumn("cluster", cluster), URL).orderBy("rank").collect():
+        want.setdefault((r.url, r.cluster), []).append(r.term)
+    found = K.with_best_terms(C.clean_pages(docs, URL, limit=limit), URL, cluster)
+    assert {(r.url, r.cluster): r.top for r in found.collect()} == {**{("b", len("of the and to") % 2): []}, **want}
+    assert sorted((r.url, r.pos, r.text) for r in found.collect()) == sorted((r.url, r.pos, r.text) for r in cleaned.collect())
+    assert limit == 2 or "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [2, 512])
+def test_terms_are_counted_where_pages_are(spark, limit, monkeypatch):
+    monkeypatch.setattr(W, "BLOCK", limit)
+    docs = spark.createDataFrame([("a", "\n".join(LINES)), ("b", "Water, water, water"), ("c", None)], "url string, text string")
+    counts = W.term_counts(C.clean(G.split_lines(docs, URL), URL), URL)
+    want = counts.groupBy("url", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    found = W.page_counts(C.clean_pages(docs, URL, limit=limit), URL)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert {(r.term, r.df, r.cf) for r in found.where("url = 'b'").collect()} == {("water", 1, 3), ("water water", 1, 2)}
+    assert limit == 2 or "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("block", [1, 512])
 def test_merged_terms_keep_inner_products(segments, monkeypatch, block):
     """Vectors of merged terms are shorter than those of all terms, and give the same clusters."""
