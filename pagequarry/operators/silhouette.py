@@ -98,8 +98,8 @@ def cluster_distances(rows: DataFrame, by: Keys, row_id: str, block: int = 512)
     right = metric.packed_rows(members, [*place, "part"], row_id).select(*place, F.col("rows").alias("other_rows"))
 
     def step(state, ids, own, left, right):
-        total = vectors.distance_sums(np.stack(left).astype(float), np.stack(right).astype(float))
-        return (ids, own, total) if state is None else (ids, own, state[2] + total)
+        total = vectors.distance_sums(left.astype(float), right.astype(float))
+        return (ids.copy(), own.copy(), total) if state is None else (*state[:2], state[2] + total)
 
     def result(state):
         return {"id": state[0], "own": state[1], "total": state[2]}

@@ -11,6 +11,7 @@ from pagequarry.functions.fixed import IGNORED_PHRASES, JUNK_CONTAINERS, JUNK_FR
 from pagequarry.operators import entities as N
 from pagequarry.operators import html as E
 from pagequarry.operators import keys as A
+from pagequarry.operators import metric
 from pagequarry.operators import retrieve as R
 from pagequarry.operators import silhouette as V
 from pagequarry.sources import store
@@ -195,6 +196,27 @@ def mention_rows(spark, rows):
     return spark.createDataFrame(rows, "url string, sentence bigint, pos bigint, name string, category string")
 
 
+def test_folded_blocks_let_their_batches_go(spark, monkeypatch):
+    """What is kept of a pair of blocks is no view into the batch it came in."""
+    rows = spark.createDataFrame([(0, i, [float(i), 1.0], i % 2) for i in range(6)], "g int, id bigint, embedding array<double>, cluster int")
+    steps = []
+
+    def caught(pairs, keys, step, result, shape):
+        steps.append(step)
+        return fold(pairs, keys, step, result, shape)
+
+    fold = metric.fold_pairs
+    monkeypatch.setattr(metric, "fold_pairs", caught)
+    V.cluster_distances(rows, ["g"], "id")
+    R.nearest(rows.withColumnRenamed("id", "question_id"), rows.withColumnRenamed("id", "text_id"), ["g"])
+    ids, x = np.arange(3), np.arange(6.0).reshape(3, 2)
+    for step, given in zip(steps, ((ids, ids, x, x), (ids, x, ids, x)), strict=True):
+        state = None
+        for _ in range(3):
+            state = step(state, *given)
+            assert not any(np.shares_memory(kept, one) for kept in state for one in given)
+
+
 def test_entity_limits_and_ties(spark):
     rows = [("a", s, i, f"N{i:02d}", "People") for s in range(2) for i in range(22)] + [("a", 9, 0, "N05", "Money"), ("a", 9, 1, "N21", "People")]
     found = mention_rows(spark, rows)
