@@ -1,7 +1,7 @@
 """Names in tokenised text: a trie of tokens, walked once, with offsets from running sums.
 
-Small helpers for Arrow-batched UDFs. A text comes as its tokens and the gaps around them (one gap
-more than tokens), as the expressions of the operator cut it.
+Small helpers for Arrow-batched UDFs. A text comes with its tokens, as the expressions of the operator
+cut it, or as tokens and the gaps around them (one gap more than tokens).
 """
 
 from __future__ import annotations
@@ -43,14 +43,30 @@ def spelled(words: Sequence[str], gaps: Sequence[str], i: int, n: int) -> str:
     return BLANKS.sub(" ", "".join(pieces))
 
 
-def hits(words: Sequence[str], gaps: Sequence[str], starts: Sequence[bool] | None, patterns: Sequence[dict], root: dict) -> list[dict]:
+def gaps_of(words: Sequence[str], text: str) -> list[str]:
+    """The gaps around the tokens of a text. They hold no sign of a token, so the next place that reads like
+    a token is where it stands."""
+    out, end = [], 0
+    for word in words:
+        at = text.index(word, end)
+        out.append(text[end:at])
+        end = at + len(word)
+    out.append(text[end:])
+    return out
+
+
+def hits(words: Sequence[str], text: str, starts: Sequence[bool] | None, patterns: Sequence[dict], root: dict) -> list[dict]:
     """Names at their places, none inside a longer one, and pattern matches."""
     found: list[tuple[int, int, str, str]] = []
     words = words.tolist() if isinstance(words, np.ndarray) else words
+    gaps: list[str] | None = None
+    if root.keys().isdisjoint(words):
+        return pattern_hits(patterns)
     for i, word in enumerate(words):
         node = root.get(word)
         if node is None or (starts is not None and not starts[i]):
             continue
+        gaps = gaps_of(words, text) if gaps is None else gaps
         n, own = 1, []
         while node is not None:
             ended = node.get(None)

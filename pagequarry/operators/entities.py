@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import tokens
 from pagequarry.functions.fixed import LABEL_CATEGORY
+from pagequarry.operators.clean import Pages
 from pagequarry.operators.keys import Keys, joined_text, running_before, top_n
 
 DOC_CHARS = 1_000_000
@@ -36,14 +37,18 @@ def sentences(docs: DataFrame, by: Keys) -> DataFrame:
     )
 
 
-def page_sentences(segments: DataFrame, by: Keys, text: str = "text") -> DataFrame:
+def page_sentences(segments: DataFrame | Pages, by: Keys, text: str = "text") -> DataFrame:
     """(page, sentence, text): what :func:`sentences` gives for the page's :func:`documents`, without
-    gathering a page.
+    gathering a page. Pages that come packed are split where they are.
 
     A segment yields an open head, whole sentences and an open tail. How many sentences are closed
     before a segment numbers its pieces, so a tail and the heads that go on with it have one number,
     and only those meet. A sentence without an end in its page is one row, as long as it is.
     """
+    if isinstance(segments, Pages):
+        held = F.filter(F.transform("_rows", lambda r: r[text]), lambda t: t.isNotNull())
+        small = sentences(segments.small.select(*by, F.array_join(held, " ").alias("doc")), by)
+        return small if segments.large is None else small.unionByName(page_sentences(segments.large, by, text))
     sized = ["n_lines"] if "n_lines" in segments.columns and "n_lines" not in by else []
     pieces_of = lambda t: F.regexp_extract_all(t, F.lit(SENTENCE), F.lit(0))
     held = segments.where(F.col(text).isNotNull()).select(
@@ -124,13 +129,15 @@ def tagged(split: DataFrame, gazetteer: DataFrame, by: Keys, capitals: bool = Tr
     words = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
     if capitals:
         starts = F.transform(words, lambda w: w.rlike(r"^\p{Lu}"))
+    # Most sentences have no match, and send nothing of the patterns to the workers.
     cut_up = split.select(
-        *by, "sentence", words.alias("words"), F.split("text", TOKEN, -1).alias("gaps"), starts.alias("starts"),
-        F.array(*[
-            F.struct(F.lit(label).alias("label"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("found"),
-                     F.split("text", p, -1).alias("between"))
+        *by, "sentence", "text", words.alias("words"), starts.alias("starts"),
+        F.array_compact(F.array(*[
+            F.when(F.col("text").rlike(p), F.struct(
+                F.lit(label).alias("label"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("found"), F.split("text", p, -1).alias("between")
+            ))
             for label, p in PATTERNS.items()
-        ]).alias("patterns"),
+        ])).alias("patterns"),
     )
     if (total or 0) <= trie_bytes:
         listed = split.sparkSession.sparkContext.broadcast([tuple(r) for r in known.select("key", "name", "label").collect()])
@@ -141,8 +148,8 @@ def tagged(split: DataFrame, gazetteer: DataFrame, by: Keys, capitals: bool = Tr
             for batch in batches:
                 yield pd.Series([tokens.hits(*row, trie) for row in zip(*batch)], dtype=object)
 
-        return cut_up.select(*by, "sentence", F.inline(walk("words", "gaps", "starts", "patterns")))
-    return _joined_hits(cut_up, known, by, sizes)
+        return cut_up.select(*by, "sentence", F.inline(walk("words", "text", "starts", "patterns")))
+    return _joined_hits(cut_up.withColumn("gaps", F.split("text", TOKEN, -1)), known, by, sizes)
 
 
 def _joined_hits(cut_up: DataFrame, known: DataFrame, by: Keys, sizes: list[int]) -> DataFrame:

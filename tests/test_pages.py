@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import markup
 from pagequarry.functions.fixed import IGNORED_PHRASES, JUNK_CONTAINERS, JUNK_FRAGMENTS
+from pagequarry.operators import clean as C
 from pagequarry.operators import entities as N
 from pagequarry.operators import html as E
 from pagequarry.operators import keys as A
 from pagequarry.operators import metric
 from pagequarry.operators import retrieve as R
+from pagequarry.operators import segments as G
 from pagequarry.operators import silhouette as V
 from pagequarry.sources import store
 from pagequarry.plans import report as RP
 from pagequarry.plans.catalog_streams import table_stream
 from pagequarry.streaming import streams as ST
 
+URL = ["url"]
+
 PAGE = ["page_id"]
 
 
@@ -267,6 +271,19 @@ def test_sentences_without_gathering_a_page(spark, monkeypatch, width):
     assert {(r.url, r.sentence, r.text) for r in N.page_sentences(table.drop("n_lines"), ["url"]).collect()} == want
 
 
+def test_packed_pages_have_the_same_sentences(spark):
+    """Sentences and names of pages that come packed, without a shuffle."""
+    lines = ["He met Ann Bo. Then", "they left. In 2020 they", "paid $ 20 and Ann  Bo went", "...", "no end of it Ann"]
+    docs = spark.createDataFrame([("a", "\n".join(lines)), ("b", "Ann Bo\n! Ann Bo at last, Bo-Bo."), ("c", None)], "url string, text string")
+    rows, pages = C.clean(G.split_lines(docs, URL), URL), C.clean_pages(docs, URL)
+    want, got = N.page_sentences(rows, URL), N.page_sentences(pages, URL)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    names = spark.createDataFrame([("Ann Bo", "PERSON"), ("Bo", "ORG"), ("Bo-Bo", "GPE")], "term string, label string")
+    found = [sorted(map(tuple, N.tagged(got, names, URL, trie_bytes=size).collect())) for size in (1 << 20, 0)]
+    assert found[0] == found[1] and {t[2] for t in found[0]} == {"Ann Bo", "Bo-Bo", "2020", "$ 20"}
+
+
 def test_a_gazetteer_of_any_size_finds_the_same(spark):
     rng = np.random.RandomState(7)
     words = ["New", "York", "City", "Ann", "met", "in", "Art", "O'Neill", "the", "West"]
