@@ -15,12 +15,14 @@ task's work, which returns the rows to drop and no pairs: a page of near copies
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import similar
+from pagequarry.operators import clean as C
 from pagequarry.operators.keys import Keys
 from pagequarry.session import fresh_path
 
@@ -51,13 +53,61 @@ def drop_near_duplicates(
     return small.unionByName(large.join(kept, [*by, "pos"], "left_semi").select(*columns))
 
 
-def _small_pages(rows: DataFrame, by: Keys, threshold: float, measure: str, autojunk: bool) -> DataFrame:
-    others = [c for c in rows.columns if c not in (*by, "pos")]
+def drop_in_pages(
+    lines: C.Lines,
+    by: Keys,
+    text: Callable[[Column], Column] = lambda cleaned: cleaned,
+    threshold: float = 0.85,
+    measure: str = "ratio",
+    autojunk: bool = True,
+) -> DataFrame:
+    """(page, pos, cleaned) that survive, of pages as :func:`clean.lines_of` gives them, by ``text`` of what
+    is cleaned. Small pages are decided in their row, and nothing of them is shuffled."""
+    which = _keep(threshold, measure, autojunk)(F.transform("_rows", lambda r: text(r["cleaned"])))
+    some = lines.small.where(F.size("_rows") > 0).select(*by, "_rows")
+    small = some.withColumn("_keep", which).select(*by, F.inline(F.transform("_keep", lambda i: F.get("_rows", i))))
+    small = small.select(*by, "pos", "cleaned")
+    return small if lines.others is None else small.unionByName(_of_lines(lines, by, text, threshold, measure, autojunk))
+
+
+def accounting(
+    lines: C.Lines,
+    by: Keys,
+    text: Callable[[Column], Column] = lambda cleaned: cleaned,
+    threshold: float = 0.85,
+    measure: str = "ratio",
+    autojunk: bool = True,
+) -> DataFrame:
+    """:func:`clean.accounting` of what :func:`drop_in_pages` leaves; a small page is counted in its row."""
+    which = _keep(threshold, measure, autojunk)(F.transform("_rows", lambda r: text(r["cleaned"])))
+    small = C.counted(lines.small, by, F.size(which).cast("bigint"))
+    if lines.others is None:
+        return small
+    return small.unionByName(C.accounting(lines.others, _of_lines(lines, by, text, threshold, measure, autojunk), by))
+
+
+def _of_lines(lines: C.Lines, by: Keys, text: Callable, threshold: float, measure: str, autojunk: bool) -> DataFrame:
+    rows = C.distinct_cleaned(lines.others, by).withColumn("cleaned", text(F.col("cleaned")))
+    return drop_near_duplicates(rows, by, threshold, measure, autojunk).select(*by, "pos", "cleaned")
+
+
+def _keep(threshold: float, measure: str, autojunk: bool) -> Callable:
+    """Places of the texts of a page that stay. Equal texts are one, the first of them."""
 
     @F.pandas_udf("array<int>")
     def keep(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda page: similar.first_wins(list(page), measure, threshold, autojunk))
+        firsts = [{t: n for n, t in reversed(list(enumerate(page)))} for page in texts]
+        pages = [sorted(f, key=f.get) for f in firsts]
+        kept = similar.first_wins_of(pages, measure, threshold, autojunk)
+        return pd.Series([[f[p[n]] for n in k] for f, p, k in zip(firsts, pages, kept)], dtype=object)
+
+    return keep
+
+
+def _small_pages(rows: DataFrame, by: Keys, threshold: float, measure: str, autojunk: bool) -> DataFrame:
+    others = [c for c in rows.columns if c not in (*by, "pos")]
 
+    keep = _keep(threshold, measure, autojunk)
     pages = rows.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("pos", *others))).alias("_rows")
     )

@@ -191,3 +191,53 @@ def test_accounting(segments):
     kept = ND.drop_near_duplicates(C.distinct_cleaned(rows, URL), URL)
     r = C.accounting(rows, kept, URL).first()
     assert (r.n_before, r.n_exact, r.n_long, r.n_kept, r.removed_exact, r.removed_near) == (4, 3, 2, 1, 1, 1)
+
+
+@pytest.mark.parametrize("measure", ["ratio", "levenshtein"])
+def test_pages_side_by_side_are_as_one_by_one(measure, monkeypatch):
+    """Pairs of many pages are compared at once, long texts too; one page at a time keeps the same rows."""
+    rng = random.Random(3)
+    pages = [[], ["alone here"], ["", "x"]]
+    for _ in range(60):
+        seeds = ["".join(rng.choice("abcdefgh éx漢") for _ in range(rng.choice([5, 40, 64, 130, 300, 700]))) for _ in range(3)]
+        pages.append(list(dict.fromkeys(noisy(rng, rng.choice(seeds), rng.choice([0, 0.04, 0.1, 0.3])) for _ in range(14))))
+    taken = []
+    plain = similar.side_by_side
+    monkeypatch.setattr(similar, "side_by_side", lambda *a: taken.append(a[4]) or plain(*a))
+    found = similar.first_wins_of(pages, measure, 0.85)
+    assert max(taken) > 4
+    monkeypatch.undo()
+    for texts, kept in zip(pages, found):
+        want = []
+        for n, t in enumerate(texts):
+            if measure == "ratio":
+                alike = (SequenceMatcher(None, texts[k], t).ratio() for k in want)
+            else:
+                alike = (1.0 - distance(texts[k], t) / max(len(texts[k]), len(t), 1) for k in want)
+            if not any(a > 0.85 for a in alike):
+                want.append(n)
+        assert kept == want
+
+
+def test_pages_are_decided_in_their_rows(spark):
+    """Pages that are a row each are not shuffled; long ones and keys of several rows are as line by line."""
+    rng = random.Random(8)
+    words = ["river", "stone", "bridge", "Castle!", "old", "new", "green", "hill", "42", "é"]
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([1, 4, 9])))
+    texts = {f"p{n}": "\n".join(line() for _ in range(rng.choice([1, 5, 30]))) for n in range(20)}
+    texts |= {"none": None, "empty": "", "short": "Hi\nHi", "long": "\n".join(line() for _ in range(600))}
+    rows = list(texts.items())
+    schema = "url string, text string"
+    pages = spark.createDataFrame(rows, schema)
+    found = C.lines_of(pages, URL)
+    apart = ND.drop_in_pages(C.Lines(found.small, None), URL)
+    assert "Exchange" not in apart._jdf.queryExecution().executedPlan().toString()
+    for given in (pages, spark.createDataFrame([*rows, ("p0", "One more line of it\nHi"), (None, "Of no page"), (None, "Of no page!")], schema)):
+        lines = C.split_lines(given, URL)
+        for measure in ("ratio", "levenshtein"):
+            kept = ND.drop_near_duplicates(C.distinct_cleaned(lines, URL), URL, measure=measure)
+            new = ND.drop_in_pages(C.lines_of(given, URL), URL, measure=measure)
+            as_rows = lambda df: sorted(map(str, df.collect()))
+            assert as_rows(new) == as_rows(kept.select("url", "pos", "cleaned"))
+            told = ND.accounting(C.lines_of(given, URL), URL, measure=measure)
+            assert as_rows(told) == as_rows(C.accounting(lines, kept, URL).select(told.columns))
