@@ -7,6 +7,7 @@ from a bounded table), and every piece is projected back to the bytes of the ori
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ class Encoder:
     def packed(self, unit: str) -> tuple[bytes, bytes]:
         """A unit's ids and piece widths, as the bytes of their arrays (no piece is 256 characters long)."""
         ids, widths = self.model.encode_unit(unit)
-        return np.array(ids, np.int32).tobytes(), bytes(widths)
+        return array("i", ids).tobytes(), bytes(widths)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the first and the end byte of each in the original text."""

@@ -195,12 +195,13 @@ class PieceModel:
         found = [score(a + b, NONE) for a, b in zip(parts, parts[1:])]
         while found and (best := max(found)) != NONE:
             at = found.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            joined = parts[at] + parts.pop(at + 1)
+            parts[at] = joined
             del found[at]
             if at < len(found):
-                found[at] = score(parts[at] + parts[at + 1], NONE)
+                found[at] = score(joined + parts[at + 1], NONE)
             if at:
-                found[at - 1] = score(parts[at - 1] + parts[at], NONE)
+                found[at - 1] = score(parts[at - 1] + joined, NONE)
         return parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -234,8 +235,12 @@ class PieceModel:
 
     def encode_unit(self, unit: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
         """Ids, and the code points that each takes up (a character in bytes belongs to its last byte)."""
+        parts = self.merge(unit)
+        ids = list(map(self.ids.get, parts))
+        if None not in ids:
+            return tuple(ids), tuple(map(len, parts))
         ids, widths = [], []
-        for piece in self.merge(unit):
+        for piece in parts:
             if (number := self.ids.get(piece)) is not None:
                 ids.append(number)
                 widths.append(len(piece))
