@@ -17,6 +17,7 @@ from pagequarry.operators import sentiment as S
 from pagequarry.operators import spread_kmeans as SK
 from pagequarry.operators import terms as W
 from pagequarry.operators import topics as K
+from pagequarry.plans import registry
 
 URL = ["url"]
 TWO = {
@@ -371,6 +372,47 @@ def test_merged_terms_keep_inner_products(segments, monkeypatch, block):
     assert ends[0] == ends[1] == ends[2] == ends[3] and ends[0]
 
 
+@pytest.mark.parametrize("block,limit", [(512, 2048), (2, 2048), (2, 4)])
+def test_pages_are_clustered_in_their_rows(spark, block, limit, monkeypatch):
+    """As from all terms and the same seeds, a page in a task; packed pages are not shuffled. Some seeds are equal
+    rows, so that clusters are empty, and some pages have no terms, or no more segments than seeds."""
+    monkeypatch.setattr(W, "BLOCK", block)
+    rng = random.Random(7)
+    noise = [[" ".join(f"w{rng.randint(0, 30)}x" for _ in range(6)) for _ in range(n)] for n in (4, 5, 9, 30)]
+    equal = ["alpha beta gamma, delta", "alpha beta gamma delta!", "alpha beta: gamma delta", "alpha beta gamma one", "two three four", "İstanbul two three"]
+    blank = ["of the and to", "in is it on as", "the of to in", "and of the in", "to the is in"]
+    texts = ["\n".join(ls) for ls in [*noise, equal, blank, [*blank, "alpha beta gamma"], noise[0][:3], ["Only one line"]]] + ["", None]
+    docs = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(texts)], "url string, text string")
+    cleaned = C.clean(G.split_lines(docs, URL), URL)
+    points = K.term_vectors(W.weigh(cleaned, URL, keep=["n_lines"]), URL).cache()
+    seeds = K.first_seeds(points, URL, 3)
+    pages = C.clean_pages(docs, URL, limit=block)
+    for rounds in (1, 3, 300) if block == 512 else (3,):
+        found = K.kmeans_of_pages(pages, URL, 3, rounds, limit)
+        want = K.kmeans_in_tasks(points, seeds, URL, rounds).select(found.columns)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.select("url").distinct().count() == 7
+    assert block == 2 or "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_query_on_tasks_shuffles_no_points(spark):
+    """Rows are dealt out at most, where the table is one file."""
+    plan = registry.CATALOG["kmeans_in_tasks"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Scan ExistingRDD" not in plan
+
+
+def test_words_of_normalised_texts_are_what_is_between_blanks(spark):
+    """Around every character: the normalised text is that of the plain patterns, and its words are the same
+    whether they are matched in Spark or cut at blanks in the task."""
+    chars = [chr(c) for c in [*range(0x3100), *range(0xA640, 0xAB70), *range(0xFE00, 0x10400), 0x1D7CE, 0x1F600]]
+    rows = [(t,) for c in chars for t in (f"Ab{c}d {c}bcd  ce{c}{c}", f"a {c} B{c}")] + [(None,), ("",), (" \t",)]
+    texts = spark.createDataFrame(rows, "t string")
+    plain = F.regexp_replace(F.regexp_replace("t", rf"[^{X.WORD}{X.WS}]", ""), rf"[{X.WS}]+", " ")
+    found = texts.select("t", X.normalise(F.col("t")).alias("n"), F.trim(F.lower(plain)).alias("want")).withColumn("words", X.tokens(F.col("n"))).toArrow()
+    assert found.column("n").equals(found.column("want"))
+    cut = W._split(found.column("n").combine_chunks()).to_pylist()
+    assert [w and [x for x in w if len(x) > 1] for w in cut] == found.column("words").to_pylist()
+
+
 def picks_by_hand(texts, scores, measure):
     order = sorted((i for i in range(len(texts)) if len(texts[i]) > 50), key=lambda i: (-round(scores[i], 9), i))
     picks = []
