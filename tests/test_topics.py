@@ -400,6 +400,46 @@ def test_the_query_on_tasks_shuffles_no_points(spark):
     assert "hashpartitioning" not in plan and "Scan ExistingRDD" not in plan
 
 
+def test_pages_are_swept_side_by_side():
+    """As one by one, ties and rows without terms included."""
+    rng = np.random.default_rng(4)
+    inners = []
+    for size in [3, 3, 4, 5, 5, 9, 10, 11, 12, 12, 14, 30, 33, 70]:
+        rows = rng.random((size, 8)) * (rng.random((size, 8)) < 0.4)
+        rows[: size // 3] = rows[0]
+        rows[size // 2] = 0
+        inners.append(rows @ rows.T)
+    draws = [vectors.draws_of(np.arange(len(i)), 36, 42).reshape(-1, 4, 9) for i in inners]
+    for own, race, told in zip(inners, draws, vectors.sweep_pages(inners, draws)):
+        want = vectors.sweep(own, race)
+        assert told[0].tolist() == want[0].tolist() and told[1] == want[1] and told[4] == want[4]
+        assert [(k, round(s, 9)) for k, s in told[3]] == [(k, round(s, 9)) for k, s in want[3]]
+        assert (told[2] is None and want[2] is None) or math.isclose(told[2], want[2], abs_tol=1e-9)
+
+
+def test_draws_in_tasks_are_those_of_the_engine(spark):
+    places = [0, 1, 7, 2047, 10**12]
+    rows = spark.createDataFrame([(p,) for p in places], "pos bigint").select("pos", SK.race(3, 5).alias("race")).collect()
+    want = np.array([dict((r.pos, r.race) for r in rows)[p] for p in places])
+    assert np.allclose(vectors.draws_of(np.array(places), 27, 5), want, rtol=1e-12, atol=0)
+
+
+def test_topics_of_pages_in_their_rows(spark):
+    """As line by line, for a page that is a row and one whose key several rows have; the query shuffles no segment."""
+    lines = [*TWO["two"], *TWO["two"][:2], "short", "Fuel and water and wheels"]
+    docs = spark.createDataFrame(
+        [("a", "\n".join(lines)), ("b", "of the and to\nin is it on as\nto the of and in"), ("c", "\n".join(lines[:5])), ("c", "\n".join(lines[4:])), ("d", None),
+         ("e", "\n".join(lines + ["Wheels turn"]))],
+        "url string, text string",
+    )
+    packed = C.page_rows(docs, URL, limit=10)
+    assert {r.url for r in packed.large.collect()} == {"c", "e"}
+    shown = lambda df: sorted((r.url, r.pos, r.cluster, r.optimal_k, tuple(r.top), r.size, r.n_rows, round(r.tfidf_score, 9)) for r in df.collect())
+    assert shown(K.topics_of(packed, URL)) == shown(K.topics_of(C.clean(G.split_lines(docs, URL), URL), URL))
+    plan = registry.CATALOG["topic_guard"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Scan ExistingRDD" not in plan
+
+
 def test_words_of_normalised_texts_are_what_is_between_blanks(spark):
     """Around every character: the normalised text is that of the plain patterns, and its words are the same
     whether they are matched in Spark or cut at blanks in the task."""
