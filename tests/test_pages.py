@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import markup
 from pagequarry.functions.fixed import IGNORED_PHRASES, JUNK_CONTAINERS, JUNK_FRAGMENTS
+from pagequarry.functions import vectors
 from pagequarry.operators import clean as C
 from pagequarry.operators import entities as N
 from pagequarry.operators import html as E
@@ -139,6 +140,45 @@ def test_nearest_against_brute_force(spark, block):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["far", "equal", "close", "whole", "odd"])
+def test_few_differences_find_the_nearest(kind, monkeypatch):
+    """Block by block, bit by bit what all differences give; products alone would mistake close vectors."""
+    rng = np.random.default_rng(7)
+    rows = rng.normal(0, 1, (300, 16))
+    if kind == "equal":
+        rows[::2] = rows[0]
+    elif kind == "close":
+        rows = 1e3 + 1e-6 * rows
+    elif kind == "whole":
+        rows = np.round(rows)
+    questions, ids = np.vstack([rows[:90], rng.normal(0, 1, (10, 16))]), rng.permutation(300) * 3
+    if kind == "odd":
+        rows[3, 2], questions[7, 1] = np.nan, np.inf
+    with np.errstate(all="ignore"):
+        dist = np.sqrt(((questions[:, None] - rows[None]) ** 2).sum(axis=2))
+    order = np.lexsort((np.broadcast_to(ids, dist.shape), dist), axis=1)[:, :7]
+    monkeypatch.setattr(vectors, "NEAR", 2000)
+    monkeypatch.setattr(vectors, "distances", None)
+    for ends in ([0, 300], [0, 3, 5, 300], [0, 128, 256, 300]):
+        state = None
+        for low, high in zip(ends, ends[1:]):
+            state = vectors.nearest(questions, rows[low:high], ids[low:high], 7, state)
+        assert (state[0] == ids[order]).all()
+        assert np.array_equal(state[1], np.take_along_axis(dist, order, axis=1), equal_nan=True)
+
+
+def test_only_texts_that_were_found_are_shuffled(spark, monkeypatch):
+    hits = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (2, 1, 11)], "question_id bigint, rank int, text_id bigint")
+    texts = spark.createDataFrame([(10, "a"), (11, "b"), (12, "c"), (11, "B")], "text_id bigint, text string")
+    asks = spark.createDataFrame([(1,), (2,), (3,)], "question_id bigint")
+    want = {1: "a\n\nB\n\nb", 2: "B\n\nb", 3: ""}
+    for told in (R.TOLD, 1):
+        monkeypatch.setattr(R, "TOLD", told)
+        found = R.contexts(asks, hits, texts, ["question_id"])
+        assert {r.question_id: r.context for r in found.collect()} == want
+        assert ("LeftSemi, BuildRight" in found._jdf.queryExecution().executedPlan().toString()) == (told > 1)
+
+
 @pytest.mark.parametrize("spread", [0.05, 0.3, 50.0])
 def test_pruning_leaves_no_neighbour_out(spark, spread):
     """Forty clumps, from far apart to one cloud, a hot key, vectors that are equal, far questions."""
