@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import tokens
 from pagequarry.functions.fixed import LABEL_CATEGORY
 from pagequarry.operators.clean import Pages
-from pagequarry.operators.keys import Keys, joined_text, running_before, top_n
+from pagequarry.operators.keys import Keys, computed, joined_text, running_before, top_n
 
 DOC_CHARS = 1_000_000
 TOKEN = r"[\p{L}\p{N}]+"
@@ -109,6 +109,8 @@ def known_names(gazetteer: DataFrame) -> DataFrame:
 HIT = "name string, label string, at bigint"
 # Bytes of names up to which every worker walks the whole gazetteer as a trie.
 TRIE_BYTES = 4 << 20
+# Tokens that names begin with, up to which they are looked for before a sentence is sent to a worker.
+FIRST_TOKENS = 20_000
 
 
 def tagged(split: DataFrame, gazetteer: DataFrame, by: Keys, capitals: bool = True, trie_bytes: int = TRIE_BYTES) -> DataFrame:
@@ -148,6 +150,11 @@ def tagged(split: DataFrame, gazetteer: DataFrame, by: Keys, capitals: bool = Tr
             for batch in batches:
                 yield pd.Series([tokens.hits(*row, trie) for row in zip(*batch)], dtype=object)
 
+        # Where names begin with few different tokens, only sentences that have one of them, or a pattern, are sent.
+        first = {key.split(" ")[0] for key, _name, _label in listed.value}
+        if 0 < len(first) <= FIRST_TOKENS:
+            named = F.exists("words", lambda w: w.isin(sorted(first)))
+            cut_up = computed(cut_up, _able=named | (F.size("patterns") > 0)).where("_able")
         return cut_up.select(*by, "sentence", F.inline(walk("words", "text", "starts", "patterns")))
     return _joined_hits(cut_up.withColumn("gaps", F.split("text", TOKEN, -1)), known, by, sizes)
 

@@ -70,6 +70,13 @@ def drop_in_pages(
     return small if lines.others is None else small.unionByName(_of_lines(lines, by, text, threshold, measure, autojunk))
 
 
+def kept_rows(lines: C.Lines, by: Keys, threshold: float = 0.85, measure: str = "ratio", autojunk: bool = True) -> DataFrame:
+    """(page, n_lines, _rows): the small pages of ``lines`` with the segments that survive, in their row."""
+    which = _keep(threshold, measure, autojunk)(F.transform("_rows", lambda r: r["cleaned"]))
+    told = lines.small.select(*by, "n_lines", "_rows").withColumn("_keep", which)
+    return told.select(*by, "n_lines", F.transform("_keep", lambda i: F.get("_rows", i)).alias("_rows"))
+
+
 def accounting(
     lines: C.Lines,
     by: Keys,

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from pagequarry.operators import history as H
 from pagequarry.operators import html as E
-from pagequarry.operators import segments as G
 from pagequarry.plans import report as RP
 from pagequarry.plans.catalog import DOC, docs, gazetteer, register
 from pagequarry.session import cut, fresh_path
@@ -97,9 +96,7 @@ def _(spark, folder):
 @register("page_report", "S6 C6 T4 N12 K10 K11")
 def _(spark, folder):
     """The whole report of every document, packed as the stored JSON form."""
-    pages = docs(spark, folder)
-    found = RP.stages(pages, G.split_lines(pages, DOC), gazetteer(spark, folder), DOC, capitals=False)
-    full = RP.report(found, DOC)
+    full = RP.report_of(docs(spark, folder), gazetteer(spark, folder), DOC, capitals=False)
     packed = store.pack(
         "sentiment_counts", "cluster_counts", "takeaways", "metrics", "entities", "graph", "human_time_mins"
     )

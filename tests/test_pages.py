@@ -469,6 +469,35 @@ def test_scheduled_reports_equal_batch(spark, tmp_path):
     assert last.graph == whole.graph and last.total_items == whole.total_items and len(whole.graph.nodes) == 1
 
 
+def test_reports_of_pages_in_their_rows(spark, monkeypatch):
+    """The same as by joins; longer pages, keys of several rows and pages without a key go that way still."""
+    lines = [
+        "Rivers carry water down to the wide sea in the great calm spring", "The wide sea takes good water from rivers! Trains ran in 1999",
+        "Engines burn fuel to turn the wheels of bad old Trains", "Engines burn fuel to turn the wheels of bad old Trains.", "Wheels turn when engines burn fuel",
+        "It cost $20. The Trains met the Wheels", "Fuel for engines and wheels, terrible and very good wheels", "short",
+    ]
+    docs = spark.createDataFrame(
+        [("a", "\n".join(lines)), ("b", "\n".join(lines[2:])), ("c", "Only one line of text is here"), ("d", None), ("e", "of the and to\nin is it on as"),
+         ("f", "\n".join(lines * 2)), ("g", "\n".join(lines[1:5])), ("g", "\n".join(lines[1:5])), (None, "\n".join(lines))],
+        "url string, text string",
+    )
+    names = spark.createDataFrame([("Trains", "ORG"), ("the Wheels", "GPE"), ("Engines", "PERSON")], "term string, label string")
+    by_joins = RP.report(RP.stages(docs, G.split_lines(docs, URL), names, URL), URL)
+    asked = []
+    monkeypatch.setattr(RP, "stages", lambda pages, *args, stages=RP.stages: asked.append({r.url for r in pages.collect()}) or stages(pages, *args))
+
+    def told(df):
+        columns = sorted(set(df.columns) - {"avg_subjectivity"})
+        rows = df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), F.round("avg_subjectivity", 9)).collect()
+        return sorted(map(str, rows))
+
+    want = told(by_joins)
+    for limit, others in ((8, {"f", "g", None}), (64, {"g", None})):
+        assert told(RP.report_of(docs, names, URL, limit=limit)) == want
+        assert asked.pop() == others
+    assert told(RP.report_of(docs.where("url < 'f'"), names, URL)) == told(by_joins.where("url < 'f'")) and not asked
+
+
 def test_a_hot_user_spans_tasks_in_order(spark):
     from pyspark.sql import functions as F
 
