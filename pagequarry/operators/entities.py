@@ -128,7 +128,8 @@ def tagged(split: DataFrame, gazetteer: DataFrame, by: Keys, capitals: bool = Tr
     total, sizes = known.agg(F.sum(F.octet_length("name")), F.collect_set("size")).first()
     sizes = sorted(sizes) or [1]  # distinct numbers of words in a name: a handful, whatever the gazetteer holds
     starts = F.lit(None).cast("array<boolean>")
-    words = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
+    # The most frequent characters come first.
+    words = F.regexp_extract_all("text", F.lit(r"[a-zA-Z0-9[\p{L}\p{N}]]+"), F.lit(0))
     if capitals:
         starts = F.transform(words, lambda w: w.rlike(r"^\p{Lu}"))
     # Most sentences have no match, and send nothing of the patterns to the workers.

@@ -51,7 +51,7 @@ def score(
     negations: Sequence[str] = tuple(NEGATIONS),
 ) -> DataFrame:
     """Add polarity, subjectivity, label and badge. Map-only: no join, no shuffle."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(rf"[{X.WORD}']+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(rf"[a-z'[{X.WORD}]]+"), F.lit(0))
     scored = segments.withColumn("_words", words).withColumn(
         "_scores", X.score_tokens("_words", lexicon, negations)
     )
